@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import line_frequency
+from . import knn_quality, line_frequency
 
 
 def queries():
-    return {"op1_line_frequency": line_frequency.op1_line_frequency}
+    return {"op1_line_frequency": line_frequency.op1_line_frequency, "op9_knn_quality": knn_quality.op9_knn_quality}
 
 
 def oracle_sql():
