@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import knn_quality, line_frequency
+from . import bpe, knn_quality, line_frequency
 
 
 def queries():
-    return {"op1_line_frequency": line_frequency.op1_line_frequency, "op9_knn_quality": knn_quality.op9_knn_quality}
+    return {
+        "op1_line_frequency": line_frequency.op1_line_frequency,
+        "op9_knn_quality": knn_quality.op9_knn_quality,
+        "op10_byte_bpe": bpe.op10_byte_bpe,
+    }
 
 
 def oracle_sql():
