@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, knn_quality, line_frequency, syncmers, token_frames
+from . import bpe, jaccard_join, knn_quality, line_frequency, syncmers, token_frames
 
 
 def queries():
     return {
         "op1_line_frequency": line_frequency.op1_line_frequency,
+        "op3_jaccard_join": jaccard_join.op3_jaccard_join,
         "op4_syncmers": syncmers.op4_syncmers,
         "op8_token_frames": token_frames.op8_token_frames,
         "op9_knn_quality": knn_quality.op9_knn_quality,
