@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard_join, knn_quality, line_frequency, syncmers, token_frames
+from . import bpe, jaccard_join, knn_quality, line_frequency, syncmers, token_frames, warc_zip
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op1_line_frequency": line_frequency.op1_line_frequency,
         "op3_jaccard_join": jaccard_join.op3_jaccard_join,
         "op4_syncmers": syncmers.op4_syncmers,
+        "op6_warc_zip": warc_zip.op6_warc_zip,
         "op8_token_frames": token_frames.op8_token_frames,
         "op9_knn_quality": knn_quality.op9_knn_quality,
         "op10_byte_bpe": bpe.op10_byte_bpe,
