@@ -33,7 +33,6 @@ from .common import new_path, pieces, table, written
 from .token_frames import filesystem
 
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
-PACKAGE_BYTES = 24 << 20
 #: Fixed signatures of the public ZIP format.
 LOCAL, CENTRAL, END, END64, LOCATOR = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07"
 DATE = "2024-01-01T00:00:00Z"
@@ -166,8 +165,9 @@ def sha1_base32(raw: bytes) -> str:
     return base64.b32encode(hashlib.sha1(raw).digest()).decode()
 
 
-def write_packages(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", package_bytes: int = PACKAGE_BYTES) -> DataFrame:
-    """Writes a record per page to ZIP packages in folder; the manifest (a written table) has a row per package."""
+def write_packages(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """Writes a record per page to ZIP packages in folder, one for each partition of the join that finds the revisits;
+    the manifest (a written table) has a row per package."""
     raw = F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html")
     source = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), raw)
     keyed = source.withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("size", F.octet_length("html"))
@@ -176,9 +176,6 @@ def write_packages(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: st
     # the pages that revisit another one, by id: payloads stay out of this
     later = keyed.select("page_id", "url", "digest", order.alias("o")).join(same, "digest").where(F.col("o") != F.col("first")).select(F.col("page_id").alias("later_id"), F.col("digest").alias("later_digest"), F.col("url").alias("later_url"), F.col("first.page_id").alias("refers_to")).distinct()
     joined = keyed.join(later, F.col("page_id").eqNullSafe(F.col("later_id")) & (F.col("digest") == F.col("later_digest")) & (F.col("url") == F.col("later_url")), "left")
-    total, most = keyed.agg(F.sum("size"), F.count("*")).first()
-    n = max(1, -(-(total or 0) // package_bytes), min(most, pages.sparkSession.sparkContext.defaultParallelism))
-
     def run(batches):
         writer = None
         store, base = filesystem(folder)
@@ -197,7 +194,7 @@ def write_packages(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: st
             sink.close()
             yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([len(writer.lines)], pa.int64()), pa.array([writer.at], pa.int64())], ["path", "n_records", "bytes"])
 
-    rows = joined.select("page_id", "url", "html", F.col("later_digest").isNotNull().alias("revisit"), "refers_to").repartition(int(n), F.xxhash64("page_id", "url"))
+    rows = joined.select("page_id", "url", "html", F.col("later_digest").isNotNull().alias("revisit"), "refers_to")
     return written(rows.mapInArrow(run, _MANIFEST), "packages")
 
 
