@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard_join, knn_quality, line_frequency, syncmers, token_frames, warc_zip
+from . import bpe, jaccard_join, knn_quality, license_scan, line_frequency, syncmers, token_frames, url_filter, warc_zip
 
 
 def queries():
     return {
         "op1_line_frequency": line_frequency.op1_line_frequency,
+        "op2_url_filter": url_filter.op2_url_filter,
         "op3_jaccard_join": jaccard_join.op3_jaccard_join,
         "op4_syncmers": syncmers.op4_syncmers,
+        "op5_license_scan": license_scan.op5_license_scan,
         "op6_warc_zip": warc_zip.op6_warc_zip,
         "op8_token_frames": token_frames.op8_token_frames,
         "op9_knn_quality": knn_quality.op9_knn_quality,
@@ -18,4 +20,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_line_frequency": line_frequency.SQL}
+    return {"op1_line_frequency": line_frequency.SQL, "op5_license_scan": license_scan.sql()}
