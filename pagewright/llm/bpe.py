@@ -1,10 +1,10 @@
 """Byte-level BPE encoding and decoding by ranks.
 
-A text is cut before each single space between words (always a match boundary of the pattern); the distinct chunks of
+A text is cut before its spaces (always match boundaries of the pattern); the distinct chunks of
 a block are matched once, and the distinct matches are encoded together: rows are bucketed by length into padded numpy
 matrices of token ids; in each round every row merges its leftmost minimum-rank pair, found through a hash table of
 pairs, and rows are compacted; rows without a pair leave. Decoding joins the tokens' bytes. Results of chunks are kept
-from block to block in a table that is dropped when it holds KEEP entries, so memory is bounded at any input size.
+from block to block in a table of at most KEEP entries, so memory is bounded at any input size.
 
 Defined results: a null text is empty (no ids, sha256 of nothing); texts of any length are whole; repeated rows give
 repeated results; an empty table gives an empty result; other columns are ignored."""
@@ -12,6 +12,7 @@ repeated results; an empty table gives an empty result; other columns are ignore
 from __future__ import annotations
 
 import base64
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -166,17 +167,46 @@ class Pairs:
         return out
 
 
+_SPACE_RUN = re.compile(r" \s")
+
+
 def chunks_of(text: str) -> list[str]:
-    """The text cut before each single space that stands between words; joined again they are the text.
+    """The text cut before each space, so that all chunks but the first start with one; joined again they are the text.
 
-    Cutting there can't change the matches: no match of the pattern goes on after such a space's left side. Texts with
-    two spaces in a row stay whole, as there a white-space match may span the cut."""
-    if "  " in text:
+    A match of the pattern never goes on from before a space into it, unless the space has white space on both sides;
+    texts in which white space follows a space stay whole."""
+    if _SPACE_RUN.search(text):
         return [text]
     parts = text.split(" ")
     return ([parts[0]] if parts[0] else []) + [" " + p for p in parts[1:]]
 
 
+class Kept(dict):
+    """Results by chunk, at most KEEP: when half of that is new, what wasn't asked for since the last time goes."""
+
+    def __init__(self):
+        super().__init__()
+        self.older: dict = {}
+
+    def turn(self) -> None:
+        """To be called between blocks."""
+        if len(self) > KEEP // 2:
+            self.older = dict(self)
+            self.clear()
+
+    def missing(self, chunks: set[str]) -> list[str]:
+        """The chunks without a result; those with an older one get it back."""
+        out = []
+        for c in chunks:
+            if c not in self:
+                found = self.older.get(c)
+                if found is None:
+                    out.append(c)
+                else:
+                    self[c] = found
+        return out
+
+
 class Encoder:
     """Encodes blocks of texts; what it keeps between blocks is bounded by KEEP chunks."""
 
@@ -184,22 +214,22 @@ class Encoder:
         import regex
 
         self.pairs = Pairs(read_ranks(ranks_path))
+        self.digits = [b",%d" % i for i in range(len(self.pairs.tokens))]
         self.pattern = regex.compile(pattern)
-        self.kept: dict[str, tuple[int, bytes, bytes]] = {}
+        self.kept = Kept()
 
     def learn(self, chunks: set[str]) -> None:
         """Count, ids as ",1,2" and decoded bytes of each new chunk."""
-        new = [c for c in chunks if c not in self.kept]
-        if len(self.kept) + len(new) > KEEP:
-            self.kept = {}
-            new = list(chunks)
-        matches = [self.pattern.findall(c) for c in new]
+        self.kept.turn()
+        new = self.kept.missing(chunks)
+        # a space and letters are one match of the pattern; the rest is matched
+        matches = [[c] if c[0] == " " and c[1:].isalpha() else self.pattern.findall(c) for c in new]
         distinct = list({m for ms in matches for m in ms})
-        tokens = self.pairs.tokens
+        tokens, digits = self.pairs.tokens, self.digits
         made = {}
         for m, ids in zip(distinct, self.pairs.encode([m.encode("utf-8", "surrogatepass") for m in distinct]), strict=True):
             ids = ids.tolist()
-            made[m] = (len(ids), ("," + ",".join(map(str, ids))).encode() if ids else b"", b"".join([tokens[i] for i in ids]))
+            made[m] = (len(ids), b"".join([digits[i] for i in ids]), b"".join([tokens[i] for i in ids]))
         for c, ms in zip(new, matches, strict=True):
             if len(ms) == 1:
                 self.kept[c] = made[ms[0]]
@@ -212,8 +242,8 @@ class Encoder:
         cut = [chunks_of(v) for v in values]
         self.learn({c for cs in cut for c in cs})
         for cs in cut:
-            each = [self.kept[c] for c in cs]
-            yield sum([x[0] for x in each]), b"".join([x[1] for x in each])[1:], b"".join([x[2] for x in each])
+            n, ids, raw = zip(*map(self.kept.__getitem__, cs), strict=True) if cs else ((), (), ())
+            yield sum(n), b"".join(ids)[1:], b"".join(raw)
 
 
 def encoded(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import chunks_of
+from .bpe import Kept, chunks_of
 from .common import bucket_of, bytes_of, id_buckets, new_path, pieces, table, written
 
 #: Fixed values of the public zstandard and seekable formats.
@@ -31,9 +31,9 @@ INDEX_FRAME_MAGIC = 0x184D2A51
 SEEK_FOOTER_MAGIC = 0x8F92EAB1
 
 END_ID = 2
+SIGNS = ".,;:!?*#%$&|()[]{}<>/+-=_~@^"
 FRAME_BYTES = 1 << 17
 FILE_TEXT_BYTES = 48 << 20
-KEEP = 400_000
 _MANIFEST = "bucket int, path string, width int, n_docs long, n_ids long, n_frames long, bytes long"
 
 
@@ -159,17 +159,52 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.kept: dict[str, bytes] = {}
+        self.kept = Kept()
         self.np = np
+        vocab = self.tokenizer.get_vocab()
+        self.n_bytes = np.zeros(max(vocab.values()) + 1, np.int64)  # a byte-level token has a character for each byte
+        for token, i in vocab.items():
+            self.n_bytes[i] = len(token)
 
     def learn(self, chunks: set[str]) -> None:
-        new = [c for c in chunks if c not in self.kept]
-        if len(self.kept) + len(new) > KEEP:
-            self.kept, new = {}, list(chunks)
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
+        """Results of the new chunks: a space and letters with signs behind are two matches of the tokenizer's pattern,
+        so both parts are learned, once for all chunks that have them; other chunks are encoded as they are."""
+        self.kept.turn()
+        new, both = [], {}
+        for c in self.kept.missing(chunks):
+            core = c.rstrip(SIGNS)
+            if len(core) < len(c) and core[:1] == " " and core[1:].isalpha():
+                both[c] = core, c[len(core) :]
+            else:
+                new.append(c)
+        self._encode(set(new).union(self.kept.missing({x for pair in both.values() for x in pair})))
+        kept = self.kept
+        kept.update({c: kept[a] + kept[b] for c, (a, b) in both.items()})
+
+    def _encode(self, chunks: set[str]) -> None:
+        """Encodes chunks. Those of one leading space and no white space at the end are joined, encoded together and cut again where the
+        tokens' byte lengths add up to the chunks'; should that not come out even, each is encoded by itself."""
+        np, dtype = self.np, f"<u{self.width}"
+        joined, alone = [], []
+        for c in chunks:
+            (joined if c[0] == " " and " " not in c[1:] and not c[-1].isspace() else alone).append(c)
+        parts = [joined[i : i + 4096] for i in range(0, len(joined), 4096)]
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast(["".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.int64)
+            ends = np.cumsum(self.n_bytes[ids])
+            raw = np.frombuffer("".join(part).encode("utf-8", "surrogatepass"), np.uint8)
+            want = np.append(np.flatnonzero(raw == 32)[1:], len(raw))
+            at = np.minimum(np.searchsorted(ends, want), max(0, len(ends) - 1))
+            if len(ends) and len(want) == len(part) and (ends[at] == want).all():
+                packed, w = ids.astype(dtype).tobytes(), self.width
+                cuts = [0, *((at + 1) * w).tolist()]
+                self.kept.update(zip(part, [packed[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], strict=True))
+            else:
+                alone += part
+        for i in range(0, len(alone), 20_000):
+            part = alone[i : i + 20_000]
             for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.kept[c] = self.np.array(e.ids, f"<u{self.width}").tobytes()
+                self.kept[c] = np.array(e.ids, dtype).tobytes()
 
     def block(self, values: list[str]):
         cut = [chunks_of(v) for v in values]
