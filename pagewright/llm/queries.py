@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard_join, knn_quality, license_scan, line_frequency, syncmers, token_frames, url_filter, warc_zip
+from . import bpe, jaccard_join, knn_quality, license_scan, line_frequency, soft_mixing, syncmers, token_frames, url_filter, warc_zip
 
 
 def queries():
@@ -13,6 +13,7 @@ def queries():
         "op4_syncmers": syncmers.op4_syncmers,
         "op5_license_scan": license_scan.op5_license_scan,
         "op6_warc_zip": warc_zip.op6_warc_zip,
+        "op7_soft_mixing": soft_mixing.op7_soft_mixing,
         "op8_token_frames": token_frames.op8_token_frames,
         "op9_knn_quality": knn_quality.op9_knn_quality,
         "op10_byte_bpe": bpe.op10_byte_bpe,
