@@ -37,6 +37,7 @@ LEAST_SHARE = 0.05
 LEAST_LIFT = 3.0
 ROUNDS = 60
 TOLERANCE = 1e-7
+BROADCAST_LABELS = 1_000_000
 
 
 def features_of(data, offs):
@@ -227,7 +228,11 @@ def uniform(key):
 
 
 def labelled_docs(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text").join(labels.select("doc_id", domain_of().alias("domain")).where(F.col("domain").isNotNull()).dropDuplicates(["doc_id"]), "doc_id").select("text", "domain")
+    """text and domain of the labelled documents. Up to BROADCAST_LABELS labels are broadcast, so texts stay where they
+    are; beyond that both sides are shuffled by id."""
+    of_id = labels.select("doc_id", domain_of().alias("domain")).where(F.col("domain").isNotNull()).dropDuplicates(["doc_id"])
+    small = labels.count() <= BROADCAST_LABELS
+    return docs.select("doc_id", "text").join(F.broadcast(of_id) if small else of_id, "doc_id").select("text", "domain")
 
 
 def op7_soft_mixing(spark, sf_dir):
