@@ -15,7 +15,7 @@ def raw_preview(candidates: DataFrame) -> DataFrame:
 
     candidates: file_id, found_no, start, width, height, size, decodes. Of candidates at one start the first found counts;
     those over 100 megapixels aren't tried, and if nothing decodes they are the reason."""
-    first = candidates.groupBy("file_id", "start").agg(F.min_by(F.struct("found_no", "width", "height", "size", "decodes"), "found_no").alias("c")).select("file_id", "c.*")
+    first = candidates.groupBy("file_id", "start").agg(F.min(F.struct("found_no", "width", "height", "size", "decodes")).alias("c")).select("file_id", "c.*")
     area = F.col("width").cast("long") * F.col("height")
     large = area > MOST_PIXELS
     usable = ~large & (F.col("width") >= LEAST_EDGE) & (F.col("height") >= LEAST_EDGE)

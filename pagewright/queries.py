@@ -231,7 +231,7 @@ def flatten_white(spark, sf_dir):
 
 @query("""
 WITH c AS (SELECT l_orderkey AS file_id, l_linenumber::BIGINT * 1000000000 + l_partkey * 1000 + l_suppkey AS found_no, l_linenumber % 3 * 1000 + l_orderkey % 2 AS start, CAST(l_quantity * 300 AS INTEGER) AS width, CAST(l_partkey % 160 * 50 AS INTEGER) AS height, CAST(floor(l_extendedprice) AS BIGINT) AS size, l_suppkey % 3 <> 0 AS decodes FROM lineitem),
-d AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY file_id, start ORDER BY found_no) = 1),
+d AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY file_id, start ORDER BY found_no, width, height, size, decodes) = 1),
 r AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY width::BIGINT * height DESC, size DESC, found_no) AS attempt FROM d WHERE width >= 8 AND height >= 8 AND width::BIGINT * height <= 100000000),
 b AS (SELECT file_id, min(attempt) AS attempt FROM r WHERE attempt <= 4 AND decodes GROUP BY file_id),
 f AS (SELECT file_id, count(*) AS n, count_if(width::BIGINT * height > 100000000) AS n_large FROM d GROUP BY file_id)
