@@ -235,7 +235,7 @@ d AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY file_id, start ORD
 r AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY width::BIGINT * height DESC, size DESC, found_no) AS attempt FROM d WHERE width >= 8 AND height >= 8 AND width::BIGINT * height <= 100000000),
 b AS (SELECT file_id, min(attempt) AS attempt FROM r WHERE attempt <= 4 AND decodes GROUP BY file_id),
 f AS (SELECT file_id, count(*) AS n, count_if(width::BIGINT * height > 100000000) AS n_large FROM d GROUP BY file_id)
-SELECT f.file_id, r.found_no, r.width, r.height, r.attempt, CASE WHEN r.found_no IS NOT NULL THEN 'ok' WHEN n_large > 0 THEN 'too_large' ELSE 'damaged_preview' END AS verdict FROM f LEFT JOIN b USING (file_id) LEFT JOIN r ON r.file_id = b.file_id AND r.attempt = b.attempt
+SELECT f.file_id, coalesce(r.found_no, 0) AS found_no, coalesce(r.width, 0) AS width, coalesce(r.height, 0) AS height, coalesce(r.attempt, 0) AS attempt, CASE WHEN r.found_no IS NOT NULL THEN 'ok' WHEN n_large > 0 THEN 'too_large' ELSE 'damaged_preview' END AS verdict FROM f LEFT JOIN b USING (file_id) LEFT JOIN r ON r.file_id = b.file_id AND r.attempt = b.attempt
 """)
 def raw_candidate_rank(spark, sf_dir):
     """The preview chosen of each file's candidates."""
@@ -243,7 +243,8 @@ def raw_candidate_rank(spark, sf_dir):
         F.col("l_orderkey").alias("file_id"), (F.col("l_linenumber").cast("long") * F.lit(1_000_000_000) + F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("found_no"), (F.col("l_linenumber") % 3 * 1000 + F.col("l_orderkey") % 2).alias("start"), (F.col("l_quantity") * 300).cast("int").alias("width"),
         (F.col("l_partkey") % 160 * 50).cast("int").alias("height"), F.floor("l_extendedprice").alias("size"), (F.col("l_suppkey") % 3 != 0).alias("decodes"),
     )
-    return ranking.raw_preview(c).withColumn("attempt", F.col("attempt").cast("long"))
+    chosen = ranking.raw_preview(c).withColumn("attempt", F.col("attempt").cast("long"))
+    return chosen.select("file_id", *[F.coalesce(k, F.lit(0)).alias(k) for k in ("found_no", "width", "height", "attempt")], "verdict")
 
 
 @query("""
