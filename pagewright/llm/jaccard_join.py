@@ -7,9 +7,10 @@ enter the inverted lists of a prefix of their elements (in one global order, fre
 sets that link share an element of it. The boundary is the size at which the measured sizes cost the fewest entries.
 
 Lists are scanned in two passes, so a large group of near copies doesn't make all its pairs. First each list's members
-are checked against one pivot (its member in most lists), exactly, on the full sets; links give components. Then only
-members of one list in different components are paired, pruned by the bound that positions and shared elements give,
-and checked exactly. No cap is set on lists, partners or candidates.
+are paired with one pivot (its smallest); links give components. Then only members of one list in different
+components are paired; in large lists an outline of the full sets rules out most pairs before they leave the list. In
+both passes pairs are pruned by the bound that positions and shared elements give, and the rest is checked exactly on
+the full sets. No cap is set on lists, partners or candidates.
 
 Defined results: null and blank texts have no shingles and are alone; a text of fewer than n words has one shingle, its
 whole sequence; repeated rows are copies of each other; an empty table gives an empty result; other columns are ignored.
@@ -31,8 +32,11 @@ from .components import connected_components
 
 MOST_LIGHT = 40
 MOST_FREQUENT = 1 << 17
+LEAST_FREQUENT = 8
 LIST_COST = 2.0
 PIVOT_SHARE = 256
+LARGE_LIST = 8
+OUTLINE = 1024
 BROADCAST_IDS = 2_000_000
 
 
@@ -73,7 +77,8 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def set_stats(source: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, set_hash) of each document; other rows hold shingles that a block's distinct sets repeat, and how often."""
+    """(doc_id, n_shingles, set_hash) of each document; other rows hold shingles that a block's distinct sets repeat, and
+    how often: those in the least quarter of the hashes, as prefixes seldom reach beyond."""
 
     def run(batches):
         import numpy as np
@@ -82,7 +87,7 @@ def set_stats(source: DataFrame, n: int) -> DataFrame:
 
         def repeats():
             tokens, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, int))
-            often = counts >= max(3, len(held) // 512)
+            often = counts >= 2
             tokens, counts = tokens[often].view(np.int64), counts[often]
             return pa.RecordBatch.from_arrays([pa.nulls(len(tokens), pa.int64()), pa.array(counts.astype(np.int64)), pa.array(tokens)], ["doc_id", "n", "h"])
 
@@ -94,9 +99,9 @@ def set_stats(source: DataFrame, n: int) -> DataFrame:
                 for s, h in zip(sets, hashes, strict=True):
                     if len(s) and h not in seen:
                         seen.add(h)
-                        held.append(s)
-                        size += len(s)
-                if size > 1 << 21:
+                        held.append(s[: np.searchsorted(s, np.uint64(1 << 62))])
+                        size += len(held[-1])
+                if size > 1 << 20:
                     out = repeats()
                     yield out.append_column("block", pa.array([True] * out.num_rows, pa.bool_()))
                     held, size, seen = [], 0, set()
@@ -159,25 +164,35 @@ def postings(source: DataFrame, n: int, percent: int, boundary: int, frequent) -
 
 
 def shared_lists(entries: DataFrame, percent: int) -> DataFrame:
-    """The entries of lists whose neighbours by size are near enough to link; one of each (key, h). Streams sorted lists."""
+    """The entries of lists whose neighbours by size are near enough to link; one of each (key, h), with the list's first
+    entry (p, pn) as its pivot. Streams sorted lists; what is held is two rows and one pivot."""
 
     def run(batches):
         import numpy as np
 
-        held = None  # the last two rows so far: the first of them is decided
+        held, pivot = None, (None, 0, 0)  # the last two rows so far, the first of them decided; key, h and n of the last pivot
 
         def decide(cols, n_known, last):
-            key, h, n, _ = cols
-            m = len(key)
-            same = key[1:] == key[:-1]
-            near = same & (100 * n[:-1].astype(np.int64) >= percent * n[1:].astype(np.int64))
-            keep = np.zeros(m, bool)
+            nonlocal pivot
+            key, _, n, _ = cols
+            near = (key[1:] == key[:-1]) & (100 * n[:-1].astype(np.int64) >= percent * n[1:].astype(np.int64))
+            keep = np.zeros(len(key), bool)
             keep[1:] |= near
             keep[:-1] |= near
-            end = m if last else m - 1
             keep[:n_known] = False
-            keep[end:] = False
-            return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], ["key", "h", "n", "pos"])
+            if not last:
+                keep[-1] = False
+            key, h, n, pos = (c[keep] for c in cols)
+            new = np.ones(len(key), bool)
+            new[1:] = key[1:] != key[:-1]
+            first = np.flatnonzero(new)
+            group = np.cumsum(new) - 1
+            ph, pn = h[first].copy(), n[first].copy()
+            if len(key):
+                if pivot[0] == key[0]:
+                    ph[0], pn[0] = pivot[1:]
+                pivot = (key[-1], ph[-1], pn[-1])
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in (key, h, n, pos, ph[group], pn[group])], ["key", "h", "n", "pos", "p", "pn"])
 
         for batch in batches:
             cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
@@ -194,11 +209,11 @@ def shared_lists(entries: DataFrame, percent: int) -> DataFrame:
         if held is not None:
             yield decide(held, len(held[0]) - 1, True)
 
-    return entries.repartition("key").sortWithinPartitions("key", "n", "h").mapInArrow(run, "key long, h long, n int, pos int")
+    return entries.repartition("key").sortWithinPartitions("key", "n", "h").mapInArrow(run, "key long, h long, n int, pos int, p long, pn int")
 
 
-def full_sets(source: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """(h, tokens) of the documents in ids: one for each class that some list holds."""
+def _of_sets(source: DataFrame, ids: DataFrame, n: int, name: str, made) -> DataFrame:
+    """(h, name) with made(tokens) of the documents in ids."""
     count = ids.count()
     picked = source.join(F.broadcast(ids) if count <= BROADCAST_IDS else ids, "doc_id", "left_semi")
 
@@ -206,78 +221,148 @@ def full_sets(source: DataFrame, ids: DataFrame, n: int) -> DataFrame:
         for batch in batches:
             for piece in pieces(batch):
                 sets = textnum.shingle_sets(*texts(piece.column(0)), n)
-                yield pa.RecordBatch.from_arrays([pa.array([_set_hash(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["h", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array([_set_hash(s) for s in sets], pa.int64()), pa.array([made(s) for s in sets], pa.binary())], ["h", name])
 
-    return picked.select("text").mapInArrow(run, "h long, tokens binary")
+    return picked.select("text").mapInArrow(run, f"h long, {name} binary")
 
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets link. Partners stream past a's set; an a with many is dealt into shares."""
+def outlines(source: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """(h, outline): for each of OUTLINE parts, whether an odd number of a set's elements falls into it, as bits. Two
+    outlines differ in at most as many bits as the sets' symmetric difference has elements."""
+
+    def made(s):
+        import numpy as np
+
+        odd = np.bincount((s & np.uint64(OUTLINE - 1)).astype(np.int64), minlength=OUTLINE) & 1
+        return np.packbits(odd.astype(np.uint8)).tobytes()
+
+    return _of_sets(source, ids, n, "outline", made)
+
+
+def full_sets(source: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """(h, tokens) of the documents in ids."""
+    return _of_sets(source, ids, n, "tokens", lambda s: s.tobytes())
+
+
+def _streamed(pairs: DataFrame, payloads: DataFrame, columns: list[str], read, test) -> DataFrame:
+    """The pairs (a, b) whose payloads pass test(read(row of a), read(row of b)). payloads: h and columns.
+
+    Partners stream past a's payload, which alone is held; an a with many partners is dealt into shares."""
     shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / PIVOT_SHARE).cast("int").alias("shares"))
     of_b = pairs.join(shares, "a").select("a", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int").alias("share"), F.col("b").alias("h"))
     of_a = shares.select("a", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("a").alias("h"))
-    rows = of_b.withColumn("second", F.lit(True)).unionByName(of_a.withColumn("second", F.lit(False))).join(sets, "h")
+    rows = of_b.withColumn("second", F.lit(True)).unionByName(of_a.withColumn("second", F.lit(False))).join(payloads, "h")
 
     def run(batches):
-        import numpy as np
-
         mine, own = None, None
         for batch in batches:
             a, b = [], []
-            at = batch.column(4)
+            parts = batch.columns[4:]
             for i, (pivot, share, h, second) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)):
-                tokens = np.frombuffer(at[i].as_buffer(), np.uint64)
                 if not second:
-                    mine, own = (pivot, share), tokens.copy()
-                elif mine == (pivot, share):
-                    shared = len(np.intersect1d(own, tokens, assume_unique=True))
-                    if 100 * shared >= percent * (len(own) + len(tokens) - shared):
-                        a.append(pivot)
-                        b.append(h)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["u", "v"])
+                    mine, own = (pivot, share), read(parts, i)
+                elif mine == (pivot, share) and test(own, read(parts, i)):
+                    a.append(pivot)
+                    b.append(h)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    dealt = rows.select("a", "share", "h", "second", "tokens").repartition("a", "share").sortWithinPartitions("a", "share", "second", "h")
-    return dealt.mapInArrow(run, "u long, v long")
+    dealt = rows.select("a", "share", "h", "second", *columns).repartition("a", "share").sortWithinPartitions("a", "share", "second", "h")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
-def cross_pairs(lists: DataFrame, percent: int) -> DataFrame:
+def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets link."""
+
+    def read(parts, i):
+        import numpy as np
+
+        return np.frombuffer(parts[0][i].as_py(), np.uint64)
+
+    def test(x, y):
+        import numpy as np
+
+        shared = len(np.intersect1d(x, y, assume_unique=True))
+        return 100 * shared >= percent * (len(x) + len(y) - shared)
+
+    return _streamed(pairs, sets, ["tokens"], read, test)
+
+
+def may_link(pairs: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that their entries in shared lists don't rule out: their shared prefix elements, and what
+    stands behind the last of them in each set, must add up to the overlap that a link needs."""
+    profiles = lists.groupBy("h").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("key", "pos"))).alias("entries"))
+
+    def read(parts, i):
+        import numpy as np
+
+        entries = parts[1][i].values
+        return parts[0][i].as_py(), np.asarray(entries.field(0)), np.asarray(entries.field(1))
+
+    def test(x, y):
+        import numpy as np
+
+        (nx, kx, px), (ny, ky, py) = x, y
+        _, i, j = np.intersect1d(kx, ky, assume_unique=True, return_indices=True)
+        p, q = px[i], py[j]
+        if (p < 0).any():
+            return True
+        return len(i) and len(i) + min(nx - 1 - p.max(), ny - 1 - q.max()) >= least_overlap(nx, ny, percent)
+
+    return _streamed(pairs, profiles, ["n", "entries"], read, test)
+
+
+def cross_pairs(small: DataFrame, large: DataFrame, percent: int) -> DataFrame:
     """Pairs of one list's members in different components that may link, each list streamed in order of size.
 
-    lists: key, h, n, pos, comp. Counts and last places of all shared prefix elements bound a pair's overlap."""
+    small, large: key, h, n, pos, comp; large also outline, which rules pairs out before they leave the list. Counts and
+    last places of all shared prefix elements bound the overlap of the rest."""
 
     def run(batches):
         import numpy as np
 
-        tail = None
+        tail, outlined = None, False
         for batch in _and_none(batches):
             if batch is None:
-                cols, tail = tail, None
-                if cols is None:
+                if tail is None:
                     return
+                cols = tail
             else:
-                cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+                outlined = len(batch.columns) > 5
+                cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:5]]
+                if outlined:
+                    cols.append(np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint64).reshape(-1, OUTLINE // 64))
                 if tail is not None:
                     cols = [np.concatenate(x) for x in zip(tail, cols, strict=True)]
                 if not len(cols[0]):
                     continue
                 start = len(cols[0]) - int((cols[0] == cols[0][-1]).sum())
                 tail, cols = [c[start:] for c in cols], [c[:start] for c in cols]
-            key, h, n, pos, comp = cols
+            key, h, n, pos, comp = cols[:5]
             edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(key) else np.zeros(1, int)
+            found = []
             for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 for i in range(s, e - 1):
                     reach = s + int(np.searchsorted(n[s:e], 100 * int(n[i]) // percent, "right"))
                     js = np.arange(i + 1, reach)
                     js = js[comp[js] != comp[i]]
+                    if outlined and len(js):
+                        both = n[js].astype(np.int64) + int(n[i])
+                        most = both - 2 * (-(-percent * both // (100 + percent)))
+                        apart = np.bitwise_count(cols[5][js] ^ cols[5][i]).sum(1)
+                        js = js[apart <= most]
                     if len(js):
-                        flip = h[js] < h[i]
-                        a, b = np.where(flip, h[js], h[i]), np.where(flip, h[i], h[js])
-                        na, nb = np.where(flip, n[js], n[i]), np.where(flip, n[i], n[js])
-                        pa_, pb = np.where(flip, pos[js], pos[i]), np.where(flip, pos[i], pos[js])
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a, b, na.astype(np.int32), nb.astype(np.int32), pa_.astype(np.int32), pb.astype(np.int32))], ["a", "b", "na", "nb", "pa", "pb"])
-
-    made = lists.select("key", "h", "n", "pos", "comp").repartition("key").sortWithinPartitions("key", "n", "h").mapInArrow(run, "a long, b long, na int, nb int, pa int, pb int")
-    pairs = made.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.min("pa").alias("light"), F.count_if(F.col("pa") >= 0).alias("c"))
+                        found.append((np.full(len(js), i), js))
+                if found and (sum(len(f[1]) for f in found) > 100_000 or e == edges[-1]):
+                    i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+                    found = []
+                    flip = h[j] < h[i]
+                    a, b = np.where(flip, j, i), np.where(flip, i, j)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[a], h[b], n[a].astype(np.int32), n[b].astype(np.int32), pos[a].astype(np.int32), pos[b].astype(np.int32))], ["a", "b", "na", "nb", "pa", "pb"])
+
+    schema = "a long, b long, na int, nb int, pa int, pb int"
+    sides = [(small, ["key", "h", "n", "pos", "comp"]), (large, ["key", "h", "n", "pos", "comp", "outline"])]
+    made = [side.select(*names).repartition("key").sortWithinPartitions("key", "n", "h").mapInArrow(run, schema) for side, names in sides]
+    pairs = made[0].unionByName(made[1]).groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.min("pa").alias("light"), F.count_if(F.col("pa") >= 0).alias("c"))
     bound = F.col("c") + F.least(F.col("na") - 1 - F.col("pa"), F.col("nb") - 1 - F.col("pb"))
     need = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / F.lit(100.0 + percent) - F.lit(1e-9))
     return pairs.where((F.col("light") < 0) | (bound >= need)).select("a", "b")
@@ -295,29 +380,30 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     source = _source(docs, id_col, text_col)
     both = written(set_stats(source, n), "sets")
     stats = both.where("not block").select("doc_id", F.col("n").alias("n_shingles"), "h")
-    often = both.where("block").groupBy("h").agg(F.sum("n").alias("c"))
+    often = both.where("block").groupBy("h").agg(F.sum("n").alias("c")).where(F.col("c") >= LEAST_FREQUENT)
     frequent = np.sort(np.array([r.h for r in often.orderBy(F.desc("c"), "h").limit(MOST_FREQUENT).collect()], np.int64).view(np.uint64))
     sizes = {r.n_shingles: r.c for r in stats.where(F.col("n_shingles").between(1, 2 * MOST_LIGHT)).groupBy("n_shingles").agg(F.count_distinct("h").alias("c")).collect()}
     boundary = choose_boundary(sizes, percent)
     classes = written(stats.where("n_shingles > 0").groupBy("h").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n_copies")), "classes")
 
     lists = written(shared_lists(postings(source, n, percent, boundary, frequent), percent), "lists")
-    degree = lists.groupBy("h").agg(F.count("*").alias("degree"))
-    ids = written(degree.join(classes, "h").select(F.col("least_id").alias("doc_id")), "ids")
-    sets = written(full_sets(source, ids, n).dropDuplicates(["h"]), "full-sets")
+    near = 100 * F.col("pn").cast("long") >= percent * F.col("n").cast("long")
+    star = written(lists.where((F.col("h") != F.col("p")) & near).select(F.col("p").alias("a"), F.col("h").alias("b")).distinct(), "pairs")
 
-    ranked = lists.join(degree, "h")
-    pivots = ranked.groupBy("key").agg(F.max_by(F.struct(F.col("h").alias("p"), F.col("n").alias("pn")), F.struct("degree", "h")).alias("p")).select("key", "p.*")
-    star = lists.join(pivots, "key").where((F.col("h") != F.col("p")) & (100 * F.least("n", "pn").cast("long") >= percent * F.greatest("n", "pn").cast("long"))).select(F.col("p").alias("a"), F.col("h").alias("b")).distinct()
-    star = written(star, "pairs")
-    links = written(linked(star, sets, percent), "links")
-    first = connected_components(links)
+    def verified(pairs: DataFrame) -> DataFrame:
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct().join(classes, "h").select(F.col("least_id").alias("doc_id"))
+        sets = full_sets(source, written(ids, "ids"), n)
+        return written(linked(pairs, sets, percent).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
 
+    first = connected_components(verified(written(may_link(star, lists, percent), "pairs")))
     placed = lists.join(first.withColumnsRenamed({"node": "h", "component": "comp"}), "h", "left").withColumn("comp", F.coalesce("comp", "h"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
+    long = written(lists.groupBy("key").count().where(F.col("count") > LARGE_LIST).select("key"), "large-lists")
+    small, large = placed.join(long, "key", "left_anti"), placed.join(long, "key", "left_semi")
+    in_large = written(large.select("h").distinct().join(classes, "h").select(F.col("least_id").alias("doc_id")), "ids")
+    large = large.join(outlines(source, in_large, n).dropDuplicates(["h"]), "h")
     checked = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = written(cross_pairs(placed.join(mixed, "key", "left_semi"), percent).join(checked, ["a", "b"], "left_anti"), "pairs")
-    more = linked(rest, sets, percent)
+    rest = written(cross_pairs(small, large, percent).join(checked, ["a", "b"], "left_anti"), "pairs")
+    more = verified(rest)
     final = connected_components(first.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
 
     grouped = final.withColumnRenamed("node", "h").join(classes, "h")
@@ -329,3 +415,16 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
 def op3_jaccard_join(spark, sf_dir):
     """Components of the documents whose 4-word shingle sets have a Jaccard similarity of 0.85 or more."""
     return near_components(table(spark, sf_dir, "documents"), n=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
+#: Links from all pairs that share a shingle, then reachability; for small tables.
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, sh FROM (SELECT doc_id, unnest(CASE WHEN len(ws) >= 4 THEN list_transform(range(1, len(ws) - 2), lambda i: ws[i] || ' ' || ws[i+1] || ' ' || ws[i+2] || ' ' || ws[i+3]) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS sh FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 85 * (na.n + nb.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT DISTINCT a AS doc_id, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.doc_id)
+SELECT w.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, coalesce(min(r.root), w.doc_id) AS component_id FROM w LEFT JOIN n USING (doc_id) LEFT JOIN r USING (doc_id) GROUP BY w.doc_id
+"""
