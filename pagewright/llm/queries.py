@@ -21,4 +21,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_line_frequency": line_frequency.SQL, "op5_license_scan": license_scan.sql()}
+    return {"op1_line_frequency": line_frequency.SQL, "op3_jaccard_join": jaccard_join.SQL, "op5_license_scan": license_scan.sql(), "op6_warc_zip": warc_zip.SQL}
