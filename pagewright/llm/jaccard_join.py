@@ -6,11 +6,12 @@ a link with a light set needs; sets that link share one such subset. Heavy sets,
 enter the inverted lists of a prefix of their elements (in one global order, frequent elements last) long enough that
 sets that link share an element of it. The boundary is the size at which the measured sizes cost the fewest entries.
 
-Lists are scanned in two passes, so a large group of near copies doesn't make all its pairs. First each list's members
-are paired with one pivot (its smallest); links give components. Then only members of one list in different
-components are paired; in large lists an outline of the full sets rules out most pairs before they leave the list. In
-both passes pairs are pruned by the bound that positions and shared elements give, and the rest is checked exactly on
-the full sets. No cap is set on lists, partners or candidates.
+Lists are scanned in three passes, so a large group of near copies doesn't make all its pairs. First each list's members
+are paired with one pivot (its smallest); links give components. In large lists each member is then paired with its
+nearest one of another component, by outlines of the full sets; links join components. Last, all members of one list
+that are still in different components are paired, but for pairs that outlines rule out (in large lists) or that can't
+link by the bound of positions and shared elements. Pairs are checked exactly on the full sets. No cap is set on lists,
+partners or candidates.
 
 Defined results: null and blank texts have no shingles and are alone; a text of fewer than n words has one shingle, its
 whole sequence; repeated rows are copies of each other; an empty table gives an empty result; other columns are ignored.
@@ -37,6 +38,7 @@ LIST_COST = 2.0
 PIVOT_SHARE = 256
 LARGE_LIST = 8
 OUTLINE = 1024
+LISTED = ["key", "h", "n", "pos", "comp"]
 BROADCAST_IDS = 2_000_000
 
 
@@ -311,6 +313,65 @@ def may_link(pairs: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
     return _streamed(pairs, profiles, ["n", "entries"], read, test)
 
 
+def _whole_lists(batches):
+    """Columns of sorted entries, cut between keys only, with the places where lists begin and the end; an outline column
+    comes as rows of 64-bit words."""
+    import numpy as np
+
+    tail = None
+    for batch in _and_none(batches):
+        if batch is None:
+            cols = tail
+        else:
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:5]]
+            if len(batch.columns) > 5:
+                cols.append(np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint64).reshape(-1, OUTLINE // 64))
+            if tail is not None:
+                cols = [np.concatenate(x) for x in zip(tail, cols, strict=True)]
+            if not len(cols[0]):
+                continue
+            start = len(cols[0]) - int((cols[0] == cols[0][-1]).sum())
+            tail, cols = [c[start:] for c in cols], [c[:start] for c in cols]
+        if cols is not None and len(cols[0]):
+            key = cols[0]
+            yield cols, np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])).tolist()
+
+
+def _room(cols, i, js, percent):
+    """Which of the members js an outline doesn't rule out for member i, and how far their outlines are apart."""
+    import numpy as np
+
+    both = cols[2][js].astype(np.int64) + int(cols[2][i])
+    apart = np.bitwise_count(cols[5][js] ^ cols[5][i]).sum(1)
+    return apart <= both - 2 * (-(-percent * both // (100 + percent))), apart
+
+
+def nearest_pairs(large: DataFrame, percent: int) -> DataFrame:
+    """For each member of a list its nearest earlier member by outline, of another component and not ruled out: a pair per
+    entry at most. large: key, h, n, pos, comp, outline."""
+
+    def run(batches):
+        import numpy as np
+
+        for cols, edges in _whole_lists(batches):
+            _, h, n, _, comp, _ = cols
+            left, right = [], []
+            for s, e in zip(edges[:-1], edges[1:], strict=True):
+                for i in range(s + 1, e):
+                    js = np.arange(s + int(np.searchsorted(n[s:i], -(-percent * int(n[i]) // 100))), i)
+                    js = js[comp[js] != comp[i]]
+                    if len(js):
+                        fits, apart = _room(cols, i, js, percent)
+                        if fits.any():
+                            left.append(i)
+                            right.append(js[np.where(fits, apart, OUTLINE + 1).argmin()])
+            if left:
+                x, y = h[left], h[right]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+    return large.select(*LISTED, "outline").repartition("key").sortWithinPartitions("key", "n", "h").mapInArrow(run, "a long, b long").distinct()
+
+
 def cross_pairs(small: DataFrame, large: DataFrame, percent: int) -> DataFrame:
     """Pairs of one list's members in different components that may link, each list streamed in order of size.
 
@@ -320,36 +381,15 @@ def cross_pairs(small: DataFrame, large: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         import numpy as np
 
-        tail, outlined = None, False
-        for batch in _and_none(batches):
-            if batch is None:
-                if tail is None:
-                    return
-                cols = tail
-            else:
-                outlined = len(batch.columns) > 5
-                cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:5]]
-                if outlined:
-                    cols.append(np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint64).reshape(-1, OUTLINE // 64))
-                if tail is not None:
-                    cols = [np.concatenate(x) for x in zip(tail, cols, strict=True)]
-                if not len(cols[0]):
-                    continue
-                start = len(cols[0]) - int((cols[0] == cols[0][-1]).sum())
-                tail, cols = [c[start:] for c in cols], [c[:start] for c in cols]
-            key, h, n, pos, comp = cols[:5]
-            edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(key) else np.zeros(1, int)
+        for cols, edges in _whole_lists(batches):
+            _, h, n, pos, comp = cols[:5]
             found = []
-            for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            for s, e in zip(edges[:-1], edges[1:], strict=True):
                 for i in range(s, e - 1):
-                    reach = s + int(np.searchsorted(n[s:e], 100 * int(n[i]) // percent, "right"))
-                    js = np.arange(i + 1, reach)
+                    js = np.arange(i + 1, s + int(np.searchsorted(n[s:e], 100 * int(n[i]) // percent, "right")))
                     js = js[comp[js] != comp[i]]
-                    if outlined and len(js):
-                        both = n[js].astype(np.int64) + int(n[i])
-                        most = both - 2 * (-(-percent * both // (100 + percent)))
-                        apart = np.bitwise_count(cols[5][js] ^ cols[5][i]).sum(1)
-                        js = js[apart <= most]
+                    if len(cols) > 5 and len(js):
+                        js = js[_room(cols, i, js, percent)[0]]
                     if len(js):
                         found.append((np.full(len(js), i), js))
                 if found and (sum(len(f[1]) for f in found) > 100_000 or e == edges[-1]):
@@ -360,8 +400,7 @@ def cross_pairs(small: DataFrame, large: DataFrame, percent: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[a], h[b], n[a].astype(np.int32), n[b].astype(np.int32), pos[a].astype(np.int32), pos[b].astype(np.int32))], ["a", "b", "na", "nb", "pa", "pb"])
 
     schema = "a long, b long, na int, nb int, pa int, pb int"
-    sides = [(small, ["key", "h", "n", "pos", "comp"]), (large, ["key", "h", "n", "pos", "comp", "outline"])]
-    made = [side.select(*names).repartition("key").sortWithinPartitions("key", "n", "h").mapInArrow(run, schema) for side, names in sides]
+    made = [side.select(*names).repartition("key").sortWithinPartitions("key", "n", "h").mapInArrow(run, schema) for side, names in ((small, LISTED), (large, [*LISTED, "outline"]))]
     pairs = made[0].unionByName(made[1]).groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.min("pa").alias("light"), F.count_if(F.col("pa") >= 0).alias("c"))
     bound = F.col("c") + F.least(F.col("na") - 1 - F.col("pa"), F.col("nb") - 1 - F.col("pb"))
     need = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / F.lit(100.0 + percent) - F.lit(1e-9))
@@ -395,16 +434,23 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
         sets = full_sets(source, written(ids, "ids"), n)
         return written(linked(pairs, sets, percent).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
 
+    def placed(entries: DataFrame, comps: DataFrame) -> DataFrame:
+        joined = entries.select("key", "h", "n", "pos").join(comps.withColumnsRenamed({"node": "h", "component": "comp"}), "h", "left")
+        return joined.select("key", "h", "n", "pos", F.coalesce("comp", "h").alias("comp"))
+
+    def also(comps: DataFrame, links: DataFrame) -> DataFrame:
+        return connected_components(comps.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links))
+
     first = connected_components(verified(written(may_link(star, lists, percent), "pairs")))
-    placed = lists.join(first.withColumnsRenamed({"node": "h", "component": "comp"}), "h", "left").withColumn("comp", F.coalesce("comp", "h"))
-    long = written(lists.groupBy("key").count().where(F.col("count") > LARGE_LIST).select("key"), "large-lists")
-    small, large = placed.join(long, "key", "left_anti"), placed.join(long, "key", "left_semi")
+    long = written(lists.groupBy("key").count().where(F.col("count") > LARGE_LIST).select("key"), "large-keys")
+    large = lists.join(long, "key", "left_semi")
     in_large = written(large.select("h").distinct().join(classes, "h").select(F.col("least_id").alias("doc_id")), "ids")
-    large = large.join(outlines(source, in_large, n).dropDuplicates(["h"]), "h")
+    outlined = written(outlines(source, in_large, n).dropDuplicates(["h"]), "outlines")
+    second = also(first, verified(written(nearest_pairs(placed(large, first).join(outlined, "h"), percent), "pairs")))
+
     checked = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = written(cross_pairs(small, large, percent).join(checked, ["a", "b"], "left_anti"), "pairs")
-    more = verified(rest)
-    final = connected_components(first.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
+    crossing = cross_pairs(placed(lists.join(long, "key", "left_anti"), second), placed(large, second).join(outlined, "h"), percent)
+    final = also(second, verified(written(crossing.join(checked, ["a", "b"], "left_anti"), "pairs")))
 
     grouped = final.withColumnRenamed("node", "h").join(classes, "h")
     least = grouped.groupBy("component").agg(F.min("least_id").alias("component_id"))
