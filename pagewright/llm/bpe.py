@@ -220,7 +220,6 @@ class Encoder:
 
     def learn(self, chunks: set[str]) -> None:
         """Count, ids as ",1,2" and decoded bytes of each new chunk."""
-        self.kept.turn()
         new = self.kept.missing(chunks)
         # a space and letters are one match of the pattern; the rest is matched
         matches = [[c] if c[0] == " " and c[1:].isalpha() else self.pattern.findall(c) for c in new]
@@ -239,8 +238,9 @@ class Encoder:
 
     def block(self, values: list[str]):
         """(number of ids, ids joined by commas, decoded bytes) of each text."""
-        cut = [chunks_of(v) for v in values]
-        self.learn({c for cs in cut for c in cs})
+        cut, kept = [chunks_of(v) for v in values], self.kept
+        kept.turn()
+        self.learn({c for cs in cut for c in cs if c not in kept})
         for cs in cut:
             n, ids, raw = zip(*map(self.kept.__getitem__, cs), strict=True) if cs else ((), (), ())
             yield sum(n), b"".join(ids)[1:], b"".join(raw)

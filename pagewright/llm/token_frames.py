@@ -169,7 +169,6 @@ class ChunkEncoder:
     def learn(self, chunks: set[str]) -> None:
         """Results of the new chunks: a space and letters with signs behind are two matches of the tokenizer's pattern,
         so both parts are learned, once for all chunks that have them; other chunks are encoded as they are."""
-        self.kept.turn()
         new, both = [], {}
         for c in self.kept.missing(chunks):
             core = c.rstrip(SIGNS)
@@ -207,11 +206,12 @@ class ChunkEncoder:
                 self.kept[c] = np.array(e.ids, dtype).tobytes()
 
     def block(self, values: list[str]):
-        cut = [chunks_of(v) for v in values]
-        self.learn({c for cs in cut for c in cs})
+        cut, kept = [chunks_of(v) for v in values], self.kept
+        kept.turn()
+        self.learn({c for cs in cut for c in cs if c not in kept})
         end = END_ID.to_bytes(self.width, "little")
         for cs in cut:
-            yield b"".join([self.kept[c] for c in cs]) + end
+            yield b"".join(map(kept.__getitem__, cs)) + end
 
 
 _ENCODERS: dict = {}
