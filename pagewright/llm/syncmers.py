@@ -1,11 +1,11 @@
 """Document fingerprints from closed syncmers.
 
 A k-mer of code points is a closed syncmer if the least hash of its inner s-mers stands at its first or last place:
-that depends on the k-mer alone, so an edit elsewhere never moves an anchor. A fingerprint keeps the ANCHORS anchors of
-least k-mer hash with their positions (all of them if there are fewer). Two fingerprints are likened by their anchors
-below the smaller of both sketches' largest hashes: the share of their union that both hold at a common shift, the shift
-being the one that most shared anchors agree on, within a tolerance. Texts shorter than a k-mer have one anchor: a hash
-of the whole text; an empty text has none. Equal texts have equal fingerprints.
+that depends on the k-mer alone, so an edit elsewhere never moves an anchor. A fingerprint holds every anchor's hash with
+its first position, so it grows with the text (about two anchors in nine code points). Two fingerprints are likened by
+all their anchors: the share of their union that both hold at a common shift, the shift being the one that most shared
+anchors agree on, within a tolerance. Texts shorter than a k-mer have one anchor: a hash of the whole text; an empty
+text has none. Equal texts have equal fingerprints.
 
 The edited text of a document takes its last floor(n/4) code points from the next one's start. Its anchors are those of
 the document that end before the cut, those of the next that end within the part taken, and those of the k-1 windows
@@ -28,7 +28,6 @@ from .common import bucket_of, bytes_of, id_buckets, pieces, table
 
 K = 16
 S = 8
-ANCHORS = 48
 SHIFT_TOLERANCE = 8
 RANGE_BYTES = 24 << 20
 
@@ -65,53 +64,32 @@ def anchors(codes):
 
 
 def sketch(hashes, positions):
-    """The ANCHORS least hashes, each at its first position, in order of hash."""
+    """All distinct hashes in order, each at its first position; positions come ascending."""
     import numpy as np
 
-    if len(hashes) > 4 * ANCHORS:
-        least = np.argpartition(hashes, 2 * ANCHORS)[: 2 * ANCHORS]
-        order = least[np.lexsort((positions[least], hashes[least]))]
-        h = hashes[order]
-        if len(np.unique(h)) < ANCHORS or h[-1] == h[0]:
-            order = np.lexsort((positions, hashes))
-            h = hashes[order]
-        else:  # of a hash, the first position may lie outside the part taken only for the largest one
-            order = order[h < h[-1]]
-            h = hashes[order]
-            if len(np.unique(h)) < ANCHORS:
-                order = np.lexsort((positions, hashes))
-                h = hashes[order]
-    else:
-        order = np.lexsort((positions, hashes))
-        h = hashes[order]
-    new = np.ones(len(h), bool)
-    new[1:] = h[1:] != h[:-1]
-    kept = order[new][:ANCHORS]
-    return hashes[kept], positions[kept], int(new.sum()) <= ANCHORS
+    h, first = np.unique(hashes, return_index=True)
+    return h, positions[first]
 
 
 def as_text(sk) -> str:
-    """Count and completeness, then hash and position of each anchor in hexadecimal."""
-    h, p, whole = sk
-    return f"cs{K}.{S}{'=' if whole else '<'}" + ",".join(f"{int(a):016x}@{int(b):x}" for a, b in zip(h, p, strict=True))
+    """Hash and position of each anchor in hexadecimal."""
+    h, p = sk
+    return f"cs{K}.{S}=" + ",".join(map("%016x@%x".__mod__, zip(h.tolist(), p.tolist(), strict=True)))
 
 
 def likeness(a, b) -> float:
-    """Share of the common hash range's anchors that both sketches hold at one shift."""
+    """Share of both texts' anchors that both hold at one shift."""
     import numpy as np
 
-    (ha, pa_, whole_a), (hb, pb, whole_b) = a, b
+    (ha, pa_), (hb, pb) = a, b
     if not len(ha) or not len(hb):
         return float(len(ha) == len(hb))
-    most = np.uint64(2**64 - 1)
-    top = min(most if whole_a else ha[-1], most if whole_b else hb[-1])
-    na, nb = int((ha <= top).sum()), int((hb <= top).sum())
-    shared, i, j = np.intersect1d(ha[:na], hb[:nb], assume_unique=True, return_indices=True)
+    shared, i, j = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
     if not len(shared):
         return 0.0
     shift = np.sort(pa_[i] - pb[j])
     agree = int((np.searchsorted(shift, shift + SHIFT_TOLERANCE, "right") - np.arange(len(shift))).max())
-    return agree / (na + nb - len(shared))
+    return agree / (len(ha) + len(hb) - len(shared))
 
 
 def _codes(text: str):

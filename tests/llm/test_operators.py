@@ -237,6 +237,17 @@ def test_fingerprints(spark, docs, empty):
     assert syncmers.fingerprints(docs).where("doc_id = 60").first().fingerprint == got[60].fingerprint
 
 
+def test_long_texts_keep_every_anchor():
+    rng = random.Random(8)
+    passage, a, b = ("".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (900, 30_000, 40_000))
+    sk = lambda t: syncmers.sketch(*syncmers.anchors(syncmers._codes(t)))
+    one, two = sk(a + passage), sk(passage + b)
+    assert len(one[0]) == len(set(syncmers.anchors(syncmers._codes(a + passage))[0].tolist())) > 5_000
+    assert syncmers.as_text(one).count("@") == len(one[0])
+    held = len(np.intersect1d(sk(passage)[0], one[0]))
+    assert held > 150 and abs(syncmers.likeness(one, two) - held / len(set(one[0].tolist()) | set(two[0].tolist()))) < 1e-3
+
+
 def test_licences(spark):
     rows = [
         (1, "p/LICENSE", "MIT License\nReleased under the MIT License."), (2, "p/a/x.py", "code code code code code code"), (3, "p/a/b/y.py", "Licensed under the Apache License, Version 2.0. " + "More words here and so on. " * 9), (4, "q/z.py", None),
