@@ -6,8 +6,9 @@ labels and path parts; names without separators are split by unigram Viterbi: ov
 the one of most probable words, by the counts of words in all page texts (unknown pieces cost more the longer they
 are). Words that rules name (and their hosts' labels) are no evidence, as rules already spoke; digits count as one token.
 
-Counts cover all pages and are summed by grouped aggregates with map-side partials. What is broadcast is bounded: the
-VOCABULARY words of highest count and the FEATURES tokens of highest count.
+Counts cover all words and tokens of all pages, are summed by grouped aggregates with map-side partials and stay in
+written tables. Each distinct run of letters is cut once: its substrings are joined with the words. Each distinct run's
+weights are joined to the pages that hold it; that table is broadcast up to BROADCAST_RUNS rows, else shuffled.
 
 Defined results: a null URL or one without :// has empty host and path, and no rule; a URL without a known token is
 allowed; a tie is allowed; if rules decide no URL of one verdict, the rest is allowed; repeated rows are judged alike;
@@ -25,9 +26,7 @@ from pyspark.sql import functions as F
 from .common import pieces, table, texts, written
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr"))
-VOCABULARY = 50_000
-FEATURES = 50_000
-LONGEST_WORD = 24
+BROADCAST_RUNS = 500_000
 
 
 def host_of(url):
@@ -59,7 +58,7 @@ def word_counts(pages: DataFrame, html_col: str = "html") -> DataFrame:
         counts: Counter = Counter()
 
         def out():
-            got = [(w, n) for w, n in counts.items() if len(w) <= LONGEST_WORD]
+            got = list(counts.items())
             counts.clear()
             return pa.RecordBatch.from_arrays([pa.array([w.decode() for w, _ in got], pa.string()), pa.array([n for _, n in got], pa.int64())], ["word", "n"])
 
@@ -79,11 +78,9 @@ def word_counts(pages: DataFrame, html_col: str = "html") -> DataFrame:
 class Segmenter:
     """Unigram Viterbi over runs of a-z."""
 
-    def __init__(self, counts: dict[str, int]):
-        self.total = max(1, sum(counts.values()))
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        self.total = max(1, sum(counts.values()) if total is None else total)
         self.cost = {w: log(self.total / n) for w, n in counts.items()}
-        self.longest = max(map(len, counts), default=1)
-        self.kept: dict[str, list[str]] = {}
 
     def _cost(self, piece: str) -> float:
         known = self.cost.get(piece)
@@ -91,33 +88,26 @@ class Segmenter:
 
     def split(self, run: str) -> list[str]:
         """The words of the cheapest cut; among equal ones that with the longest last word, from the end."""
-        if run in self.kept:
-            return self.kept[run]
         best, back = [0.0], [0]
         for end in range(1, len(run) + 1):
-            c, start = min((best[s] + self._cost(run[s:end]), s) for s in range(max(0, end - max(self.longest, LONGEST_WORD)), end))
+            c, start = min((best[s] + self._cost(run[s:end]), s) for s in range(end))
             best.append(c)
             back.append(start)
         out, end = [], len(run)
         while end:
             out.append(run[back[end] : end])
             end = back[end]
-        if len(self.kept) > 100_000:
-            self.kept.clear()
-        self.kept[run] = out = out[::-1]
-        return out
+        return out[::-1]
 
 
 _RUN = re.compile(r"[a-z]+|[0-9]+")
+DIGITS = "<digits>"
 
 
-def tokens_of(host: str, path: str, segmenter: Segmenter, silent: frozenset[str]) -> list[str]:
-    out = []
-    for mark, text in (("h:", host), ("p:", path.lower())):
-        for run in _RUN.findall(text):
-            words = ["<digits>"] if run.isdigit() else [run] if run in silent else segmenter.split(run)
-            out += [mark + w for w in words if w not in silent]
-    return out
+def keys_of(host: str, path: str, silent: frozenset[str]) -> list[str]:
+    """The runs of host and path with their mark; all digits are one run, silent runs are left out."""
+    runs = ((mark, run) for mark, text in (("h:", host), ("p:", path.lower())) for run in _RUN.findall(text))
+    return [mark + (DIGITS if run.isdigit() else run) for mark, run in runs if run.isdigit() or run not in silent]
 
 
 def silent_words(rules=RULES) -> frozenset[str]:
@@ -125,34 +115,61 @@ def silent_words(rules=RULES) -> frozenset[str]:
     return frozenset(w for _, rule in rules for w in _RUN.findall(rule))
 
 
-def segmented(pages: DataFrame, counts: dict[str, int], rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """page_id, host, path, rule, rule_verdict and tokens of every page."""
+def parsed(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """A number of its own, page_id, host, path, rule, rule_verdict and marked runs of every page."""
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
-    parsed = pages.select(F.col(id_col).cast("long").alias("page_id"), host.alias("host"), path.alias("path")).withColumn("r", rule_of(F.col("host"), F.col("path"), rules)).select("page_id", "host", "path", "r.*")
-    held, silent = pages.sparkSession.sparkContext.broadcast(counts), silent_words(rules)
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), host.alias("host"), path.alias("path")).withColumn("r", rule_of(F.col("host"), F.col("path"), rules))
+    silent = silent_words(rules)
 
     def run(batches):
-        segmenter = None
         for batch in batches:
-            segmenter = segmenter or Segmenter(held.value)
-            tokens = [tokens_of(h, p, segmenter, silent) for h, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tokens, pa.list_(pa.string()))], [*batch.schema.names, "tokens"])
+            keys = [keys_of(h, p, silent) for h, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.list_(pa.string()))], [*batch.schema.names, "keys"])
+
+    return rows.select(F.monotonically_increasing_id().alias("row"), "page_id", "host", "path", "r.*").mapInArrow(run, "row long, page_id long, host string, path string, rule string, rule_verdict string, keys array<string>")
+
+
+def segments(runs: DataFrame, counts: DataFrame) -> DataFrame:
+    """(run, words) of distinct runs of letters, by the counts of all words; of a run, only its substrings among them matter."""
+    total, longest = counts.agg(F.sum("n"), F.max(F.length("word"))).first()
+
+    def cut(batches):
+        for batch in batches:
+            for run in batch.column(0).to_pylist():
+                found = list({run[a:b] for a in range(len(run)) for b in range(a + 1, min(len(run), a + (longest or 0)) + 1)})
+                yield pa.RecordBatch.from_arrays([pa.array([run] * len(found), pa.string()), pa.array(found, pa.string())], ["run", "word"])
+
+    def split(batches):
+        for batch in batches:
+            held = batch.column(1).to_pylist()
+            words = [Segmenter({w["word"]: w["n"] for w in known or []}, total or 1).split(run) for run, known in zip(batch.column(0).to_pylist(), held, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.string()))], ["run", "words"])
 
-    return parsed.mapInArrow(run, "page_id long, host string, path string, rule string, rule_verdict string, tokens array<string>")
+    known = runs.select("run").mapInArrow(cut, "run string, word string").join(counts, "word").groupBy("run").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    return runs.select("run").join(known, "run", "left").select("run", "known").mapInArrow(split, "run string, words array<string>")
 
 
-def learn(rows: DataFrame, features: int = FEATURES) -> dict:
-    """Naive Bayes from the rows that rules decide; at most `features` tokens, those of highest count."""
+def prior_of(decided: DataFrame) -> float | None:
+    """Log odds of block among decided rows; None if one verdict is missing."""
+    n = {r.rule_verdict: r.n for r in decided.groupBy("rule_verdict").agg(F.count("*").alias("n")).collect()}
+    return log(n["block"] / n["allow"]) if n.get("block") and n.get("allow") else None
+
+
+def weights_of(held: DataFrame) -> DataFrame:
+    """(token, weight) of all tokens that decided rows hold, from their counts (token, block, allow)."""
+    held = held.where(F.col("block") + F.col("allow") > 0)
+    block, allow, n = (float(x or 0) for x in held.agg(F.sum("block"), F.sum("allow"), F.count("*")).first())
+    return held.select("token", (F.log((F.col("block") + 1) / F.lit(block + n)) - F.log((F.col("allow") + 1) / F.lit(allow + n))).alias("weight"))
+
+
+def learn(rows: DataFrame) -> dict:
+    """Naive Bayes from the rows (rule_verdict, tokens) that rules decide, as a dictionary: for small tables."""
     decided = rows.where(F.col("rule_verdict").isNotNull())
-    priors = {r.rule_verdict: r.n for r in decided.groupBy("rule_verdict").agg(F.count("*").alias("n")).collect()}
-    held = decided.select("rule_verdict", F.explode("tokens").alias("token")).groupBy("token").agg(F.count_if(F.col("rule_verdict") == "block").alias("block"), F.count_if(F.col("rule_verdict") == "allow").alias("allow"))
-    sums = held.agg(F.sum("block"), F.sum("allow"), F.count("*")).first()
-    top = held.orderBy(F.desc(F.col("block") + F.col("allow")), "token").limit(features).collect()
-    if not priors.get("block") or not priors.get("allow"):
+    prior = prior_of(decided)
+    if prior is None:
         return {"prior": 0.0, "weights": {}}
-    block, allow, n = (float(x or 0) for x in sums)
-    weights = {r.token: log((r.block + 1) / (block + n)) - log((r.allow + 1) / (allow + n)) for r in top}
-    return {"prior": log(priors["block"] / priors["allow"]), "weights": weights}
+    held = decided.select("rule_verdict", F.explode("tokens").alias("token")).groupBy("token").agg(F.count_if(F.col("rule_verdict") == "block").alias("block"), F.count_if(F.col("rule_verdict") == "allow").alias("allow"))
+    return {"prior": prior, "weights": {r.token: r.weight for r in weights_of(held).collect()}}
 
 
 def score(tokens: list[str], model: dict) -> float:
@@ -161,20 +178,39 @@ def score(tokens: list[str], model: dict) -> float:
     return model["prior"] + sum(known) if known else 0.0
 
 
+def run_tokens(rows: DataFrame, counts: DataFrame, rules=RULES) -> DataFrame:
+    """key, how often rows of each verdict hold it, and tokens of every distinct marked run."""
+    verdict, silent = F.col("rule_verdict"), list(silent_words(rules))
+    held = rows.select("rule_verdict", F.explode("keys").alias("key")).groupBy("key").agg(F.count_if(verdict == "block").alias("block"), F.count_if(verdict == "allow").alias("allow"))
+    held = written(held.withColumn("run", F.substring("key", 3, 1 << 30)), "runs")
+    cut = segments(held.where(F.col("run") != DIGITS).select("run").distinct(), counts)
+    said = F.filter(F.coalesce("words", F.array(F.lit(DIGITS))), lambda w: ~w.isin(silent)) if silent else F.coalesce("words", F.array(F.lit(DIGITS)))
+    return held.join(cut, "run", "left").select("key", "block", "allow", F.transform(said, lambda w: F.concat(F.substring("key", 1, 2), w)).alias("tokens"))
+
+
 def judged(pages: DataFrame, rules=RULES) -> DataFrame:
-    """page_id, host, path, rule, verdict, score and tokens of every page."""
-    top = word_counts(pages).orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
-    rows = written(segmented(pages, {r.word: r.n for r in top}, rules), "urls")
-    held = pages.sparkSession.sparkContext.broadcast(learn(rows))
+    """page_id, host, path, rule, verdict and score of every page."""
+    rows = written(parsed(pages, rules), "urls")
+    runs = written(run_tokens(rows, written(word_counts(pages), "words"), rules), "tokens")
+    prior = prior_of(rows.where(F.col("rule_verdict").isNotNull()))
+    at_token = runs.select("key", "block", "allow", F.posexplode("tokens").alias("at", "token"))
+    weights = weights_of(at_token.groupBy("token").agg(F.sum("block").alias("block"), F.sum("allow").alias("allow")))
+    in_order = lambda: F.transform(F.sort_array(F.collect_list(F.struct("at", "weight"))), lambda x: x["weight"])
+    known = written(at_token.join(weights, "token").groupBy("key").agg(in_order().alias("weight")), "weights")
+    if prior is None:
+        known = known.limit(0)
+    elif known.count() <= BROADCAST_RUNS:
+        known = F.broadcast(known)
+    scored = rows.select("row", F.posexplode("keys").alias("at", "key")).join(known, "key").groupBy("row").agg(F.flatten(in_order()).alias("weights"))
 
     def run(batches):
         for batch in batches:
-            scores = [score(t or [], held.value) for t in batch.column(5).to_pylist()]
+            scores = [prior + sum(w) if w else 0.0 for w in batch.column(5).to_pylist()]
             verdicts = [r or ("block" if s > 0 else "allow") for r, s in zip(batch.column(4).to_pylist(), scores, strict=True)]
-            columns = [batch.column(0), batch.column(1), batch.column(2), batch.column(3), pa.array(verdicts, pa.string()), pa.array(scores, pa.float64()), batch.column(5)]
-            yield pa.RecordBatch.from_arrays(columns, ["page_id", "host", "path", "rule", "verdict", "score", "tokens"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(verdicts, pa.string()), pa.array(scores, pa.float64())], ["page_id", "host", "path", "rule", "verdict", "score"])
 
-    return rows.mapInArrow(run, "page_id long, host string, path string, rule string, verdict string, score double, tokens array<string>")
+    out = rows.join(scored, "row", "left").select("page_id", "host", "path", "rule", "rule_verdict", "weights")
+    return out.mapInArrow(run, "page_id long, host string, path string, rule string, verdict string, score double")
 
 
 def op2_url_filter(spark, sf_dir):

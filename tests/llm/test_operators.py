@@ -136,6 +136,25 @@ def test_bayes_by_hand(spark):
     assert abs(url_filter.score(["h:spam"], model) - weight - np.log(2)) < 1e-12
 
 
+@pytest.mark.parametrize("broadcast", [500_000, 0])
+def test_url_filter_uses_all_words_and_tokens(spark, monkeypatch, broadcast):
+    """A run is cut at, and judged by, the rarest words of a table of more than 50,000 words and tokens, and by words of over 24 letters."""
+    monkeypatch.setattr(url_filter, "BROADCAST_RUNS", broadcast)
+    name = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
+    long_word = "zyxwvutsrqponmlkjihgfedcba"
+    common = " ".join(name(i) for i in range(60_000) for _ in range(2))
+    rows = [(0, "http://q.org/fr/about", common + " zzzzq zzzzr " + long_word)]
+    rows += [(1 + i, f"http://s.net/{'/'.join(name(j) for j in range(i * 600, i * 600 + 600))}", "") for i in range(100)] * 2
+    rows += [(500, "http://t.net/zzzzq", ""), (501, "http://u.com/zzzzqzzzzr", ""), (502, "http://t.net/" + long_word, ""), (503, "http://u.com/" + long_word + "zzzzr", ""), (504, "http://u.com/qqqq", "")]
+    got = {r.page_id: r for r in url_filter.judged(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    n = 60_000 + 3 + 3  # names, zzzzq, long_word and about; hosts q, s and t; words that rules name are left out
+    block, allow = 200 * 601 + 4, 2
+    want = np.log(202) + np.log(2 / (block + n)) - np.log(1 / (allow + n))
+    for page in (501, 503):
+        assert got[page].rule is None and got[page].verdict == "block" and abs(got[page].score - want) < 1e-9
+    assert len(got) == 106 and got[504].score == 0 and got[504].verdict == "allow"
+
+
 def brute_components(rows, n, percent):
     sets, parent = {}, {}
     for doc_id, text, *_ in rows:
