@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def u_be(content: Column, at, n: int) -> Column:
     """Big-endian unsigned integer of n bytes (n <= 4 or high bytes 0) at a 0-based place; null beyond the end."""
-    part = F.substr(F.hex(content), F.lit(at) * 2 + 1 if isinstance(at, int) else at.cast("int") * 2 + 1, F.lit(2 * n))
+    part = F.hex(F.substr(content, F.lit(at) + 1 if isinstance(at, int) else at.cast("int") + 1, F.lit(n)))
     return F.when(F.length(part) == 2 * n, F.conv(part, 16, 10).cast("long"))
 
 
@@ -60,8 +60,9 @@ def psd_verdict(content: Column) -> Column:
     )
 
 
-def riff_chunks(content: Column, most: int = 64) -> Column:
-    """Chunks (id, start, size) of a RIFF file up to its declared size, and whether it is cut short: one fold."""
+def riff_chunks(content: Column) -> Column:
+    """Chunks (id, start, size) of a RIFF file up to its declared size, and whether it is cut short: one fold, of as many
+    steps as the file has room for chunk heads."""
     end = F.least(u_le(content, 4, 4) + 8, F.length(content).cast("long"))
     empty = F.array().cast("array<struct<id:string,start:bigint,size:bigint>>")
     start = F.struct(F.lit(12).cast("long").alias("at"), (u_le(content, 4, 4) + 8 > F.length(content)).alias("cut"), empty.alias("chunks"))
@@ -74,7 +75,8 @@ def riff_chunks(content: Column, most: int = 64) -> Column:
         chunk = F.struct(F.decode(F.substring(content, at.cast("int") + 1, F.lit(4)), "ISO-8859-1").alias("id"), (at + 8).alias("start"), size.alias("size"))
         return F.struct(F.when(going, at + 8 + size + size % 2).otherwise(at).alias("at"), (acc["cut"] | over).alias("cut"), F.when(going & ~over, F.array_append(acc["chunks"], chunk)).otherwise(acc["chunks"]).alias("chunks"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step)
+    room = F.floor(F.coalesce(F.length(content), F.lit(0)) / 8).cast("int") + 1
+    return F.aggregate(F.sequence(F.lit(1), room), start, step)
 
 
 def webp_verdicts(files: DataFrame, key: str) -> DataFrame:
