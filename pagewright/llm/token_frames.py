@@ -11,7 +11,8 @@ holds one block of texts and one frame. Files are written under a name of the ta
 manifest, which is written out before it is used: a lost executor's half-made file is never read.
 
 Defined results: a null text is empty and holds the end id only; repeated rows are written each, in the order of their
-texts' hashes; null ids sort first; an empty table gives no file and no rows; other columns are ignored."""
+texts' hashes; null ids sort first; the literal of an added token is that token's id, as by the library; an empty table
+gives no file and no rows; other columns are ignored."""
 
 from __future__ import annotations
 
@@ -157,7 +158,7 @@ class ChunkEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.literals = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kept = Kept()
         self.np = np
@@ -206,7 +207,8 @@ class ChunkEncoder:
                 self.kept[c] = np.array(e.ids, dtype).tobytes()
 
     def block(self, values: list[str]):
-        cut, kept = [chunks_of(v) for v in values], self.kept
+        # next to an added token's literal white space is matched otherwise, so texts that hold one stay whole
+        cut, kept = [[v] if any(t in v for t in self.literals) else chunks_of(v) for v in values], self.kept
         kept.turn()
         self.learn({c for cs in cut for c in cs if c not in kept})
         end = END_ID.to_bytes(self.width, "little")

@@ -356,6 +356,16 @@ def test_token_frames(spark, docs, empty):
     assert token_frames.read_frames(none, "doc_id long, start long, n_tokens long, ids_crc32 long", token_frames._crc).count() == 0
 
 
+def test_literals_of_special_tokens_are_their_ids():
+    from tokenizers import Tokenizer
+
+    library, encoder = Tokenizer.from_file(P.path("byte_bpe_50k.json")), token_frames.ChunkEncoder(P.path("byte_bpe_50k.json"))
+    rows = ["a <|endoftext|> b", "<|endoftext|>", "a\n <|endoftext|> \n b", " x<|endoftext|>y z.", "one two <|endoftext |> <|endoftext|>", "one two <|endoftext|>|>", "plain words end.", "  a<|endoftext|><|endoftext|>  ", ""]
+    got = [np.frombuffer(ids, f"<u{encoder.width}").tolist() for ids in encoder.block(rows)]
+    assert got == [[*library.encode(t, add_special_tokens=False).ids, token_frames.END_ID] for t in rows]
+    assert got[0][:-1] == [64, 220, 50256, 275]
+
+
 def test_frames_are_independent_and_checked():
     import io
 
