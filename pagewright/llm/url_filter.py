@@ -8,7 +8,7 @@ are). Words that rules name (and their hosts' labels) are no evidence, as rules
 
 Counts cover all words and tokens of all pages, are summed by grouped aggregates with map-side partials and stay in
 written tables. Each distinct run of letters is cut once: its substrings are joined with the words. Each distinct run's
-weights are joined to the pages that hold it; that table is broadcast up to BROADCAST_RUNS rows, else shuffled.
+weights are joined to the pages that hold it; Spark picks the join by the tables' sizes and splits frequent runs.
 
 Defined results: a null URL or one without :// has empty host and path, and no rule; a URL without a known token is
 allowed; a tie is allowed; if rules decide no URL of one verdict, the rest is allowed; repeated rows are judged alike;
@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 
 from .common import pieces, table, texts, written
 
-RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr"))
-BROADCAST_RUNS = 500_000
+RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
+#: What a letter of an unknown piece costs: a tenth of the probability.
+UNKNOWN_LETTER = log(10.0)
 
 
 def host_of(url):
@@ -81,18 +82,34 @@ class Segmenter:
     def __init__(self, counts: dict[str, int], total: int | None = None):
         self.total = max(1, sum(counts.values()) if total is None else total)
         self.cost = {w: log(self.total / n) for w, n in counts.items()}
+        self.lengths = sorted({len(w) for w in counts})
 
     def _cost(self, piece: str) -> float:
         known = self.cost.get(piece)
-        return known if known is not None else log(self.total) + len(piece) * log(10.0)
+        return known if known is not None else log(self.total) + len(piece) * UNKNOWN_LETTER
 
     def split(self, run: str) -> list[str]:
-        """The words of the cheapest cut; among equal ones that with the longest last word, from the end."""
+        """The words of the cheapest cut; among equal ones that whose last word is longest, from the end.
+
+        Known words end in a place by their lengths alone. Of unknown pieces, whose cost is linear in their length, the
+        best start so far serves every later end, so the work is the run's length times the number of word lengths."""
+        fresh, cost = log(self.total), self.cost
         best, back = [0.0], [0]
+        origin, least = 0, 0.0  # of an unknown piece: its start, and what is cheapest there without the letters up to it
         for end in range(1, len(run) + 1):
-            c, start = min((best[s] + self._cost(run[s:end]), s) for s in range(end))
+            c, start = least + fresh + end * UNKNOWN_LETTER, origin
+            for length in self.lengths:
+                if length > end:
+                    break
+                known = cost.get(run[end - length : end])
+                if known is not None:
+                    other = best[end - length] + known
+                    if other < c or (other == c and end - length < start):
+                        c, start = other, end - length
             best.append(c)
             back.append(start)
+            if c - end * UNKNOWN_LETTER < least:
+                origin, least = end, c - end * UNKNOWN_LETTER
         out, end = [], len(run)
         while end:
             out.append(run[back[end] : end])
@@ -130,14 +147,19 @@ def parsed(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str
 
 
 def segments(runs: DataFrame, counts: DataFrame) -> DataFrame:
-    """(run, words) of distinct runs of letters, by the counts of all words; of a run, only its substrings among them matter."""
-    total, longest = counts.agg(F.sum("n"), F.max(F.length("word"))).first()
+    """(run, words) of distinct runs of letters, by the counts of all words.
+
+    Of a run, only its substrings among the words matter: those of the words' lengths are joined with them, under the
+    run's hash, so that a run of any length isn't carried with each of its pieces."""
+    sizes = counts.groupBy(F.length("word").alias("size")).agg(F.sum("n").alias("n")).collect()  # a row per length of a word
+    lengths, total = sorted(r["size"] for r in sizes), sum(r.n for r in sizes)
 
     def cut(batches):
         for batch in batches:
-            for run in batch.column(0).to_pylist():
-                found = list({run[a:b] for a in range(len(run)) for b in range(a + 1, min(len(run), a + (longest or 0)) + 1)})
-                yield pa.RecordBatch.from_arrays([pa.array([run] * len(found), pa.string()), pa.array(found, pa.string())], ["run", "word"])
+            for rid, run in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for at in range(0, len(run), 4096):
+                    found = list({run[a : a + n] for a in range(at, min(at + 4096, len(run))) for n in lengths if a + n <= len(run)})
+                    yield pa.RecordBatch.from_arrays([pa.array([rid] * len(found), pa.int64()), pa.array(found, pa.string())], ["rid", "word"])
 
     def split(batches):
         for batch in batches:
@@ -145,8 +167,9 @@ def segments(runs: DataFrame, counts: DataFrame) -> DataFrame:
             words = [Segmenter({w["word"]: w["n"] for w in known or []}, total or 1).split(run) for run, known in zip(batch.column(0).to_pylist(), held, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.string()))], ["run", "words"])
 
-    known = runs.select("run").mapInArrow(cut, "run string, word string").join(counts, "word").groupBy("run").agg(F.collect_list(F.struct("word", "n")).alias("known"))
-    return runs.select("run").join(known, "run", "left").select("run", "known").mapInArrow(split, "run string, words array<string>")
+    keyed = runs.select(F.xxhash64("run").alias("rid"), "run")
+    known = keyed.mapInArrow(cut, "rid long, word string").join(counts, "word").groupBy("rid").agg(F.collect_set(F.struct("word", "n")).alias("known"))
+    return keyed.join(known, "rid", "left").select("run", "known").mapInArrow(split, "run string, words array<string>")
 
 
 def prior_of(decided: DataFrame) -> float | None:
@@ -196,11 +219,9 @@ def judged(pages: DataFrame, rules=RULES) -> DataFrame:
     at_token = runs.select("key", "block", "allow", F.posexplode("tokens").alias("at", "token"))
     weights = weights_of(at_token.groupBy("token").agg(F.sum("block").alias("block"), F.sum("allow").alias("allow")))
     in_order = lambda: F.transform(F.sort_array(F.collect_list(F.struct("at", "weight"))), lambda x: x["weight"])
-    known = written(at_token.join(weights, "token").groupBy("key").agg(in_order().alias("weight")), "weights")
+    known = at_token.join(weights, "token").groupBy("key").agg(in_order().alias("weight"))
     if prior is None:
-        known = known.limit(0)
-    elif known.count() <= BROADCAST_RUNS:
-        known = F.broadcast(known)
+        known = known.where(F.lit(False))
     scored = rows.select("row", F.posexplode("keys").alias("at", "key")).join(known, "key").groupBy("row").agg(F.flatten(in_order()).alias("weights"))
 
     def run(batches):
