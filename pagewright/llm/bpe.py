@@ -1,10 +1,15 @@
 """Byte-level BPE encoding and decoding by ranks.
 
-A text is cut before its spaces (always match boundaries of the pattern); the distinct chunks of
-a block are matched once, and the distinct matches are encoded together: rows are bucketed by length into padded numpy
-matrices of token ids; in each round every row merges its leftmost minimum-rank pair, found through a hash table of
-pairs, and rows are compacted; rows without a pair leave. Decoding joins the tokens' bytes. Results of chunks are kept
-from block to block in a table of at most KEEP entries, so memory is bounded at any input size.
+A text is cut into chunks that no match of the pattern crosses (chunks.py); the distinct chunks of a block are matched
+once, and the distinct matches are encoded together: rows are bucketed by length into padded numpy matrices of token
+ids; in each round every row merges its leftmost minimum-rank pair, found through a hash table of pairs, and rows are
+compacted; rows without a pair leave. Matches above LONG bytes are first cut between bytes that stand side by side in no
+token, as nothing merges there; a piece still above it is a row by itself whose pairs wait in a heap in the same order,
+so work grows with the length, not its square. Decoding joins the tokens' bytes. Results of short chunks are kept from
+block to block up to a number of bytes, so memory is bounded by that, the block and its longest text.
+
+The pattern must be like the one of chunks.py: no match goes on from another character into white space, nor between
+letters, digits and signs but behind an apostrophe.
 
 Defined results: a null text is empty (no ids, sha256 of nothing); texts of any length are whole; repeated rows give
 repeated results; an empty table gives an empty result; other columns are ignored."""
@@ -12,16 +17,17 @@ repeated results; an empty table gives an empty result; other columns are ignore
 from __future__ import annotations
 
 import base64
-import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, table
+from .chunks import Results, joined
+from .common import pieces, table, texts
 
-KEEP = 400_000
 ROWS = 8192
+#: Matches above this many bytes are cut or get a row of their own.
+LONG = 256
 BLOCK = 4 << 20
 _NONE = (1 << 31) - 1
 
@@ -48,6 +54,12 @@ class Pairs:
                 a, b = ranks.get(token[:i]), ranks.get(token[i:])
                 if a is not None and b is not None:
                     found[(a << 32) | b] = rank
+        raw = np.frombuffer(b"".join(self.tokens), np.uint8)
+        same = np.ones(len(raw), bool)
+        same[np.cumsum([len(t) for t in self.tokens if t])[:-1]] = False
+        self.meet = np.zeros((256, 256), bool)  # bytes that stand side by side in a token
+        self.meet[raw[:-1][same[1:]], raw[1:][same[1:]]] = True
+        self.ranks_of: dict[int, int] | None = None
         keys = np.array(list(found), np.int64)
         values = np.array(list(found.values()), np.int64)
         self.bits = max(4, int(len(keys) * 4).bit_length())
@@ -86,76 +98,130 @@ class Pairs:
             open_, key, s = open_[on], key[on], s[on]
         return out
 
-    def encode(self, words: list[bytes]) -> list:
-        """Ids of each word, encoded in padded matrices of words of about one length."""
+    def encode(self, words: list[bytes]) -> tuple:
+        """(ids of all words in one array, how many each word has). Words above LONG bytes are first cut between bytes that
+        no token holds side by side; what is still above it is merged in one row with a heap of its pairs."""
         import numpy as np
 
-        out: list = [None] * len(words)
-        lengths = np.array([len(w) for w in words], np.int64)
+        if not words:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        parts, n_parts = words, None
+        if max(map(len, words)) > LONG:
+            cut = [self._cut(w) if len(w) > LONG else [w] for w in words]
+            parts, n_parts = [p for ps in cut for p in ps], np.array([len(ps) for ps in cut])
+        lengths = np.array([len(w) for w in parts], np.int64)
         order = np.argsort(lengths, kind="stable")
-        at = 0
+        ranked = lengths[order]
+        counts, made, at = np.zeros(len(parts), np.int64), [], int(np.searchsorted(ranked, 0, "right"))
         while at < len(order):
-            n = int(lengths[order[at]])
-            top = max(n + 1, n * 9 // 8)
-            end = int(np.searchsorted(lengths[order], top, "right"))
-            end = min(end, at + max(1, (ROWS * 16) // max(16, top)))
+            n = int(ranked[at])
+            if n > LONG:
+                out = self._by_heap(parts[order[at]])[None]
+                made.append((order[at : at + 1], out))
+                counts[order[at]] = out.shape[1]
+                at += 1
+                continue
+            top = min(LONG, max(n + 1, n * 9 // 8))
+            end = min(int(np.searchsorted(ranked, top, "right")), at + max(1, (ROWS * 16) // max(16, top)))
             rows = order[at:end]
-            for i, ids in zip(rows.tolist(), self._matrix([words[i] for i in rows], int(lengths[rows[-1]])), strict=True):
-                out[i] = ids
+            out, counts[rows] = self._matrix([parts[i] for i in rows], lengths[rows])
+            made.append((rows, out))
             at = end
-        return out
+        starts = np.cumsum(counts) - counts
+        flat = np.zeros(int(counts.sum()), np.int64)
+        for rows, out in made:
+            inside = np.arange(out.shape[1]) < counts[rows][:, None]
+            flat[(starts[rows][:, None] + np.arange(out.shape[1]))[inside]] = out[inside]
+        if n_parts is not None:
+            counts = np.add.reduceat(counts, np.cumsum(n_parts) - n_parts)
+        return flat, counts
+
+    def _cut(self, word: bytes) -> list[bytes]:
+        import numpy as np
+
+        raw = np.frombuffer(word, np.uint8)
+        at = [0, *(np.flatnonzero(~self.meet[raw[:-1], raw[1:]]) + 1).tolist(), len(word)]
+        return [word[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    def _by_heap(self, word: bytes):
+        """Ids of one long row: its pairs in a heap by rank and place, its tokens linked."""
+        from heapq import heapify, heappop, heappush
+
+        import numpy as np
 
-    def _matrix(self, words: list[bytes], width: int):
+        if self.ranks_of is None:
+            used = self.keys >= 0
+            self.ranks_of = dict(zip(self.keys[used].tolist(), self.values[used].tolist(), strict=True))
+        ranks_of, n = self.ranks_of, len(word)
+        first = self.byte[np.frombuffer(word, np.uint8)]
+        rank = [*self.merged(first[:-1], first[1:]).tolist(), _NONE]
+        ids, after, before = first.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [r << 32 | i for i, r in enumerate(rank) if r != _NONE]
+        heapify(heap)
+        while heap:
+            r, i = divmod(heappop(heap), 1 << 32)
+            if rank[i] != r:
+                continue
+            gone = after[i]
+            ids[i], ids[gone], rank[gone] = r, -1, _NONE
+            after[i] = nxt = after[gone]
+            if nxt < n:
+                before[nxt] = i
+            for left in (before[i], i):
+                if left >= 0:
+                    right = after[left]
+                    rank[left] = new = ranks_of.get(ids[left] << 32 | ids[right], _NONE) if right < n else _NONE
+                    if new != _NONE:
+                        heappush(heap, new << 32 | left)
+        out = np.array(ids, np.int64)
+        return out[out >= 0]
+
+    def _matrix(self, words: list[bytes], length):
+        """(ids of each word, padded, and how many they are)."""
         import numpy as np
 
-        n = len(words)
-        if not width:
-            return [np.zeros(0, np.int64)] * n
-        length = np.array([len(w) for w in words], np.int64)
-        raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(n, width)
+        n, width, length = len(words), int(length.max()), length.copy()
+        raw = np.frombuffer(b"".join([w.ljust(width, b"\0") for w in words]), np.uint8).reshape(n, width)
         ids = self.byte[raw]
         ids[np.arange(width) >= length[:, None]] = -1
-        done: list = [None] * n
-        live = np.arange(n)
+        out = ids.copy()
         if width == 1:
-            return list(ids)
-        rank = self._ranks(ids)
+            return out, length
+        live, rank = np.arange(n), self._ranks(ids)
         while True:
+            here = np.arange(len(live))
             best = rank.argmin(1)
-            least = rank[np.arange(len(live)), best]
+            least = rank[here, best]
             over = least == _NONE
             if over.any():
-                for i in np.flatnonzero(over):
-                    done[live[i]] = ids[i, : length[live[i]]].copy()
+                out[live[over], : ids.shape[1]] = ids[over]
                 on = ~over
                 ids, rank, best, least, live = ids[on], rank[on], best[on], least[on], live[on]
                 if not len(live):
-                    return done
-            here = np.arange(len(live))
+                    return out, length
+                here = np.arange(len(live))
             cols = np.arange(ids.shape[1] - 1)
-            shift = cols >= best[:, None] + 1  # close the gap behind the merged pair
+            shift = cols > best[:, None]  # close the gap behind the merged pair
             ids[:, :-1] = np.where(shift, ids[:, 1:], ids[:, :-1])
             ids[:, -1] = -1
             ids[here, best] = least
-            rank[:, :-1] = np.where(cols[:-1] >= best[:, None] + 1, rank[:, 1:], rank[:, :-1])
+            rank[:, :-1] = np.where(shift[:, :-1], rank[:, 1:], rank[:, :-1])
             rank[:, -1] = _NONE
             length[live] -= 1
             for side in (best - 1, best):
-                fine = (side >= 0) & (side + 1 < ids.shape[1])
-                r, c = here[fine], side[fine]
+                r = np.flatnonzero((side >= 0) & (side < rank.shape[1]))
+                c = side[r]
                 a, b = ids[r, c], ids[r, c + 1]
                 new = np.full(len(r), _NONE, np.int64)
                 both = b >= 0
                 new[both] = self.merged(a[both], b[both])
-                keep = c < rank.shape[1]
-                rank[r[keep], c[keep]] = new[keep]
+                rank[r, c] = new
             widest = int(length[live].max())
-            if widest < ids.shape[1] and widest > 1:  # compaction
+            if widest == 1:
+                out[live, :1] = ids[:, :1]
+                return out, length
+            if widest < ids.shape[1]:  # compaction
                 ids, rank = np.ascontiguousarray(ids[:, :widest]), np.ascontiguousarray(rank[:, : widest - 1])
-            elif widest == 1:
-                for i, row in enumerate(live):
-                    done[row] = ids[i, :1].copy()
-                return done
 
     def _ranks(self, ids):
         import numpy as np
@@ -167,83 +233,55 @@ class Pairs:
         return out
 
 
-_SPACE_RUN = re.compile(r" \s")
-
-
-def chunks_of(text: str) -> list[str]:
-    """The text cut before each space, so that all chunks but the first start with one; joined again they are the text.
-
-    A match of the pattern never goes on from before a space into it, unless the space has white space on both sides;
-    texts in which white space follows a space stay whole."""
-    if _SPACE_RUN.search(text):
-        return [text]
-    parts = text.split(" ")
-    return ([parts[0]] if parts[0] else []) + [" " + p for p in parts[1:]]
-
-
-class Kept(dict):
-    """Results by chunk, at most KEEP: when half of that is new, what wasn't asked for since the last time goes."""
-
-    def __init__(self):
-        super().__init__()
-        self.older: dict = {}
-
-    def turn(self) -> None:
-        """To be called between blocks."""
-        if len(self) > KEEP // 2:
-            self.older = dict(self)
-            self.clear()
-
-    def missing(self, chunks: set[str]) -> list[str]:
-        """The chunks without a result; those with an older one get it back."""
-        out = []
-        for c in chunks:
-            if c not in self:
-                found = self.older.get(c)
-                if found is None:
-                    out.append(c)
-                else:
-                    self[c] = found
-        return out
-
-
 class Encoder:
-    """Encodes blocks of texts; what it keeps between blocks is bounded by KEEP chunks."""
+    """Encodes blocks of texts; what it keeps between blocks is bounded in bytes."""
 
     def __init__(self, ranks_path: str, pattern: str):
+        import numpy as np
         import regex
 
         self.pairs = Pairs(read_ranks(ranks_path))
-        self.digits = [b",%d" % i for i in range(len(self.pairs.tokens))]
+        n = len(self.pairs.tokens)
+        self.dtype = np.dtype("<u2" if n <= 1 << 16 else "<u4")
+        self.tokens = pa.array(self.pairs.tokens, pa.large_binary())
+        self.digits = pa.array([b",%d" % i for i in range(n)], pa.large_binary())
         self.pattern = regex.compile(pattern)
-        self.kept = Kept()
+        self.results = Results(self._encoded)
 
-    def learn(self, chunks: set[str]) -> None:
-        """Count, ids as ",1,2" and decoded bytes of each new chunk."""
-        new = self.kept.missing(chunks)
+    def _encoded(self, chunks: list[bytes]) -> list[bytes]:
+        """Ids of each chunk: its matches are found, and the distinct matches encoded together."""
+        import numpy as np
+
+        words = [c.decode("utf-8", "replace") for c in chunks]
         # a space and letters are one match of the pattern; the rest is matched
-        matches = [[c] if c[0] == " " and c[1:].isalpha() else self.pattern.findall(c) for c in new]
-        distinct = list({m for ms in matches for m in ms})
-        tokens, digits = self.pairs.tokens, self.digits
-        made = {}
-        for m, ids in zip(distinct, self.pairs.encode([m.encode("utf-8", "surrogatepass") for m in distinct]), strict=True):
-            ids = ids.tolist()
-            made[m] = (len(ids), b"".join([digits[i] for i in ids]), b"".join([tokens[i] for i in ids]))
-        for c, ms in zip(new, matches, strict=True):
-            if len(ms) == 1:
-                self.kept[c] = made[ms[0]]
-            else:
-                each = [made[m] for m in ms]
-                self.kept[c] = (sum(x[0] for x in each), b"".join([x[1] for x in each]), b"".join([x[2] for x in each]))
-
-    def block(self, values: list[str]):
+        matches = [(w,) if w.isalpha() or w[0] == " " and w[1:].isalpha() else self.pattern.findall(w) for w in words]
+        place: dict[str, int] = {}
+        at = [[place.setdefault(m, len(place)) for m in ms] for ms in matches]
+        flat, counts = self.pairs.encode([m.encode() for m in place])
+        packed, size = flat.astype(self.dtype).tobytes(), self.dtype.itemsize
+        ends = (np.cumsum(counts) * size).tolist()
+        made = [packed[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        return [made[ms[0]] if len(ms) == 1 else b"".join([made[i] for i in ms]) for ms in at]
+
+    def block(self, column: pa.Array):
         """(number of ids, ids joined by commas, decoded bytes) of each text."""
-        cut, kept = [chunks_of(v) for v in values], self.kept
-        kept.turn()
-        self.learn({c for cs in cut for c in cs if c not in kept})
-        for cs in cut:
-            n, ids, raw = zip(*map(self.kept.__getitem__, cs), strict=True) if cs else ((), (), ())
-            yield sum(n), b"".join(ids)[1:], b"".join(raw)
+        import numpy as np
+
+        raw, at = joined(self.results, *texts(column))
+        ids, at = np.frombuffer(raw, self.dtype), at // self.dtype.itemsize
+        (said, a), (decoded, b) = _spelled(self.digits, ids, at), _spelled(self.tokens, ids, at)
+        for i, n in enumerate(np.diff(at).tolist()):
+            yield n, said[a[i] + 1 : a[i + 1]], decoded[b[i] : b[i + 1]]
+
+
+def _spelled(spellings: pa.Array, ids, at) -> tuple[bytes, list[int]]:
+    """The ids' spellings, joined, and where each row's begin."""
+    import numpy as np
+
+    got = spellings.take(pa.array(ids))
+    _, ends, raw = got.buffers()
+    ends = np.frombuffer(ends, np.int64, len(ids) + 1) if len(ids) else np.zeros(1, np.int64)
+    return (raw.to_pybytes()[: int(ends[-1])] if ends[-1] else b""), ends[at].tolist()
 
 
 def encoded(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -270,7 +308,7 @@ def _run(docs, ranks_path, pattern, id_col, text_col, schema, made, types):
         encoder = _ENCODERS[ranks_path, pattern]
         for batch in batches:
             for piece in pieces(batch, text_col, BLOCK):
-                rows = [made(*x) for x in encoder.block([v or "" for v in piece.column(1).to_pylist()])]
+                rows = [made(*x) for x in encoder.block(piece.column(1))]
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([piece.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], [x.split()[0] for x in schema.split(", ")])
 

@@ -6,8 +6,8 @@ in order, and the number of documents of each frame); then the seek table of the
 frame with compressed size, decompressed size and XXH64 checksum (low 32 bits) of each frame, and its footer. A reader
 seeks to the end, then decompresses only the frames that hold the documents asked for.
 
-Documents are dealt into ranges of the id by one shuffle; each range is sorted and streamed into one file, so a task
-holds one block of texts and one frame. Files are written under a name of the task's attempt and named in the returned
+Documents are dealt into ranges of id and text hash by one shuffle; each range is sorted and streamed into one file, so
+a task holds one block of texts and one frame. Files are written under a name of the task's attempt and named in the returned
 manifest, which is written out before it is used: a lost executor's half-made file is never read.
 
 Defined results: a null text is empty and holds the end id only; repeated rows are written each, in the order of their
@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Kept, chunks_of
-from .common import bucket_of, bytes_of, id_buckets, new_path, pieces, table, written
+from .chunks import Results, joined
+from .common import bytes_of, new_path, pieces, table, texts, written
 
 #: Fixed values of the public zstandard and seekable formats.
 SEEK_FRAME_MAGIC = 0x184D2A5E
@@ -32,9 +32,11 @@ INDEX_FRAME_MAGIC = 0x184D2A51
 SEEK_FOOTER_MAGIC = 0x8F92EAB1
 
 END_ID = 2
-SIGNS = ".,;:!?*#%$&|()[]{}<>/+-=_~@^"
 FRAME_BYTES = 1 << 17
+BLOCK_BYTES = 8 << 20
+#: Texts of about so many bytes make a file, until there are MOST_FILES; then files grow, as a file is streamed.
 FILE_TEXT_BYTES = 48 << 20
+MOST_FILES = 50_000
 _MANIFEST = "bucket int, path string, width int, n_docs long, n_ids long, n_frames long, bytes long"
 
 
@@ -148,9 +150,10 @@ class FrameReader:
 
 
 class ChunkEncoder:
-    """Ids of texts by a tokenizers file. Distinct chunks are encoded once per block; what is kept is bounded by KEEP."""
+    """Ids of texts by a tokenizers file. Distinct chunks are encoded once; what is kept of them is bounded in bytes."""
 
     def __init__(self, path: str):
+        import json
         import os
 
         import numpy as np
@@ -160,60 +163,58 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.literals = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.kept = Kept()
-        self.np = np
+        self.results = Results(self._encoded)
+        rules = json.loads(self.tokenizer.to_str())
+        before = rules.get("pre_tokenizer") or {}
+        self.cuttable = not rules.get("normalizer") and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
         vocab = self.tokenizer.get_vocab()
         self.n_bytes = np.zeros(max(vocab.values()) + 1, np.int64)  # a byte-level token has a character for each byte
         for token, i in vocab.items():
             self.n_bytes[i] = len(token)
 
-    def learn(self, chunks: set[str]) -> None:
-        """Results of the new chunks: a space and letters with signs behind are two matches of the tokenizer's pattern,
-        so both parts are learned, once for all chunks that have them; other chunks are encoded as they are."""
-        new, both = [], {}
-        for c in self.kept.missing(chunks):
-            core = c.rstrip(SIGNS)
-            if len(core) < len(c) and core[:1] == " " and core[1:].isalpha():
-                both[c] = core, c[len(core) :]
-            else:
-                new.append(c)
-        self._encode(set(new).union(self.kept.missing({x for pair in both.values() for x in pair})))
-        kept = self.kept
-        kept.update({c: kept[a] + kept[b] for c, (a, b) in both.items()})
-
-    def _encode(self, chunks: set[str]) -> None:
-        """Encodes chunks. Those of one leading space and no white space at the end are joined, encoded together and cut again where the
+    def _encoded(self, chunks: list[bytes]) -> list[bytes]:
+        """Ids of chunks. Those of white space and one thing behind it are joined, encoded together and cut again where the
         tokens' byte lengths add up to the chunks'; should that not come out even, each is encoded by itself."""
-        np, dtype = self.np, f"<u{self.width}"
-        joined, alone = [], []
-        for c in chunks:
-            (joined if c[0] == " " and " " not in c[1:] and not c[-1].isspace() else alone).append(c)
-        parts = [joined[i : i + 4096] for i in range(0, len(joined), 4096)]
-        for part, e in zip(parts, self.tokenizer.encode_batch_fast(["".join(p) for p in parts], add_special_tokens=False), strict=True):
+        import numpy as np
+
+        dtype, w = f"<u{self.width}", self.width
+        out: list = [None] * len(chunks)
+        alone, together = [], []
+        for i, c in enumerate(chunks):
+            (together if self.cuttable and c[0] <= 32 < c[-1] < 128 and len(c) < 1 << 10 else alone).append(i)
+        parts = [together[i : i + 8192] for i in range(0, len(together), 8192)]
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast([b"".join([chunks[i] for i in part]).decode() for part in parts], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, np.int64)
             ends = np.cumsum(self.n_bytes[ids])
-            raw = np.frombuffer("".join(part).encode("utf-8", "surrogatepass"), np.uint8)
-            want = np.append(np.flatnonzero(raw == 32)[1:], len(raw))
+            want = np.cumsum([len(chunks[i]) for i in part])
             at = np.minimum(np.searchsorted(ends, want), max(0, len(ends) - 1))
-            if len(ends) and len(want) == len(part) and (ends[at] == want).all():
-                packed, w = ids.astype(dtype).tobytes(), self.width
-                cuts = [0, *((at + 1) * w).tolist()]
-                self.kept.update(zip(part, [packed[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], strict=True))
+            if len(ends) and (ends[at] == want).all():
+                packed = ids.astype(dtype).tobytes()
+                cut = [0, *((at + 1) * w).tolist()]
+                for i, a, b in zip(part, cut[:-1], cut[1:], strict=True):
+                    out[i] = packed[a:b]
             else:
                 alone += part
-        for i in range(0, len(alone), 20_000):
-            part = alone[i : i + 20_000]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.kept[c] = np.array(e.ids, dtype).tobytes()
+        for k in range(0, len(alone), 20_000):
+            part = alone[k : k + 20_000]
+            for i, e in zip(part, self.tokenizer.encode_batch_fast([chunks[i].decode("utf-8", "replace") for i in part], add_special_tokens=False), strict=True):
+                out[i] = np.array(e.ids, dtype).tobytes()
+        return out
+
+    def block(self, column: pa.Array):
+        """Each text's ids as bytes, with the end id. Next to an added token's literal white space is matched otherwise,
+        so texts that hold one stay whole."""
+        import numpy as np
+        import pyarrow.compute as pc
 
-    def block(self, values: list[str]):
-        # next to an added token's literal white space is matched otherwise, so texts that hold one stay whole
-        cut, kept = [[v] if any(t in v for t in self.literals) else chunks_of(v) for v in values], self.kept
-        kept.turn()
-        self.learn({c for cs in cut for c in cs if c not in kept})
-        end = END_ID.to_bytes(self.width, "little")
-        for cs in cut:
-            yield b"".join(map(kept.__getitem__, cs)) + end
+        data, offs = texts(column)
+        whole = np.full(len(column), not self.cuttable)
+        for literal in self.literals:
+            whole |= np.asarray(pc.fill_null(pc.match_substring(column, literal), False))
+        raw, at = joined(self.results, data, offs, whole)
+        raw, at, end = raw.tobytes(), at.tolist(), END_ID.to_bytes(self.width, "little")
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            yield raw[a:b] + end
 
 
 _ENCODERS: dict = {}
@@ -222,8 +223,7 @@ _ENCODERS: dict = {}
 def write_frames(docs: DataFrame, tokenizer_path: str, folder: str, id_col: str = "doc_id", text_col: str = "text", file_text_bytes: int = FILE_TEXT_BYTES) -> DataFrame:
     """Writes docs in ascending id order to seekable files in folder; the manifest (a written table) has a row per file."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    n = max(1, -(-bytes_of(source) // file_text_bytes), source.sparkSession.sparkContext.defaultParallelism)
-    bounds = id_buckets(source, "doc_id", n)
+    n = min(MOST_FILES, max(1, -(-bytes_of(source) // file_text_bytes), source.sparkSession.sparkContext.defaultParallelism))
 
     def run(batches):
         from pyspark import TaskContext
@@ -236,12 +236,12 @@ def write_frames(docs: DataFrame, tokenizer_path: str, folder: str, id_col: str
         store.create_dir(base, recursive=True)
         writer = None
         for batch in batches:
-            for piece in pieces(batch, limit=2 << 20):
+            for piece in pieces(batch, limit=BLOCK_BYTES):
                 if writer is None:
                     bucket = TaskContext.get().partitionId()
                     name = f"{base}/ids-{bucket:06d}-{uuid.uuid4().hex}.zst"
                     writer = FrameWriter(sink := store.open_output_stream(name, compression=None), encoder.width)
-                for doc_id, ids in zip(piece.column(0).to_pylist(), encoder.block(piece.column(1).to_pylist()), strict=True):
+                for doc_id, ids in zip(piece.column(0).to_pylist(), encoder.block(piece.column(1)), strict=True):
                     writer.add(-(1 << 63) if doc_id is None else doc_id, ids)
         if writer is not None:
             writer.close()
@@ -249,14 +249,16 @@ def write_frames(docs: DataFrame, tokenizer_path: str, folder: str, id_col: str
             row = [bucket, f"{folder}/{name.rpartition('/')[2]}", encoder.width, len(writer.ids), writer.n_ids, len(writer.entries), writer.bytes]
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.string(), pa.int32(), *[pa.int64()] * 4), strict=True)], [c.split()[0] for c in _MANIFEST.split(", ")])
 
-    dealt = source.withColumn("b", bucket_of("doc_id", bounds).cast("int")).repartitionById(len(bounds) + 1, F.col("b")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]  # rows of one id, or of none, may fill several files
+    dealt = source.repartitionByRange(n, *order).sortWithinPartitions(*order)
     return written(dealt.select("doc_id", "text").mapInArrow(run, _MANIFEST), "frames-manifest")
 
 
 def read_frames(manifest: DataFrame, schema: str, made, wanted: set[int] | None = None) -> DataFrame:
     """Rows made(doc_id, start, ids) of every document (or the wanted ones) in the manifest's files, a task per file.
 
-    start counts the ids of all documents before; the sums over the manifest (a row per file) are taken on the driver."""
+    start counts the ids of all documents before; the sums over the manifest (MOST_FILES rows at most) are taken on the
+    driver."""
     spark = manifest.sparkSession
     files, start = [], 0
     for r in manifest.select("bucket", "path", "n_ids").orderBy("bucket").collect():

@@ -11,10 +11,11 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pagewright.llm import bpe, components, jaccard_join, knn_quality, license_scan, line_frequency, queries, soft_mixing, syncmers, textnum, token_frames, url_filter, warc_zip
+from pagewright.llm import bpe, common, components, jaccard_join, knn_quality, license_scan, line_frequency, queries, soft_mixing, syncmers, textnum, token_frames, url_filter, warc_zip
 from pagewright.llm.common import new_path
 
 from ..oracle import same
@@ -60,8 +61,6 @@ def split(text):
 
 
 def test_word_hashes():
-    import pyarrow as pa
-
     from pagewright.llm.common import texts
 
     data, offs = texts(pa.array(["a b", None, "b  a\x0bé", ""]))
@@ -388,7 +387,6 @@ def test_token_frames(spark, docs, empty):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
     manifest = token_frames.write_frames(docs, P.path("byte_bpe_50k.json"), new_path(spark, "frames"), file_text_bytes=20_000)
     got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_frames.read_frames(manifest, "doc_id long, start long, n_tokens long, ids_crc32 long", token_frames._crc).collect()}
     start, want = 0, {}
@@ -408,7 +406,7 @@ def test_literals_of_special_tokens_are_their_ids():
 
     library, encoder = Tokenizer.from_file(P.path("byte_bpe_50k.json")), token_frames.ChunkEncoder(P.path("byte_bpe_50k.json"))
     rows = ["a <|endoftext|> b", "<|endoftext|>", "a\n <|endoftext|> \n b", " x<|endoftext|>y z.", "one two <|endoftext |> <|endoftext|>", "one two <|endoftext|>|>", "plain words end.", "  a<|endoftext|><|endoftext|>  ", ""]
-    got = [np.frombuffer(ids, f"<u{encoder.width}").tolist() for ids in encoder.block(rows)]
+    got = [np.frombuffer(ids, f"<u{encoder.width}").tolist() for ids in encoder.block(pa.array(rows))]
     assert got == [[*library.encode(t, add_special_tokens=False).ids, token_frames.END_ID] for t in rows]
     assert got[0][:-1] == [64, 220, 50256, 275]
 
@@ -468,8 +466,56 @@ def test_bpe_equals_the_library(spark, docs, empty):
     assert bytes(row.decoded).decode() == made_docs()[4][1] and row.ids == ",".join(map(str, library.encode_ordinary(made_docs()[4][1])))
 
 
-def test_chunks_join_to_the_text():
-    rng = random.Random(6)
-    for _ in range(500):
-        text = "".join(rng.choice(" \n\t 　aé漢1.!'") for _ in range(rng.randrange(40)))
-        assert "".join(bpe.chunks_of(text)) == text
+#: Pieces of odd texts: kinds of white space, contractions, signs, digits, marks and characters of several bytes.
+ODD = ["a", "b", "é", " ", "  ", "\n", "\t", "\u3000", "\u00a0", "'", "'s", "'ll", "1", "22", "!", "?!", "漢", "\x1c", "\x00", "\x7f", "\u200b", "the", "don't", "😀", "\u0301", "²", "Ⅷ", "_", "`", "\u0085", "\u2028"]
+
+
+def test_chunks_are_cut_where_no_match_goes_on():
+    """Encoding by chunks equals both libraries on odd texts, alone and as rows of one block."""
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    rng, path = random.Random(6), P.path("byte_bpe_multi_50k.tiktoken")
+    rows = ["".join(rng.choice(ODD) for _ in range(rng.randrange(14))) for _ in range(4000)]
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    got = list(bpe.Encoder(path, P.PATTERN).block(pa.array(rows)))
+    for text, (n, ids, raw) in zip(rows, got, strict=True):
+        want = library.encode_ordinary(text)
+        assert (n, ids.decode(), raw.decode()) == (len(want), ",".join(map(str, want)), text), repr(text)
+    other = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    encoder = token_frames.ChunkEncoder(P.path("byte_bpe_50k.json"))
+    for text, ids, want in zip(rows, encoder.block(pa.array(rows)), other.encode_batch_fast(rows, add_special_tokens=False), strict=True):
+        assert np.frombuffer(ids, f"<u{encoder.width}").tolist() == [*want.ids, token_frames.END_ID], repr(text)
+
+
+def test_long_matches_take_time_by_their_length():
+    import time
+
+    import tiktoken
+
+    rng, path = random.Random(7), P.path("byte_bpe_multi_50k.tiktoken")
+    encoder = bpe.Encoder(path, P.PATTERN)
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = ["".join(rng.choice(letters + letters.upper() + "0123456789+/") for _ in range(1_000_000)), "".join(rng.choice(letters) for _ in range(1_000_000)), "a" * 200_001, "thequickbrownfox" * 20_000, "漢字" * 50_000, "éa" * 3000]
+    began = time.process_time()
+    got = list(encoder.block(pa.array(rows)))
+    assert time.process_time() - began < 60
+    for text, (n, ids, raw) in zip(rows, got, strict=True):
+        want = library.encode_ordinary(text)
+        assert n == len(want) and ids.decode() == ",".join(map(str, want)) and raw.decode() == text
+    assert max(map(len, encoder.results.held)) <= 64 and encoder.results.size < 1 << 26  # long chunks aren't kept
+
+
+def test_results_are_kept_in_a_bounded_table(monkeypatch):
+    from pagewright.llm import chunks
+
+    results = chunks.Results(lambda new: [c.upper() for c in new], kept_bytes=50_000)
+    for k in range(40):
+        column = pa.array([f"if  x{i}k{k}:\n        return  y" for i in range(100)])
+        raw, at = chunks.joined(results, *common.texts(column))
+        assert [bytes(raw[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)] == [v.upper().encode() for v in column.to_pylist()]
+        assert results.size < 110_000
+    data, offs = common.texts(pa.array(["  a b", "", "c\u3000 d e", None, "x"]))
+    bounds = chunks.cuts(data, offs).tolist()
+    assert [bytes(data[a:b]).decode() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == ["  a", " b", "c\u3000 d", " e", "x"]
