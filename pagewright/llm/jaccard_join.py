@@ -4,18 +4,22 @@ Sets of distinct n-word shingles link when 100 * intersection >= percent * union
 start, so copies are never paired. Light sets (size up to a boundary) enumerate their subsets of each overlap size that
 a link with a light set needs; sets that link share one such subset. Heavy sets, and light ones in reach of a heavy one,
 enter the inverted lists of a prefix of their elements (in one global order, frequent elements last) long enough that
-sets that link share an element of it. The boundary is the size at which the measured sizes cost the fewest entries.
+sets that link share an element of it. The boundary is the size at which the measured sizes cost least: a subset is one
+entry, a list entry also costs a scan of its list, whose length is measured over a share of the shingles.
 
 Lists are scanned in three passes, so a large group of near copies doesn't make all its pairs. First each list's members
-are paired with one pivot (its smallest); links give components. In large lists each member is then paired with its
-nearest one of another component, by outlines of the full sets; links join components. Last, all members of one list
-that are still in different components are paired, but for pairs that outlines rule out (in large lists) or that can't
-link by the bound of positions and shared elements. Pairs are checked exactly on the full sets. No cap is set on lists,
-partners or candidates.
+are paired with one pivot (its smallest); links give components. Lists whose members are all in one component are done.
+In the long ones of the rest, a member outside the list's largest component is then paired with its nearest one of
+another component, by outlines; links join components. Last, members of one list that are still in different components
+are paired. Long lists are dealt into blocks of members to compare, so no task holds or scans a whole one.
+
+Pairs are ruled out by the bound of positions and shared elements, and by outlines: counts of a set's elements in equal
+ranges of the hashes, whose differences add up to no more than the sets' symmetric difference has elements. What is left
+is checked exactly on the full sets. No cap is set on lists, partners or candidates.
 
 Defined results: null and blank texts have no shingles and are alone; a text of fewer than n words has one shingle, its
-whole sequence; repeated rows are copies of each other; an empty table gives an empty result; other columns are ignored.
-Shingles are compared by 64-bit hashes."""
+whole sequence; repeated rows are copies of each other; a null id is in its class's component, which is null if all its
+ids are; an empty table gives an empty result; other columns are ignored. Shingles are compared by 64-bit hashes."""
 
 from __future__ import annotations
 
@@ -31,14 +35,21 @@ from . import textnum
 from .common import pieces, table, texts, written
 from .components import connected_components
 
+#: Largest size that may be light: beyond it a set of 85 % or less would have more subsets than any list is long.
 MOST_LIGHT = 40
+#: Shingles of the highest counts, which come last in the global order; they decide nothing else.
 MOST_FREQUENT = 1 << 17
 LEAST_FREQUENT = 8
-LIST_COST = 2.0
+#: One shingle in so many is counted in full to measure the lists.
+MEASURED = 64
 PIVOT_SHARE = 256
-LARGE_LIST = 8
-OUTLINE = 1024
-LISTED = ["key", "h", "n", "pos", "comp"]
+#: Lists of more members are dealt into blocks: minor members (outside the largest component) and parts of all members.
+LONG_LIST = 32
+BLOCK = 256
+PART = 4096
+#: Bytes of the outlines that long lists carry.
+SHORT_OUTLINE = 128
+#: Rows of ids that are broadcast; beyond that texts are shuffled by id.
 BROADCAST_IDS = 2_000_000
 
 
@@ -56,12 +67,14 @@ def subset_sizes(s: int, boundary: int, percent: int) -> list[int]:
     return sorted({least_overlap(s, b, percent) for b in partners})
 
 
-def choose_boundary(sizes: dict[int, int], percent: int) -> int:
-    """The light sets' largest size: least entries to make and scan, over the counts of the sizes up to MOST_LIGHT."""
+def choose_boundary(sizes: dict[int, int], percent: int, list_length: float = 1.0) -> int:
+    """The light sets' largest size: least entries to make and scan, over the counts of the sizes up to 2 * MOST_LIGHT.
+
+    list_length: entries that a heavy set's entry meets in its list, itself included."""
 
     def cost(x: int) -> float:
         light = sum(n * sum(comb(s, o) for o in subset_sizes(s, x, percent)) for s, n in sizes.items() if s <= x)
-        heavy = sum(n * LIST_COST * prefix_length(s, percent) for s, n in sizes.items() if s >= (percent * (x + 1) + 99) // 100)
+        heavy = sum(n * (1.0 + list_length) * prefix_length(s, percent) for s, n in sizes.items() if s >= (percent * (x + 1) + 99) // 100)
         return light + heavy
 
     return min(range(MOST_LIGHT + 1), key=lambda x: (cost(x), x))
@@ -74,13 +87,39 @@ def _set_hash(s) -> int:
     return int(textnum.mix(np.array([total], np.uint64)).view(np.int64)[0])
 
 
+def outline_of(tokens) -> bytes:
+    """Counts of a set's elements in 2**k equal ranges of the hashes, two to four elements in each on average; nothing if a
+    count doesn't fit into a byte."""
+    import numpy as np
+
+    k = max(5, (max(1, len(tokens) // 4) - 1).bit_length())
+    counts = np.bincount((tokens >> np.uint64(64 - k)).astype(np.int64), minlength=1 << k)
+    return counts.astype(np.uint8).tobytes() if not len(tokens) or counts.max() < 256 else b""
+
+
+def folded(counts, size: int):
+    """An outline's counts over fewer, larger ranges."""
+    import numpy as np
+
+    return counts if len(counts) <= size else np.add.reduceat(counts, np.arange(0, len(counts), len(counts) // size))
+
+
+def may_differ(na, nb, percent: int):
+    """Elements that the symmetric difference of linked sets may have at most; numbers or arrays."""
+    return na + nb - 2 * (-(-percent * (na + nb) // (100 + percent)))
+
+
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    """doc_id, text, and a key to find a set's text again: the id, or else a hash of the text."""
+    doc_id, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    return docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.xxhash64(text)).alias("at"), text.alias("text"))
 
 
 def set_stats(source: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, set_hash) of each document; other rows hold shingles that a block's distinct sets repeat, and
-    how often: those in the least quarter of the hashes, as prefixes seldom reach beyond."""
+    """(doc_id, at, n, h, outline) of each document: its set's size, hash and outline. Rows with block hold shingles (h) and
+    how often (n) a block's distinct sets hold them: those in the least quarter of the hashes, as prefixes seldom reach
+    beyond, that occur twice or more; and in the least share MEASURED of the hashes all."""
+    names = ["doc_id", "at", "n", "h", "outline", "block"]
 
     def run(batches):
         import numpy as np
@@ -89,28 +128,27 @@ def set_stats(source: DataFrame, n: int) -> DataFrame:
 
         def repeats():
             tokens, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, int))
-            often = counts >= 2
+            often = (counts >= 2) | (tokens < np.uint64((1 << 64) // MEASURED))
             tokens, counts = tokens[often].view(np.int64), counts[often]
-            return pa.RecordBatch.from_arrays([pa.nulls(len(tokens), pa.int64()), pa.array(counts.astype(np.int64)), pa.array(tokens)], ["doc_id", "n", "h"])
+            none = pa.nulls(len(tokens), pa.int64())
+            return pa.RecordBatch.from_arrays([none, none, pa.array(counts.astype(np.int64)), pa.array(tokens), pa.nulls(len(tokens), pa.binary()), pa.array(np.ones(len(tokens), bool))], names)
 
         for batch in batches:
             for piece in pieces(batch):
-                sets = textnum.shingle_sets(*texts(piece.column(1)), n)
+                sets = textnum.shingle_sets(*texts(piece.column(2)), n)
                 hashes = [_set_hash(s) for s in sets]
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(hashes, pa.int64())], ["doc_id", "n", "h"]).append_column("block", pa.array([False] * len(sets)))
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(hashes, pa.int64()), pa.array([outline_of(s) for s in sets], pa.binary()), pa.array(np.zeros(len(sets), bool))], names)
                 for s, h in zip(sets, hashes, strict=True):
                     if len(s) and h not in seen:
                         seen.add(h)
                         held.append(s[: np.searchsorted(s, np.uint64(1 << 62))])
                         size += len(held[-1])
                 if size > 1 << 20:
-                    out = repeats()
-                    yield out.append_column("block", pa.array([True] * out.num_rows, pa.bool_()))
+                    yield repeats()
                     held, size, seen = [], 0, set()
-        out = repeats()
-        yield out.append_column("block", pa.array([True] * out.num_rows, pa.bool_()))
+        yield repeats()
 
-    return source.mapInArrow(run, "doc_id long, n long, h long, block boolean")
+    return source.select("doc_id", "at", "text").mapInArrow(run, "doc_id long, at long, n long, h long, outline binary, block boolean")
 
 
 @lru_cache(256)
@@ -122,7 +160,8 @@ def _left_out(s: int, r: int):
 
 
 def postings(source: DataFrame, n: int, percent: int, boundary: int, frequent) -> DataFrame:
-    """(key, h, n, pos) of every set: its prefix's elements with their places, and a light set's subsets."""
+    """(key, h, n, pos) of every set: its prefix's elements with their places, and a light set's subsets. Copies that one
+    task meets enter once."""
     shared = source.sparkSession.sparkContext.broadcast(frequent)
     reach = (percent * (boundary + 1) + 99) // 100
     sizes = {s: subset_sizes(s, boundary, percent) for s in range(1, boundary + 1)}
@@ -130,10 +169,12 @@ def postings(source: DataFrame, n: int, percent: int, boundary: int, frequent) -
     def run(batches):
         import numpy as np
 
-        hot = shared.value
+        hot, done = shared.value, set()
         for batch in batches:
             for piece in pieces(batch):
                 keys, sets_h, sets_n, pos = [], [], [], []
+                if len(done) > 1 << 18:
+                    done.clear()
 
                 def put(k, h, s, p):
                     keys.append(k)
@@ -141,7 +182,6 @@ def postings(source: DataFrame, n: int, percent: int, boundary: int, frequent) -
                     sets_n.append(np.full(len(k), s, np.int32))
                     pos.append(p)
 
-                done = set()
                 for tokens in textnum.shingle_sets(*texts(piece.column(0)), n):
                     s = len(tokens)
                     if not s or (h := _set_hash(tokens)) in done:
@@ -214,36 +254,17 @@ def shared_lists(entries: DataFrame, percent: int) -> DataFrame:
     return entries.repartition("key").sortWithinPartitions("key", "n", "h").mapInArrow(run, "key long, h long, n int, pos int, p long, pn int")
 
 
-def _of_sets(source: DataFrame, ids: DataFrame, n: int, name: str, made) -> DataFrame:
-    """(h, name) with made(tokens) of the documents in ids."""
-    count = ids.count()
-    picked = source.join(F.broadcast(ids) if count <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+def full_sets(source: DataFrame, ats: DataFrame, n: int) -> DataFrame:
+    """(h, tokens) of the documents in ats. Up to BROADCAST_IDS of them are broadcast, so that texts stay where they are."""
+    picked = source.join(F.broadcast(ats) if ats.count() <= BROADCAST_IDS else ats, "at", "left_semi")
 
     def run(batches):
         for batch in batches:
             for piece in pieces(batch):
                 sets = textnum.shingle_sets(*texts(piece.column(0)), n)
-                yield pa.RecordBatch.from_arrays([pa.array([_set_hash(s) for s in sets], pa.int64()), pa.array([made(s) for s in sets], pa.binary())], ["h", name])
-
-    return picked.select("text").mapInArrow(run, f"h long, {name} binary")
-
-
-def outlines(source: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """(h, outline): for each of OUTLINE parts, whether an odd number of a set's elements falls into it, as bits. Two
-    outlines differ in at most as many bits as the sets' symmetric difference has elements."""
-
-    def made(s):
-        import numpy as np
-
-        odd = np.bincount((s & np.uint64(OUTLINE - 1)).astype(np.int64), minlength=OUTLINE) & 1
-        return np.packbits(odd.astype(np.uint8)).tobytes()
-
-    return _of_sets(source, ids, n, "outline", made)
+                yield pa.RecordBatch.from_arrays([pa.array([_set_hash(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["h", "tokens"])
 
-
-def full_sets(source: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """(h, tokens) of the documents in ids."""
-    return _of_sets(source, ids, n, "tokens", lambda s: s.tobytes())
+    return picked.select("text").mapInArrow(run, "h long, tokens binary")
 
 
 def _streamed(pairs: DataFrame, payloads: DataFrame, columns: list[str], read, test) -> DataFrame:
@@ -289,122 +310,182 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return _streamed(pairs, sets, ["tokens"], read, test)
 
 
-def may_link(pairs: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that their entries in shared lists don't rule out: their shared prefix elements, and what
-    stands behind the last of them in each set, must add up to the overlap that a link needs."""
-    profiles = lists.groupBy("h").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("key", "pos"))).alias("entries"))
+def may_link(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that their sets' outlines (h, n, outline) don't rule out."""
 
     def read(parts, i):
         import numpy as np
 
-        entries = parts[1][i].values
-        return parts[0][i].as_py(), np.asarray(entries.field(0)), np.asarray(entries.field(1))
+        return parts[0][i].as_py(), np.frombuffer(parts[1][i].as_py(), np.uint8).astype(np.int64)
 
     def test(x, y):
         import numpy as np
 
-        (nx, kx, px), (ny, ky, py) = x, y
-        _, i, j = np.intersect1d(kx, ky, assume_unique=True, return_indices=True)
-        p, q = px[i], py[j]
-        if (p < 0).any():
-            return True
-        return len(i) and len(i) + min(nx - 1 - p.max(), ny - 1 - q.max()) >= least_overlap(nx, ny, percent)
+        (na, a), (nb, b) = x, y
+        size = min(len(a), len(b))
+        return not size or np.abs(folded(a, size) - folded(b, size)).sum() <= may_differ(na, nb, percent)
+
+    return _streamed(pairs, classes, ["n", "outline"], read, test)
 
-    return _streamed(pairs, profiles, ["n", "entries"], read, test)
 
+def open_lists(lists: DataFrame, comps: DataFrame) -> DataFrame:
+    """The entries of lists whose members are in two components or more, with comp, the list's largest component (major),
+    its members and its minor members (outside major)."""
+    placed = lists.select("key", "h", "n", "pos").join(comps.withColumnsRenamed({"node": "h", "component": "comp"}), "h", "left").withColumn("comp", F.coalesce("comp", "h"))
+    each = placed.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "comp")).alias("most"), F.sum("c").alias("members"), F.count("*").alias("comps"))
+    several = each.where("comps > 1").select("key", F.col("most.comp").alias("major"), "members", (F.col("members") - F.col("most.c")).alias("minors"))
+    return placed.join(several, "key")
 
-def _whole_lists(batches):
-    """Columns of sorted entries, cut between keys only, with the places where lists begin and the end; an outline column
-    comes as rows of 64-bit words."""
+
+def _bound(na, nb, pa_, pb, percent: int):
+    """Whether sets that share the elements at places pa_ and pb of their prefixes may link; -1 for a shared subset."""
     import numpy as np
 
-    tail = None
-    for batch in _and_none(batches):
-        if batch is None:
-            cols = tail
-        else:
-            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns[:5]]
-            if len(batch.columns) > 5:
-                cols.append(np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint64).reshape(-1, OUTLINE // 64))
-            if tail is not None:
-                cols = [np.concatenate(x) for x in zip(tail, cols, strict=True)]
-            if not len(cols[0]):
-                continue
-            start = len(cols[0]) - int((cols[0] == cols[0][-1]).sum())
-            tail, cols = [c[start:] for c in cols], [c[:start] for c in cols]
-        if cols is not None and len(cols[0]):
-            key = cols[0]
-            yield cols, np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])).tolist()
+    most = np.minimum(pa_, pb) + 1 + np.minimum(na - 1 - pa_, nb - 1 - pb)
+    return (pa_ < 0) | (pb < 0) | (most >= -(-percent * (na + nb) // (100 + percent)))
+
 
+PAIRS = "a long, b long, na int, nb int, pa int, pb int"
 
-def _room(cols, i, js, percent):
-    """Which of the members js an outline doesn't rule out for member i, and how far their outlines are apart."""
+
+def _pairs(x, y, i, j):
+    """Rows of PAIRS for members i of x and j of y (h, n and pos each), the smaller hash as a."""
     import numpy as np
 
-    both = cols[2][js].astype(np.int64) + int(cols[2][i])
-    apart = np.bitwise_count(cols[5][js] ^ cols[5][i]).sum(1)
-    return apart <= both - 2 * (-(-percent * both // (100 + percent))), apart
+    left, right = [c[i] for c in x[:3]], [c[j] for c in y[:3]]
+    flip = right[0] < left[0]
+    columns = [np.where(flip, v, u).astype(t) for u, v, t in zip(left, right, (np.int64, np.int32, np.int32), strict=True)], [np.where(flip, u, v).astype(t) for u, v, t in zip(left, right, (np.int64, np.int32, np.int32), strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for ab in zip(*columns, strict=True) for c in ab], ["a", "b", "na", "nb", "pa", "pb"])
 
 
-def nearest_pairs(large: DataFrame, percent: int) -> DataFrame:
-    """For each member of a list its nearest earlier member by outline, of another component and not ruled out: a pair per
-    entry at most. large: key, h, n, pos, comp, outline."""
+def pairs_of_short(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members of one list in different components that may link; lists of up to LONG_LIST members."""
 
     def run(batches):
         import numpy as np
 
-        for cols, edges in _whole_lists(batches):
-            _, h, n, _, comp, _ = cols
-            left, right = [], []
-            for s, e in zip(edges[:-1], edges[1:], strict=True):
-                for i in range(s + 1, e):
-                    js = np.arange(s + int(np.searchsorted(n[s:i], -(-percent * int(n[i]) // 100))), i)
-                    js = js[comp[js] != comp[i]]
-                    if len(js):
-                        fits, apart = _room(cols, i, js, percent)
-                        if fits.any():
-                            left.append(i)
-                            right.append(js[np.where(fits, apart, OUTLINE + 1).argmin()])
-            if left:
-                x, y = h[left], h[right]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
-
-    return large.select(*LISTED, "outline").repartition("key").sortWithinPartitions("key", "n", "h").mapInArrow(run, "a long, b long").distinct()
-
+        tail = None
+        for batch in _and_none(batches):
+            if batch is None:
+                cols = tail
+            else:
+                cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+                if tail is not None:
+                    cols = [np.concatenate(x) for x in zip(tail, cols, strict=True)]
+                if not len(cols[0]):
+                    continue
+                start = int(np.searchsorted(cols[0], cols[0][-1]))  # the last list may go on in the next batch
+                tail, cols = [c[start:] for c in cols], [c[:start] for c in cols]
+            if cols is None or not len(cols[0]):
+                continue
+            key, h, n, pos, comp = cols
+            n = n.astype(np.int64)
+            for d in range(1, LONG_LIST):
+                i = np.flatnonzero((key[d:] == key[:-d]) & (comp[d:] != comp[:-d]) & (100 * n[:-d] >= percent * n[d:]))
+                if len(i):
+                    i = i[_bound(n[i], n[i + d], pos[i], pos[i + d], percent)]
+                    yield _pairs((h, n, pos), (h, n, pos), i, i + d)
+
+    return lists.select("key", "h", "n", "pos", "comp").repartition("key").sortWithinPartitions("key", "n", "h").mapInArrow(run, PAIRS)
+
+
+def pairs_of_long(lists: DataFrame, classes: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """Pairs of a minor member of a list and any member of another component that may link; lists above LONG_LIST members.
+
+    Minor members are dealt into blocks, all members into parts; a task's unit is a block and a part of one list. A block
+    (some BLOCK members) is held, the part streams past it. nearest: of each minor member, in its first long list, only
+    the pair of nearest outlines in each run of members that is compared at once."""
+    blocks, parts = F.ceil(F.col("minors") / BLOCK).cast("int"), F.ceil(F.col("members") / PART).cast("int")
+    minor = F.col("comp") != F.col("major")
+    short = classes.select("h", "outline")
+    entries = lists.join(short, "h")
+    if nearest:
+        first = lists.groupBy("h").agg(F.min(F.struct("pos", "key")).alias("first")).select("h", F.col("first.key").alias("first"))
+        entries = entries.join(first, "h")
+    else:
+        entries = entries.withColumn("first", F.col("key"))
+    names = ["h", "n", "pos", "comp", "outline"]
+    left = entries.where(minor & (F.col("first") == F.col("key"))).select("key", F.pmod(F.xxhash64("h"), blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(0).alias("side"), *names)
+    right = entries.select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.pmod(F.xxhash64("h", F.lit(1)), parts).cast("int").alias("part"), F.when(minor, 2).otherwise(1).alias("side"), *names)
+
+    def arrays(batch):
+        import numpy as np
 
-def cross_pairs(small: DataFrame, large: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one list's members in different components that may link, each list streamed in order of size.
+        lines = [np.frombuffer(x, np.uint8) for x in batch.column(8).to_pylist()]
+        known = np.array([len(x) > 0 for x in lines], bool)
+        outline = np.zeros((len(lines), SHORT_OUTLINE), np.int16)
+        for i, x in enumerate(lines):
+            if len(x):
+                x = folded(x.astype(np.int64), SHORT_OUTLINE)
+                outline[i, : len(x)] = np.minimum(x, 1 << 12)
+        width = np.array([min(len(x), SHORT_OUTLINE) for x in lines], np.int64)
+        return [*(batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (4, 5, 6, 7, 3)), outline, width * known]
+
+    def apart(x, y, i, j):
+        """Least symmetric difference by outlines, over the ranges that both have."""
+        import numpy as np
 
-    small, large: key, h, n, pos, comp; large also outline, which rules pairs out before they leave the list. Counts and
-    last places of all shared prefix elements bound the overlap of the rest."""
+        out = np.zeros(len(i), np.int64)
+        wx, wy = x[6][i], y[6][j]
+        for w in np.unique(np.minimum(wx, wy)).tolist():
+            if w:
+                for some in np.array_split(at := np.flatnonzero(np.minimum(wx, wy) == w), len(at) // 8192 + 1):
+                    out[some] = np.abs(_narrow(x[5][i[some]], wx[some], w) - _narrow(y[5][j[some]], wy[some], w)).sum(1, dtype=np.int64)
+        return out
 
     def run(batches):
         import numpy as np
 
-        for cols, edges in _whole_lists(batches):
-            _, h, n, pos, comp = cols[:5]
-            found = []
-            for s, e in zip(edges[:-1], edges[1:], strict=True):
-                for i in range(s, e - 1):
-                    js = np.arange(i + 1, s + int(np.searchsorted(n[s:e], 100 * int(n[i]) // percent, "right")))
-                    js = js[comp[js] != comp[i]]
-                    if len(cols) > 5 and len(js):
-                        js = js[_room(cols, i, js, percent)[0]]
-                    if len(js):
-                        found.append((np.full(len(js), i), js))
-                if found and (sum(len(f[1]) for f in found) > 100_000 or e == edges[-1]):
-                    i, j = (np.concatenate(x) for x in zip(*found, strict=True))
-                    found = []
-                    flip = h[j] < h[i]
-                    a, b = np.where(flip, j, i), np.where(flip, i, j)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[a], h[b], n[a].astype(np.int32), n[b].astype(np.int32), pos[a].astype(np.int32), pos[b].astype(np.int32))], ["a", "b", "na", "nb", "pa", "pb"])
-
-    schema = "a long, b long, na int, nb int, pa int, pb int"
-    made = [side.select(*names).repartition("key").sortWithinPartitions("key", "n", "h").mapInArrow(run, schema) for side, names in ((small, LISTED), (large, [*LISTED, "outline"]))]
-    pairs = made[0].unionByName(made[1]).groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.min("pa").alias("light"), F.count_if(F.col("pa") >= 0).alias("c"))
-    bound = F.col("c") + F.least(F.col("na") - 1 - F.col("pa"), F.col("nb") - 1 - F.col("pb"))
-    need = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / F.lit(100.0 + percent) - F.lit(1e-9))
-    return pairs.where((F.col("light") < 0) | (bound >= need)).select("a", "b")
+        unit, held = None, None
+        for batch in batches:
+            keys = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
+            cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+                if s == e:
+                    continue
+                if keys[s] != unit:
+                    unit, held = keys[s], None
+                got = arrays(batch.slice(s, e - s))
+                mine = got[4] == 0
+                if mine.any():
+                    some = [c[mine] for c in got]
+                    held = some if held is None else [np.concatenate(x) for x in zip(held, some, strict=True)]
+                if held is None or mine.all():
+                    continue
+                got = [c[~mine] for c in got]
+                for t in range(0, len(got[0]), 512):
+                    y = [c[t : t + 512] for c in got]
+                    (h, n, pos, comp), (h2, n2, pos2, comp2) = ([c[:, None] for c in held[:4]], [c[None] for c in y[:4]])
+                    fits = (comp != comp2) & (100 * np.minimum(n, n2) >= percent * np.maximum(n, n2)) & _bound(n, n2, pos, pos2, percent)
+                    if not nearest:
+                        fits &= (y[4] == 1)[None] | (h < h2)
+                    i, j = np.nonzero(fits)
+                    if not len(i):
+                        continue
+                    far = apart(held, y, i, j)
+                    good = far <= may_differ(held[1][i], y[1][j], percent)
+                    i, j, far = i[good], j[good], far[good]
+                    if nearest and len(i):
+                        order = np.lexsort((y[0][j], far, i))
+                        new = np.ones(len(order), bool)
+                        new[1:] = i[order][1:] != i[order][:-1]
+                        i, j = i[order[new]], j[order[new]]
+                    if len(i):
+                        yield _pairs(held, y, i, j)
+
+    rows = left.unionByName(right).repartition("key", "block", "part").sortWithinPartitions("key", "block", "part", "side")
+    return rows.mapInArrow(run, PAIRS)
+
+
+def _narrow(rows, widths, size: int):
+    """Outlines of the given widths, over size ranges."""
+    import numpy as np
+
+    out = rows[:, :size].copy()
+    for w in np.unique(widths[widths > size]).tolist():
+        at = widths == w
+        out[at] = rows[at, :w].reshape(int(at.sum()), size, w // size).sum(2, dtype=np.int16)
+    return out
 
 
 def _and_none(batches):
@@ -418,44 +499,43 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
 
     source = _source(docs, id_col, text_col)
     both = written(set_stats(source, n), "sets")
-    stats = both.where("not block").select("doc_id", F.col("n").alias("n_shingles"), "h")
-    often = both.where("block").groupBy("h").agg(F.sum("n").alias("c")).where(F.col("c") >= LEAST_FREQUENT)
-    frequent = np.sort(np.array([r.h for r in often.orderBy(F.desc("c"), "h").limit(MOST_FREQUENT).collect()], np.int64).view(np.uint64))
-    sizes = {r.n_shingles: r.c for r in stats.where(F.col("n_shingles").between(1, 2 * MOST_LIGHT)).groupBy("n_shingles").agg(F.count_distinct("h").alias("c")).collect()}
-    boundary = choose_boundary(sizes, percent)
-    classes = written(stats.where("n_shingles > 0").groupBy("h").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n_copies")), "classes")
-
+    stats = both.where("not block").drop("block")
+    counted = both.where("block").groupBy("h").agg(F.sum("n").alias("c"))
+    often = counted.where(F.col("c") >= LEAST_FREQUENT).orderBy(F.desc("c"), "h").limit(MOST_FREQUENT)
+    frequent = np.sort(np.array([r.h for r in often.collect()], np.int64).view(np.uint64))
+    measured = counted.where((F.col("h") >= 0) & (F.col("h") < (1 << 64) // MEASURED) & (F.col("c") < LEAST_FREQUENT)).agg(F.sum(F.col("c") * F.col("c")) / F.sum("c")).first()[0] or 1.0
+    sizes = {r.n: r.c for r in stats.where(F.col("n").between(1, 2 * MOST_LIGHT)).groupBy("n").agg(F.count_distinct("h").alias("c")).collect()}
+    boundary = choose_boundary(sizes, percent, measured)
+    classes = written(stats.where("n > 0").groupBy("h").agg(F.min("doc_id").alias("least_id"), F.min("at").alias("at"), F.count("*").alias("n_copies"), F.first("n").alias("n"), F.first("outline").alias("outline")), "classes")
     lists = written(shared_lists(postings(source, n, percent, boundary, frequent), percent), "lists")
-    near = 100 * F.col("pn").cast("long") >= percent * F.col("n").cast("long")
-    star = written(lists.where((F.col("h") != F.col("p")) & near).select(F.col("p").alias("a"), F.col("h").alias("b")).distinct(), "pairs")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct().join(classes, "h").select(F.col("least_id").alias("doc_id"))
-        sets = full_sets(source, written(ids, "ids"), n)
-        return written(linked(pairs, sets, percent).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
-
-    def placed(entries: DataFrame, comps: DataFrame) -> DataFrame:
-        joined = entries.select("key", "h", "n", "pos").join(comps.withColumnsRenamed({"node": "h", "component": "comp"}), "h", "left")
-        return joined.select("key", "h", "n", "pos", F.coalesce("comp", "h").alias("comp"))
-
-    def also(comps: DataFrame, links: DataFrame) -> DataFrame:
-        return connected_components(comps.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links))
+        pairs = written(may_link(written(pairs, "pairs"), classes, percent), "pairs")
+        ats = written(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct().join(classes, "h").select("at"), "ids")
+        return linked(pairs, full_sets(source, ats, n), percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
-    first = connected_components(verified(written(may_link(star, lists, percent), "pairs")))
-    long = written(lists.groupBy("key").count().where(F.col("count") > LARGE_LIST).select("key"), "large-keys")
-    large = lists.join(long, "key", "left_semi")
-    in_large = written(large.select("h").distinct().join(classes, "h").select(F.col("least_id").alias("doc_id")), "ids")
-    outlined = written(outlines(source, in_large, n).dropDuplicates(["h"]), "outlines")
-    second = also(first, verified(written(nearest_pairs(placed(large, first).join(outlined, "h"), percent), "pairs")))
+    def joined(comps: DataFrame, pairs: DataFrame) -> DataFrame:
+        links = written(verified(pairs), "links")
+        return comps if links.isEmpty() else connected_components(comps.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links))
 
-    checked = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    crossing = cross_pairs(placed(lists.join(long, "key", "left_anti"), second), placed(large, second).join(outlined, "h"), percent)
-    final = also(second, verified(written(crossing.join(checked, ["a", "b"], "left_anti"), "pairs")))
+    near = 100 * F.col("pn").cast("long") >= percent * F.col("n").cast("long")
+    star = lists.where((F.col("h") != F.col("p")) & near).select(F.col("p").alias("a"), F.col("h").alias("b")).distinct()
+    first = connected_components(verified(star))
+    long_lists = F.col("members") > LONG_LIST
+    second = joined(first, pairs_of_long(written(open_lists(lists, first).where(long_lists), "lists"), classes, percent, True).select("a", "b").distinct())
+
+    left = written(open_lists(lists, second), "lists")
+    met = pairs_of_short(left.where(~long_lists), percent).unionByName(pairs_of_long(left.where(long_lists), classes, percent, False))
+    met = met.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.max("pa").alias("pa"), F.max("pb").alias("pb"), F.min("pa").alias("light"), F.count("*").alias("c"))
+    most = F.col("c") + F.least(F.col("na") - 1 - F.col("pa"), F.col("nb") - 1 - F.col("pb"))
+    need = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / F.lit(100.0 + percent) - F.lit(1e-9))
+    final = joined(second, met.where((F.col("light") < 0) | (most >= need)).select("a", "b"))
 
-    grouped = final.withColumnRenamed("node", "h").join(classes, "h")
+    grouped = final.withColumnRenamed("node", "h").join(classes.select("h", "least_id"), "h")
     least = grouped.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    of_class = classes.join(final.withColumnRenamed("node", "h"), "h", "left").join(least, "component", "left").select("h", F.coalesce("component_id", "least_id").alias("component_id"), "n_copies")
-    return stats.join(of_class, "h", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_copies", F.lit(1).cast("long")).alias("n_copies"))
+    of_class = classes.select("h", "least_id", "n_copies").join(final.withColumnRenamed("node", "h"), "h", "left").join(least, "component", "left")
+    of_class = of_class.select("h", F.coalesce("component_id", "least_id").alias("component_id"), "n_copies")
+    return stats.select("doc_id", F.col("n").alias("n_shingles"), "h").join(of_class, "h", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_copies", F.lit(1).cast("long")).alias("n_copies"))
 
 
 def op3_jaccard_join(spark, sf_dir):

@@ -225,7 +225,9 @@ def brute_components(rows, n, percent):
 
 @pytest.mark.parametrize(("n", "percent"), [(4, 85), (5, 80)])
 def test_jaccard_components(spark, docs, empty, n, percent, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "LARGE_LIST", 3)
+    monkeypatch.setattr(jaccard_join, "LONG_LIST", 3)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 2)
+    monkeypatch.setattr(jaccard_join, "PART", 3)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_components(docs, n, percent).collect()}
     assert got == brute_components(made_docs(), n, percent)
     assert jaccard_join.near_components(empty, n, percent).count() == 0
