@@ -4,12 +4,14 @@ Normalised lines (A-Z lower-cased, words joined by one space) are hashed; for ea
 hold a line are counted; lines in more than max(min_docs, share * the host's distinct documents) of them are removed,
 and a document that keeps less than min_left of its words is depleted and rejected.
 
-Documents are distinct by text, so copies of one text count once and a group of copies doesn't condemn itself. The
-text is read once; what follows works on hashes (a few per document). Counting dedupes (host, text, line) before it
-counts, both steps with map-side partial aggregates, so one hot host or line never meets in one task as raw rows.
+Documents are distinct by id: copies of one text under several ids count each, so a text that fills a host is removed
+from it. The text is read once; what follows works on hashes (a few per document). Counting dedupes (host, id, line)
+before it counts, both steps with map-side partial aggregates, so one hot host or line never meets in one task as raw
+rows. What a host's frequent lines take from a text is found once per host and text, as it is alike for all copies.
 
 Defined results: a null or blank text has no words and fails the base rules; a null host is the host ''; repeated
-rows are judged alike; an empty table gives an empty result; other columns of the input are ignored."""
+rows are one document; rows without an id are documents by their text; an empty table gives an empty result; other
+columns of the input are ignored."""
 
 from __future__ import annotations
 
@@ -24,7 +26,7 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MIN_DOCS = 10
 HOST_SHARE = 0.02
-MIN_LEFT = 0.3
+MIN_LEFT = 0.5
 
 _STATS = "doc_id long, host string, text_hash long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<struct<line:long,words:long>>"
 _LINES = pa.list_(pa.struct([("line", pa.int64()), ("words", pa.int64())]))
@@ -114,8 +116,9 @@ def line_stats(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source"
 
 def frequent_lines(stats: DataFrame, min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE) -> DataFrame:
     """(host, line) of the lines above their host's limit."""
-    held = stats.select("host", "text_hash", F.explode("lines.line").alias("line")).groupBy("host", "line").agg(F.countDistinct("text_hash").alias("n_docs"))
-    hosts = stats.groupBy("host").agg(F.countDistinct("text_hash").alias("host_docs"))
+    document = F.struct("doc_id", F.when(F.col("doc_id").isNull(), F.col("text_hash")))
+    held = stats.select("host", document.alias("d"), F.explode("lines.line").alias("line")).groupBy("host", "line").agg(F.countDistinct("d").alias("n_docs"))
+    hosts = stats.groupBy("host").agg(F.countDistinct(document).alias("host_docs"))
     return held.where(F.col("n_docs") > min_docs).join(hosts, "host").where(F.col("n_docs") > F.col("host_docs") * F.lit(host_share)).select("host", "line", "n_docs")
 
 
@@ -186,17 +189,17 @@ def op1_line_frequency(spark, sf_dir):
 
 
 SQL = r"""
-WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
+WITH d AS (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), 'text ' || coalesce(text, '')) AS document, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, text FROM d),
 tri AS (SELECT doc_id, i, ws[i] || ' ' || ws[i+1] || ' ' || ws[i+2] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
 twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM tri) WHERE n > 1),
 rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i+1, i+2]) AS p FROM twice) GROUP BY doc_id),
-lines AS (SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS line FROM d),
-full_lines AS (SELECT doc_id, host, text, line, array_to_string(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' ') AS norm,
+lines AS (SELECT doc_id, document, host, unnest(string_split(text, chr(10))) AS line FROM d),
+full_lines AS (SELECT doc_id, document, host, line, array_to_string(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' ') AS norm,
   len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM full_lines GROUP BY doc_id),
-hosts AS (SELECT host, count(DISTINCT text) AS docs FROM d GROUP BY host),
-freq AS (SELECT host, norm FROM full_lines JOIN hosts USING (host) GROUP BY host, norm, docs HAVING count(DISTINCT text) > 10 AND count(DISTINCT text) > docs * CAST(0.02 AS DOUBLE)),
+hosts AS (SELECT host, count(DISTINCT document) AS docs FROM d GROUP BY host),
+freq AS (SELECT host, norm FROM full_lines JOIN hosts USING (host) GROUP BY host, norm, docs HAVING count(DISTINCT document) > 10 AND count(DISTINCT document) > docs * CAST(0.02 AS DOUBLE)),
 gone AS (SELECT doc_id, sum(n) AS n FROM full_lines JOIN freq USING (host, norm) GROUP BY doc_id),
 s AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
   CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines,
@@ -204,5 +207,5 @@ s AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_
   FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN gone USING (doc_id)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND n_words - removed_words >= CAST(0.3 AS DOUBLE) * n_words AS kept, removed_words FROM b
+  NOT base_failed AND n_words - removed_words >= CAST(0.5 AS DOUBLE) * n_words AS kept, removed_words FROM b
 """

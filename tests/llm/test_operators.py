@@ -71,11 +71,11 @@ def test_word_hashes():
 def brute_lines(rows):
     norm = lambda line: b" ".join(split(line.lower() if line.isascii() else re.sub("[A-Z]", lambda m: m[0].lower(), line)))
     held, hosts, out = defaultdict(set), defaultdict(set), {}
-    for _, text, _, source, *_ in rows:
-        hosts[source or ""].add(text or "")
+    for doc_id, text, _, source, *_ in rows:
+        hosts[source or ""].add(text or "" if doc_id is None else doc_id)
         for line in (text or "").split("\n"):
             if split(line):
-                held[source or "", norm(line)].add(text or "")
+                held[source or "", norm(line)].add(text or "" if doc_id is None else doc_id)
     frequent = {k for k, v in held.items() if len(v) > 3 and len(v) > 0.02 * len(hosts[k[0]])}
     for doc_id, text, _, source, *_ in rows:
         w = split(text)
@@ -84,7 +84,7 @@ def brute_lines(rows):
         lines = [x for x in (text or "").split("\n") if split(x)]
         gone = sum(len(split(x)) for x in lines if (source or "", norm(x)) in frequent)
         bad = len(w) < 50 or 100 * len(twice) > 50 * len(w)
-        out[doc_id] = (len(w), len(lines) - len(set(lines)), len(twice), bad, not bad and len(w) - gone >= 0.3 * len(w), gone)
+        out[doc_id] = (len(w), len(lines) - len(set(lines)), len(twice), bad, not bad and len(w) - gone >= 0.5 * len(w), gone)
     return out
 
 
@@ -92,6 +92,9 @@ def test_lines(spark, empty):
     rows = made_docs(2, 60)
     shared = "This Line is on many pages\tof the site and it is long enough to matter"
     rows += [(10_000 + i, f"{shared}\n" + " ".join(f"q{i}x{j}" for j in range(60 if i % 2 else 20)) + f"\n{shared}\n{shared.upper()}" + "\nz z z z z" * (i % 3), None, "s1", 1, "k", 0, 0) for i in range(12)]
+    copied = " ".join(f"c{j}" for j in range(55)) + "\n" + " ".join(f"d{j}" for j in range(20))
+    rows += [(11_000 + i, copied, None, "s2", 1, "k", 0, 0) for i in range(6)]  # copies are documents: depleted
+    rows += [(12_000, copied, None, "s9", 1, "k", 0, 0)] * 6  # repeated rows are one document
     df = spark.createDataFrame(rows, DOCS)
     stats = line_frequency.line_stats(df)
     got = line_frequency.judged(stats, min_docs=3)
@@ -100,6 +103,7 @@ def test_lines(spark, empty):
         if r.n_words < 5000:
             assert (r.n_words, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept, r.removed_words) == want[r.doc_id], r
     left = {r.doc_id: r.text for r in line_frequency.without_lines(df, got).collect()}
+    assert not want[11_000][4] and want[12_000][4] and len([1 for r in got.collect() if r.doc_id == 12_000]) == 6
     assert set(left) == {k for k, v in want.items() if v[4]} and left[10_001] and shared not in left[10_001]
     assert line_frequency.judged(line_frequency.line_stats(empty)).count() == 0
 
