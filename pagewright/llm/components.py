@@ -8,19 +8,20 @@ from pyspark.sql import functions as F
 from .common import written
 
 
-def _mark(edges: DataFrame):
-    return edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.min(F.xxhash64("u", "v"))).first()
+def _settled(edges: DataFrame) -> bool:
+    """Whether each node has one edge down, to a node that has none: then edges are stars around their least nodes."""
+    down = edges.groupBy("u").count()
+    return down.where("count > 1").select("u").unionByName(edges.select(F.col("v").alias("u")).join(down, "u", "left_semi")).isEmpty()
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for each node of an edge; component is the least node of its component.
 
     edges: columns u and v of one ordered type, any direction, repeats allowed. Each round sends every node's larger
     neighbours, then its smaller ones, to its least neighbour, by a grouped minimum with map-side partials and a join;
-    it ends when the edges stay as they were. Edges are written out each round; no node's neighbours are ever gathered."""
+    it ends when only stars are left. Edges are written out each round; no node's neighbours are ever gathered."""
     now = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    last = _mark(now)
-    for _ in range(most_rounds):
+    while not _settled(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         large = both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -28,10 +29,4 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         now = written(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-        mark = _mark(now)
-        if mark == last:
-            break
-        last = mark
-    else:
-        raise RuntimeError("components didn't settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -45,8 +45,8 @@ MEASURED = 64
 PIVOT_SHARE = 256
 #: Lists of more members are dealt into blocks: minor members (outside the largest component) and parts of all members.
 LONG_LIST = 32
-BLOCK = 256
-PART = 4096
+BLOCK = 2048
+PART = 2048
 #: Bytes of the outlines that long lists carry.
 SHORT_OUTLINE = 128
 #: Rows of ids that are broadcast; beyond that texts are shuffled by id.
@@ -110,16 +110,16 @@ def may_differ(na, nb, percent: int):
 
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text, and a key to find a set's text again: the id, or else a hash of the text."""
+    """doc_id, text, its hash, and a key to find a set's text again: the id, or else that hash."""
     doc_id, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
-    return docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.xxhash64(text)).alias("at"), text.alias("text"))
+    return docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.xxhash64(text)).alias("at"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
 
 def set_stats(source: DataFrame, n: int) -> DataFrame:
-    """(doc_id, at, n, h, outline) of each document: its set's size, hash and outline. Rows with block hold shingles (h) and
+    """(doc_id, at, text_hash, n, h, outline) of each document: its set's size, hash and outline. Rows with block hold shingles (h) and
     how often (n) a block's distinct sets hold them: those in the least quarter of the hashes, as prefixes seldom reach
     beyond, that occur twice or more; and in the least share MEASURED of the hashes all."""
-    names = ["doc_id", "at", "n", "h", "outline", "block"]
+    names = ["doc_id", "at", "text_hash", "n", "h", "outline", "block"]
 
     def run(batches):
         import numpy as np
@@ -131,13 +131,13 @@ def set_stats(source: DataFrame, n: int) -> DataFrame:
             often = (counts >= 2) | (tokens < np.uint64((1 << 64) // MEASURED))
             tokens, counts = tokens[often].view(np.int64), counts[often]
             none = pa.nulls(len(tokens), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, pa.array(counts.astype(np.int64)), pa.array(tokens), pa.nulls(len(tokens), pa.binary()), pa.array(np.ones(len(tokens), bool))], names)
+            return pa.RecordBatch.from_arrays([none, none, none, pa.array(counts.astype(np.int64)), pa.array(tokens), pa.nulls(len(tokens), pa.binary()), pa.array(np.ones(len(tokens), bool))], names)
 
         for batch in batches:
             for piece in pieces(batch):
-                sets = textnum.shingle_sets(*texts(piece.column(2)), n)
+                sets = textnum.shingle_sets(*texts(piece.column(3)), n)
                 hashes = [_set_hash(s) for s in sets]
-                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(hashes, pa.int64()), pa.array([outline_of(s) for s in sets], pa.binary()), pa.array(np.zeros(len(sets), bool))], names)
+                yield pa.RecordBatch.from_arrays([*piece.columns[:3], pa.array([len(s) for s in sets], pa.int64()), pa.array(hashes, pa.int64()), pa.array([outline_of(s) for s in sets], pa.binary()), pa.array(np.zeros(len(sets), bool))], names)
                 for s, h in zip(sets, hashes, strict=True):
                     if len(s) and h not in seen:
                         seen.add(h)
@@ -148,7 +148,7 @@ def set_stats(source: DataFrame, n: int) -> DataFrame:
                     held, size, seen = [], 0, set()
         yield repeats()
 
-    return source.select("doc_id", "at", "text").mapInArrow(run, "doc_id long, at long, n long, h long, outline binary, block boolean")
+    return source.mapInArrow(run, "doc_id long, at long, text_hash long, n long, h long, outline binary, block boolean")
 
 
 @lru_cache(256)
@@ -397,15 +397,14 @@ def pairs_of_long(lists: DataFrame, classes: DataFrame, percent: int, nearest: b
     the pair of nearest outlines in each run of members that is compared at once."""
     blocks, parts = F.ceil(F.col("minors") / BLOCK).cast("int"), F.ceil(F.col("members") / PART).cast("int")
     minor = F.col("comp") != F.col("major")
-    short = classes.select("h", "outline")
-    entries = lists.join(short, "h")
-    if nearest:
+    entries = lists.withColumn("held", minor)
+    if nearest:  # lists that are no minor member's first drop out
         first = lists.groupBy("h").agg(F.min(F.struct("pos", "key")).alias("first")).select("h", F.col("first.key").alias("first"))
-        entries = entries.join(first, "h")
-    else:
-        entries = entries.withColumn("first", F.col("key"))
+        entries = lists.join(first, "h").withColumn("held", minor & (F.col("first") == F.col("key")))
+        entries = entries.drop("minors").join(entries.where("held").groupBy("key").agg(F.count("*").alias("minors")), "key")
+    entries = entries.join(classes.select("h", "outline"), "h")
     names = ["h", "n", "pos", "comp", "outline"]
-    left = entries.where(minor & (F.col("first") == F.col("key"))).select("key", F.pmod(F.xxhash64("h"), blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(0).alias("side"), *names)
+    left = entries.where("held").select("key", F.pmod(F.xxhash64("h"), blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(0).alias("side"), *names)
     right = entries.select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.pmod(F.xxhash64("h", F.lit(1)), parts).cast("int").alias("part"), F.when(minor, 2).otherwise(1).alias("side"), *names)
 
     def arrays(batch):
@@ -453,8 +452,8 @@ def pairs_of_long(lists: DataFrame, classes: DataFrame, percent: int, nearest: b
                 if held is None or mine.all():
                     continue
                 got = [c[~mine] for c in got]
-                for t in range(0, len(got[0]), 512):
-                    y = [c[t : t + 512] for c in got]
+                for t in range(0, len(got[0]), 256):
+                    y = [c[t : t + 256] for c in got]
                     (h, n, pos, comp), (h2, n2, pos2, comp2) = ([c[:, None] for c in held[:4]], [c[None] for c in y[:4]])
                     fits = (comp != comp2) & (100 * np.minimum(n, n2) >= percent * np.maximum(n, n2)) & _bound(n, n2, pos, pos2, percent)
                     if not nearest:
@@ -493,8 +492,10 @@ def _and_none(batches):
     yield None
 
 
-def near_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_copies) of each document; component_id is the least id reachable by links."""
+def near_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", keys: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_copies) of each document; component_id is the least id reachable by links.
+
+    keys: also the id or else text hash (at), the text's hash and a component that is never null for a set."""
     import numpy as np
 
     source = _source(docs, id_col, text_col)
@@ -509,18 +510,23 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     classes = written(stats.where("n > 0").groupBy("h").agg(F.min("doc_id").alias("least_id"), F.min("at").alias("at"), F.count("*").alias("n_copies"), F.first("n").alias("n"), F.first("outline").alias("outline")), "classes")
     lists = written(shared_lists(postings(source, n, percent, boundary, frequent), percent), "lists")
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def joined(comps: DataFrame | None, pairs: DataFrame) -> DataFrame:
+        """Components by the edges so far and the pairs that link."""
         pairs = written(may_link(written(pairs, "pairs"), classes, percent), "pairs")
+        if comps is not None and pairs.isEmpty():
+            return comps
         ats = written(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct().join(classes, "h").select("at"), "ids")
-        return linked(pairs, full_sets(source, ats, n), percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
-
-    def joined(comps: DataFrame, pairs: DataFrame) -> DataFrame:
-        links = written(verified(pairs), "links")
-        return comps if links.isEmpty() else connected_components(comps.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links))
+        links = linked(pairs, full_sets(source, ats, n), percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
+        if comps is not None:
+            links = written(links, "links")
+            if links.isEmpty():
+                return comps
+            links = links.unionByName(comps.select(F.col("node").alias("u"), F.col("component").alias("v")))
+        return connected_components(links)
 
     near = 100 * F.col("pn").cast("long") >= percent * F.col("n").cast("long")
     star = lists.where((F.col("h") != F.col("p")) & near).select(F.col("p").alias("a"), F.col("h").alias("b")).distinct()
-    first = connected_components(verified(star))
+    first = joined(None, star)
     long_lists = F.col("members") > LONG_LIST
     second = joined(first, pairs_of_long(written(open_lists(lists, first).where(long_lists), "lists"), classes, percent, True).select("a", "b").distinct())
 
@@ -534,8 +540,9 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     grouped = final.withColumnRenamed("node", "h").join(classes.select("h", "least_id"), "h")
     least = grouped.groupBy("component").agg(F.min("least_id").alias("component_id"))
     of_class = classes.select("h", "least_id", "n_copies").join(final.withColumnRenamed("node", "h"), "h", "left").join(least, "component", "left")
-    of_class = of_class.select("h", F.coalesce("component_id", "least_id").alias("component_id"), "n_copies")
-    return stats.select("doc_id", F.col("n").alias("n_shingles"), "h").join(of_class, "h", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_copies", F.lit(1).cast("long")).alias("n_copies"))
+    of_class = of_class.select("h", F.coalesce("component_id", "least_id").alias("component_id"), F.coalesce("component", "h").alias("component"), "n_copies")
+    out = stats.drop("outline").withColumnRenamed("n", "n_shingles").join(of_class, "h", "left").withColumns({"component_id": F.coalesce("component_id", "doc_id"), "n_copies": F.coalesce("n_copies", F.lit(1).cast("long"))})
+    return out.select("doc_id", "n_shingles", "component_id", "n_copies", *(["at", "text_hash", "component"] if keys else []))
 
 
 def op3_jaccard_join(spark, sf_dir):
