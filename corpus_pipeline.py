@@ -13,14 +13,12 @@ from pagewright.llm.common import table, written
 
 #: Target weights of the mix: what the classifier takes for low quality or toxic is nearly left out.
 MIX_TARGETS = {"clean": 0.97, "low": 0.02, "toxic": 0.01}
-#: A rate this near to one keeps its document for certain.
-WHOLE_RATE = 0.9
 
 
 def quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what nearest-neighbour voting doesn't take for low quality."""
     model = knn_quality.fit(knn_quality.train_fold(docs, table(spark, sf_dir, "labels")))
-    return knn_quality.scored(docs, model).where(F.col("score") >= knn_quality.THRESHOLD).select(docs.columns)
+    return knn_quality.scored(docs, model, name="_quality").where(F.col("_quality") >= knn_quality.THRESHOLD).select(docs.columns)
 
 
 def rules(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,21 +29,29 @@ def rules(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id in each group of near copies (5-word shingles, similarity 0.8 or more)."""
-    groups = written(jaccard_join.near_components(docs), "groups")
-    kept = docs.join(groups.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi")
-    repeated = groups.count() > groups.select("doc_id").distinct().count()
-    return (kept.dropDuplicates(["doc_id"]) if repeated else kept).select(docs.columns)
+    """Keeps one document of each group of near copies (5-word shingles, similarity 0.8 or more): that of least id, or, if
+    none has an id, of least text hash. Texts without words are no group and stay. Rows are told apart by id and text, so
+    a row without an id stays in its place; of rows repeated in both, one stays."""
+    own, text_hash = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")), F.xxhash64("text")
+    groups = written(jaccard_join.near_components(docs, keys=True), "groups")
+    least = groups.where("n_shingles > 0").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "at", "text_hash")).alias("least")).select("least.at", "least.text_hash")
+    kept = written(least.unionByName(groups.where("n_shingles = 0").select("at", "text_hash").distinct()), "kept")
+    # texts are shuffled whatever the size, as both sides grow alike
+    out = docs.withColumns({"_at": own, "_text": text_hash}).join(kept.hint("merge"), (F.col("_at") == F.col("at")) & (F.col("_text") == F.col("text_hash")), "left_semi")
+    repeated = groups.groupBy("at", "text_hash").count().where("count > 1").join(kept, ["at", "text_hash"], "left_semi")
+    return (out if repeated.isEmpty() else out.dropDuplicates(["_at", "_text"])).select(docs.columns)
 
 
 def mixing(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Thins documents by their rates in a mix at MIX_TARGETS that leaves the clean tokens as many as they are."""
+    """Thins documents by their rates in a mix at MIX_TARGETS that leaves the clean tokens as many as they are.
+
+    Rates are those of the least squares within 0 and 1; a document stays if a number in [0, 1) that its id (or else its
+    text) decides is below its rate, so repeated rows stay or go together."""
     model = soft_mixing.fit(soft_mixing.labelled_docs(docs, table(spark, sf_dir, "labels")))
     soft = written(soft_mixing.posteriors(docs, model), "posteriors")
-    steps, _ = soft_mixing.solve(soft, MIX_TARGETS, anchor="clean")
-    rated = soft_mixing.with_rates(soft, steps)
-    kept = rated.where((F.col("rate") >= WHOLE_RATE) | (soft_mixing.uniform("doc_id") < F.col("rate"))).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    _, steps, _ = soft_mixing.solve(soft, MIX_TARGETS, anchor="clean", most=1.0)
+    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
+    return soft_mixing.rated(docs, model, steps, 1.0, "_rate").where(soft_mixing.uniform(key) < F.col("_rate")).select(docs.columns)
 
 
 def tokens(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -52,8 +52,9 @@ def texts(column: pa.Array) -> tuple[memoryview, list[int]]:
     return raw, offs - offs[0]
 
 
-def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 20):
-    """Slices of batch whose texts hold about `limit` bytes, one row at least, so that memory doesn't follow the batch size."""
+def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 20, rows: int = 1 << 14):
+    """Slices of batch whose texts hold about `limit` bytes, of one row at least and `rows` at most, so that memory doesn't
+    follow the batch size."""
     import numpy as np
 
     if not batch.num_rows:
@@ -61,7 +62,7 @@ def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 20):
     _, offs = texts(batch.column(batch.schema.get_field_index(column)))
     start = 0
     while start < batch.num_rows:
-        end = max(start + 1, int(np.searchsorted(offs, offs[start] + limit, "right")) - 1)
+        end = min(start + rows, max(start + 1, int(np.searchsorted(offs, offs[start] + limit, "right")) - 1))
         yield batch.slice(start, end - start)
         start = end
 

@@ -1,15 +1,17 @@
 """Quality classifier: nearest-neighbour voting over latent-semantic vectors.
 
-Terms are pairs of neighbouring character classes (lower-case letters and punctuation signs each their own class,
-capitals, digits and non-ASCII bytes one each), the class pairs at word ends, and steps of the share of words that
-repeat the one before them, each step as heavy as the whole text. Fit: of the labelled rows outside the held-out fold, a sample of at most MAX_LABELLED (by hash of the id,
-so the same in each run) gives TF-IDF rows whose truncated SVD gives the projection and the labelled vectors; the
-bound keeps both under a few MB whatever the input size. Scoring: every document is projected, its cosine to all
-labelled vectors is computed exactly in blocks, and the K nearest vote with their similarity as weight.
-
-Defined results: a null text is empty; a text without terms gets the labelled rows' mean label; without labelled
-rows of a class every score is 1.0 (nothing is rejected unseen) or that of the only class; ties in similarity go to
-the earlier labelled row; repeated rows score alike; other columns are ignored. The score reads the text alone."""
+Terms are words, pairs of neighbouring words and runs of three bytes, hashed to DIMS places; a word that repeats the one
+before it counts as the mark <again>, as numbers or links are marked elsewhere. Weights are TF-IDF with the logarithm of
+counts. Fit: of the labelled rows outside the held-out fold, a sample of at most MAX_LABELLED distinct texts (by hash of
+the text, so the same in each run) gives rows whose truncated SVD (randomised, with a fixed seed) gives the projection
+and the labelled vectors; the bound keeps both under a few MB whatever the input size. Scoring: every document is
+projected, its cosine to all labelled vectors is computed exactly in blocks, and the K nearest vote with their similarity
+as weight.
+
+Defined results: a null text is empty; a text without known terms gets the labelled rows' mean label; without labelled
+rows of a class every score is 1.0 (nothing is rejected unseen) or that of the only class; labelled copies are one row
+with their mean label; of equal similarities the labelled row of lesser text hash comes first; repeated rows score alike;
+a column named like the score is replaced; other columns are kept and ignored. The score reads the text alone."""
 
 from __future__ import annotations
 
@@ -17,107 +19,111 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textnum
 from .common import pieces, table, texts
 
 MAX_LABELLED = 6000
-RANK = 48
-NEIGHBOURS = 21
+RANK = 32
+NEIGHBOURS = 9
 THRESHOLD = 0.3
 
-N_CLASSES = 62
-PAIRS = N_CLASSES * N_CLASSES
-REPEAT_STEPS = (0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
-DIMS = 2 * PAIRS + len(REPEAT_STEPS)
+DIMS = 1 << 14
+#: Rows and text bytes of a block, so that its dense counts stay under 17 MB.
+BLOCK_ROWS, BLOCK_BYTES = 256, 1 << 19
+_AGAIN = 0x5851F42D4C957F2D
 
 
-def _classes():
+def term_counts(data, offs):
+    """(row, term, count) of each term of each row, in order of row and term."""
     import numpy as np
 
-    kind = np.full(256, 61, np.int64)  # bytes of non-ASCII characters
-    kind[:32] = 0
-    kind[[9, 10, 32]] = [1, 2, 3]
-    kind[48:58] = 4
-    kind[65:91] = 5
-    kind[97:123] = 6 + np.arange(26)
-    signs = [b for b in range(33, 127) if not chr(b).isalnum()]
-    kind[signs] = 32 + np.arange(len(signs)) % 28
-    return kind
+    n = len(offs) - 1
+    starts, ends = textnum.word_spans(data, offs)
+    row = np.searchsorted(offs, starts, "right") - 1
+    words = textnum.runs(textnum._CODE_LOWER[data], starts, ends)
+    inside = row[1:] == row[:-1]
+    again = np.zeros(len(words), bool)
+    again[1:] = inside & (words[1:] == words[:-1])
+    words[again] = _AGAIN
+    rows, terms = [row], [textnum.mix(words + np.uint64(1))]
+    rows.append(row[1:][inside])
+    terms.append(textnum.mix(words[:-1] * np.uint64(textnum._P) + words[1:])[inside])
+    if len(data) > 2:
+        at = np.repeat(np.arange(n), np.diff(offs))
+        wide = data.astype(np.uint64)
+        threes = textnum.mix(((wide[:-2] << np.uint64(16)) | (wide[1:-1] << np.uint64(8)) | wide[2:]) + np.uint64(1 << 40))
+        whole = at[2:] == at[:-2]
+        rows.append(at[2:][whole])
+        terms.append(threes[whole])
+    shift = np.uint64(64 - DIMS.bit_length() + 1)
+    counts = np.bincount(np.concatenate([r * DIMS + (t >> shift).astype(np.int64) for r, t in zip(rows, terms, strict=True)]), minlength=n * DIMS)
+    held = np.flatnonzero(counts)
+    return held // DIMS, held % DIMS, counts[held]
+
+
+def _weighted(row, term, count, n: int, idf):
+    """Rows x DIMS unit vectors of TF-IDF weights, and their norms before."""
+    import numpy as np
 
+    out = np.zeros((n, DIMS), np.float32)
+    out[row, term] = np.log1p(count).astype(np.float32) * idf[term]
+    norm = np.linalg.norm(out, axis=1)
+    out /= np.maximum(norm, 1e-9)[:, None]
+    return out, norm
 
-def term_counts(data, offs):
-    """Rows x DIMS counts of terms."""
-    import numpy as np
 
-    from . import textnum
+def _unit(x):
+    import numpy as np
 
-    n = len(offs) - 1
-    kind = _classes()[data]
-    out = np.zeros((n, DIMS), np.float32)
-    if len(data) > 1:
-        row = np.repeat(np.arange(n), np.diff(offs))
-        inside = row[1:] == row[:-1]
-        code = kind[:-1] * N_CLASSES + kind[1:]
-        out[:, :PAIRS] = np.bincount((row[:-1] * PAIRS + code)[inside], minlength=n * PAIRS).reshape(n, PAIRS)
-    starts, ends = textnum.word_spans(data, offs)
-    if len(starts):
-        hashes = textnum.runs(textnum._CODE_LOWER[data], starts, ends)
-        row = np.searchsorted(offs, starts, "right") - 1
-        code = kind[starts] * N_CLASSES + kind[ends - 1]
-        out[:, PAIRS : 2 * PAIRS] = np.bincount(row * PAIRS + code, minlength=n * PAIRS).reshape(n, PAIRS)
-        again = np.zeros(len(starts), bool)
-        again[1:] = (hashes[1:] == hashes[:-1]) & (row[1:] == row[:-1])
-        n_words = np.bincount(row, minlength=n)
-        share = np.bincount(row[again], minlength=n) / np.maximum(n_words, 1)
-        out[:, 2 * PAIRS :] = (share[:, None] >= np.array(REPEAT_STEPS)) * n_words[:, None]
-    return out
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
 def fit(labelled: DataFrame, max_labelled: int = MAX_LABELLED, rank: int = RANK) -> dict:
-    """labelled: text, label (0 or 1). The term counts of the sample are made on executors; what comes to the driver is bounded by max_labelled rows."""
+    """labelled: text, label (0 or 1). The terms of the sample are counted on executors; what comes to the driver is bounded
+    by max_labelled rows of at most DIMS terms."""
     import numpy as np
 
     def run(batches):
         for batch in batches:
-            for piece in pieces(batch, limit=1 << 18):
-                counts = np.log1p(term_counts(*texts(piece.column(0))))
-                yield pa.RecordBatch.from_arrays([piece.column(1), pa.array([x[x > 0].astype(np.float16).tobytes() for x in counts], pa.binary()), pa.array([np.flatnonzero(x).astype(np.uint16).tobytes() for x in counts], pa.binary())], ["label", "values", "terms"])
-
-    sample = labelled.where(F.col("label").isin(0, 1)).select("text", F.col("label").cast("int").alias("label"), F.xxhash64("text").alias("h"), F.length("text").alias("n"))
-    total = sample.count()
+            for piece in pieces(batch, limit=BLOCK_BYTES, rows=BLOCK_ROWS):
+                row, term, count = term_counts(*texts(piece.column(2)))
+                cut = np.searchsorted(row, np.arange(piece.num_rows + 1))
+                packed = [[x[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)] for x in (term.astype(np.uint16), np.minimum(count, (1 << 32) - 1).astype(np.uint32))]
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), *(pa.array(x, pa.binary()) for x in packed)], ["h", "label", "terms", "counts"])
+
+    rows = labelled.where(F.col("label").isin(0, 1)).select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("label").cast("double").alias("label")).withColumn("h", F.xxhash64("text"))
+    distinct = rows.groupBy("h").agg(F.avg("label").alias("label"), F.first("text").alias("text"))
+    total = rows.count()
     if total > max_labelled:  # a share of the hash range a little above the bound, then the bound itself
-        sample = sample.where(F.pmod(F.col("h"), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, 1.2 * max_labelled / total))))
-    sample = sample.dropDuplicates(["h"]).orderBy("h").limit(max_labelled)
-    rows = sample.select("text", "label").repartition(max(1, sample.sparkSession.sparkContext.defaultParallelism)).mapInArrow(run, "label int, values binary, terms binary").collect()
-    rows.sort(key=lambda r: (r.label, bytes(r.terms), bytes(r.values)))
-    y = np.array([r.label for r in rows], np.float32)
+        distinct = distinct.where(F.pmod(F.col("h"), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, 1.2 * max_labelled / total))))
+    sample = distinct.orderBy("h").limit(max_labelled).select("h", "label", "text").repartition(max(1, labelled.sparkSession.sparkContext.defaultParallelism), "h")
+    held = sorted(sample.mapInArrow(run, "h long, label double, terms binary, counts binary").collect(), key=lambda r: r.h)
+    y = np.array([r.label for r in held])
     if not len(y) or y.min() == y.max():
         return {"label": float(y[0]) if len(y) else 1.0}
+    sparse = [(np.frombuffer(r.terms, np.uint16).astype(np.int64), np.frombuffer(r.counts, np.uint32)) for r in held]
     df = np.zeros(DIMS)
-    sparse = [(np.frombuffer(r.terms, np.uint16), np.frombuffer(r.values, np.float16).astype(np.float32)) for r in rows]
     for t, _ in sparse:
         df[t] += 1
-    used = np.flatnonzero(df >= max(2, len(rows) // 500))
-    idf = np.log((1 + len(rows)) / (1 + df[used])).astype(np.float32) + 1
-    place = np.full(DIMS, -1)
-    place[used] = np.arange(len(used))
-    gram = np.zeros((len(used), len(used)), np.float32)
-
-    def dense(some):
-        x = np.zeros((len(some), len(used)), np.float32)
-        for i, (t, v) in enumerate(some):
-            at = place[t]
-            x[i, at[at >= 0]] = v[at >= 0]
-        x *= idf
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-
-    for i in range(0, len(sparse), 512):
-        x = dense(sparse[i : i + 512])
-        gram += x.T @ x
-    _, vectors = np.linalg.eigh(gram)
-    projection = np.ascontiguousarray(vectors[:, ::-1][:, : min(rank, len(used))]).astype(np.float32)
-    points = np.concatenate([dense(sparse[i : i + 512]) @ projection for i in range(0, len(sparse), 512)])
-    points /= np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-9)
-    return {"used": used.astype(np.int32), "idf": idf, "projection": projection, "points": points.astype(np.float32), "y": y, "label": float(y.mean())}
+    idf = np.where(df >= 2, np.log((1 + len(held)) / (1 + df)) + 1, 0).astype(np.float32)
+
+    def blocks():
+        for i in range(0, len(sparse), BLOCK_ROWS):
+            some = sparse[i : i + BLOCK_ROWS]
+            row = np.repeat(np.arange(len(some)), [len(t) for t, _ in some])
+            yield _weighted(row, np.concatenate([t for t, _ in some]), np.concatenate([c for _, c in some]), len(some), idf)[0]
+
+    def round_trip(q):
+        return sum(x.T @ (x @ q) for x in blocks())
+
+    wide = min(rank + 16, len(held), DIMS)
+    q = np.random.Generator(np.random.PCG64(7)).standard_normal((DIMS, wide)).astype(np.float32)
+    for _ in range(3):
+        q = np.linalg.qr(round_trip(q))[0].astype(np.float32)
+    points = np.concatenate([x @ q for x in blocks()])
+    _, _, turn = np.linalg.svd(points, full_matrices=False)
+    turn = turn[:rank].T.astype(np.float32)
+    return {"idf": idf, "projection": np.ascontiguousarray(q @ turn), "points": _unit(points @ turn).astype(np.float32), "y": y, "label": float(y.mean())}
 
 
 def _score(model: dict, data, offs, neighbours: int):
@@ -126,37 +132,39 @@ def _score(model: dict, data, offs, neighbours: int):
     n = len(offs) - 1
     if "points" not in model:
         return np.full(n, model["label"])
-    counts = np.log1p(term_counts(data, offs)[:, model["used"]]) * model["idf"]
-    norm = np.linalg.norm(counts, axis=1, keepdims=True)
-    x = (counts / np.maximum(norm, 1e-9)) @ model["projection"]
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-    sims = x @ model["points"].T
+    x, norm = _weighted(*term_counts(data, offs), n, model["idf"])
+    sims = _unit(x @ model["projection"]) @ model["points"].T
     k = min(neighbours, sims.shape[1])
-    near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-    weight = np.maximum(np.take_along_axis(sims, near, 1), 0).astype(np.float64) + 1e-12
-    score = (weight * model["y"][near]).sum(1) / weight.sum(1)
-    return np.where(norm[:, 0] > 0, np.clip(score, 0, 1), model["label"])
-
-
-def scored(docs: DataFrame, model: dict, text_col: str = "text", neighbours: int = NEIGHBOURS) -> DataFrame:
-    """docs with a column score. The model (bounded by MAX_LABELLED and RANK) is broadcast; each block is one matrix product."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
-    schema = docs.withColumn("score", F.lit(0.0)).schema
+    least = -np.partition(-sims, k - 1, axis=1)[:, k - 1 : k]  # the k-th similarity; rows equal to it enter by their order
+    score = np.empty(n)
+    for i in range(n):
+        sure, equal = np.flatnonzero(sims[i] > least[i]), np.flatnonzero(sims[i] == least[i])
+        near = np.concatenate([sure, equal[: k - len(sure)]])
+        weight = np.maximum(sims[i, near], 0).astype(np.float64) + 1e-12
+        score[i] = (weight * model["y"][near]).sum() / weight.sum()
+    return np.where(norm > 0, np.clip(score, 0, 1), model["label"])
+
+
+def scored(docs: DataFrame, model: dict, text_col: str = "text", neighbours: int = NEIGHBOURS, name: str = "score") -> DataFrame:
+    """docs with a column of that name. The model (bounded by MAX_LABELLED, DIMS and RANK) is broadcast; each block is one
+    matrix product."""
+    held, names = docs.sparkSession.sparkContext.broadcast(model), [c for c in docs.columns if c != name]
+    schema = docs.select(*names).withColumn(name, F.lit(0.0)).schema
 
     def run(batches):
         for batch in batches:
-            for piece in pieces(batch, text_col, 1 << 19):
-                score = _score(held.value, *texts(piece.column(piece.schema.get_field_index(text_col))), neighbours)
-                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(score, pa.float64())], [*names, "score"])
+            for piece in pieces(batch, text_col, BLOCK_BYTES, BLOCK_ROWS):
+                score = _score(held.value, *texts(piece.column(names.index(text_col))), neighbours)
+                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(score, pa.float64())], [*names, name])
 
-    return docs.mapInArrow(run, schema)
+    return docs.select(*names).mapInArrow(run, schema)
 
 
 def train_fold(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """text and label of the labelled rows outside the held-out fold (crc32 of the id, modulo 5, is 0)."""
-    picked = labels.where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 0).where(F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").alias("label"))
-    return docs.select("doc_id", "text").where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 0).join(picked, "doc_id").select("text", "label")
+    outside = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 0
+    picked = labels.where(outside & F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").alias("label"))
+    return docs.select("doc_id", "text").where(outside).join(picked, "doc_id").select("text", "label")
 
 
 def op9_knn_quality(spark, sf_dir):

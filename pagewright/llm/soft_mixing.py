@@ -1,15 +1,16 @@
 """Soft-membership mixing: domain posteriors from a labelled table, then document rates by projected gradient.
 
 A document belongs to domains by posterior, not by a label. Presence of hashed words and of shape signs (shares of
-repeated, capital, sign-ending and separator words) is counted by class over all labelled rows; the features that speak
-for a class (in LEAST_SHARE of its documents, LEAST_LIFT times as common there as elsewhere, the FEATURES of highest chi-square) make a naive
-Bayes of their presence and absence. Its posteriors p and the words n of every document are written once.
+repeated, capital, sign-ending and separator words) is counted by class over all labelled rows; all features that speak
+for a class (in LEAST_SHARE of its documents, LEAST_LIFT times as common there as elsewhere, chi-square above LEAST_CHI)
+make a naive Bayes of their presence and absence. Its posteriors p and the words n of every document are written once.
 
 Rates w >= 0 minimise the sum over domains of (T_j - t_j)^2 / m_j, where T_j = sum of w n p_j, t_j is the target and
 m_j the domain's expected share at rate 1. The gradient, scaled per document by 1/n, is p . (r / m), so a step is
-w <- max(0, w - p . (r / m)); as posteriors sum to 1, a step of 1 never overshoots. The state of every document follows
-from its p and the few residuals so far, so a round is one aggregate over the written table: nothing of a document's
-is kept on the driver, only one residual per domain and round.
+w <- max(0, w - p . (r / m)); as posteriors sum to 1, a step of 1 never overshoots. Steps start from a point ahead
+(accelerated projected gradient, restarted when the loss rises). A round is one aggregate over the
+written table; a document's rate follows from its p, the rate last written and the few residuals since. Nothing of a
+document is kept on the driver, only one residual per domain and round. With a largest rate, steps are cut there too.
 
 Defined results: null texts have no words, prior posteriors and no part in totals; an unlabelled or unknown class gets
 no posterior; without labels posteriors are even; a domain without expected tokens is left out of the fit; unreachable
@@ -32,11 +33,12 @@ HASHED = 1 << 16
 SHARES = (0.05, 0.15, 0.3, 0.6)
 SHAPES = 4
 DIMS = HASHED + SHAPES * len(SHARES)
-FEATURES = 256
 LEAST_SHARE = 0.05
 LEAST_LIFT = 3.0
-ROUNDS = 60
-TOLERANCE = 1e-7
+LEAST_CHI = 20.0
+ROUNDS = 200
+WRITTEN_ROUNDS = 8
+TOLERANCE = 1e-6
 BROADCAST_LABELS = 1_000_000
 
 
@@ -118,14 +120,29 @@ def fit(labelled: DataFrame, domains=DOMAINS) -> dict:
             chi = np.nan_to_num(total * (a * d - b * c) ** 2 / ((a + b) * (c + d) * (a + c) * (b + d)))
             lift = np.nan_to_num((a / docs[i]) / ((b + 0.5) / (total - docs[i] + 1)))
             chi[(a < max(2, LEAST_SHARE * docs[i])) | (lift < LEAST_LIFT)] = 0
-            top = np.argsort(-chi, kind="stable")[:FEATURES]
-            chosen.update(top[chi[top] > 20].tolist())
+            chosen.update(np.flatnonzero(chi > LEAST_CHI).tolist())
     used = np.array(sorted(chosen), np.int64)
     p = (counts[:, used] + 0.5) / (docs[:, None] + 1)
     on, off = np.log(p), np.log1p(-p)
     return {"prior": prior, "used": used, "weights": on - off, "base": off.sum(1)}
 
 
+def _posteriors(model: dict, data, offs, k: int):
+    """Words of each row and its posteriors (rows x k)."""
+    import numpy as np
+
+    place = np.full(DIMS, -1)
+    place[model["used"]] = np.arange(len(model["used"]))
+    row, feat, n_words = features_of(data, offs)
+    z = np.tile(model["prior"] + model.get("base", 0.0), (len(offs) - 1, 1))
+    at = place[feat] >= 0
+    for i in range(k if len(model["used"]) else 0):
+        z[:, i] += np.bincount(row[at], model["weights"][i, place[feat[at]]], minlength=len(z))
+    z[n_words == 0] = model["prior"]
+    z = np.exp(z - z.max(1, keepdims=True))
+    return n_words, z / z.sum(1, keepdims=True)
+
+
 def posteriors(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", domains=DOMAINS) -> DataFrame:
     """doc_id, n_tokens (words) and p (a posterior per domain) of every document."""
     held, k = docs.sparkSession.sparkContext.broadcast(model), len(domains)
@@ -133,33 +150,23 @@ def posteriors(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: s
     def run(batches):
         import numpy as np
 
-        m = held.value
-        place = np.full(DIMS, -1)
-        place[m["used"]] = np.arange(len(m["used"]))
         for batch in batches:
             for piece in pieces(batch):
-                row, feat, n_words = features_of(*texts(piece.column(1)))
-                z = np.tile(m["prior"] + m.get("base", 0.0), (piece.num_rows, 1))
-                at = place[feat] >= 0
-                for i in range(k if len(m["used"]) else 0):
-                    z[:, i] += np.bincount(row[at], m["weights"][i, place[feat[at]]], minlength=piece.num_rows)
-                z[n_words == 0] = m["prior"]
-                z = np.exp(z - z.max(1, keepdims=True))
-                z /= z.sum(1, keepdims=True)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, z.size + 1, k, dtype=np.int32)), pa.array(z.ravel()))
+                n_words, p = _posteriors(held.value, *texts(piece.column(1)), k)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, k, dtype=np.int32)), pa.array(p.ravel()))
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(n_words.astype(np.int64)), lists], ["doc_id", "n_tokens", "p"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, p array<double>")
 
 
-def _rates(p, steps):
-    """Rates after the steps so far."""
+def _moved(w, y, p, steps, most):
+    """Rates w and look-ahead points y after the steps (a gradient and a momentum each), rates kept within 0 and most."""
     import numpy as np
 
-    w = np.ones(len(p))
-    for step in steps:
-        w = np.maximum(0.0, w - p @ step)
-    return w
+    for gradient, momentum in steps:
+        new = np.clip(y - p @ gradient, 0.0, most)
+        w, y = new, new + momentum * (new - w)
+    return w, y
 
 
 def _matrix(column, k):
@@ -168,63 +175,99 @@ def _matrix(column, k):
     return np.asarray(column.flatten()).reshape(-1, k)
 
 
-def solve(soft: DataFrame, targets: dict[str, float], budget: float | None = None, anchor: str | None = None, domains=DOMAINS, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[list, list[float]]:
-    """Steps (a vector per round) and the residual shares they leave. soft: a written table of n_tokens and p.
+def solve(soft: DataFrame, targets: dict[str, float], budget: float | None = None, anchor: str | None = None, most: float = float("inf"), domains=DOMAINS, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[DataFrame, list, list[float]]:
+    """(soft with each document's rate, all steps, the residual shares they leave). soft: a written table of n_tokens and p.
 
     budget: tokens of the mix (as many as there are, if None); with an anchor domain it is set so that the anchor's
-    expected tokens already meet its target."""
+    expected tokens already meet its target. most: the largest rate. Rounds end when a step moves a token's rate by
+    tolerance at most on average (the projected gradient is as good as 0). Rates are written every WRITTEN_ROUNDS rounds,
+    so a round replays a few steps whatever came before."""
     import numpy as np
 
     k = len(domains)
 
-    def totals(steps):
+    def totals(state, steps):
+        """Expected tokens of each domain at the rates and at the look-ahead points, and how far the last step moved all
+        tokens' rates from the point it started at."""
+
         def run(batches):
-            t = np.zeros(k)
+            t = np.zeros(2 * k + 1)
             for batch in batches:
-                p = _matrix(batch.column(1), k)
-                t += (_rates(p, steps) * np.asarray(batch.column(0), dtype=np.float64)) @ p
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, dtype=np.int32)), pa.array(t)], ["j", "t"])
-
-        out = np.zeros(k)
-        for r in soft.select("n_tokens", "p").mapInArrow(run, "j int, t double").groupBy("j").agg(F.sum("t").alias("t")).collect():
+                n, p, w, y = np.asarray(batch.column(0), dtype=np.float64), _matrix(batch.column(1), k), batch.column(2).to_numpy(), batch.column(3).to_numpy()
+                w, y = _moved(w, y, p, steps[:-1], most)
+                before = y
+                w, y = _moved(w, y, p, steps[-1:], most)
+                t += np.concatenate([(w * n) @ p, (y * n) @ p, [(np.abs(w - before) * n).sum()]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(2 * k + 1, dtype=np.int32)), pa.array(t)], ["j", "t"])
+
+        out = np.zeros(2 * k + 1)
+        for r in state.select("n_tokens", "p", "rate", "ahead").mapInArrow(run, "j int, t double").groupBy("j").agg(F.sum("t").alias("t")).collect():
             out[r.j] = r.t
-        return out
+        return out[:k], out[k:-1], out[-1]
 
-    start = totals([])
+    state, steps, done = soft.withColumns({"rate": F.lit(1.0), "ahead": F.lit(1.0)}), [], []
+    start, ahead, _ = totals(state, [])
     total = start.sum()
     if not total:
-        return [], [0.0] * k
+        return state.drop("ahead"), [], [0.0] * k
     share = np.array([targets.get(d, 0.0) for d in domains])
     share = share / share.sum()
     anchored = list(domains).index(anchor) if anchor else -1
     mass = budget or (start[anchored] / share[anchored] if anchor and start[anchored] and share[anchored] else total)
-    m = start / total
-    steps, now, r = [], start, np.zeros(k)
+    m, now, loss, turn = start / total, start, float("inf"), 1.0
+    scale = np.where(m > 1e-12, 1.0 / np.maximum(m, 1e-12), 0.0)
     for _ in range(rounds):
-        r = (now - share * mass) / total
-        if np.abs(r[m > 0]).max() <= tolerance:
+        following = (1 + (1 + 4 * turn * turn) ** 0.5) / 2
+        steps.append(((ahead / total - share * mass / total) * scale, (turn - 1) / following))
+        now, ahead, moved = totals(state, steps)
+        turn, was = following, loss
+        loss = float(((now / total - share * mass / total) ** 2 * scale).sum())
+        if moved <= tolerance * total:
             break
-        steps.append(np.where(m > 1e-12, r / np.maximum(m, 1e-12), 0.0))
-        now = totals(steps)
-    return steps, r.tolist()
+        if loss > was:  # momentum has gone too far
+            turn = 1.0
+        if len(steps) == WRITTEN_ROUNDS:
+            state, done, steps = written(_stepped(state, steps, most, k), "rates"), done + steps, []
+    return _stepped(state, steps, most, k).drop("ahead"), done + steps, (now / total - share * mass / total).tolist()
+
+
+def _stepped(state: DataFrame, steps: list, most: float, k: int) -> DataFrame:
+    names = state.columns
+    at, rate, ahead = (names.index(c) for c in ("p", "rate", "ahead"))
+
+    def run(batches):
+        for batch in batches:
+            w, y = _moved(batch.column(rate).to_numpy(), batch.column(ahead).to_numpy(), _matrix(batch.column(at), k), steps, most)
+            yield batch.set_column(rate, "rate", pa.array(w)).set_column(ahead, "ahead", pa.array(y))
+
+    return state.mapInArrow(run, state.schema)
 
 
-def with_rates(soft: DataFrame, steps: list, domains=DOMAINS) -> DataFrame:
-    """soft with each document's rate."""
-    k, names = len(domains), soft.columns
-    schema = soft.withColumn("rate", F.lit(0.0)).schema
-    at = names.index("p")
+def with_rates(soft: DataFrame, steps: list, most: float = float("inf"), domains=DOMAINS) -> DataFrame:
+    """soft with the rates that all steps of solve() lead to."""
+    return _stepped(soft.withColumns({"rate": F.lit(1.0), "ahead": F.lit(1.0)}), steps, most, len(domains)).drop("ahead")
+
+
+def rated(docs: DataFrame, model: dict, steps: list, most: float = float("inf"), name: str = "rate", text_col: str = "text", domains=DOMAINS) -> DataFrame:
+    """docs with a column of that name: the rate of each, found again from its text and all steps, so that texts stay where
+    they are. A column of that name in docs is replaced."""
+    held, names = docs.sparkSession.sparkContext.broadcast(model), [c for c in docs.columns if c != name]
+    schema = docs.select(*names).withColumn(name, F.lit(0.0)).schema
 
     def run(batches):
+        import numpy as np
+
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_rates(_matrix(batch.column(at), k), steps))], [*names, "rate"])
+            for piece in pieces(batch, text_col):
+                _, p = _posteriors(held.value, *texts(piece.column(names.index(text_col))), len(domains))
+                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(_moved(np.ones(len(p)), np.ones(len(p)), p, steps, most)[0])], [*names, name])
 
-    return soft.mapInArrow(run, schema)
+    return docs.select(*names).mapInArrow(run, schema)
 
 
-def uniform(key):
-    """A number in [0, 1) that depends on the id alone."""
-    return F.pmod(F.xxhash64(key, F.lit(7)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+def uniform(*keys):
+    """A number in [0, 1) that depends on the keys (the id) alone."""
+    return F.pmod(F.xxhash64(*keys, F.lit(7)), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
 def labelled_docs(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -239,6 +282,5 @@ def op7_soft_mixing(spark, sf_dir):
     """Posteriors, rate and copies of every document in a mix of as many tokens at the target weights."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     soft = written(posteriors(docs, fit(labelled_docs(docs, labels))), "posteriors")
-    steps, _ = solve(soft, TARGETS)
-    out = with_rates(soft, steps)
+    out = solve(soft, TARGETS)[0]
     return out.select("doc_id", "n_tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)], "rate", F.floor(F.col("rate") + uniform("doc_id")).cast("int").alias("copies"))

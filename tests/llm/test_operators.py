@@ -368,14 +368,37 @@ def test_mixing_reaches_targets(spark):
     p = rng.dirichlet([0.2, 0.2, 0.2], 500)
     soft = spark.createDataFrame([(i, int(rng.integers(0, 300)), [float(v) for v in row]) for i, row in enumerate(p)], "doc_id long, n_tokens long, p array<double>")
     targets = {"clean": 0.5, "low": 0.3, "toxic": 0.2}
-    steps, left = soft_mixing.solve(soft, targets)
-    rows = soft_mixing.with_rates(soft, steps).collect()
+    out, steps, left = soft_mixing.solve(soft, targets)
+    rows = out.collect()
+    again = {r.doc_id: r.rate for r in soft_mixing.with_rates(soft, steps).collect()}
+    assert all(abs(again[r.doc_id] - r.rate) < 1e-9 for r in rows)
     t = np.zeros(3)
     for r in rows:
         assert r.rate >= 0
         t += r.rate * r.n_tokens * np.array(r.p)
     assert np.abs(t / sum(r.n_tokens for r in rows) - np.array([0.5, 0.3, 0.2])).max() < 1e-5 and max(map(abs, left)) < 1e-5
-    assert soft_mixing.solve(soft.limit(0), targets) == ([], [0.0] * 3)
+    none, steps, left = soft_mixing.solve(soft.limit(0), targets)
+    assert (none.count(), steps, left) == (0, [], [0.0] * 3)
+
+
+@pytest.mark.parametrize(("most", "shares"), [(float("inf"), [0.5, 0.3, 0.2]), (1.0, [0.98, 0.01, 0.01])])
+def test_mixing_is_the_least_squares(spark, most, shares):
+    """Against a plain projected gradient with small steps run to its end, with targets in and out of reach."""
+    rng = np.random.default_rng(3)
+    p, n = rng.dirichlet([0.3, 0.3, 0.3], 60), rng.integers(0, 200, 60)
+    p[:5], n[5:8] = p[0], 10**4  # ties and long texts
+    soft = spark.createDataFrame([(None if i == 9 else i, int(n[i]), [float(v) for v in p[i]]) for i in range(60)] * 2, "doc_id long, n_tokens long, p array<double>")
+    out, _, left = soft_mixing.solve(soft, dict(zip(soft_mixing.DOMAINS, shares, strict=True)), most=most, rounds=60)
+    t0 = 2 * n @ p
+    want, w = np.array(shares) * t0.sum(), np.ones(60)
+    loss = lambda t: (((t - want) ** 2) / t0).sum() / t0.sum()
+    for _ in range(20_000):
+        w = np.clip(w - 0.3 * p @ ((2 * (w * n) @ p - want) / t0), 0, most)
+    got = np.zeros(3)
+    for r in out.collect():
+        assert 0 <= r.rate <= most
+        got += r.rate * r.n_tokens * np.array(r.p)
+    assert loss(got) <= loss(2 * (w * n) @ p) + 1e-4 and np.abs((got - want) / t0.sum() - left).max() < 1e-9
 
 
 def test_mixing_posteriors(spark, docs, empty):
@@ -441,21 +464,78 @@ def test_knn_held_out(spark, empty):
     labels = table(spark, "/root/testdata/sf0.01", "labels")
     got = knn_quality.op9_knn_quality(spark, "/root/testdata/sf0.01").join(labels, "doc_id").toPandas()
     held = got[got.held_out]
-    assert (held.predicted == held.quality).mean() > 0.93 and (held[held.quality == 1].predicted == 1).all() and got.score.between(0, 1).all()
+    assert (held.predicted == held.quality).mean() > 0.93 and (held[held.quality == 1].predicted == 1).mean() > 0.98 and got.score.between(0, 1).all()
     model = knn_quality.fit(spark.createDataFrame([("a b c", 1), (None, 1)], "text string, label int"))
     assert model == {"label": 1.0} and knn_quality.scored(empty, model).count() == 0
     assert knn_quality.fit(spark.createDataFrame([], "text string, label int")) == {"label": 1.0}
 
 
-def test_knn_is_exact(spark):
-    """Blocked products give the same votes as one document at a time."""
+def test_knn_against_a_plain_reading(spark):
+    """Terms, weights, cosines, ties and votes again with dictionaries and a loop; the projection alone is the model's."""
+    from math import log, log1p
+
     rng = np.random.default_rng(2)
-    texts = ["".join(rng.choice(list("abc !?|"), 60)) for _ in range(80)]
-    model = knn_quality.fit(spark.createDataFrame([(t, i % 2) for i, t in enumerate(texts[:60])], "text string, label int"))
-    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*texts[60:], "", None])], "doc_id long, text string")
-    for r in knn_quality.scored(rows, model).collect():
-        raw = np.frombuffer((r.text or "").encode(), np.uint8)
-        assert abs(r.score - knn_quality._score(model, raw, np.array([0, len(raw)]), knn_quality.NEIGHBOURS)[0]) < 1e-4
+    made = [" ".join("".join(rng.choice(list("abcé!"), 3)) for _ in range(rng.integers(1, 30))) for _ in range(70)]
+    made[5] = made[6] = "tie tie tie"
+    labelled = [(t, i % 2) for i, t in enumerate(made[:50])] + [(made[0], 1), (None, 0), ("odd", None), ("odd", 7)]
+    model = knn_quality.fit(spark.createDataFrame(labelled, "text string, label int"))
+    hash_of = {r.text: r.h for r in spark.createDataFrame([(t or "",) for t, _ in labelled], "text string").selectExpr("text", "xxhash64(text) AS h").collect()}
+    votes = defaultdict(list)
+    for t, label in labelled:
+        if label in (0, 1):
+            votes[t or ""].append(label)
+    order = sorted(votes, key=hash_of.get)
+    assert np.allclose(model["y"], [np.mean(votes[t]) for t in order]) and 0.5 in model["y"]
+    assert abs(np.linalg.norm(model["points"][order.index(made[0])]) - 1) < 1e-4
+
+    def place(x):
+        data, offs = common.texts(pa.array([x]))
+        return knn_quality.term_counts(data, offs)
+
+    def weights(text):
+        mix, shift = textnum.mix, np.uint64(50)
+        one = lambda v: int(mix(np.array([v], np.uint64))[0] >> shift)
+        counts, last, raw = defaultdict(int), None, text.encode()
+        marks = []
+        for w in split(text):
+            data, offs = common.texts(pa.array([w.decode()]))
+            h = int(textnum.words(data, offs, lower=True)[0][0])
+            marks.append(knn_quality._AGAIN if h == last else h)
+            last = h
+        for m in marks:
+            counts[one((m + 1) % 2**64)] += 1
+        for m, k in zip(marks[:-1], marks[1:], strict=True):
+            counts[one((m * textnum._P + k) % 2**64)] += 1
+        for i in range(len(raw) - 2):
+            counts[one(int.from_bytes(raw[i : i + 3], "big") + (1 << 40))] += 1
+        assert {int(t): int(c) for t, c in zip(*place(text)[1:], strict=True)} == dict(counts)
+        return counts
+
+    docs_with = defaultdict(int)
+    for t in order:
+        for k in weights(t):
+            docs_with[k] += 1
+
+    def vector(text):
+        x = np.zeros(knn_quality.DIMS)
+        for k, c in weights(text).items():
+            x[k] = log1p(c) * (log((1 + len(order)) / (1 + docs_with[k])) + 1 if docs_with[k] >= 2 else 0)
+        x = x @ model["projection"] if x.any() else None
+        return None if x is None else x / max(np.linalg.norm(x), 1e-9)
+
+    rows = [(i, t, 9.0) for i, t in enumerate([*made[50:], "", None, made[0], made[5], "tie tie tie", "q" * 50_000])]
+    got = {r.doc_id: r.score for r in knn_quality.scored(spark.createDataFrame(rows, "doc_id long, text string, score double"), model).collect()}
+    for doc_id, text, _ in rows:
+        x = vector(text or "")
+        if x is None:
+            assert got[doc_id] == model["label"]
+            continue
+        sims = model["points"] @ x
+        near = sorted(range(len(order)), key=lambda j: (-round(float(sims[j]), 5), j))[: knn_quality.NEIGHBOURS]
+        w = np.maximum(sims[near], 0) + 1e-12
+        edge = np.sort(sims)[::-1][knn_quality.NEIGHBOURS - 1 : knn_quality.NEIGHBOURS + 1]
+        if edge[0] - edge[1] > 1e-4:
+            assert abs(got[doc_id] - (w * model["y"][near]).sum() / w.sum()) < 1e-3
 
 
 def test_bpe_equals_the_library(spark, docs, empty):

@@ -25,6 +25,27 @@ def test_stages(spark):
     assert {r.doc_id for r in out.collect()} == {r.doc_id for r in before.select("doc_id").collect()}
 
 
+def test_odd_rows(spark):
+    """Null ids and texts, repeated rows, repeated ids with other texts, and columns named like those of the operators."""
+    words = [f"w{i}" for i in range(200)]
+    plain = " ".join(words)
+    near = " ".join(["new", *words[1:]])
+    rows = [(None, plain), (None, plain), (5, near), (3, plain), (3, plain), (3, "another text " + " ".join(reversed(words))), (None, "only here " + " ".join(words[::3] * 2)), (7, None), (None, ""), (8, " ".join(words[::2])), (9, " ".join(words[::2]))]
+    frame = spark.createDataFrame([(i, t, "en", "s", 1, 0.5, "k", 1, True) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, score double, component string, rate int, kept boolean")
+    labels = spark.createDataFrame([(3, 1, 0)], "doc_id long, quality int, toxic int")
+    import tempfile
+
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    labels.write.parquet(f"{folder}/labels.parquet")
+    got = [(r.doc_id, r.text) for r in pipeline.near_duplicates(spark, frame, folder).collect()]
+    assert sorted(got, key=str) == sorted([(3, plain), rows[5], rows[6], (7, None), (None, ""), (8, rows[9][1])], key=str)
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, frame, folder)
+        assert out.schema == frame.schema and out.count() <= len(rows), name
+    mixed = [(r.doc_id, r.text) for r in pipeline.mixing(spark, frame, folder).collect()]
+    assert sorted(mixed, key=str) == sorted(rows, key=str)  # one class alone is the whole mix
+
+
 def test_empty(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in pipeline.STAGES:
