@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,12 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir of the session.
+    """The folder that the driver and all executors share: spark.checkpoint.dir of the session, or its checkpoint folder.
 
-    Only a session without that setting (tests on one machine) gets a temporary folder of its own."""
+    Without either, a session on one machine (master local) gets a temporary folder of its own; on a cluster that would
+    lose data, so an error says what to set."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="pagewright-")
         sc.setCheckpointDir(found)
     return found
@@ -68,21 +72,26 @@ def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 20, ro
 
 
 def id_buckets(df: DataFrame, key: str, n: int) -> list[int]:
-    """Ascending lower bounds (without the first bucket's) that cut the values of `key` into about n even ranges.
-
-    From one pass over that column alone; bounds only balance the ranges, so approximate quantiles do."""
+    """Ascending lower bounds (without the first bucket's) that cut the values of `key` into about n even ranges, by Spark's
+    own range partitioning of that column alone. n bounds how many come to the driver."""
     if n < 2:
         return []
-    qs = df.select(F.col(key).cast("double").alias("k")).approxQuantile("k", [i / n for i in range(1, n)], 0.2 / n)
-    return sorted({int(-(-q // 1)) for q in qs})
+    keys = df.select(F.col(key).alias("k")).where(F.col("k").isNotNull()).repartitionByRange(n, "k")
+    return sorted(r.k for r in keys.groupBy(F.spark_partition_id().alias("b")).agg(F.min("k").alias("k")).collect())[1:]
 
 
 def bucket_of(key: str, bounds: list[int]):
-    """The range that a key falls in, 0 for null: a width_bucket-like search over the bounds as an array literal."""
+    """The range that a key falls in, 0 for null: how many bounds are not above it, found in two steps of about the square
+    root of their number each."""
     if not bounds:
         return F.lit(0)
-    arr = F.array(*[F.lit(b) for b in bounds])
-    return F.coalesce(F.size(F.filter(arr, lambda b: b <= F.col(key))), F.lit(0))
+    step = max(1, round(len(bounds) ** 0.5))
+    groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    not_above = lambda values: F.size(F.filter(values, lambda b: b <= F.col(key)))
+    tops = F.array(*[F.lit(g[-1]) for g in groups])
+    before = not_above(tops)  # groups that lie wholly at or below the key
+    fine = F.array(*[F.array(*[F.lit(b) for b in g]) for g in groups], F.array().cast("array<bigint>"))
+    return F.coalesce(F.least(before * step, F.lit(len(bounds))) + not_above(F.element_at(fine, before + 1)), F.lit(0))
 
 
 def bytes_of(df: DataFrame, column: str = "text") -> int:

@@ -4,8 +4,8 @@ A k-mer of code points is a closed syncmer if the least hash of its inner s-mers
 that depends on the k-mer alone, so an edit elsewhere never moves an anchor. A fingerprint holds every anchor's hash with
 its first position, so it grows with the text (about two anchors in nine code points). Two fingerprints are likened by
 all their anchors: the share of their union that both hold at a common shift, the shift being the one that most shared
-anchors agree on, within a tolerance. Texts shorter than a k-mer have one anchor: a hash of the whole text; an empty
-text has none. Equal texts have equal fingerprints.
+anchors agree on, within a tolerance. Texts without a closed syncmer (short ones) have one anchor: a hash of the whole text; an
+empty text has none. Equal texts have equal fingerprints.
 
 The edited text of a document takes its last floor(n/4) code points from the next one's start. Its anchors are those of
 the document that end before the cut, those of the next that end within the part taken, and those of the k-1 windows
@@ -29,25 +29,21 @@ from .common import bucket_of, bytes_of, id_buckets, pieces, table
 K = 16
 S = 8
 SHIFT_TOLERANCE = 8
+#: Texts of about so many bytes make a range, until there are MOST_RANGES; then ranges grow, as a range is streamed.
 RANGE_BYTES = 24 << 20
+MOST_RANGES = 50_000
 
 
-def anchors(codes):
+def syncmers_of(codes):
     """(hashes, positions) of the closed syncmers of an array of code points."""
     import numpy as np
 
     from .textnum import _P, mix
 
     n = len(codes)
-    if n == 0:
+    if n < K:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     x = codes.astype(np.uint64) + np.uint64(1)
-    if n < K:
-        total, p = np.uint64(n), np.uint64(_P)
-        with np.errstate(over="ignore"):
-            for c in x:
-                total = total * p + c
-        return mix(np.array([total])), np.zeros(1, np.int64)
     p, p2, p4, p8 = (np.uint64(pow(_P, e, 1 << 64)) for e in (1, 2, 4, 8))
     h2 = x[:-1] * p + x[1:]
     h4 = h2[:-2] * p2 + h2[2:]
@@ -63,6 +59,21 @@ def anchors(codes):
     return mix(whole + np.uint64(K)), picked
 
 
+def anchors(codes, found=None):
+    """(hashes, positions) of the closed syncmers (found, if they are known), or of the whole text if it has none."""
+    import numpy as np
+
+    from .textnum import _P, mix
+
+    h, p = syncmers_of(codes) if found is None else found
+    if len(h) or not len(codes):
+        return h, p
+    total = len(codes)
+    for c in codes.tolist():
+        total = (total * _P + c + 1) & (1 << 64) - 1
+    return mix(np.array([total], np.uint64)), np.zeros(1, np.int64)
+
+
 def sketch(hashes, positions):
     """All distinct hashes in order, each at its first position; positions come ascending."""
     import numpy as np
@@ -103,8 +114,8 @@ class _Doc:
 
     def __init__(self, doc_id, text):
         self.doc_id, self.text, self.codes = doc_id, text, _codes(text)
-        self.hashes, self.positions = anchors(self.codes)
-        self.sketch = sketch(self.hashes, self.positions)
+        self.hashes, self.positions = found = syncmers_of(self.codes)
+        self.sketch = sketch(*anchors(self.codes, found))
 
 
 def _edited(doc: _Doc, nxt: _Doc):
@@ -115,17 +126,12 @@ def _edited(doc: _Doc, nxt: _Doc):
     take = min(n // 4, len(nxt.codes))
     cut = n - n // 4
     text = doc.text[:cut] + nxt.text[:take]
-    if n < 2 * K or take < K:
-        codes = np.concatenate([doc.codes[:cut], nxt.codes[:take]])
-        if cut < K or len(codes) < 4 * K:
-            return text, sketch(*anchors(codes))
     mine = doc.positions + K <= cut
     theirs = nxt.positions + K <= take
-    if len(nxt.codes) < K:
-        theirs[:] = False
     across = np.concatenate([doc.codes[max(0, cut - K + 1) : cut], nxt.codes[: min(take, K - 1)]])
-    hx, px = anchors(across) if len(across) >= K else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    return text, sketch(np.concatenate([doc.hashes[mine], hx, nxt.hashes[theirs]]), np.concatenate([doc.positions[mine], px + max(0, cut - K + 1), nxt.positions[theirs] + cut]))
+    hx, px = syncmers_of(across)
+    found = np.concatenate([doc.hashes[mine], hx, nxt.hashes[theirs]]), np.concatenate([doc.positions[mine], px + max(0, cut - K + 1), nxt.positions[theirs] + cut])
+    return text, sketch(*anchors(np.concatenate([doc.codes[:cut], nxt.codes[:take]]) if not len(found[0]) else doc.codes[:1], found))
 
 
 _SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -154,10 +160,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Fingerprints of every document and of its edited text, and its likeness to that and to the next document."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    n = max(1, -(-bytes_of(source) // range_bytes), source.sparkSession.sparkContext.defaultParallelism)
+    n = min(MOST_RANGES, max(1, -(-bytes_of(source) // range_bytes), source.sparkSession.sparkContext.defaultParallelism))
     bounds = id_buckets(source, "doc_id", n)
     ranged = source.withColumn("b", bucket_of("doc_id", bounds).cast("int"))
-    # a row per range: the place in the order (id, then text hash) of its first document
+    # a row per range (MOST_RANGES at most): the place in the order (id, then text hash) of its first document
     place = F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id"), F.xxhash64("text").alias("h"))
     first = {r.b: (r.p.known, r.p.doc_id, r.p.h) for r in ranged.groupBy("b").agg(F.min(place).alias("p")).collect()}
     used = sorted(first)

@@ -283,11 +283,11 @@ def test_components(spark):
 def test_syncmers_are_context_free():
     rng = random.Random(4)
     text = "".join(rng.choice("abcde é漢") for _ in range(400))
-    h, p = syncmers.anchors(syncmers._codes(text))
+    h, p = syncmers.syncmers_of(syncmers._codes(text))
     for a, b in zip(h.tolist(), p.tolist(), strict=True):
-        k, at = syncmers.anchors(syncmers._codes(text[b : b + syncmers.K]))
+        k, at = syncmers.syncmers_of(syncmers._codes(text[b : b + syncmers.K]))
         assert k.tolist() == [a] and at.tolist() == [0]
-    single = [i for i in range(400 - syncmers.K + 1) if len(syncmers.anchors(syncmers._codes(text[i : i + syncmers.K]))[0])]
+    single = [i for i in range(400 - syncmers.K + 1) if len(syncmers.syncmers_of(syncmers._codes(text[i : i + syncmers.K]))[0])]
     assert single == p.tolist()
 
 
@@ -308,6 +308,58 @@ def test_fingerprints(spark, docs, empty):
     assert syncmers.fingerprints(docs).where("doc_id = 60").first().fingerprint == got[60].fingerprint
 
 
+def test_anchors_and_likeness_by_their_definition():
+    """Closed syncmers and likeness again with loops over k-mers and s-mers; only the hash of a run of characters is shared."""
+    rng = random.Random(12)
+    K, S, mask = syncmers.K, syncmers.S, 2**64 - 1
+
+    def poly(codes):
+        total = 0
+        for c in codes:
+            total = (total * textnum._P + c + 1) & mask
+        return total
+
+    mixed = lambda v: int(textnum.mix(np.array([v & mask], np.uint64))[0])
+
+    def plain(text):
+        codes, found = [ord(c) for c in text], {}
+        for at in range(len(codes) - K + 1):
+            inner = [mixed(poly(codes[at + i : at + i + S])) for i in range(K - S + 1)]
+            if min(inner) in (inner[0], inner[-1]):
+                found.setdefault(mixed(poly(codes[at : at + K]) + K), at)
+        whole = len(codes)
+        for c in codes:
+            whole = (whole * textnum._P + c + 1) & mask
+        return found or ({mixed(whole): 0} if codes else {})
+
+    def alike(a, b):
+        if not a or not b:
+            return float(len(a) == len(b))
+        shared = sorted(a[h] - b[h] for h in a.keys() & b.keys())
+        agree = max((sum(s <= t <= s + syncmers.SHIFT_TOLERANCE for t in shared) for s in shared), default=0)
+        return agree / len(a.keys() | b.keys())
+
+    texts = ["".join(rng.choice("ab é漢😀") for _ in range(n)) for n in (3, 15, 16, 17, 18, 19, 20, 40, 150)] + ["", "a" * 60, "ab" * 40]
+    texts.append(texts[8][:70] + "zz" + texts[8][70:])
+    for text in texts:
+        h, p = syncmers.sketch(*syncmers.anchors(syncmers._codes(text)))
+        assert dict(zip(h.tolist(), p.tolist(), strict=True)) == plain(text), text
+    for a in texts:
+        for b in texts:
+            got = syncmers.likeness(*(syncmers.sketch(*syncmers.anchors(syncmers._codes(t))) for t in (a, b)))
+            assert abs(got - alike(plain(a), plain(b))) < 1e-12
+
+
+def test_buckets_are_even_and_ordered(spark):
+    rng = random.Random(5)
+    ids = sorted({rng.randrange(10**12) for _ in range(3000)} | set(range(500)))
+    df = spark.createDataFrame([(i,) for i in ids] + [(None,)], "k long")
+    bounds = common.id_buckets(df, "k", 37)
+    got = {r.k: r.b for r in df.select("k", common.bucket_of("k", bounds).alias("b")).collect()}
+    assert got[None] == 0 and all(got[i] == sum(b <= i for b in bounds) for i in ids) and 30 <= len(bounds) <= 36
+    assert common.id_buckets(df.limit(0), "k", 5) == [] == common.id_buckets(df, "k", 1)
+
+
 def test_long_texts_keep_every_anchor():
     rng = random.Random(8)
     passage, a, b = ("".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (900, 30_000, 40_000))
