@@ -44,6 +44,11 @@ def accepted_when_dropped(path: Column) -> Column:
     return F.coalesce(path != "", F.lit(False)) & extension_when_dropped(path).isin(*ACCEPTED_EXTENSIONS)
 
 
+def absolute(path: Column) -> Column:
+    """Whether a request names a file by an absolute path; a missing one doesn't."""
+    return F.coalesce(F.startswith(path, F.lit("/")), F.lit(False))
+
+
 def is_pdf(path: Column) -> Column:
     return extension(path) == "pdf"
 
@@ -194,8 +199,10 @@ def wrapped(line: Column, width: int = WRAP_WIDTH) -> Column:
         joined = F.when(acc["now"] == "", word).otherwise(F.concat(acc["now"], F.lit(" "), word))
         return F.struct(F.when(over, F.array_append(acc["done"], acc["now"])).otherwise(acc["done"]).alias("done"), F.when(over, word).otherwise(joined).alias("now"))
 
+    # a line of single spaces is cut by one pattern: the most that fits and ends before a space or the end, or a longer word
+    single = F.split(F.rtrim(F.regexp_replace(line, rf"(?s)([^ ]{{{width + 1},}}|.{{1,{width}}})(?: |\z)", "$1\n"), F.lit("\n")), "\n")
     folded = F.aggregate(F.split(line, " "), start, step, lambda acc: F.when(acc["now"] != "", F.array_append(acc["done"], acc["now"])).otherwise(acc["done"]))
-    return F.when(F.length(line) <= width, F.array(line)).otherwise(folded)
+    return F.when(F.length(line) <= width, F.array(line)).when(line.rlike("^ |  | $|\n"), folded).otherwise(single)
 
 
 def plain_document(text: Column, width: int = WRAP_WIDTH) -> Column:

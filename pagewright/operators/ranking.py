@@ -5,11 +5,44 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geometry import orientation_of_boxes
+
 MOST_PIXELS = 100_000_000
 LEAST_EDGE = 8
+MOST_ICON_WIDTH = 4096
 MOST_ATTEMPTS = 4
 
 
+def size_fits(width: Column, height: Column, least: int = 1, widest: int | None = None) -> Column:
+    """Whether an image's size may be decoded: edges of at least `least`, at most 100 megapixels, and a width limit if given
+    (MOST_ICON_WIDTH for bitmaps inside icons)."""
+    fits = (width >= least) & (height >= least) & (width.cast("long") * height <= MOST_PIXELS)
+    return fits & (width <= widest) if widest else fits
+
+
+def item_orientation(associations: DataFrame, properties: DataFrame, primary: DataFrame) -> DataFrame:
+    """(file_id, orientation) by the rotation and mirror properties that a file's primary item is given.
+
+    associations: file_id, item, place (order in the list), index (1-based, of a property); properties: file_id, index, type,
+    value; primary: file_id, item. Of several properties of a type the last association counts; an index without a property
+    and other types do nothing. All three are tables, so a file with many items is never one row."""
+    own = associations.join(primary, ["file_id", "item"]).join(properties.where(F.col("type").isin("irot", "imir")), ["file_id", "index"])
+    last = lambda kind, bits: F.max_by(F.when(F.col("type") == kind, F.col("value").bitwiseAND(bits)), F.when(F.col("type") == kind, F.col("place")))
+    found = own.groupBy("file_id").agg(last("irot", 3).alias("angle"), last("imir", 1).alias("axis"))
+    return primary.select("file_id").join(found, "file_id", "left").select("file_id", orientation_of_boxes(F.col("angle"), F.col("axis")).alias("orientation"))
+
+
+def first_decoder(attempts: DataFrame) -> DataFrame:
+    """file_id, decoder, attempt and message: the first attempt of a file that succeeds; if none does, the message of its
+    first attempt explains it (of a file of unknown format none does).
+
+    attempts: file_id, format, attempt_no (from 0), decoder, ok, message."""
+    ok = F.col("ok")
+    found = attempts.groupBy("file_id").agg(F.min_by(F.when(ok, F.struct("decoder", "attempt_no")), F.when(ok, F.col("attempt_no"))).alias("b"), F.min_by("message", "attempt_no").alias("m"), F.min("format").alias("format"))
+    message = F.when(F.col("b").isNull(), F.when((F.col("format") != "unknown") & F.col("m").isNotNull(), F.col("m")).otherwise("not a readable image"))
+    return found.select("file_id", "b.decoder", F.col("b.attempt_no").alias("attempt"), message.alias("message"))
+
+
 def raw_preview(candidates: DataFrame) -> DataFrame:
     """The first candidate that decodes, of at most four, by area, then length, then discovery; one row per file.
 
@@ -18,7 +51,7 @@ def raw_preview(candidates: DataFrame) -> DataFrame:
     first = candidates.groupBy("file_id", "start").agg(F.min(F.struct("found_no", "width", "height", "size", "decodes")).alias("c")).select("file_id", "c.*")
     area = F.col("width").cast("long") * F.col("height")
     large = area > MOST_PIXELS
-    usable = ~large & (F.col("width") >= LEAST_EDGE) & (F.col("height") >= LEAST_EDGE)
+    usable = size_fits(F.col("width"), F.col("height"), LEAST_EDGE)
     order = Window.partitionBy("file_id", "usable").orderBy(F.desc("area"), F.desc("size"), "found_no")
     ranked = first.withColumns({"area": area, "usable": usable, "large": large}).withColumn("attempt", F.row_number().over(order))
     tried = F.col("usable") & F.col("decodes") & (F.col("attempt") <= MOST_ATTEMPTS)

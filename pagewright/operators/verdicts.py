@@ -39,6 +39,17 @@ def tiff_verdict() -> Column:
     )
 
 
+def tiff_page(width: Column, height: Column, strips: Column, tiles: Column) -> Column:
+    """Whether tags describe a page: width, height, and strip or tile offsets. Other directories are left out."""
+    return width.isNotNull() & height.isNotNull() & (strips.isNotNull() | tiles.isNotNull())
+
+
+def tiff_truncated(offsets: Column, counts: Column, length: Column) -> Column:
+    """Whether a strip or tile (arrays of offsets and byte counts) ends beyond the file; a missing count is one byte."""
+    ends = F.zip_with(offsets, F.coalesce(counts, F.array().cast("array<bigint>")), lambda at, n: at + F.coalesce(n, F.lit(1)))
+    return F.exists(ends, lambda end: F.coalesce(end > length, F.lit(False)))
+
+
 def second_opinion(verdict: Column) -> Column:
     """Faults of a page that another codec may still read, if it is the first page."""
     return verdict.isin("group3_fax", "tiled_predictor", "jpeg_rgb", "palette_depth")

@@ -452,3 +452,196 @@ def photo_pages(spark, sf_dir):
     text = F.concat(F.lit("P2\n# made\n8 8\n255\n"), F.array_join(F.col("v").cast("array<string>"), " "), F.lit("\n"))
     files = _images(spark, sf_dir).select("vec_id", text.cast("binary").alias("content"), F.concat(F.lit("/v/"), F.col("vec_id").cast("string"), F.lit(".pgm")).alias("path"))
     return build.grey_map_pages(files, "vec_id")
+
+
+@query("SELECT page_id, 'data:image/jpeg;base64,' || to_base64(encode(html)) AS url, strlen(html) AS size FROM pages")
+def data_urls(spark, sf_dir):
+    """Sources of previews (here page sources) and the sizes of what is written."""
+    raw = F.col("html").cast("binary")
+    return table(spark, sf_dir, "pages").select("page_id", scalars.data_url(raw).alias("url"), F.length(raw).cast("long").alias("size"))
+
+
+@query(f"""
+WITH m AS (SELECT l_orderkey, l_linenumber, CASE l_partkey % 5 WHEN 0 THEN NULL WHEN 1 THEN substr({_sql_path('l_partkey')}, 2) ELSE {_sql_path('l_partkey')} END AS path FROM lineitem)
+SELECT l_orderkey, l_linenumber, coalesce(path LIKE '/%', false) AS asked FROM m
+""")
+def preview_requests(spark, sf_dir):
+    """Which requests name a file by an absolute path."""
+    path, key = _path(F.col("l_partkey")), F.col("l_partkey") % 5
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", scalars.absolute(F.when(key == 0, F.lit(None).cast("string")).when(key == 1, F.substring(path, 2, 1000)).otherwise(path)).alias("asked"))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, CAST(((l_linenumber * 450 - l_partkey) % 360 + 360) % 360 AS BIGINT) AS degrees, CAST((l_suppkey % 32) * 8 + (l_suppkey % 32) // 4 AS INTEGER) AS level FROM lineitem
+""")
+def turn_degrees(spark, sf_dir):
+    """Cumulative turns reduced to a full circle, and five-bit levels as eight bits."""
+    turn = (F.col("l_linenumber") * 450).cast("long") - F.col("l_partkey")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", scalars.norm_degrees(turn).alias("degrees"), geometry.five_to_eight((F.col("l_suppkey") % 32).cast("int")).alias("level"))
+
+
+@query(f"""
+WITH p AS (SELECT vec_id, CAST(floor((vec_id % 9 * 50 - 100) / 90.0 + 0.5) * 90 AS BIGINT) AS t, i % 16 AS sx, i // 16 AS sy, v FROM {_PIXELS}),
+q AS (SELECT *, (t % 360 + 360) % 360 AS turn FROM p)
+SELECT vec_id, CAST(turn AS INTEGER) AS turn, CAST(CASE turn WHEN 90 THEN 3 - sy WHEN 180 THEN 15 - sx WHEN 270 THEN sy ELSE sx END AS INTEGER) AS x, CAST(CASE turn WHEN 90 THEN sx WHEN 180 THEN 3 - sy WHEN 270 THEN 15 - sx ELSE sy END AS INTEGER) AS y, v FROM q
+""")
+def turn_pixels(spark, sf_dir):
+    """Pixels of 16 x 4 images turned clockwise as the list says."""
+    px = _images(spark, sf_dir).select("vec_id", scalars.norm_rotation(F.col("vec_id") % 9 * 50 - 100).alias("turn"), F.posexplode("v").alias("i", "v"))
+    moved = geometry.oriented((F.col("i") % 16).cast("int"), F.floor(F.col("i") / 16).cast("int"), F.lit(16), F.lit(4), geometry.orientation_of_turn(F.col("turn")))
+    return px.withColumn("o", moved).select("vec_id", "turn", "o.x", "o.y", "v")
+
+
+@query(f"""
+WITH p AS (SELECT vec_id, i, v, (v // 8)::INTEGER AS five, vec_id % 2 = 0 AS opaque FROM {_PIXELS})
+SELECT vec_id, CAST(i % 8 AS INTEGER) AS x, CAST(7 - i // 8 AS INTEGER) AS y, CAST(five * 8 + five // 4 AS INTEGER) AS r, CAST((31 - five) * 8 + (31 - five) // 4 AS INTEGER) AS g, CAST(five * 8 + five // 4 AS INTEGER) AS b,
+  CAST(CASE WHEN NOT opaque AND v < 128 AND bool_or(v >= 128) OVER (PARTITION BY vec_id) THEN 0 ELSE 255 END AS INTEGER) AS a FROM p
+""")
+def decode_tga16(spark, sf_dir):
+    """Pixels of 15- and 16-bit TGA images made from the vectors; of every other one the top bit is the alpha channel."""
+    five = lambda v: F.floor(v / 8).cast("int")
+    word = lambda v: F.when(v >= 128, 1 << 15).otherwise(0) + five(v) * 1024 + (31 - five(v)) * 32 + five(v)
+    body = F.array_join(F.transform("v", lambda v: F.concat(F.lpad(F.hex(word(v) % 256), 2, "0"), F.lpad(F.hex(F.floor(word(v) / 256)), 2, "0"))), "")
+    head = F.concat(F.lit("000002000000000000000000" + "08000800"), F.when(F.col("vec_id") % 2 == 0, "0F00").otherwise("1001"))
+    files = _images(spark, sf_dir).select("vec_id", F.unhex(F.concat(head, body)).alias("content"))
+    return decode.tga_pixels(files, "vec_id")
+
+
+@query(f"""
+WITH p AS (SELECT vec_id, i, v // 16 AS k FROM {_PIXELS})
+SELECT vec_id, CAST(i % 8 AS INTEGER) AS x, CAST(i // 8 AS INTEGER) AS y, CAST(k * 3 AS INTEGER) AS r, CAST(255 - k * 16 AS INTEGER) AS g, CAST(k * 16 AS INTEGER) AS b FROM p
+""")
+def palette_pixels(spark, sf_dir):
+    """Pixels of TGA images made from the vectors, with a colour map of 16 entries that starts at 5."""
+    entries = "".join(f"{k * 16:02X}{255 - k * 16:02X}{k * 3:02X}" for k in range(16))
+    body = F.array_join(F.transform("v", lambda v: F.lpad(F.hex(F.floor(v / 16) + 5), 2, "0")), "")
+    files = _images(spark, sf_dir).select("vec_id", F.unhex(F.concat(F.lit("02010105001000180000000008000800" + "0820" + "AABB" + entries), body)).alias("content"))
+    return decode.tga_pixels(files, "vec_id").select("vec_id", "x", "y", "r", "g", "b")
+
+
+@query(f"""
+WITH p AS (SELECT vec_id, i, v FROM {_PIXELS})
+SELECT vec_id, CAST(i % 8 AS INTEGER) AS x, CAST(i // 8 AS INTEGER) AS y, v AS r, 255 - v AS g, v AS b, CASE vec_id % 3 WHEN 0 THEN 255 ELSE v END AS a FROM p WHERE vec_id % 3 <> 2
+""")
+def decode_tga32(spark, sf_dir):
+    """Pixels of 32-bit TGA images made from the vectors; an alpha channel of zeros is opaque, a file cut short gives none."""
+    body = F.array_join(F.transform("v", lambda v: F.concat(F.lpad(F.hex(v), 2, "0"), F.lpad(F.hex(255 - v), 2, "0"), F.lpad(F.hex(v), 2, "0"), F.when(F.col("vec_id") % 3 == 0, "00").otherwise(F.lpad(F.hex(v), 2, "0")))), "")
+    whole = F.concat(F.lit("000002000000000000000000080008002028"), body)
+    files = _images(spark, sf_dir).select("vec_id", F.unhex(F.when(F.col("vec_id") % 3 == 2, F.substring(whole, 1, 400)).otherwise(whole)).alias("content"))
+    return decode.tga_pixels(files, "vec_id")
+
+
+@query(f"""
+SELECT vec_id, CAST(i % 4 AS INTEGER) AS x, CAST(i // 4 AS INTEGER) AS y, max(v) FILTER (WHERE k = 0) AS r, max(v) FILTER (WHERE k = 1) AS g, max(v) FILTER (WHERE k = 2) AS b, max(v) FILTER (WHERE k = 3) AS a
+FROM (SELECT vec_id, i // 4 AS i, i % 4 AS k, v FROM {_PIXELS}) GROUP BY vec_id, i
+""")
+def decode_pam(spark, sf_dir):
+    """Pixels of 4 x 4 arbitrary maps (P7) with colours and alpha, made from the vectors."""
+    head = b"P7\nWIDTH 4\nHEIGHT 4\nDEPTH 4\nMAXVAL 255\nTUPLTYPE RGB_ALPHA\nENDHDR\n".hex().upper()
+    files = _images(spark, sf_dir).select("vec_id", F.unhex(F.concat(F.lit(head), _hex_bytes(F.col("v")))).alias("content"))
+    return decode.pnm_pixels(files, "vec_id")
+
+
+@query("""
+WITH t AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 9 = 0 THEN NULL ELSE l_partkey END AS w, CASE WHEN l_partkey % 10 = 0 THEN NULL ELSE l_suppkey END AS h, CASE WHEN l_partkey % 3 <> 0 THEN [l_partkey, l_partkey * 2, l_suppkey] END AS strips,
+  CASE WHEN l_partkey % 4 = 0 THEN [l_suppkey] END AS tiles, CASE WHEN l_suppkey % 3 <> 0 THEN [l_suppkey, 10, l_linenumber] END AS counts, CAST(l_quantity * 60 AS BIGINT) AS length FROM lineitem),
+k AS (SELECT *, coalesce(strips, tiles) AS offs FROM t WHERE w IS NOT NULL AND h IS NOT NULL AND (strips IS NOT NULL OR tiles IS NOT NULL))
+SELECT l_orderkey, l_linenumber, coalesce(len(list_filter(range(1, len(offs) + 1), lambda i: offs[i] + CASE WHEN counts IS NULL THEN 1 ELSE coalesce(counts[i], 1) END > length)) > 0, false) AS truncated FROM k
+""")
+def tiff_pages(spark, sf_dir):
+    """Directories that are pages, and whether their strips or tiles end beyond the file."""
+    part, supp = F.col("l_partkey"), F.col("l_suppkey")
+    tags = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.when(part % 9 != 0, part).alias("w"), F.when(part % 10 != 0, supp).alias("h"), F.when(part % 3 != 0, F.array(part, part * 2, supp)).alias("strips"), F.when(part % 4 == 0, F.array(supp)).alias("tiles"),
+        F.when(supp % 3 != 0, F.array(supp, F.lit(10).cast("long"), F.col("l_linenumber").cast("long"))).alias("counts"), (F.col("l_quantity") * 60).cast("long").alias("length"),
+    )
+    offsets = F.coalesce("strips", "tiles")
+    counts = F.when(F.col("counts").isNotNull(), F.slice("counts", 1, F.size(offsets)))
+    pages = tags.where(verdicts.tiff_page(F.col("w"), F.col("h"), F.col("strips"), F.col("tiles")))
+    return pages.select("l_orderkey", "l_linenumber", verdicts.tiff_truncated(offsets, counts, F.col("length")).alias("truncated"))
+
+
+def _numbered_lines() -> Column:
+    return F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+
+
+@query("""
+WITH a AS (SELECT l_orderkey AS file_id, l_linenumber % 3 AS item, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS place, l_partkey % 6 AS index FROM lineitem),
+p AS (SELECT o_orderkey AS file_id, i AS index, (['irot', 'imir', 'pixi', 'irot'])[(o_custkey + i) % 4 + 1] AS type, (o_custkey * 7 + i * 5) % 256 AS value FROM (SELECT *, unnest(range(1, 5)) AS i FROM orders)),
+o AS (SELECT file_id, type, value, place FROM a JOIN (SELECT o_orderkey AS file_id, o_orderkey % 3 AS item FROM orders) USING (file_id, item) JOIN p USING (file_id, index)),
+r AS (SELECT file_id, arg_max(value % 4, place) FILTER (WHERE type = 'irot') AS angle, arg_max(value % 2, place) FILTER (WHERE type = 'imir') AS axis FROM o GROUP BY file_id)
+SELECT o_orderkey AS file_id, CAST(CASE WHEN axis IS NULL THEN ([1, 8, 3, 6])[coalesce(angle, 0) + 1] WHEN axis = 0 THEN ([4, 5, 2, 7])[coalesce(angle, 0) + 1] ELSE ([2, 7, 4, 5])[coalesce(angle, 0) + 1] END AS INTEGER) AS orientation FROM orders LEFT JOIN r ON file_id = o_orderkey
+""")
+def item_orientation(spark, sf_dir):
+    """Orientation of each container's primary item by the properties that it is associated with."""
+    of_items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("file_id"), (F.col("l_linenumber") % 3).cast("long").alias("item"), _numbered_lines().alias("place"), (F.col("l_partkey") % 6).cast("int").alias("index"))
+    orders = table(spark, sf_dir, "orders")
+    primary = orders.select(F.col("o_orderkey").alias("file_id"), (F.col("o_orderkey") % 3).alias("item"))
+    made = orders.select(F.col("o_orderkey").alias("file_id"), "o_custkey", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("index"))
+    properties = made.select("file_id", "index", _pick(("irot", "imir", "pixi", "irot"), F.col("o_custkey") + F.col("index")).alias("type"), ((F.col("o_custkey") * 7 + F.col("index") * 5) % 256).cast("int").alias("value"))
+    return ranking.item_orientation(of_items, properties, primary)
+
+
+@query("""
+WITH a AS (SELECT l_orderkey AS file_id, (['unknown', 'jpeg', 'png'])[l_orderkey % 3 + 1] AS format, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS attempt_no, (['base', 'tiff', 'raw', 'heif'])[l_linenumber % 4 + 1] AS decoder, l_suppkey % 5 = 0 AS ok, CASE WHEN l_partkey % 4 = 0 THEN NULL ELSE 'fault ' || (l_partkey % 10) END AS message FROM lineitem),
+g AS (SELECT file_id, min(format) AS format, arg_min(struct_pack(d := decoder, n := attempt_no), attempt_no) FILTER (WHERE ok) AS b, arg_min(struct_pack(m := message), attempt_no) AS m FROM a GROUP BY file_id)
+SELECT file_id, b.d AS decoder, CAST(coalesce(b.n, -1) AS INTEGER) AS attempt, CASE WHEN b IS NULL THEN CASE WHEN format <> 'unknown' AND m.m IS NOT NULL THEN m.m ELSE 'not a readable image' END END AS message FROM g
+""")
+def decode_attempts(spark, sf_dir):
+    """The decoder that reads each file, in the order of attempts, or what the first one says."""
+    lines = table(spark, sf_dir, "lineitem")
+    attempts = lines.select(
+        F.col("l_orderkey").alias("file_id"), _pick(("unknown", "jpeg", "png"), F.col("l_orderkey")).alias("format"), (_numbered_lines() - 1).alias("attempt_no"), _pick(("base", "tiff", "raw", "heif"), F.col("l_linenumber")).alias("decoder"),
+        (F.col("l_suppkey") % 5 == 0).alias("ok"), F.when(F.col("l_partkey") % 4 != 0, F.concat(F.lit("fault "), (F.col("l_partkey") % 10).cast("string"))).alias("message"),
+    )
+    return ranking.first_decoder(attempts).withColumn("attempt", F.coalesce("attempt", F.lit(-1)))
+
+
+@query("SELECT l_orderkey, l_linenumber, w >= 8 AND h >= 8 AND w * h <= 100000000 AS preview, w >= 1 AND h >= 1 AND w * h <= 100000000 AND w <= 4096 AS icon FROM (SELECT l_orderkey, l_linenumber, l_partkey % 30000 AS w, l_suppkey * 7 % 9000 AS h FROM lineitem)")
+def size_guards(spark, sf_dir):
+    """Which sizes are decoded, as previews and as bitmaps inside icons."""
+    w, h = F.col("l_partkey") % 30000, F.col("l_suppkey") * 7 % 9000
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", ranking.size_fits(w, h, ranking.LEAST_EDGE).alias("preview"), ranking.size_fits(w, h, 1, ranking.MOST_ICON_WIDTH).alias("icon"))
+
+
+@query("""
+WITH t AS (SELECT p_partkey, p_size * 90 % 360 AS deg FROM part), f AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_quantity > 25)
+SELECT p_partkey, CAST(deg AS INTEGER) AS deg FROM t SEMI JOIN f ON p_partkey = l_partkey WHERE deg <> 0
+""")
+def turns_left(spark, sf_dir):
+    """Turns of the files that are still in a list."""
+    turns = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 90 % 360).alias("deg"))
+    files = table(spark, sf_dir, "lineitem").where("l_quantity > 25").select(F.col("l_partkey").alias("p_partkey"))
+    return manifest.without_left(turns, files, "p_partkey")
+
+
+@query("""
+WITH n AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos FROM orders),
+k AS (SELECT o_custkey, o_orderkey, pos FROM n WHERE o_orderkey % 6 <> 0)
+SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS BIGINT) AS num FROM k
+""")
+def reorder_all(spark, sf_dir):
+    """Lists in a whole new order that leaves some files out, numbered."""
+    lists = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey").withColumn("pos", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1)
+    order = table(spark, sf_dir, "orders").where("o_orderkey % 6 <> 0").select("o_custkey", "o_orderkey", (-F.col("o_orderkey")).alias("pos"))
+    return manifest.numbered(manifest.reordered(lists, order, "o_custkey", "o_orderkey"), "o_custkey").select("o_custkey", "o_orderkey", F.col("num").cast("long").alias("num"))
+
+
+@query("""
+WITH n AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos FROM orders)
+SELECT o_custkey, o_orderkey, CASE WHEN pos > o_custkey % 5 THEN pos - 1 ELSE pos END AS pos FROM n WHERE pos <> o_custkey % 5
+""")
+def remove_one(spark, sf_dir):
+    """Lists without the file at one place; the rest closes up."""
+    lists = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey").withColumn("pos", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).cast("long") - 1)
+    return manifest.removed(lists, "o_custkey", F.col("o_custkey") % 5)
+
+
+@query("""
+WITH r AS (SELECT l_suppkey, l_linenumber AS frames, l_partkey % 3 = 0 AS bad FROM lineitem)
+SELECT l_suppkey, CAST(count_if(NOT bad) AS BIGINT) AS used, CAST(coalesce(sum(frames) FILTER (WHERE NOT bad), 0) AS BIGINT) AS pages FROM r GROUP BY l_suppkey HAVING count_if(NOT bad) > 0
+""")
+def build_usable(spark, sf_dir):
+    """Builds of the lists that have a usable file; without the filter the query would fail for the others."""
+    files = table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_orderkey").alias("pos"), F.lit("/a/b.jpg").alias("path"), F.when(F.col("l_partkey") % 3 == 0, "boom").alias("error"), F.lit(False).alias("user_facing"), F.col("l_linenumber").alias("frames"))
+    return build.usable(build.summary(files, "l_suppkey").where("used > 0")).select("l_suppkey", "used", "pages")

@@ -2,12 +2,13 @@
 
 Rows: page_w, page_h, draw_x, draw_y, draw_w, draw_h (points), caption, rotate, width, height, rgb (8-bit RGB bytes). Each
 task streams its partition's pages in their order into a file of its own; sort within partitions by list and position
-first. Images are stored as deflated RGB. On commit the driver writes a list of the parts; no page passes through it."""
+first. Images are stored as deflated RGB. On commit the driver writes a list of the parts; no page passes through it. The
+path is a URI of any file system that pyarrow knows (file, hdfs, s3, gs, abfs ...), shared by the driver and executors."""
 
 from __future__ import annotations
 
+import contextlib
 import json
-import os
 import uuid
 import zlib
 from dataclasses import dataclass
@@ -65,12 +66,20 @@ class PagePdfWriter(DataSourceWriter):
     def __init__(self, folder: str):
         self.folder = folder
 
+    def _store(self):
+        """(file system, folder in it), made on the machine that uses it."""
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(self.folder) if "://" in self.folder or self.folder.startswith("file:/") else (fs.LocalFileSystem(), self.folder)
+        store.create_dir(base, recursive=True)
+        return store, base
+
     def write(self, rows):
-        os.makedirs(self.folder, exist_ok=True)
+        store, base = self._store()
         name, out, sink = f"part-{uuid.uuid4().hex}.pdf", None, None
         for row in rows:
             if out is None:
-                sink = open(f"{self.folder}/{name}", "wb")  # noqa: SIM115
+                sink = store.open_output_stream(f"{base}/{name}", compression=None)
                 out = PdfFile(sink)
             out.page(row)
         if out is None:
@@ -80,14 +89,16 @@ class PagePdfWriter(DataSourceWriter):
         return Part(name, len(out.kids))
 
     def commit(self, messages):
-        os.makedirs(self.folder, exist_ok=True)
-        with open(f"{self.folder}/_parts.json", "w") as f:
-            json.dump([[m.name, m.pages] for m in messages if m and m.pages], f)
+        store, base = self._store()
+        with store.open_output_stream(f"{base}/_parts.json", compression=None) as f:
+            f.write(json.dumps([[m.name, m.pages] for m in messages if m and m.pages]).encode())
 
     def abort(self, messages):
+        store, base = self._store()
         for m in messages:
-            if m and m.name and os.path.exists(f"{self.folder}/{m.name}"):
-                os.remove(f"{self.folder}/{m.name}")
+            if m and m.name:
+                with contextlib.suppress(FileNotFoundError):
+                    store.delete_file(f"{base}/{m.name}")
 
 
 class PagePdf(DataSource):
@@ -96,4 +107,4 @@ class PagePdf(DataSource):
         return "page-pdf"
 
     def writer(self, schema, overwrite):
-        return PagePdfWriter(self.options["path"].removeprefix("file://"))
+        return PagePdfWriter(self.options["path"])

@@ -163,3 +163,80 @@ def test_riff_of_many_chunks(spark):
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "k string, pos long, path string, error string, user_facing boolean, frames int")
     assert build.summary(empty, "k").count() == 0 and manifest.intake(empty, "k").count() == 0 and build.progress(empty, "k").count() == 0
+
+
+def _rgb_image(w, h):
+    return bytes((x * 7 + y * 3 + k * 50) % 256 for y in range(h) for x in range(w) for k in range(3))
+
+
+def test_decoders_take_time_by_the_size(spark):
+    """Images of a million samples, binary and text; the time may not follow the square of the file's length."""
+    import time
+
+    w, h = 640, 520
+    body = _rgb_image(w, h)
+    bgr = bytes(body[i + 2 - k] for i in range(0, len(body), 3) for k in range(3))
+    tga = bytes([0, 0, 2, 0, 0, 0, 0, 0, 0, 0, 0, 0]) + w.to_bytes(2, "little") + h.to_bytes(2, "little") + bytes([24, 0x20]) + bgr
+    qoi = b"qoif" + w.to_bytes(4, "big") + h.to_bytes(4, "big") + b"\3\0" + b"".join(b"\xfe" + body[i : i + 3] for i in range(0, len(body), 3)) + b"\0" * 7 + b"\1"
+    text = f"P3\n{w} {h} 255\n".encode() + b" ".join(b"%d" % v for v in body) + b"\n"
+    for made, raw in ((decode.pnm_pixels, f"P6\n{w} {h}\n255\n".encode() + body), (decode.pnm_pixels, text), (decode.tga_pixels, tga), (decode.qoi_pixels, qoi)):
+        began = time.time()
+        got = made(spark.createDataFrame([(1, raw)], "k long, content binary"), "k").agg(F.count("*"), F.sum(F.col("r").cast("long") * (F.col("x") + 1)), F.sum("g"), F.sum(F.col("b") * F.col("y")), F.max("x"), F.max("y")).first()
+        px = [body[i : i + 3] for i in range(0, len(body), 3)]
+        want = (w * h, sum(p[0] * (i % w + 1) for i, p in enumerate(px)), sum(p[1] for p in px), sum(p[2] * (i // w) for i, p in enumerate(px)), w - 1, h - 1)
+        assert tuple(got) == want and time.time() - began < 60
+
+
+def test_tga_maps_and_words(spark):
+    """Colour maps with an offset and 32-bit entries, 15 and 16 bits, and pixels outside the map."""
+    head = lambda *v: bytes(v)
+    of_map = head(0, 1, 1, 2, 0, 2, 0, 32, 0, 0, 0, 0, 2, 0, 1, 0, 8, 0x20) + bytes([3, 2, 1, 9, 6, 5, 4, 0])
+    files = [(1, of_map + bytes([2, 3])), (2, of_map + bytes([2, 4])), (3, of_map + bytes([3, 3])), (4, head(0, 0, 2, 0, 0, 0, 0, 0, 0, 0, 0, 0, 2, 0, 1, 0, 16, 0x21) + bytes([0x1F, 0x80, 0xE0, 3])), (5, head(0, 0, 2, 0, 0, 0, 0, 0, 0, 0, 0, 0, 1, 0, 1, 0, 15, 0x20) + bytes([0, 0x7C])), (6, head(0, 0, 3, 0, 0, 0, 0, 0, 0, 0, 0, 0, 1, 0, 1, 0, 16, 0x20) + bytes([7, 8])), (7, None), (8, b"")]
+    got = {}
+    for r in decode.tga_pixels(spark.createDataFrame(files, "k long, content binary"), "k").orderBy("k", "x").collect():
+        got.setdefault(r.k, []).append((r.r, r.g, r.b, r.a))
+    assert got == {1: [(1, 2, 3, 9), (4, 5, 6, 0)], 3: [(4, 5, 6, 255)] * 2, 4: [(0, 0, 255, 255), (0, 255, 0, 0)], 5: [(255, 0, 0, 255)], 6: [(7, 7, 7, 8)]}
+
+
+def test_arbitrary_maps(spark):
+    made = lambda depth, most, body, w=1: f"P7\n# made\nWIDTH {w}\nHEIGHT 1\nDEPTH {depth}\nMAXVAL {most}\nTUPLTYPE X\nENDHDR\n".encode() + body
+    files = [(1, made(4, 255, bytes([1, 2, 3, 4]))), (2, made(2, 15, bytes([15, 0]))), (3, made(1, 1, bytes([1, 0]), 2)), (4, made(3, 65535, bytes([255, 255, 0, 0, 128, 0]))), (5, made(3, 15, bytes([16, 0, 0]))), (6, made(3, 255, b"ab")), (7, made(5, 255, b"abcde"))]
+    got = {}
+    for r in decode.pnm_pixels(spark.createDataFrame(files, "k long, content binary"), "k").orderBy("k", "x").collect():
+        got.setdefault(r.k, []).append((r.r, r.g, r.b, r.a))
+    assert got == {1: [(1, 2, 3, 4)], 2: [(255, 255, 255, 0)], 3: [(255, 255, 255, 255), (0, 0, 0, 255)], 4: [(255, 0, 128, 255)]}
+
+
+def test_word_wrap_by_pattern_equals_the_fold(spark):
+    import random
+
+    def fold(line, width):
+        if len(line) <= width:
+            return [line]
+        done, now = [], ""
+        for word in line.split(" "):
+            if now and len(now) + 1 + len(word) > width:
+                done.append(now)
+                now = word
+            else:
+                now = f"{now} {word}" if now else word
+        return done + [now] * bool(now)
+
+    rng = random.Random(2)
+    lines = [rng.choice(["", "", " ", "  "]) + rng.choice([" ", " ", " ", "  "]).join("".join(rng.choice("aé漢\t.😀") for _ in range(rng.choice([1, 3, 9, 10, 11, 25]))) for _ in range(rng.randrange(1, 12))) + rng.choice(["", "", " "]) for _ in range(600)]
+    got = values(spark, "l string", [(x,) for x in lines], F.col("l"), scalars.wrapped(F.col("l"), 10))
+    assert {line: out for line, out in got} == {line: fold(line, 10) for line in lines}
+
+
+def test_last_property_counts_and_first_decoder_speaks(spark):
+    of_items = spark.createDataFrame([(1, 5, 0, 1), (1, 5, 1, 2), (1, 6, 2, 3), (1, 5, 3, 9), (2, 1, 0, 1)], "file_id long, item int, place int, index int")
+    properties = spark.createDataFrame([(1, 1, "irot", 1), (1, 2, "irot", 7), (1, 3, "imir", 1), (2, 1, "imir", 0)], "file_id long, index int, type string, value int")
+    primary = spark.createDataFrame([(1, 5), (2, 1), (3, 4)], "file_id long, item int")
+    assert {r.file_id: r.orientation for r in ranking.item_orientation(of_items, properties, primary).collect()} == {1: 6, 2: 4, 3: 1}
+    attempts = spark.createDataFrame([(1, "jpeg", 0, "base", False, "torn"), (1, "jpeg", 1, "raw", True, None), (2, "jpeg", 0, "base", False, "torn"), (2, "jpeg", 1, "raw", False, "no"), (3, "unknown", 0, "base", False, "torn")], "file_id long, format string, attempt_no int, decoder string, ok boolean, message string")
+    assert sorted(tuple(r) for r in ranking.first_decoder(attempts).collect()) == [(1, "raw", 1, None), (2, None, None, "torn"), (3, None, None, "not a readable image")]
+
+
+def test_no_usable_file_fails_the_build(spark):
+    with pytest.raises(Exception, match="no usable file"):
+        build.usable(spark.createDataFrame([(1, 0)], "list int, used int")).collect()

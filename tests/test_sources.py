@@ -49,3 +49,12 @@ def test_cache(spark):
     requests = spark.createDataFrame([("a", 1), ("b", 2), ("a", 3), (None, 4)], "key string, ts int")
     assert [r.key for r in build.cache_after(requests, 1).collect()] == ["a"]
     assert [r.key for r in build.to_fetch(requests, spark.createDataFrame([("a",)], "key string")).collect()] == ["b"]
+
+
+def test_requests_that_share_a_decode(spark, tmp_path):
+    source = tmp_path / "requests"
+    source.mkdir()
+    (source / "a.json").write_text("".join(json.dumps({"key": k, "ts": f"2024-01-01T00:{m:02}:00Z"}) + "\n" for k, m in (("a", 0), ("a", 5), ("b", 6), ("a", 7))))
+    q = intake.new_only(spark.readStream.schema("key string, ts timestamp").json(str(source))).select("key").writeStream.format("memory").queryName("asked").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert sorted(r.key for r in spark.table("asked").collect()) == ["a", "b"]
