@@ -173,6 +173,7 @@ def write_packages(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: st
     keyed = source.withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("size", F.octet_length("html"))
     order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url")
     same = keyed.where(F.col("size") >= min_bytes).select("digest", order.alias("o")).groupBy("digest").agg(F.min("o").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    same = written(same, "repeated")  # a table of its own, so that Spark splits a digest that a third of the pages have
     # the pages that revisit another one, by id: payloads stay out of this
     later = keyed.select("page_id", "url", "digest", order.alias("o")).join(same, "digest").where(F.col("o") != F.col("first")).select(F.col("page_id").alias("later_id"), F.col("digest").alias("later_digest"), F.col("url").alias("later_url"), F.col("first.page_id").alias("refers_to")).distinct()
     joined = keyed.join(later, F.col("page_id").eqNullSafe(F.col("later_id")) & (F.col("digest") == F.col("later_digest")) & (F.col("url") == F.col("later_url")), "left")
@@ -236,10 +237,10 @@ def read_records(index: DataFrame, with_payload: bool = False) -> DataFrame:
                 source.seek(at)
                 head, body = parse_record(source.read(length))
                 digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
-                if head["WARC-Type"] == "response" and sha1_base32(body) != digest:
+                if head["WARC-Type"] == "response" and (sha1_base32(body) != digest or len(body) != int(head["X-Payload-Length"])):
                     raise ValueError("a payload doesn't match its digest")
                 number = lambda v: None if v in (None, "None") else int(v)
-                row = {"page_id": number(head["WARC-Record-ID"][10:-1]), "payload_bytes": int(head["X-Payload-Length"]), "payload_digest": digest, "record_type": head["WARC-Type"], "refers_to": number(head["WARC-Refers-To"][10:-1]) if "WARC-Refers-To" in head else None}
+                row = {"page_id": number(head["WARC-Record-ID"][10:-1]), "payload_bytes": len(body) if head["WARC-Type"] == "response" else int(head["X-Payload-Length"]), "payload_digest": digest, "record_type": head["WARC-Type"], "refers_to": number(head["WARC-Refers-To"][10:-1]) if "WARC-Refers-To" in head else None}
                 rows.append(row | {"url": head.get("WARC-Target-URI"), "payload": body} if with_payload else row)
             yield pa.RecordBatch.from_pylist(rows, arrow)
         if source is not None:

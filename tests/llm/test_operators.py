@@ -372,20 +372,26 @@ def test_long_texts_keep_every_anchor():
 
 
 def test_licences(spark):
+    full = license_scan.TEMPLATES["BSD-3-Clause"][2]
+    wrapped_mit = "Copyright (c) 2020 Some One\n\n" + "\n".join(re.findall(r"(?s).{1,70}(?:\s|$)", license_scan.TEMPLATES["MIT"][2]))
     rows = [
         (1, "p/LICENSE", "MIT License\nReleased under the MIT License."), (2, "p/a/x.py", "code code code code code code"), (3, "p/a/b/y.py", "Licensed under the Apache License, Version 2.0. " + "More words here and so on. " * 9), (4, "q/z.py", None),
         (5, "p/a/COPYING.txt", "This work is licensed under the GNU General Public License, version 3."), (6, "p/a/b/c/w.py", ""), (7, None, "some text"), (2, "p/a/x.py", "code code code code code code"), (8, "p/v.py", "A licensee wrote about a licence to drive on roads of the north."),
+        (9, "r/LICENSE.md", full), (10, "r/s/t/u.c", "int x;"), (11, "r/s/LICENCE", wrapped_mit), (12, "r/s/a.c", "nothing"), (13, "v/long.txt", "prose words of any kind. " * 20_000 + "Licensed under CC BY 4.0.\n" + "other words. " * 9000 + "\nRights reserved by nobody with any licence of note or permission. "),
+        (14, "r/two.c", "Released under the MIT License. And so on. Licensed under CC BY 4.0. " + "and much else. " * 9),
     ]
-    files = spark.createDataFrame(rows, "file_id long, path string, text string")
+    files = spark.createDataFrame([(*r, "k", 2.0, "d", True, 3) for r in rows], "file_id long, path string, text string, license string, cosine double, directory string, says boolean, row int")
     got = {r.file_id: (r.license, r.found, r.from_directory) for r in license_scan.scanned(files, "file_id", "path", "text").collect()}
     assert got[1] == ("MIT", "own", None) and got[2] == ("GPL-3.0", "inherited", "p/a") and got[3] == ("Apache-2.0", "own", None) and got[4] == (None, "none", None)
     assert got[5] == ("GPL-3.0", "own", None) and got[6] == ("GPL-3.0", "inherited", "p/a") and got[7] == (None, "none", None) and got[8] == ("MIT", "inherited", "p")
+    assert got[9] == ("BSD-3-Clause", "own", None) and got[10] == ("MIT", "inherited", "r/s") == got[12] and got[11] == ("MIT", "own", None)
+    assert got[13] == ("CC-BY-4.0", "own", None) and got[14][1] == "own"
     assert license_scan.scanned(files.limit(0), "file_id", "path", "text").count() == 0
 
 
 def test_warc_round_trip(spark):
     rows = [(3, "u", "aa"), (1, "v\r\n", "aa"), (2, None, None), (9, "q", ""), (None, "z", "aa"), (4, "é", "x" * 200_000), (5, "w", "日本"), (5, "w", "日本")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages = spark.createDataFrame([(*r, "d", "f", 5, None) for r in rows], "page_id long, url string, html string, digest string, first string, size int, refers_to long")
     manifest = warc_zip.write_packages(pages, new_path(spark, "warc"))
     got = sorted((r.page_id if r.page_id is not None else -1, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc_zip.read_records(warc_zip.record_index(manifest)).collect())
     digest = lambda s: base64.b32encode(hashlib.sha1((s or "").encode()).digest()).decode()
