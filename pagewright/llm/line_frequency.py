@@ -124,9 +124,11 @@ def frequent_lines(stats: DataFrame, min_docs: int = MIN_DOCS, host_share: float
 
 def judged(stats: DataFrame, min_docs: int = MIN_DOCS, host_share: float = HOST_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
     """stats with removed_words, removed_lines (their hashes), base_failed and kept. stats should be a written table."""
-    frequent = frequent_lines(stats, min_docs, host_share)
+    # joined tables stand by themselves, so that Spark splits a line, or a copied text, that a third of the rows have
+    frequent = written(frequent_lines(stats, min_docs, host_share), "frequent")
     lines = stats.select("host", "text_hash", F.explode("lines").alias("l")).select("host", "text_hash", F.col("l.line").alias("line"), F.col("l.words").alias("words")).distinct()
     removed = lines.join(frequent, ["host", "line"]).groupBy("host", "text_hash").agg(F.sum("words").alias("removed_words"), F.collect_list("line").alias("removed_lines"))
+    removed = written(removed, "removed")
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return (
         stats.drop("lines").join(removed, ["host", "text_hash"], "left")
@@ -141,7 +143,7 @@ def without_lines(docs: DataFrame, verdicts: DataFrame, host_col: str = "source"
 
     verdicts has a row per document; it is reduced to one per (host, text) before the join."""
     names = docs.columns
-    plain = verdicts.where("kept").select("host", "text_hash", "removed_lines").dropDuplicates(["host", "text_hash"])
+    plain = written(verdicts.where("kept").select("host", "text_hash", "removed_lines").dropDuplicates(["host", "text_hash"]), "kept")
     schema = docs.withColumn("_text_hash", F.lit(0).cast("long")).schema
 
     def hashed(batches):
