@@ -147,10 +147,10 @@ def ready_text(images: Column, pdfs: Column) -> Column:
 
 
 def status_text(images: Column, pdfs: Column, pages: Column, n_bytes: Column, skipped: Column) -> Column:
-    """The result's parts: files by kind, pages, size and how many were skipped."""
+    """What a finished build says: files by kind, pages, size and how many were skipped."""
     parts = F.concat_ws(" + ", F.when(images > 0, plural(images, "photo")), F.when(pdfs > 0, plural(pdfs, "PDF")))
-    tail = F.when(skipped > 0, F.concat(F.lit("; skipped "), plural(skipped, "file"))).otherwise("")
-    return F.concat(parts, F.lit(", "), plural(pages, "page"), F.lit(", "), size_text(n_bytes), tail)
+    tail = F.when(skipped > 0, F.concat(F.lit(" "), plural(skipped, "file"), F.lit(" skipped."))).otherwise("")
+    return F.concat(F.lit("PDF saved — "), parts, F.lit(", "), plural(pages, "page"), F.lit(", "), size_text(n_bytes), F.lit("."), tail)
 
 
 def default_name(day: Column, first_path: Column) -> Column:

@@ -424,8 +424,8 @@ def html_escape(spark, sf_dir):
 @query("""
 WITH m AS (SELECT o_custkey, count_if(o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0) AS images, count_if(o_orderkey % 5 = 0 AND o_orderkey % 7 <> 0) AS pdfs, count_if(o_orderkey % 7 = 0) AS skipped, CAST(sum(floor(o_totalprice)) AS BIGINT) AS b FROM orders GROUP BY o_custkey),
 s AS (SELECT *, images + 3 * pdfs AS pages, floor(b / 1024.0 + 0.5) AS kb FROM m)
-SELECT o_custkey, concat_ws(' + ', CASE WHEN images > 0 THEN images || ' photo' || CASE images WHEN 1 THEN '' ELSE 's' END END, CASE WHEN pdfs > 0 THEN pdfs || ' PDF' || CASE pdfs WHEN 1 THEN '' ELSE 's' END END) || ', ' || pages || ' page' || CASE pages WHEN 1 THEN '' ELSE 's' END || ', ' ||
-  CASE WHEN kb >= 1024 THEN printf('%d.%d MB', floor(kb * 10 / 1024 + 0.5)::BIGINT // 10, floor(kb * 10 / 1024 + 0.5)::BIGINT % 10) ELSE kb::BIGINT || ' KB' END || CASE WHEN skipped > 0 THEN '; skipped ' || skipped || ' file' || CASE skipped WHEN 1 THEN '' ELSE 's' END ELSE '' END AS status,
+SELECT o_custkey, 'PDF saved — ' || concat_ws(' + ', CASE WHEN images > 0 THEN images || ' photo' || CASE images WHEN 1 THEN '' ELSE 's' END END, CASE WHEN pdfs > 0 THEN pdfs || ' PDF' || CASE pdfs WHEN 1 THEN '' ELSE 's' END END) || ', ' || pages || ' page' || CASE pages WHEN 1 THEN '' ELSE 's' END || ', ' ||
+  CASE WHEN kb >= 1024 THEN printf('%d.%d MB', floor(kb * 10 / 1024 + 0.5)::BIGINT // 10, floor(kb * 10 / 1024 + 0.5)::BIGINT % 10) ELSE kb::BIGINT || ' KB' END || '.' || CASE WHEN skipped > 0 THEN ' ' || skipped || ' file' || CASE skipped WHEN 1 THEN '' ELSE 's' END || ' skipped.' ELSE '' END AS status,
   CASE WHEN images = 0 AND pdfs = 0 THEN 'Nothing added yet' WHEN pdfs = 0 THEN images || ' photo' || CASE images WHEN 1 THEN '' ELSE 's' END || ' ready' WHEN images = 0 THEN pdfs || ' PDF' || CASE pdfs WHEN 1 THEN '' ELSE 's' END || ' ready' ELSE images || ' photo' || CASE images WHEN 1 THEN '' ELSE 's' END || ' + ' || pdfs || ' PDF' || CASE pdfs WHEN 1 THEN '' ELSE 's' END || ' ready' END AS ready FROM s
 """)
 def status_message(spark, sf_dir):

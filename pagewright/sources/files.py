@@ -11,6 +11,11 @@ def _plain(path):
     return F.regexp_replace(path, "^[a-z][a-z0-9+.-]*:/{1,3}(?=[^/])", "/")
 
 
+def listed(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """An explicit list of files as (pos, path), in the order given; a path may come twice."""
+    return spark.createDataFrame(list(enumerate(paths)), "pos int, path string")
+
+
 def stat_scan(spark: SparkSession, folder: str) -> DataFrame:
     """path, length and modificationTime of a folder's files; contents are pruned from the scan."""
     return spark.read.format("binaryFile").load(folder).select(_plain(F.col("path")).alias("path"), "length", "modificationTime")

@@ -6,7 +6,7 @@ import zlib
 from pyspark.sql import functions as F
 
 from pagewright.plans import build
-from pagewright.sources import files, pdf_sink
+from pagewright.sources import files, pdf_sink, text_sink
 from pagewright.streaming import intake
 
 
@@ -58,3 +58,11 @@ def test_requests_that_share_a_decode(spark, tmp_path):
     q = intake.new_only(spark.readStream.schema("key string, ts timestamp").json(str(source))).select("key").writeStream.format("memory").queryName("asked").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted(r.key for r in spark.table("asked").collect()) == ["a", "b"]
+
+
+def test_text_sink_and_explicit_lists(spark, tmp_path):
+    docs = spark.createDataFrame([("# Title\n\n\n\n*one* two\n",)], "t string").coalesce(1)
+    text_sink.write_plain(docs, F.col("t"), str(tmp_path / "text"))
+    (part,) = (tmp_path / "text").glob("part-*")
+    assert part.read_bytes() == b"Title\r\n\r\none two\r\n\r\n" or part.read_bytes() == b"Title\r\n\r\none two\r\n"
+    assert [tuple(r) for r in files.listed(spark, ["/b", "/a", "/b"]).orderBy("pos").collect()] == [(0, "/b"), (1, "/a"), (2, "/b")]
