@@ -546,6 +546,9 @@ def test_knn_against_a_plain_reading(spark):
     assert np.allclose(model["y"], [np.mean(votes[t]) for t in order]) and 0.5 in model["y"]
     assert abs(np.linalg.norm(model["points"][order.index(made[0])]) - 1) < 1e-4
 
+    few = knn_quality.fit(spark.createDataFrame(labelled, "text string, label int"), max_labelled=12)
+    assert np.allclose(few["y"], model["y"][:12])
+
     def place(x):
         data, offs = common.texts(pa.array([x]))
         return knn_quality.term_counts(data, offs)
