@@ -49,6 +49,8 @@ BLOCK = 2048
 PART = 2048
 #: Bytes of the outlines that long lists carry.
 SHORT_OUTLINE = 128
+#: Of its long lists, so many (the least keys) are named with each member, so that a pair that shares several leaves once.
+NAMED_LISTS = 16
 #: Rows of ids that are broadcast; beyond that texts are shuffled by id.
 BROADCAST_IDS = 2_000_000
 
@@ -394,7 +396,8 @@ def pairs_of_long(lists: DataFrame, classes: DataFrame, percent: int, nearest: b
 
     Minor members are dealt into blocks, all members into parts; a task's unit is a block and a part of one list. A block
     (some BLOCK members) is held, the part streams past it. nearest: of each minor member, in its first long list, only
-    the pair of nearest outlines in each run of members that is compared at once."""
+    the pair of nearest outlines in each run of members that is compared at once. Else a pair leaves a list only if no lesser
+    list that both members name holds it too; its places are given as -1, as its shared elements aren't counted."""
     blocks, parts = F.ceil(F.col("minors") / BLOCK).cast("int"), F.ceil(F.col("members") / PART).cast("int")
     minor = F.col("comp") != F.col("major")
     entries = lists.withColumn("held", minor)
@@ -402,8 +405,9 @@ def pairs_of_long(lists: DataFrame, classes: DataFrame, percent: int, nearest: b
         first = lists.groupBy("h").agg(F.min(F.struct("pos", "key")).alias("first")).select("h", F.col("first.key").alias("first"))
         entries = lists.join(first, "h").withColumn("held", minor & (F.col("first") == F.col("key")))
         entries = entries.drop("minors").join(entries.where("held").groupBy("key").agg(F.count("*").alias("minors")), "key")
-    entries = entries.join(classes.select("h", "outline"), "h")
-    names = ["h", "n", "pos", "comp", "outline"]
+    named = lists.groupBy("h").agg(F.slice(F.sort_array(F.collect_list("key")), 1, NAMED_LISTS).alias("named"))
+    entries = entries.join(classes.select("h", "outline"), "h").join(named, "h")
+    names = ["h", "n", "pos", "comp", "outline", "named"]
     left = entries.where("held").select("key", F.pmod(F.xxhash64("h"), blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(0).alias("side"), *names)
     right = entries.select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.pmod(F.xxhash64("h", F.lit(1)), parts).cast("int").alias("part"), F.when(minor, 2).otherwise(1).alias("side"), *names)
 
@@ -418,7 +422,11 @@ def pairs_of_long(lists: DataFrame, classes: DataFrame, percent: int, nearest: b
                 x = folded(x.astype(np.int64), SHORT_OUTLINE)
                 outline[i, : len(x)] = np.minimum(x, 1 << 12)
         width = np.array([min(len(x), SHORT_OUTLINE) for x in lines], np.int64)
-        return [*(batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (4, 5, 6, 7, 3)), outline, width * known]
+        own = batch.column(9)
+        names = np.full((len(lines), NAMED_LISTS), np.iinfo(np.int64).max)
+        ends = np.asarray(own.offsets) - own.offsets[0].as_py()
+        names[np.arange(NAMED_LISTS) < np.diff(ends)[:, None]] = np.asarray(own.flatten())
+        return [*(batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (4, 5, 6, 7, 3)), outline, width * known, names]
 
     def apart(x, y, i, j):
         """Least symmetric difference by outlines, over the ranges that both have."""
@@ -432,6 +440,16 @@ def pairs_of_long(lists: DataFrame, classes: DataFrame, percent: int, nearest: b
                     out[some] = np.abs(_narrow(x[5][i[some]], wx[some], w) - _narrow(y[5][j[some]], wy[some], w)).sum(1, dtype=np.int64)
         return out
 
+    def elsewhere(x, y, i, j, key):
+        """Which pairs share a named list of lesser key."""
+        import numpy as np
+
+        out = np.zeros(len(i), bool)
+        for at in range(0, len(i), 4096):
+            a, b = x[7][i[at : at + 4096]], y[7][j[at : at + 4096]]
+            out[at : at + 4096] = ((a[:, :, None] == b[:, None, :]) & (a < key)[:, :, None]).any((1, 2))
+        return out
+
     def run(batches):
         import numpy as np
 
@@ -469,8 +487,12 @@ def pairs_of_long(lists: DataFrame, classes: DataFrame, percent: int, nearest: b
                         new = np.ones(len(order), bool)
                         new[1:] = i[order][1:] != i[order][:-1]
                         i, j = i[order[new]], j[order[new]]
+                    elif len(i):
+                        first_here = ~elsewhere(held, y, i, j, unit[0])
+                        i, j = i[first_here], j[first_here]
                     if len(i):
-                        yield _pairs(held, y, i, j)
+                        uncounted = np.full(len(i), -1)
+                        yield _pairs([held[0][i], held[1][i], uncounted], [y[0][j], y[1][j], uncounted], np.arange(len(i)), np.arange(len(i)))
 
     rows = left.unionByName(right).repartition("key", "block", "part").sortWithinPartitions("key", "block", "part", "side")
     return rows.mapInArrow(run, PAIRS)

@@ -101,17 +101,17 @@ def fit(labelled: DataFrame, max_labelled: int = MAX_LABELLED, rank: int = RANK)
     y = np.array([r.label for r in held])
     if not len(y) or y.min() == y.max():
         return {"label": float(y[0]) if len(y) else 1.0}
-    sparse = [(np.frombuffer(r.terms, np.uint16).astype(np.int64), np.frombuffer(r.counts, np.uint32)) for r in held]
+    sparse = [(np.frombuffer(r.terms, np.uint16), np.frombuffer(r.counts, np.uint32)) for r in held]  # views, no copies
     df = np.zeros(DIMS)
     for t, _ in sparse:
         df[t] += 1
     idf = np.where(df >= 2, np.log((1 + len(held)) / (1 + df)) + 1, 0).astype(np.float32)
 
     def blocks():
-        for i in range(0, len(sparse), BLOCK_ROWS):
-            some = sparse[i : i + BLOCK_ROWS]
+        for i in range(0, len(sparse), 64):
+            some = sparse[i : i + 64]
             row = np.repeat(np.arange(len(some)), [len(t) for t, _ in some])
-            yield _weighted(row, np.concatenate([t for t, _ in some]), np.concatenate([c for _, c in some]), len(some), idf)[0]
+            yield _weighted(row, np.concatenate([t for t, _ in some]).astype(np.int64), np.concatenate([c for _, c in some]), len(some), idf)[0]
 
     def round_trip(q):
         return sum(x.T @ (x @ q) for x in blocks())
