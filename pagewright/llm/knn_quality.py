@@ -92,11 +92,13 @@ def fit(labelled: DataFrame, max_labelled: int = MAX_LABELLED, rank: int = RANK)
                 yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), *(pa.array(x, pa.binary()) for x in packed)], ["h", "label", "terms", "counts"])
 
     rows = labelled.where(F.col("label").isin(0, 1)).select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("label").cast("double").alias("label")).withColumn("h", F.xxhash64("text"))
-    sample = rows.groupBy("h").agg(F.avg("label").alias("label"), F.first("text").alias("text"))
-    if rows.count() > max_labelled:  # the texts of least hash; only hashes meet in one task, so texts stay spread
+    total = rows.count()
+    if total > max_labelled:  # a share of the hashes a little above the bound, as Spark filters it where texts are read; then
+        # the texts of least hash: only hashes meet in one task, so texts stay spread
+        rows = rows.where(F.pmod(F.col("h"), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, 1.2 * max_labelled / total))))
         most = rows.select("h").distinct().orderBy("h").limit(max_labelled).agg(F.max("h")).first()[0]
-        sample = sample.where(F.col("h") <= most)
-    sample = sample.select("h", "label", "text")
+        rows = rows.where(F.col("h") <= F.lit(most))
+    sample = rows.groupBy("h").agg(F.avg("label").alias("label"), F.first("text").alias("text")).select("h", "label", "text")
     held = sorted(sample.mapInArrow(run, "h long, label double, terms binary, counts binary").collect(), key=lambda r: r.h)
     y = np.array([r.label for r in held])
     if not len(y) or y.min() == y.max():

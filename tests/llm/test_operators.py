@@ -547,7 +547,8 @@ def test_knn_against_a_plain_reading(spark):
     assert abs(np.linalg.norm(model["points"][order.index(made[0])]) - 1) < 1e-4
 
     few = knn_quality.fit(spark.createDataFrame(labelled, "text string, label int"), max_labelled=12)
-    assert np.allclose(few["y"], model["y"][:12])
+    kept = [t for t in order if hash_of[t] % 2**20 < int(2**20 * 1.2 * 12 / 52)][:12]
+    assert len(kept) >= 8 and np.allclose(few["y"], [np.mean(votes[t]) for t in kept])
 
     def place(x):
         data, offs = common.texts(pa.array([x]))
