@@ -96,3 +96,15 @@ def bucket_of(key: str, bounds: list[int]):
 
 def bytes_of(df: DataFrame, column: str = "text") -> int:
     return df.agg(F.sum(F.length(F.col(column).cast("binary")))).first()[0] or 0
+
+
+def labelled_sample(labelled: DataFrame, most: int) -> DataFrame:
+    """h, label, text: at most `most` distinct texts of labelled (text, label 0 or 1), those of least hash h, with their mean
+    label; the same rows in each run. Only hashes meet in one task, and rows beyond the sample end where texts are read."""
+    rows = labelled.where(F.col("label").isin(0, 1)).select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("label").cast("double").alias("label")).withColumn("h", F.xxhash64("text"))
+    total = rows.count()
+    if total > most:  # a share of the hashes a little above the bound, then a cut-off among them
+        rows = rows.where(F.pmod(F.col("h"), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, 1.2 * most / total))))
+        last = rows.select("h").distinct().orderBy("h").limit(most).agg(F.max("h")).first()[0]
+        rows = rows.where(F.col("h") <= F.lit(last))
+    return rows.groupBy("h").agg(F.avg("label").alias("label"), F.first("text").alias("text")).select("h", "label", "text")

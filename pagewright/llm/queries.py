@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard_join, knn_quality, license_scan, line_frequency, soft_mixing, syncmers, token_frames, url_filter, warc_zip
+from . import bpe, filter_audit, jaccard_join, knn_quality, license_scan, line_frequency, merkle_manifest, soft_mixing, syncmers, token_frames, toxicity, url_filter, warc_zip
 
 
 def queries():
@@ -17,8 +17,11 @@ def queries():
         "op8_token_frames": token_frames.op8_token_frames,
         "op9_knn_quality": knn_quality.op9_knn_quality,
         "op10_byte_bpe": bpe.op10_byte_bpe,
+        "op11_merkle_manifest": merkle_manifest.op11_merkle_manifest,
+        "op12_filter_audit": filter_audit.op12_filter_audit,
+        "op13_toxicity": toxicity.op13_toxicity,
     }
 
 
 def oracle_sql():
-    return {"op1_line_frequency": line_frequency.SQL, "op3_jaccard_join": jaccard_join.SQL, "op5_license_scan": license_scan.sql(), "op6_warc_zip": warc_zip.SQL}
+    return {"op1_line_frequency": line_frequency.SQL, "op3_jaccard_join": jaccard_join.SQL, "op5_license_scan": license_scan.sql(), "op6_warc_zip": warc_zip.SQL, "op11_merkle_manifest": merkle_manifest.SQL, "op12_filter_audit": filter_audit.SQL}
