@@ -1,8 +1,8 @@
-"""Readability verdicts from tags and headers, as CASE expressions; container walks as folds over BINARY."""
+"""Readability verdicts from tags and headers, as CASE expressions."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -69,32 +69,3 @@ def psd_verdict(content: Column) -> Column:
         F.when(n < 26, "truncated").when(~F.coalesce(u_be(content, 22, 2).isin(1, 8), F.lit(False)), "unsupported_depth")
         .when(~F.coalesce(u_be(content, 24, 2).isin(0, 1, 2, 3), F.lit(False)), "unsupported_mode").when(F.coalesce(rest > 2, F.lit(False)), "ok").otherwise("no_composite")
     )
-
-
-def riff_chunks(content: Column) -> Column:
-    """Chunks (id, start, size) of a RIFF file up to its declared size, and whether it is cut short: one fold, of as many
-    steps as the file has room for chunk heads."""
-    end = F.least(u_le(content, 4, 4) + 8, F.length(content).cast("long"))
-    empty = F.array().cast("array<struct<id:string,start:bigint,size:bigint>>")
-    start = F.struct(F.lit(12).cast("long").alias("at"), (u_le(content, 4, 4) + 8 > F.length(content)).alias("cut"), empty.alias("chunks"))
-
-    def step(acc: Column, _) -> Column:
-        at = acc["at"]
-        size = u_le(content, at + 4, 4)
-        going = ~acc["cut"] & (at + 8 <= end)
-        over = going & (at + 8 + size > end)
-        chunk = F.struct(F.decode(F.substring(content, at.cast("int") + 1, F.lit(4)), "ISO-8859-1").alias("id"), (at + 8).alias("start"), size.alias("size"))
-        return F.struct(F.when(going, at + 8 + size + size % 2).otherwise(at).alias("at"), (acc["cut"] | over).alias("cut"), F.when(going & ~over, F.array_append(acc["chunks"], chunk)).otherwise(acc["chunks"]).alias("chunks"))
-
-    room = F.floor(F.coalesce(F.length(content), F.lit(0)) / 8).cast("int") + 1
-    return F.aggregate(F.sequence(F.lit(1), room), start, step)
-
-
-def webp_verdicts(files: DataFrame, key: str) -> DataFrame:
-    """verdict and number of animation frames by chunk list; pixels need a codec that isn't there."""
-    walked = files.select(key, riff_chunks(F.col("content")).alias("r"))
-    ids = F.transform("r.chunks", lambda c: c["id"])
-    frames = F.size(F.filter(ids, lambda i: i == "ANMF"))
-    picture = F.exists(ids, lambda i: i.isin("VP8 ", "VP8L", "ANMF"))
-    verdict = F.when(F.col("r.cut"), "truncated").when(~picture, "no_image_data").otherwise("codec_missing")
-    return walked.select(key, verdict.alias("verdict"), F.when(F.col("r.cut"), 0).otherwise(frames).alias("n_animation"))

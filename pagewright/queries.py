@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import geometry, scalars, sniff
-from .operators import decode, manifest, ranking, verdicts
+from .operators import cache, containers, decode, manifest, ranking, verdicts
 from .plans import build
 
 QUERIES: dict = {}
@@ -326,7 +326,7 @@ SELECT p_partkey, CASE WHEN cut THEN 'truncated' WHEN extra = 3 THEN 'no_image_d
 """)
 def webp_walk(spark, sf_dir):
     """Verdicts on RIFF containers made from parts, from their chunk lists."""
-    return verdicts.webp_verdicts(table(spark, sf_dir, "part").select("p_partkey", _riff(F.col("p_size") % 4, F.col("p_partkey") % 5 == 4).alias("content")), "p_partkey")
+    return containers.webp_verdicts(table(spark, sf_dir, "part").select("p_partkey", _riff(F.col("p_size") % 4, F.col("p_partkey") % 5 == 4).alias("content")), "p_partkey")
 
 
 def _riff(extra: Column, cut: Column) -> Column:
@@ -645,3 +645,176 @@ def build_usable(spark, sf_dir):
     """Builds of the lists that have a usable file; without the filter the query would fail for the others."""
     files = table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_orderkey").alias("pos"), F.lit("/a/b.jpg").alias("path"), F.when(F.col("l_partkey") % 3 == 0, "boom").alias("error"), F.lit(False).alias("user_facing"), F.col("l_linenumber").alias("frames"))
     return build.usable(build.summary(files, "l_suppkey").where("used > 0")).select("l_suppkey", "used", "pages")
+
+
+# ---- containers by their bytes
+
+
+def _hex(value, size: int, little: Column | bool = False) -> Column:
+    """Hex text of a number in so many bytes, big-endian or, where `little` is true, little-endian."""
+    text = F.lpad(F.hex((value if isinstance(value, Column) else F.lit(value)).cast("long")), 2 * size, "0")
+    turned = F.concat(*[F.substring(text, 2 * i + 1, 2) for i in reversed(range(size))])
+    return turned if little is True else text if little is False else F.when(little, turned).otherwise(text)
+
+
+def _joined(values: Column) -> Column:
+    return F.array_join(values, "")
+
+
+_CHUNK_IDS = ("EXIF", "ICCP", "XMP ", "ANMF", "VP8 ")
+
+
+@query(f"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS i FROM documents),
+c AS (SELECT doc_id, i, ({_sql_list(_CHUNK_IDS)})[((doc_id + i) % {len(_CHUNK_IDS)} + 1)::INT] AS id, strlen(line) AS size, sum(8 + strlen(line) + strlen(line) % 2) OVER (PARTITION BY doc_id ORDER BY i) - strlen(line) - strlen(line) % 2 + 12 AS start FROM l)
+SELECT doc_id, CAST(i AS INTEGER) AS chunk_no, id, CAST(start AS BIGINT) AS start, CAST(size AS BIGINT) AS size, '' AS fault FROM c WHERE doc_id % 7 <> 0
+UNION ALL SELECT doc_id, -1, '', -1, -1, CASE WHEN doc_id % 7 = 0 THEN 'truncated' ELSE '' END FROM documents
+""")
+def riff_chunks(spark, sf_dir):
+    """Chunks of RIFF files whose chunks are the lines of whole texts; every seventh file lost its last byte."""
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+
+    def chunk(line: Column, i: Column) -> Column:
+        size = F.octet_length(line)
+        return F.concat(_pick([c.encode().hex().upper() for c in _CHUNK_IDS], F.col("doc_id") + i), _hex(size, 4, True), F.hex(F.encode(line, "UTF-8")), F.when(size % 2 == 1, "00").otherwise(""))
+
+    made = table(spark, sf_dir, "documents").select("doc_id", _joined(F.transform(lines, chunk)).alias("body"))
+    whole = F.concat(F.lit(b"RIFF".hex().upper()), _hex(F.length("body") / 2 + 4, 4, True), F.lit(b"WEBP".hex().upper()), "body")
+    files = made.select("doc_id", F.unhex(F.when(F.col("doc_id") % 7 == 0, F.substr(whole, F.lit(1), F.length(whole) - 2)).otherwise(whole)).alias("content"))
+    return containers.riff_chunks(files, "doc_id").drop("body").fillna(-1).fillna("")
+
+
+@query("""
+WITH v AS (SELECT vec_id AS file_id, vec_id % 5 AS fx, vec_id % 3 AS fy, 8 + 2 * (vec_id % 5) + vec_id % 4 - 1 AS cw, 8 + 2 * (vec_id % 3) + vec_id % 2 AS ch, vec_id % 6 AS o, label % 256 AS shade, list_transform(embedding, lambda e: CAST(floor((e + 1) * 100) AS INTEGER)) AS p FROM embeddings),
+k AS (SELECT *, 2 * fx AS x0, 2 * fy AS y0 FROM v WHERE 2 * fx + 8 <= cw AND 2 * fy + 8 <= ch),
+g AS (SELECT *, unnest(range(cw)) AS x FROM k), h AS (SELECT *, unnest(range(ch)) AS y FROM g),
+i AS (SELECT *, x BETWEEN x0 AND x0 + 7 AND y BETWEEN y0 AND y0 + 7 AS inside FROM h)
+SELECT file_id, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, CAST(CASE WHEN inside THEN p[(y - y0) * 8 + x - x0 + 1] ELSE shade END AS INTEGER) AS r, CAST(CASE WHEN inside THEN 7 ELSE 20 END AS INTEGER) AS b, CAST(CASE WHEN inside THEN 255 ELSE 128 END AS INTEGER) AS a, CAST(o AS INTEGER) AS orientation FROM i
+""")
+def webp_first_frame(spark, sf_dir):
+    """First frames of animated files, an 8 by 8 picture of each vector, on their canvases of the background's colour, with the
+    metadata's orientation; frames that reach over their canvas have no pixels."""
+    v, n = table(spark, sf_dir, "embeddings"), F.col("vec_id")
+    fx, fy = n % 5, n % 3
+    head = lambda name, body: F.concat(F.lit(name.encode().hex().upper()), _hex(F.length(body) / 2, 4, True), body, F.when(F.length(body) % 4 == 2, "00").otherwise(""))
+    canvas = F.concat(F.lit("12000000"), _hex(8 + 2 * fx + n % 4 - 2, 3, True), _hex(8 + 2 * fy + n % 2 - 1, 3, True))
+    shown = F.concat(F.lit("141E"), _hex(F.col("label") % 256, 1), F.lit("80" + "0000"))  # b, g, r, a, loops
+    frame = F.concat(_hex(fx, 3, True), _hex(fy, 3, True), F.lit("070000070000" + "640000" + "00"), head("VP8 ", F.lit("00" * 10)))
+    little = n % 2 == 0
+    turn = F.concat(F.when(n % 3 == 0, b"Exif\0\0".hex().upper()).otherwise(""), F.when(little, "49492A00").otherwise("4D4D002A"), _hex(8, 4, little), _hex(1, 2, little), _hex(274, 2, little), _hex(3, 2, little), _hex(1, 4, little), _hex(n % 6, 2, little), F.lit("0000" + "00000000"))
+    body = F.concat(head("VP8X", canvas), head("ANIM", shown), head("ANMF", frame), head("ANMF", frame), head("EXIF", turn))
+    files = v.select(n.alias("file_id"), F.unhex(F.concat(F.lit(b"RIFF".hex().upper()), _hex(F.length(body) / 2 + 4, 4, True), F.lit(b"WEBP".hex().upper()), body)).alias("content"))
+    shade = v.select(n.alias("file_id"), F.posexplode(F.transform("embedding", lambda e: F.floor((e + 1) * 100).cast("int"))).alias("i", "r"))
+    pixels = shade.select("file_id", (F.col("i") % 8).alias("x"), F.floor(F.col("i") / 8).cast("int").alias("y"), "r", F.lit(7).alias("g"), F.lit(7).alias("b"), F.lit(255).alias("a"))
+    canvases = containers.webp_canvas(files, "file_id")
+    return containers.on_canvas(canvases, pixels, "file_id").join(canvases.select("file_id", "orientation"), "file_id").select("file_id", "x", "y", "r", "b", "a", "orientation")
+
+
+#: Bytes of a made directory of 14 entries with four depths behind it.
+_DIRECTORY = 2 + 14 * 12 + 4 + 8
+
+
+def _entry(little, tag, kind: int, count, value) -> Column:
+    """A directory entry: values of shorts stand at the left of its last four bytes."""
+    last = F.concat(_hex(value, 2, little), F.lit("0000")) if kind == 3 else _hex(value, 4, little)
+    return F.concat(_hex(tag, 2, little), _hex(kind, 2, little), _hex(count, 4, little), last)
+
+
+@query(f"""
+WITH t AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS i, count(*) OVER (PARTITION BY l_orderkey) AS m FROM lineitem),
+p AS (SELECT l_orderkey AS file_id, i AS directory_no, 8 + {_DIRECTORY} * i AS place, l_partkey AS width, l_suppkey AS height, l_linenumber % 8 + 1 AS orientation, l_partkey % 4 = 0 AS thumb, l_partkey % 7 AS ph, ([1, 2, 4, 8, 16])[(l_suppkey % 5 + 1)::INT] AS bps, l_linenumber % 4 + 1 AS n,
+  ([1, 3, 5, 7])[(l_orderkey % 4 + 1)::INT] AS comp, l_partkey % 5000 + l_suppkey % 1000 > 8 + {_DIRECTORY} * m AS cut, l_partkey % 13 = 0 AS planes, l_partkey % 5 = 0 AND l_partkey % 3 % 2 + 1 = 2 AS smeared, l_suppkey % 17 = 0 AS uneven, l_suppkey % 2 = 0 AS palette FROM t WHERE l_partkey % 10 <> 0),
+v AS (SELECT *, CASE WHEN cut THEN 'truncated' WHEN planes THEN 'separate_planes' WHEN comp = 3 THEN 'group3_fax' WHEN smeared THEN 'tiled_predictor' WHEN comp = 7 AND n = 3 THEN 'jpeg_rgb' WHEN uneven THEN 'inconsistent_channels'
+  WHEN ph = 0 THEN CASE WHEN n = 1 AND bps IN (1, 4, 8) THEN 'ok' ELSE 'grey_depth' END WHEN ph = 1 THEN CASE WHEN n = 1 AND bps IN (1, 2, 8, 16) THEN 'ok' ELSE 'grey_depth' END WHEN ph = 2 THEN CASE WHEN bps IN (8, 16) AND n IN (3, 4) THEN 'ok' ELSE 'rgb_depth' END
+  WHEN ph = 3 THEN CASE WHEN bps = 8 AND palette THEN 'ok' ELSE 'palette_depth' END WHEN ph = 5 THEN CASE WHEN bps = 8 AND n >= 4 THEN 'ok' ELSE 'cmyk_depth' END ELSE 'unsupported_mode' END AS verdict, bool_and(thumb) OVER (PARTITION BY file_id) AS all_small FROM p),
+k AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY directory_no) AS j, count(*) OVER (PARTITION BY file_id) AS pages FROM v WHERE NOT thumb OR all_small)
+SELECT file_id, CAST(directory_no AS INTEGER) AS directory_no, CAST(place AS BIGINT) AS "at", width, height, CAST(orientation AS INTEGER) AS orientation, thumb AS thumbnail, verdict, verdict IN ('group3_fax', 'tiled_predictor', 'jpeg_rgb', 'palette_depth') AS second_opinion, CASE WHEN pages > 1 THEN 'page ' || j || ' of ' || pages END AS label FROM k
+""")
+def tiff_from_bytes(spark, sf_dir):
+    """Pages of TIFF files, read from their bytes: a file per order in either byte order, a directory per line; every fifth
+    file's chain runs in a circle."""
+    lines = table(spark, sf_dir, "lineitem").withColumn("i", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")) - 1).withColumn("m", F.count("*").over(Window.partitionBy("l_orderkey")))
+    c, little = F.col, F.col("l_orderkey") % 2 == 0
+    base, part, supp = 8 + _DIRECTORY * F.col("i"), F.col("l_partkey"), F.col("l_suppkey")
+    depth, n = _pick((1, 2, 4, 8, 16), supp), F.col("l_linenumber") % 4 + 1
+    depths = F.when(n == 1, F.concat(_hex(depth, 2, little), F.lit("0000"))).when(n == 2, F.concat(_hex(depth, 2, little), _hex(depth, 2, little))).otherwise(_hex(base + _DIRECTORY - 8, 4, little))
+    or_other = lambda tag, has: F.when(has, tag).otherwise(65000)
+    entries = [
+        _entry(little, 254, 4, 1, F.when(part % 4 == 0, 1).otherwise(2)), _entry(little, or_other(256, part % 10 != 0), 4, 1, part), _entry(little, 257, 4, 1, supp), F.concat(_hex(258, 2, little), _hex(3, 2, little), _hex(n, 4, little), depths),
+        _entry(little, 259, 3, 1, _pick((1, 3, 5, 7), c("l_orderkey"))), _entry(little, 262, 3, 1, part % 7), _entry(little, 273, 4, 1, part % 5000), _entry(little, 274, 3, 1, c("l_linenumber") % 8 + 1), _entry(little, 277, 3, 1, n + F.when(supp % 17 == 0, 1).otherwise(0)),
+        _entry(little, 279, 4, 1, supp % 1000), _entry(little, or_other(284, part % 13 == 0), 3, 1, 2), _entry(little, or_other(320, supp % 2 == 0), 3, 1, 1), _entry(little, or_other(322, part % 5 == 0), 3, 1, 64), _entry(little, 317, 3, 1, part % 3 % 2 + 1),
+    ]
+    following = F.when(c("i") + 1 < c("m"), base + _DIRECTORY).when(c("l_orderkey") % 5 == 0, 8).otherwise(0)
+    one = F.concat(_hex(len(entries), 2, little), *entries, _hex(following, 4, little), *[_hex(depth, 2, little)] * 4)
+    files = lines.select("l_orderkey", "i", one.alias("one")).groupBy(c("l_orderkey").alias("file_id")).agg(F.array_sort(F.collect_list(F.struct("i", "one"))).alias("all"))
+    little = F.col("file_id") % 2 == 0
+    content = F.unhex(F.concat(F.when(little, "49492A00").otherwise("4D4D002A"), _hex(8, 4, little), _joined(F.transform("all", lambda s: s["one"]))))
+    return containers.tiff_pages(files.select("file_id", content.alias("content")), "file_id")
+
+
+#: Bytes of a made directory of five entries with two offsets and two strips behind it.
+_NODE = 2 + 5 * 12 + 4 + 16
+
+
+@query(f"""
+WITH RECURSIVE w AS (SELECT p_partkey AS p, p_size % 6 + 2 AS k, [0] AS queue, CAST([] AS INTEGER[]) AS seen FROM part UNION ALL
+  SELECT p, k, queue[2:] || CASE WHEN list_contains(seen, queue[1]) THEN [] ELSE CASE WHEN (p + queue[1]) % 4 <> 0 THEN [CAST((queue[1] + 1) % k AS INTEGER)] ELSE [] END || [CAST((p + 3 * queue[1]) % k AS INTEGER), CAST((2 * queue[1] + 1) % k AS INTEGER)] || CASE WHEN (p + queue[1]) % 3 = 0 THEN [CAST(p * queue[1] % k AS INTEGER)] ELSE [] END END,
+    CASE WHEN list_contains(seen, queue[1]) THEN seen ELSE list_append(seen, queue[1]) END FROM w WHERE len(queue) > 0),
+d AS (SELECT p, unnest(seen) AS j, generate_subscripts(seen, 1) AS n FROM w WHERE len(queue) = 0),
+c AS (SELECT p, n, 0 AS part, 5000 + j // 3 * 100 AS start, 'preview' AS source FROM d WHERE j % 2 = 0 UNION ALL SELECT p, n, 1, 5000 + j % 3 * 100, 'strip' FROM d WHERE (p + j) % 3 <> 0 AND j % 4 <> 3),
+f AS (SELECT p, start, min(n * 2 + part) AS place, arg_min(source, n * 2 + part) AS source FROM c GROUP BY p, start)
+SELECT p AS file_id, CAST(row_number() OVER (PARTITION BY p ORDER BY place) - 1 AS INTEGER) AS found_no, CAST(start AS BIGINT) AS start, source FROM f
+""")
+def raw_candidates(spark, sf_dir):
+    """Where previews begin in RAW files made from parts, whose 2 to 7 directories form a graph with circles: the chain, two
+    previews' directories and the camera's."""
+    p, k, j, little = F.col("p_partkey"), F.col("p_size") % 6 + 2, F.col("j"), F.col("p_partkey") % 2 == 1
+    place = lambda node: 8 + _NODE * node
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_size", F.explode(F.sequence(F.lit(0), k - 1)).alias("j"))
+    stored = place(j) + _NODE - 16
+    strips = F.when(j % 4 == 3, F.concat(_hex(273, 2, little), _hex(4, 2, little), _hex(2, 4, little), _hex(stored + 8, 4, little))).otherwise(_entry(little, 273, 4, 1, 5000 + j % 3 * 100))
+    entries = [
+        _entry(little, 259, 3, 1, F.element_at(F.array(F.lit(1), F.lit(6), F.lit(7)), (F.pmod(p + j, F.lit(3)) + 1).cast("int"))), strips, F.concat(_hex(330, 2, little), _hex(4, 2, little), _hex(2, 4, little), _hex(stored, 4, little)),
+        _entry(little, F.when(j % 2 == 0, 513).otherwise(65000), 4, 1, 5000 + F.floor(j / 3) * 100), _entry(little, 34665, 4, 1, F.when((p + j) % 3 == 0, place(p * j % k)).otherwise(0)),
+    ]
+    following = F.when((p + j) % 4 != 0, place((j + 1) % k)).otherwise(0)
+    one = F.concat(_hex(5, 2, little), *entries, _hex(following, 4, little), _hex(place((p + 3 * j) % k), 4, little), _hex(place((2 * j + 1) % k), 4, little), _hex(5000, 4, little), _hex(5100, 4, little))
+    files = rows.select("p_partkey", "j", one.alias("one")).groupBy(p.alias("file_id")).agg(F.array_sort(F.collect_list(F.struct("j", "one"))).alias("all"))
+    little = F.col("file_id") % 2 == 1
+    content = F.unhex(F.concat(F.when(little, "49492A00").otherwise("4D4D002A"), _hex(8, 4, little), _joined(F.transform("all", lambda s: s["one"]))))
+    return containers.raw_candidates(files.select("file_id", content.alias("content")), "file_id")
+
+
+@query(SQL["item_orientation"])
+def heif_orientation(spark, sf_dir):
+    """The same as item_orientation from the bytes of nested boxes: a file per order, with sizes of 32 bits, of 64 bits or up to
+    the end, and both widths of item ids and property numbers."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), _numbered_lines().alias("place"), (F.col("l_linenumber") % 3).alias("item"), (F.col("l_partkey") % 6).alias("index"))
+    held = lines.groupBy("o_orderkey").agg(F.array_sort(F.collect_list(F.struct("place", "item", "index"))).alias("all"))
+    orders = table(spark, sf_dir, "orders").join(held, "o_orderkey", "left").withColumn("all", F.coalesce("all", F.array().cast("array<struct<place:int,item:int,index:bigint>>")))
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    name = lambda text: F.lit(text.encode().hex().upper())
+    box = lambda kind, body: F.concat(_hex(F.length(body) / 2 + 8, 4), kind if isinstance(kind, Column) else name(kind), body)
+    kinds = [_pick([t.encode().hex().upper() for t in ("irot", "imir", "pixi", "irot")], cust + i) for i in range(1, 5)]
+    properties = F.concat(*[box(kind, _hex((cust * 7 + i * 5) % 256, 1)) for i, kind in enumerate(kinds, 1)])
+    wide, large = key % 2 == 0, cust % 3 == 0
+    number = lambda v, which, sizes: F.when(which, _hex(v, sizes[1])).otherwise(_hex(v, sizes[0]))
+    entry = lambda e: F.concat(number(e["item"], wide, (2, 4)), F.lit("01"), number(e["index"], large, (1, 2)))
+    given = F.concat(F.when(wide, "01").otherwise("00"), F.lit("0000"), F.when(large, "01").otherwise("00"), _hex(F.size("all"), 4), _joined(F.transform("all", entry)))
+    primary = F.concat(F.when(wide, "01").otherwise("00"), F.lit("000000"), number(key % 3, wide, (2, 4)))
+    meta = F.concat(F.lit("00000000"), box("hdlr", F.lit("00" * 4)), box("pitm", primary), box("iprp", F.concat(box("ipco", properties), box("ipma", given))), box("idat", F.lit("0000000969726F7403")))
+    sized = F.when(key % 3 == 0, box("meta", meta)).when(key % 3 == 1, F.concat(F.lit("00000001"), name("meta"), _hex(F.length(meta) / 2 + 16, 8), meta)).otherwise(F.concat(F.lit("00000000"), name("meta"), meta))
+    content = F.unhex(F.concat(box("ftyp", name("heic")), box("mdat", F.lit("0000000969726F7401")), sized))
+    return containers.heif_orientation(orders.select(key.alias("file_id"), content.alias("content")), "file_id")
+
+
+@query(f"""
+WITH r AS (SELECT event_id, CASE WHEN user_id % 11 <> 0 THEN '/u' || user_id || '/' || event_type || '|' || (user_id % 1000 * 10) END AS key, row_number() OVER (ORDER BY ts, event_id) AS pos FROM events),
+p AS (SELECT *, lag(pos) OVER (PARTITION BY key ORDER BY pos) AS before FROM r)
+SELECT event_id, coalesce(key IS NOT NULL AND before IS NOT NULL AND (SELECT count(DISTINCT q.key) FROM r q WHERE q.pos > p.before AND q.pos < p.pos) < {build.CACHE_ENTRIES}, false) AS hit FROM p
+""")
+def cache_hits(spark, sf_dir):
+    """Which requests a preview cache of 400 entries answers, in order of time; missing files are asked for each time."""
+    path = F.concat(F.lit("/u"), F.col("user_id").cast("string"), F.lit("/"), F.col("event_type"), F.lit("|"), (F.col("user_id") % 1000 * 10).cast("string"))
+    requests = table(spark, sf_dir, "events").select("event_id", "ts", F.when(F.col("user_id") % 11 != 0, path).alias("key"))
+    return cache.hits(requests, "event_id").select("event_id", "hit")

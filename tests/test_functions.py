@@ -141,25 +141,6 @@ def test_raw_choice_falls_through(spark):
     assert got == {1: (3, 2, "ok"), 2: (None, None, "too_large"), 3: (None, None, "damaged_preview")}
 
 
-def test_riff(spark):
-    chunk = lambda n, b: n + len(b).to_bytes(4, "little") + b + b"\0" * (len(b) % 2)
-    body = b"WEBP" + chunk(b"VP8X", b"0" * 10) + chunk(b"ANMF", b"1") + chunk(b"VP8 ", b"22")
-    df = spark.createDataFrame([(1, b"RIFF" + len(body).to_bytes(4, "little") + body + b"tail")], "k long, content binary")
-    r = df.select(verdicts.riff_chunks(F.col("content")).alias("r")).first().r
-    assert [(c.id, c.start, c.size) for c in r.chunks] == [("VP8X", 20, 10), ("ANMF", 38, 1), ("VP8 ", 48, 2)] and not r.cut
-
-
-def test_riff_of_many_chunks(spark):
-    chunk = lambda n, b: n + len(b).to_bytes(4, "little") + b + b"\0" * (len(b) % 2)
-    frames = chunk(b"VP8X", b"0" * 10) + chunk(b"ANMF", b"12345") * 400
-    still = chunk(b"EXIF", b"") * 300 + chunk(b"VP8 ", b"22")
-    whole = [b"RIFF" + (len(body) + 4).to_bytes(4, "little") + b"WEBP" + body for body in (frames, still, frames + b"ANMF" + (99).to_bytes(4, "little") + b"12")]
-    df = spark.createDataFrame([*enumerate([*whole, whole[0][:-3]]), (4, b""), (5, None)], "k long, content binary")
-    got = {r.k: (r.verdict, r.n_animation) for r in verdicts.webp_verdicts(df.where("k < 4"), "k").collect()}
-    assert got == {0: ("codec_missing", 400), 1: ("codec_missing", 0), 2: ("truncated", 0), 3: ("truncated", 0)}
-    assert verdicts.webp_verdicts(df, "k").count() == 6
-
-
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "k string, pos long, path string, error string, user_facing boolean, frames int")
     assert build.summary(empty, "k").count() == 0 and manifest.intake(empty, "k").count() == 0 and build.progress(empty, "k").count() == 0
