@@ -28,6 +28,10 @@ from .common import pieces, table, texts, written
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 #: What a letter of an unknown piece costs: a tenth of the probability.
 UNKNOWN_LETTER = log(10.0)
+#: Words of up to so many letters are found in a run by all its substrings of their lengths; longer ones by their start.
+SHORT_WORD, START = 24, 16
+#: Places of a run whose substrings leave a task at once.
+SLICE = 4096
 
 
 def host_of(url):
@@ -149,17 +153,23 @@ def parsed(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str
 def segments(runs: DataFrame, counts: DataFrame) -> DataFrame:
     """(run, words) of distinct runs of letters, by the counts of all words.
 
-    Of a run, only its substrings among the words matter: those of the words' lengths are joined with them, under the
-    run's hash, so that a run of any length isn't carried with each of its pieces."""
-    sizes = counts.groupBy(F.length("word").alias("size")).agg(F.sum("n").alias("n")).collect()  # a row per length of a word
+    Of a run, only its substrings among the words matter. Those of the lengths of short words are joined with the words,
+    under the run's hash, so that a run isn't carried with each of its pieces. A long word is looked for only in runs that
+    hold its first START letters somewhere: these starts are joined, then the word is searched in the run. So what a task
+    makes grows with the run's length alone, whatever lengths words have."""
+    sizes = counts.groupBy(F.least(F.length("word"), F.lit(SHORT_WORD + 1)).alias("size")).agg(F.sum("n").alias("n")).collect()
     lengths, total = sorted(r["size"] for r in sizes), sum(r.n for r in sizes)
+    short = [n for n in lengths if n <= SHORT_WORD]
 
-    def cut(batches):
-        for batch in batches:
-            for rid, run in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for at in range(0, len(run), 4096):
-                    found = list({run[a : a + n] for a in range(at, min(at + 4096, len(run))) for n in lengths if a + n <= len(run)})
-                    yield pa.RecordBatch.from_arrays([pa.array([rid] * len(found), pa.int64()), pa.array(found, pa.string())], ["rid", "word"])
+    def substrings(of_lengths, least):
+        def cut(batches):
+            for batch in batches:
+                for rid, run in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    for at in range(0, len(run) - least + 1, SLICE):
+                        found = list({run[a : a + n] for a in range(at, min(at + SLICE, len(run) - least + 1)) for n in of_lengths if a + n <= len(run)})
+                        yield pa.RecordBatch.from_arrays([pa.array([rid] * len(found), pa.int64()), pa.array(found, pa.string())], ["rid", "word"])
+
+        return cut
 
     def split(batches):
         for batch in batches:
@@ -168,7 +178,12 @@ def segments(runs: DataFrame, counts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.string()))], ["run", "words"])
 
     keyed = runs.select(F.xxhash64("run").alias("rid"), "run")
-    known = keyed.mapInArrow(cut, "rid long, word string").join(counts, "word").groupBy("rid").agg(F.collect_set(F.struct("word", "n")).alias("known"))
+    found = keyed.mapInArrow(substrings(short, 1), "rid long, word string").join(counts, "word").select("rid", "word", "n")
+    if len(short) < len(lengths):
+        starts = keyed.mapInArrow(substrings([START], SHORT_WORD + 1), "rid long, word string").withColumnRenamed("word", "start").distinct()
+        long = counts.where(F.length("word") > SHORT_WORD).withColumn("start", F.substring("word", 1, START))
+        found = found.unionByName(starts.join(long, "start").join(keyed, "rid").where(F.contains("run", "word")).select("rid", "word", "n"))
+    known = found.groupBy("rid").agg(F.collect_set(F.struct("word", "n")).alias("known"))
     return keyed.join(known, "rid", "left").select("run", "known").mapInArrow(split, "run string, words array<string>")
 
 
