@@ -8,8 +8,9 @@ record by one range. Members that are compressed can't be read by ranges and are
 
 Pages with equal payloads (of min_bytes at least) are found by digest: the least page_id is the response, the others
 revisit it. Only digests and ids are shuffled and grouped with map-side partials; payloads move once, to their package.
-Packages are named by attempt and listed in a manifest that is written before it is read, so work of lost executors is
-never read. Reading deals (package, offset, length) rows evenly to tasks.
+A task closes a package and begins another when it holds PACKAGE_BYTES, so packages, and the indexes that a task holds,
+are bounded whatever the table. Packages are named by attempt and listed in a manifest that is written before it is read,
+so work of lost executors is never read. Reading deals stretches of DEALT_BYTES of the packages evenly to tasks.
 
 Defined results: a null payload is empty; every row is written; rows that repeat the response's id
 and url are responses too; a null id counts as the largest; an empty table gives no package and no rows; other columns
@@ -36,6 +37,8 @@ ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Fixed signatures of the public ZIP format.
 LOCAL, CENTRAL, END, END64, LOCATOR = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07"
 DATE = "2024-01-01T00:00:00Z"
+#: Bytes of records after which a package is closed, and of a package that a task reads in one go.
+PACKAGE_BYTES, DEALT_BYTES = 256 << 20, 16 << 20
 _MANIFEST = "path string, n_records long, bytes long"
 
 
@@ -66,7 +69,7 @@ class PackageWriter:
     """Streams records into the archive member; the index and the directories follow at close."""
 
     def __init__(self, sink):
-        self.sink, self.at, self.crc, self.lines = sink, 0, 0, []
+        self.sink, self.at, self.crc, self.index, self.records = sink, 0, 0, bytearray(), 0
         self.members: list[tuple[bytes, int, int, int]] = []
         self._local(ARCHIVE.encode())
         self.start = self.at
@@ -85,16 +88,16 @@ class PackageWriter:
         self.members.append((name, crc, size, self.header))
 
     def add(self, raw: bytes, **fields) -> None:
-        self.lines.append(json.dumps(fields | {"offset": self.at - self.start, "length": len(raw)}))
+        self.index += json.dumps(fields | {"offset": self.at - self.start, "length": len(raw)}).encode() + b"\n"
+        self.records += 1
         self.crc = zlib.crc32(raw, self.crc)
         self._put(raw)
 
     def close(self) -> None:
         self._end_member(ARCHIVE.encode(), self.crc, self.at - self.start)
-        index = "".join(x + "\n" for x in self.lines).encode()
         self._local(INDEX.encode())
-        self._put(index)
-        self._end_member(INDEX.encode(), zlib.crc32(index), len(index))
+        self._put(self.index)
+        self._end_member(INDEX.encode(), zlib.crc32(self.index), len(self.index))
         begin = self.at
         for name, crc, size, header in self.members:
             self._put(struct.pack("<4s6H3I5H2I", CENTRAL, 45, 45, 8, 0, 0, 33, crc, 0xFFFFFFFF, 0xFFFFFFFF, len(name), 28, 0, 0, 0, 0, 0xFFFFFFFF) + name + struct.pack("<HHQQQ", 1, 24, size, size, header))
@@ -165,9 +168,9 @@ def sha1_base32(raw: bytes) -> str:
     return base64.b32encode(hashlib.sha1(raw).digest()).decode()
 
 
-def write_packages(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Writes a record per page to ZIP packages in folder, one for each partition of the join that finds the revisits;
-    the manifest (a written table) has a row per package."""
+def write_packages(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", package_bytes: int = PACKAGE_BYTES) -> DataFrame:
+    """Writes a record per page to ZIP packages in folder, one or more for each partition of the join that finds the
+    revisits; the manifest (a written table) has a row per package."""
     raw = F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html")
     source = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), raw)
     keyed = source.withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("size", F.octet_length("html"))
@@ -177,6 +180,7 @@ def write_packages(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: st
     # the pages that revisit another one, by id: payloads stay out of this
     later = keyed.select("page_id", "url", "digest", order.alias("o")).join(same, "digest").where(F.col("o") != F.col("first")).select(F.col("page_id").alias("later_id"), F.col("digest").alias("later_digest"), F.col("url").alias("later_url"), F.col("first.page_id").alias("refers_to")).distinct()
     joined = keyed.join(later, F.col("page_id").eqNullSafe(F.col("later_id")) & (F.col("digest") == F.col("later_digest")) & (F.col("url") == F.col("later_url")), "left")
+
     def run(batches):
         writer = None
         store, base = filesystem(folder)
@@ -190,10 +194,16 @@ def write_packages(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: st
                     payload = html.encode("utf-8", "surrogatepass")
                     kind = "revisit" if revisit else "response"
                     writer.add(record(kind, url, page_id, payload, sha1_base32(payload), refers_to), page_id=page_id, type=kind)
+                if writer.at >= package_bytes:
+                    yield closed(writer, sink, name)
+                    writer = None
         if writer is not None:
-            writer.close()
-            sink.close()
-            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([len(writer.lines)], pa.int64()), pa.array([writer.at], pa.int64())], ["path", "n_records", "bytes"])
+            yield closed(writer, sink, name)
+
+    def closed(writer, sink, name):
+        writer.close()
+        sink.close()
+        return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([writer.records], pa.int64()), pa.array([writer.at], pa.int64())], ["path", "n_records", "bytes"])
 
     rows = joined.select("page_id", "url", "html", F.col("later_digest").isNotNull().alias("revisit"), "refers_to")
     return written(rows.mapInArrow(run, _MANIFEST), "packages")
@@ -246,7 +256,8 @@ def read_records(index: DataFrame, with_payload: bool = False) -> DataFrame:
         if source is not None:
             source.close()
 
-    return index.mapInArrow(run, schema)
+    dealt = index.repartition("path", F.expr(f"at div {DEALT_BYTES}")).sortWithinPartitions("path", "at")
+    return dealt.mapInArrow(run, schema)
 
 
 def op6_warc_zip(spark, sf_dir):
