@@ -1,8 +1,8 @@
 """Quality classifier: nearest-neighbour voting over latent-semantic vectors.
 
-Terms are words, pairs of neighbouring words and runs of three bytes, hashed to DIMS places; a word that repeats the one
-before it counts as the mark <again>, as numbers or links are marked elsewhere. Weights are TF-IDF with the logarithm of
-counts. Fit: of the labelled rows outside the held-out fold, a sample of at most MAX_LABELLED distinct texts (by hash of
+Terms are of four kinds, each hashed to a quarter of DIMS places: words, pairs of neighbouring words, runs of three bytes,
+and how far back each word last occurred (as a power of two of words, or never). Weights are TF-IDF with the logarithm of
+counts; each kind has the same length in a text's vector, however many terms it has. Fit: of the labelled rows outside the held-out fold, a sample of at most MAX_LABELLED distinct texts (by hash of
 the text, so the same in each run) gives rows whose truncated SVD (randomised, with a fixed seed) gives the projection
 and the labelled vectors; the bound keeps both under a few MB whatever the input size. Scoring: every document is
 projected, its cosine to all labelled vectors is computed exactly in blocks, and the K nearest vote with their similarity
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum
-from .common import pieces, table, texts
+from .common import labelled_sample, pieces, table, texts, written
 
 MAX_LABELLED = 6000
 RANK = 32
@@ -28,9 +28,22 @@ NEIGHBOURS = 9
 THRESHOLD = 0.3
 
 DIMS = 1 << 14
+KINDS = 4
 #: Rows and text bytes of a block, so that its dense counts stay under 17 MB.
 BLOCK_ROWS, BLOCK_BYTES = 256, 1 << 19
-_AGAIN = 0x5851F42D4C957F2D
+_BACK = 0x5851F42D4C957F2D
+
+
+def recurrences(row, words):
+    """For each word the number of bits of how many words ago its row last had it; 0 if it hadn't."""
+    import numpy as np
+
+    keys = textnum.mix(words) ^ textnum.mix(row.astype(np.uint64) + np.uint64(1))
+    order = np.argsort(keys, kind="stable")
+    back = np.zeros(len(words), np.int64)
+    same = keys[order[1:]] == keys[order[:-1]]
+    back[order[1:][same]] = (order[1:] - order[:-1])[same]
+    return np.where(back > 0, np.floor(np.log2(np.maximum(back, 1))) + 1, 0).astype(np.uint64)
 
 
 def term_counts(data, offs):
@@ -42,12 +55,8 @@ def term_counts(data, offs):
     row = np.searchsorted(offs, starts, "right") - 1
     words = textnum.runs(textnum._CODE_LOWER[data], starts, ends)
     inside = row[1:] == row[:-1]
-    again = np.zeros(len(words), bool)
-    again[1:] = inside & (words[1:] == words[:-1])
-    words[again] = _AGAIN
-    rows, terms = [row], [textnum.mix(words + np.uint64(1))]
-    rows.append(row[1:][inside])
-    terms.append(textnum.mix(words[:-1] * np.uint64(textnum._P) + words[1:])[inside])
+    rows = [row, row[1:][inside], row]
+    terms = [textnum.mix(words + np.uint64(1)), textnum.mix(words[:-1] * np.uint64(textnum._P) + words[1:])[inside], textnum.mix(recurrences(row, words) + np.uint64(_BACK))]
     if len(data) > 2:
         at = np.repeat(np.arange(n), np.diff(offs))
         wide = data.astype(np.uint64)
@@ -55,8 +64,9 @@ def term_counts(data, offs):
         whole = at[2:] == at[:-2]
         rows.append(at[2:][whole])
         terms.append(threes[whole])
-    shift = np.uint64(64 - DIMS.bit_length() + 1)
-    counts = np.bincount(np.concatenate([r * DIMS + (t >> shift).astype(np.int64) for r, t in zip(rows, terms, strict=True)]), minlength=n * DIMS)
+    part = DIMS // KINDS
+    shift = np.uint64(64 - part.bit_length() + 1)
+    counts = np.bincount(np.concatenate([r * DIMS + kind * part + (t >> shift).astype(np.int64) for kind, (r, t) in enumerate(zip(rows, terms, strict=True))]), minlength=n * DIMS)
     held = np.flatnonzero(counts)
     return held // DIMS, held % DIMS, counts[held]
 
@@ -67,6 +77,8 @@ def _weighted(row, term, count, n: int, idf):
 
     out = np.zeros((n, DIMS), np.float32)
     out[row, term] = np.log1p(count).astype(np.float32) * idf[term]
+    kinds = out.reshape(n, KINDS, DIMS // KINDS)
+    kinds /= np.maximum(np.linalg.norm(kinds, axis=2, keepdims=True), 1e-9)
     norm = np.linalg.norm(out, axis=1)
     out /= np.maximum(norm, 1e-9)[:, None]
     return out, norm
@@ -78,9 +90,36 @@ def _unit(x):
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
+def _blocks(batches, idf):
+    """Dense unit vectors of the rows (h, label, terms, counts), in blocks, with their batches."""
+    import numpy as np
+
+    for batch in batches:
+        for i in range(0, batch.num_rows, BLOCK_ROWS):
+            some = batch.slice(i, BLOCK_ROWS)
+            term, count = ([np.frombuffer(v, kind) for v in some.column(c).to_pylist()] for c, kind in ((2, np.uint16), (3, np.uint32)))
+            row = np.repeat(np.arange(some.num_rows), [len(t) for t in term])
+            yield some, _weighted(row, np.concatenate(term).astype(np.int64), np.concatenate(count), some.num_rows, idf)[0]
+
+
+def _summed(rows: DataFrame, part, dtype):
+    """Sum of the arrays that part(batches) yields in each task, in an order of its own; an array a task comes to the driver."""
+    import numpy as np
+
+    def run(batches):
+        total, least = None, None
+        for h, some in part(batches):
+            total, least = (some, h) if total is None else (total + some, min(h, least))
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([least], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["h", "part"])
+
+    held = sorted(rows.mapInArrow(run, "h long, part binary").collect(), key=lambda r: r.h)
+    return sum(np.frombuffer(r.part, dtype) for r in held)
+
+
 def fit(labelled: DataFrame, max_labelled: int = MAX_LABELLED, rank: int = RANK) -> dict:
-    """labelled: text, label (0 or 1). The terms of the sample are counted on executors; what comes to the driver is bounded
-    by max_labelled rows of at most DIMS terms."""
+    """labelled: text, label (0 or 1). The sample's terms stay in a written table; each round of the SVD is a sum over it on
+    executors. What comes to the driver is DIMS x (rank + 16) numbers a task and max_labelled vectors of the rank."""
     import numpy as np
 
     def run(batches):
@@ -91,38 +130,30 @@ def fit(labelled: DataFrame, max_labelled: int = MAX_LABELLED, rank: int = RANK)
                 packed = [[x[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)] for x in (term.astype(np.uint16), np.minimum(count, (1 << 32) - 1).astype(np.uint32))]
                 yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), *(pa.array(x, pa.binary()) for x in packed)], ["h", "label", "terms", "counts"])
 
-    rows = labelled.where(F.col("label").isin(0, 1)).select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("label").cast("double").alias("label")).withColumn("h", F.xxhash64("text"))
-    total = rows.count()
-    if total > max_labelled:  # a share of the hashes a little above the bound, as Spark filters it where texts are read; then
-        # the texts of least hash: only hashes meet in one task, so texts stay spread
-        rows = rows.where(F.pmod(F.col("h"), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, 1.2 * max_labelled / total))))
-        most = rows.select("h").distinct().orderBy("h").limit(max_labelled).agg(F.max("h")).first()[0]
-        rows = rows.where(F.col("h") <= F.lit(most))
-    sample = rows.groupBy("h").agg(F.avg("label").alias("label"), F.first("text").alias("text")).select("h", "label", "text")
-    held = sorted(sample.mapInArrow(run, "h long, label double, terms binary, counts binary").collect(), key=lambda r: r.h)
-    y = np.array([r.label for r in held])
-    if not len(y) or y.min() == y.max():
-        return {"label": float(y[0]) if len(y) else 1.0}
-    sparse = [(np.frombuffer(r.terms, np.uint16), np.frombuffer(r.counts, np.uint32)) for r in held]  # views, no copies
-    df = np.zeros(DIMS)
-    for t, _ in sparse:
-        df[t] += 1
-    idf = np.where(df >= 2, np.log((1 + len(held)) / (1 + df)) + 1, 0).astype(np.float32)
-
-    def blocks():
-        for i in range(0, len(sparse), 64):
-            some = sparse[i : i + 64]
-            row = np.repeat(np.arange(len(some)), [len(t) for t, _ in some])
-            yield _weighted(row, np.concatenate([t for t, _ in some]).astype(np.int64), np.concatenate([c for _, c in some]), len(some), idf)[0]
-
-    def round_trip(q):
-        return sum(x.T @ (x @ q) for x in blocks())
-
-    wide = min(rank + 16, len(held), DIMS)
+    rows = written(labelled_sample(labelled, max_labelled).mapInArrow(run, "h long, label double, terms binary, counts binary"), "labelled")
+    found = rows.agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most")).first()
+    if not found.n or found.least == found.most:
+        return {"label": found.least if found.n else 1.0}
+
+    def held_terms(batches):
+        for batch in batches:
+            for h, terms in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                yield h, np.bincount(np.frombuffer(terms, np.uint16), minlength=DIMS)
+
+    df = _summed(rows, held_terms, np.int64)
+    idf = np.where(df >= 2, np.log((1 + found.n) / (1 + df)) + 1, 0).astype(np.float32)
+    wide = min(rank + 16, found.n, DIMS)
     q = np.random.Generator(np.random.PCG64(7)).standard_normal((DIMS, wide)).astype(np.float32)
     for _ in range(3):
-        q = np.linalg.qr(round_trip(q))[0].astype(np.float32)
-    points = np.concatenate([x @ q for x in blocks()])
+        total = _summed(rows, lambda batches, q=q: ((some.column(0)[0].as_py(), (x.T @ (x @ q)).astype(np.float64)) for some, x in _blocks(batches, idf)), np.float64)
+        q = np.linalg.qr(total.reshape(DIMS, wide))[0].astype(np.float32)
+
+    def placed(batches):
+        for some, x in _blocks(batches, idf):
+            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array([p.tobytes() for p in x @ q], pa.binary())], ["h", "label", "point"])
+
+    held = sorted(rows.mapInArrow(placed, "h long, label double, point binary").collect(), key=lambda r: r.h)
+    points, y = np.stack([np.frombuffer(r.point, np.float32) for r in held]), np.array([r.label for r in held])
     _, _, turn = np.linalg.svd(points, full_matrices=False)
     turn = turn[:rank].T.astype(np.float32)
     return {"idf": idf, "projection": np.ascontiguousarray(q @ turn), "points": _unit(points @ turn).astype(np.float32), "y": y, "label": float(y.mean())}

@@ -225,3 +225,38 @@ def test_toxicity_held_out(spark):
     missed, false = int((bad & (got.predicted == 0)).sum()), int((~bad & (got.predicted == 1)).sum())
     print(f"held-out AUC {auc:.4f}, {missed} of {bad.sum()} toxic missed, {false} of {(~bad).sum()} others flagged")
     assert auc > 0.97 and missed <= 12 and false <= 20
+
+
+# ---- earlier operators
+
+
+def test_segments_of_long_words(spark):
+    """Words of 1 to 2,000 letters: runs hold short and long ones, overlapping and unknown; equal to cutting with all words.
+    A run of 100,000 letters makes pieces that grow with its length alone."""
+    from pagewright.llm import url_filter
+
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    words = {word(n): rng.randrange(1, 50) for n in range(1, 2001)}
+    longest = sorted(words, key=len)
+    runs = ["".join(rng.choice(longest[:60]) for _ in range(30)), longest[900] + longest[40] + longest[1999], longest[24] + longest[23] + longest[25][:20], "a" * 300, "z", longest[24][1:] + longest[30]]
+    counts = spark.createDataFrame([*words.items()], "word string, n long")
+    got = {r.run: r.words for r in url_filter.segments(spark.createDataFrame([(r,) for r in runs], "run string"), counts).collect()}
+    whole = url_filter.Segmenter(words)
+    assert got == {r: whole.split(r) for r in runs} and longest[1999] in got[runs[1]]
+    far = word(50_000) + longest[1500] + word(50_000)
+    held = url_filter.segments(spark.createDataFrame([(far,)], "run string"), counts).first().words
+    assert "".join(held) == far and longest[1500] in held
+
+
+def test_packages_roll_over(spark):
+    """A small bound makes a package of every piece; all records come back."""
+    from pagewright.llm import warc_zip
+    from pagewright.llm.common import new_path
+
+    rng = random.Random(5)
+    pages = spark.createDataFrame([(i, f"http://x/{i}", rng.randbytes(4000).hex() if i % 3 else "same") for i in range(3000)], "page_id long, url string, html string").coalesce(1)
+    manifest = warc_zip.write_packages(pages, new_path(spark, "warc"), package_bytes=1 << 20)
+    assert manifest.count() > 2 and manifest.agg(F.sum("n_records")).first()[0] == 3000
+    got = {r.page_id: (r.record_type, r.payload_bytes) for r in warc_zip.read_records(warc_zip.record_index(manifest)).collect()}
+    assert got == {i: ("revisit" if i % 3 == 0 and i else "response", 8000 if i % 3 else 4) for i in range(3000)}

@@ -555,21 +555,21 @@ def test_knn_against_a_plain_reading(spark):
         return knn_quality.term_counts(data, offs)
 
     def weights(text):
-        mix, shift = textnum.mix, np.uint64(50)
-        one = lambda v: int(mix(np.array([v], np.uint64))[0] >> shift)
-        counts, last, raw = defaultdict(int), None, text.encode()
-        marks = []
-        for w in split(text):
+        mix, part = textnum.mix, knn_quality.DIMS // 4
+        one = lambda kind, v: kind * part + int(mix(np.array([v], np.uint64))[0] >> np.uint64(52))
+        counts, seen, raw, marks = defaultdict(int), {}, text.encode(), []
+        for i, w in enumerate(split(text)):
             data, offs = common.texts(pa.array([w.decode()]))
-            h = int(textnum.words(data, offs, lower=True)[0][0])
-            marks.append(knn_quality._AGAIN if h == last else h)
-            last = h
+            marks.append(int(textnum.words(data, offs, lower=True)[0][0]))
+            back = i - seen[marks[i]] if marks[i] in seen else 0
+            seen[marks[i]] = i
+            counts[one(2, knn_quality._BACK + back.bit_length())] += 1
         for m in marks:
-            counts[one((m + 1) % 2**64)] += 1
+            counts[one(0, (m + 1) % 2**64)] += 1
         for m, k in zip(marks[:-1], marks[1:], strict=True):
-            counts[one((m * textnum._P + k) % 2**64)] += 1
+            counts[one(1, (m * textnum._P + k) % 2**64)] += 1
         for i in range(len(raw) - 2):
-            counts[one(int.from_bytes(raw[i : i + 3], "big") + (1 << 40))] += 1
+            counts[one(3, int.from_bytes(raw[i : i + 3], "big") + (1 << 40))] += 1
         assert {int(t): int(c) for t, c in zip(*place(text)[1:], strict=True)} == dict(counts)
         return counts
 
@@ -582,6 +582,8 @@ def test_knn_against_a_plain_reading(spark):
         x = np.zeros(knn_quality.DIMS)
         for k, c in weights(text).items():
             x[k] = log1p(c) * (log((1 + len(order)) / (1 + docs_with[k])) + 1 if docs_with[k] >= 2 else 0)
+        kinds = x.reshape(4, -1)
+        x = (kinds / np.maximum(np.linalg.norm(kinds, axis=1, keepdims=True), 1e-9)).reshape(-1)
         x = x @ model["projection"] if x.any() else None
         return None if x is None else x / max(np.linalg.norm(x), 1e-9)
 
