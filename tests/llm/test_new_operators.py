@@ -260,3 +260,100 @@ def test_packages_roll_over(spark):
     assert manifest.count() > 2 and manifest.agg(F.sum("n_records")).first()[0] == 3000
     got = {r.page_id: (r.record_type, r.payload_bytes) for r in warc_zip.read_records(warc_zip.record_index(manifest)).collect()}
     assert got == {i: ("revisit" if i % 3 == 0 and i else "response", 8000 if i % 3 else 4) for i in range(3000)}
+
+
+def plain_features(text):
+    """Hashed words without up to three signs at their end, and shapes whose share of the words reaches a level."""
+    import pyarrow as pa
+
+    from pagewright.llm import soft_mixing, textnum
+    from pagewright.llm.common import texts as buffers
+
+    words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())
+    letter = lambda b: chr(b).isalnum() or b >= 128
+    bare, found, shapes = [], set(), [0] * soft_mixing.SHAPES
+    for w in words:
+        end = len(w)
+        for _ in range(3):
+            if end > 1 and not letter(w[end - 1]):
+                end -= 1
+        bare.append(w[:end].lower() if w[:end].isascii() else bytes(b + 32 if 65 <= b <= 90 else b for b in w[:end]))
+        found.add(int(textnum.words(*buffers(pa.array([bare[-1].decode()])))[0][0]) % soft_mixing.HASHED)
+        shapes[0] += len(bare) > 1 and bare[-1] == bare[-2]
+        shapes[1] += sum(65 <= b <= 90 for b in w[:end]) >= max(2, (end + 1) // 2)
+        shapes[2] += end < len(w) and w[-1] not in b".,;:?'\")"
+        shapes[3] += len(w) == 1 and not letter(w[0])
+    for k, n in enumerate(shapes):
+        found |= {soft_mixing.HASHED + k * len(soft_mixing.SHARES) + j for j, least in enumerate(soft_mixing.SHARES) if words and n / len(words) >= least}
+    return found, len(words)
+
+
+def test_mixing_posteriors_against_a_plain_reading(spark):
+    """Features, their choice by share, lift and chi-square, and the posteriors of all documents, with dictionaries."""
+    from math import exp, log
+
+    from pagewright.llm import soft_mixing
+
+    rng = random.Random(8)
+    common, own = [f"word{i}" for i in range(30)], {"clean": ["fine.", "good,"], "low": ["BUY", "BUY", "NOW!!!", "***"], "toxic": ["nitwit", "blockhead!"]}
+    rows = []
+    for i in range(300):
+        domain = rng.choice(["clean", "clean", "low", "toxic"])
+        rows.append((" ".join(rng.choice(common + own[domain] * 4) for _ in range(rng.choice([3, 12, 40]))), domain))
+    rows += [(None, "clean"), ("", "low"), ("Ünï ünï", "clean"), ("a b", None), ("a b", "other")]
+    model = soft_mixing.fit(spark.createDataFrame(rows, "text string, domain string"))
+    docs = {d: sum(x == d for _, x in rows) for d in soft_mixing.DOMAINS}
+    total, held = sum(docs.values()), {d: Counter() for d in soft_mixing.DOMAINS}
+    for text, domain in rows:
+        if domain in docs:
+            held[domain].update(plain_features(text)[0])
+    used = set()
+    for f in set().union(*held.values()):
+        for d, n in docs.items():
+            a, b = held[d][f], sum(held[o][f] for o in docs if o != d)
+            c, e = n - a, total - n - b
+            if a >= max(2, soft_mixing.LEAST_SHARE * n) and (a / n) / ((b + 0.5) / (total - n + 1)) >= soft_mixing.LEAST_LIFT and total * (a * e - b * c) ** 2 > soft_mixing.LEAST_CHI * ((a + b) * (c + e) * (a + c) * (b + e)):
+                used.add(f)
+    assert used and used == set(model["used"].tolist())
+    tests = [(i, t) for i, (t, _) in enumerate(rows)]
+    for r in soft_mixing.posteriors(spark.createDataFrame(tests, "doc_id long, text string"), model).collect():
+        mine, n_words = plain_features(tests[r.doc_id][1])
+        odds = [log(n / total) + (sum(log((held[d][f] + 0.5) / (n + 1)) if f in mine else log(1 - (held[d][f] + 0.5) / (n + 1)) for f in used) if n_words else 0) for d, n in docs.items()]
+        want = [exp(z - max(odds)) for z in odds]
+        assert r.n_tokens == n_words and all(abs(p - w / sum(want)) < 1e-9 for p, w in zip(r.p, want, strict=True))
+
+
+def test_worst_of_several_labels_counts(spark):
+    from pagewright.llm import soft_mixing
+
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, 0, 0), (2, 1, 1), (3, 1, 0), (3, None, None), (4, None, 0), (None, 1, 1)], LABELS)
+    assert sorted(map(tuple, soft_mixing.labelled_docs(docs, labels).collect())) == [("a", "low"), ("b", "toxic"), ("c", "clean")]
+
+
+def test_ids_that_are_null_or_repeated(spark):
+    """Fingerprints and token files of rows without an id, of an id with several texts and of repeated rows, against loops."""
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    from pagewright.llm import syncmers, token_frames
+    from pagewright.llm.common import new_path
+
+    texts = [(None, "b" * 40), (None, "abc " * 30), (None, None), (7, "xyz " * 25), (7, "one two " * 20), (7, "xyz " * 25), (3, "q"), (3, "q"), (9, "")]
+    frame = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    hashed = {r.text: r.h for r in spark.createDataFrame([(t or "",) for _, t in texts], "text string").selectExpr("text", "xxhash64(text) AS h").collect()}
+    order = sorted(((i, t or "") for i, t in texts), key=lambda r: (r[0] is not None, r[0] or 0, hashed[r[1]]))
+    want = []
+    for (i, t), (_, n) in zip(order, order[1:] + order[:1], strict=True):
+        edited = t[: len(t) - len(t) // 4] + n[: len(t) // 4]
+        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest()))
+    got = [(r.doc_id, r.n_chars, r.edited_sha256) for r in syncmers.with_next(frame, range_bytes=64).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    path = P.path("byte_bpe_50k.json")
+    library, at, rows = Tokenizer.from_file(path), 0, []
+    for i, t in order:
+        ids = [*library.encode(t, add_special_tokens=False).ids, 2]
+        rows.append((i, at, len(ids), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids))))
+        at += len(ids)
+    held = [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in token_frames.read_frames(token_frames.write_frames(frame, path, new_path(spark, "frames")), "doc_id long, start long, n_tokens long, ids_crc32 long", token_frames._crc).collect()]
+    assert sorted(held, key=str) == sorted(rows, key=str)
