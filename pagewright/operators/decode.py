@@ -12,6 +12,8 @@ from ..functions.geometry import five_to_eight, rescaled
 from .verdicts import u_le
 
 MOST_PIXELS = 100_000_000
+#: Bytes of run-length packets whose starts are found at once.
+PACKET_WINDOW = 1 << 16
 #: Rows of a batch that leaves a Python decoder.
 BATCH_PIXELS = 1 << 18
 
@@ -137,6 +139,92 @@ def tga_pixels(files: DataFrame, key: str) -> DataFrame:
     return _pixels(lines, key, "w", lambda i: pixel(F.col("line"), i)).select(key, F.when(F.col("right") == 1, F.col("w") - 1 - x).otherwise(x).alias("x"), F.when(F.col("top") == 1, y).otherwise(F.col("h") - 1 - y).alias("y"), "px.r", "px.g", "px.b", F.when(F.col("some"), F.col("px.a")).otherwise(255).alias("a"))
 
 
+def _packets(data, at: int, record: int, count: int):
+    """Starts and pixels of the run-length packets that make `count` pixels from byte `at`, or None if they don't.
+
+    Where the next packet begins is known for each byte on its own, so within a window the starts are found by doubling:
+    who is reached in up to 2^k steps, and the jumps of 2^k steps. Windows bound what is held."""
+    import numpy as np
+
+    starts, runs, left = [], [], count
+    while left > 0:
+        if at >= len(data):
+            return None
+        head = data[at : at + PACKET_WINDOW].astype(np.int64)
+        run = (head & 127) + 1
+        places = np.arange(len(head))
+        jump = np.append(np.minimum(places + 1 + np.where(head & 128, record, run * record), len(head)), len(head))  # the last: beyond
+        reached = np.zeros(1, np.int64)
+        while jump[reached[0]] < len(head):
+            reached = np.unique(np.concatenate([reached, jump[reached]]))
+            jump = jump[jump]
+        reached = reached[reached < len(head)]
+        last = int(reached[-1])
+        ends = np.cumsum(run[reached])
+        if ends[-1] >= left:
+            n = int(np.searchsorted(ends, left)) + 1
+            if ends[n - 1] != left:
+                return None  # a packet runs past the image
+            reached, left = reached[:n], 0
+        else:
+            left -= int(ends[-1])
+        starts.append(reached + at)
+        runs.append(run[reached])
+        at += last + 1 + (record if head[last] & 128 else int(run[last]) * record)
+    return np.concatenate(starts), np.concatenate(runs)
+
+
+def _unpacked(data):
+    """A TGA file without run lengths in place of one with them; None if its packets end early or run past the image."""
+    import numpy as np
+
+    kind, entry = int(data[2]), {15: 2}.get(int(data[7]), int(data[7]) // 8)
+    record = {15: 2}.get(int(data[16]), int(data[16]) // 8)
+    count = int.from_bytes(data[12:14].tobytes(), "little") * int.from_bytes(data[14:16].tobytes(), "little")
+    body = 18 + int(data[0]) + (int.from_bytes(data[5:7].tobytes(), "little") * entry if data[1] == 1 else 0)
+    if not 1 <= record <= 4 or not 0 < count <= MOST_PIXELS:
+        return None
+    found = _packets(data, body, record, count)
+    if found is None:
+        return None
+    starts, runs = found
+    repeated = (data[starts] & 128) > 0
+    if int((starts + 1 + np.where(repeated, record, runs * record)).max()) > len(data):
+        return None
+    out, at = [data[:2], np.array([kind - 8], np.uint8), data[3:body]], 0
+    while at < len(starts):  # so many packets at once that their pixels are some MB
+        some = slice(at, at + (PACKET_WINDOW >> 2))
+        run = runs[some]
+        within = np.arange(run.sum()) - np.repeat(np.cumsum(run) - run, run)
+        source = np.repeat(starts[some] + 1, run) + np.where(np.repeat(repeated[some], run), 0, within * record)
+        out.append(data[source[:, None] + np.arange(record)].ravel())
+        at = some.stop
+    return np.concatenate(out).tobytes()
+
+
+def without_runs(files: DataFrame, key: str) -> DataFrame:
+    """files (key, content) with TGA types 9 to 11 in their plain form, for `tga_pixels`; packets may cross rows. Files whose
+    packets end early or run past the image are left out, others pass as they are."""
+
+    def run(batches):
+        import numpy as np
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one = batch.slice(i, 1)
+                content = one.column(1)[0]
+                data = np.frombuffer(content.as_buffer(), np.uint8) if content.is_valid else np.zeros(0, np.uint8)
+                if len(data) >= 18 and data[2] in (9, 10, 11):
+                    made = _unpacked(data)
+                    if made is None:
+                        continue
+                    one = pa.RecordBatch.from_arrays([one.column(0), pa.array([made], pa.binary())], one.schema.names)
+                yield one
+
+    rows = files.select(key, "content")
+    return rows.mapInArrow(run, rows.schema)
+
+
 def _qoi(data: bytes):
     """(width, height, RGBA bytes) of a QOI file, or None if it is damaged."""
     if data is None or len(data) < 22 or data[:4] != b"qoif" or data[12] not in (3, 4) or data[13] > 1:
