@@ -822,14 +822,14 @@ def cache_hits(spark, sf_dir):
 
 def _run_of(i: int, odd: int) -> int:
     """Pixels that the packet of a vector's i-th value makes: repeats, or two pixels of its own."""
-    return i % 5 * 29 + 1 if (i + odd) % 2 == 0 else 2
+    return i % 5 * 2 + 1 if (i + odd) % 2 == 0 else 2
 
 
 _RUNS = [sum(_run_of(i, odd) for i in range(64)) for odd in (0, 1)]
 
 
 @query(f"""
-WITH p AS (SELECT vec_id, i, v, CASE WHEN (i + vec_id) % 2 = 0 THEN i % 5 * 29 + 1 ELSE 2 END AS run FROM {_PIXELS}),
+WITH p AS (SELECT vec_id, i, v, CASE WHEN (i + vec_id) % 2 = 0 THEN i % 5 * 2 + 1 ELSE 2 END AS run FROM {_PIXELS}),
 s AS (SELECT *, sum(run) OVER (PARTITION BY vec_id ORDER BY i) - run AS first FROM p), e AS (SELECT *, unnest(range(run)) AS k FROM s),
 q AS (SELECT vec_id, first + k AS place, CASE WHEN (i + vec_id) % 2 = 1 AND k = 1 THEN 255 - v ELSE v END AS v, CASE WHEN vec_id % 2 = 0 THEN {_RUNS[0]} ELSE {_RUNS[1]} END AS n FROM e WHERE vec_id % 9 <> 0)
 SELECT vec_id, CAST(CASE WHEN vec_id % 3 = 0 THEN n - 1 - place ELSE place END AS INTEGER) AS x, v AS r, 255 - v AS g, v AS b FROM q
@@ -840,7 +840,7 @@ def decode_tga_runs(spark, sf_dir):
     colour = lambda v: F.concat(*[F.lpad(F.hex(c), 2, "0") for c in (v, 255 - v, v)])
 
     def packet(v: Column, i: Column) -> Column:
-        return F.when((i + odd) % 2 == 0, F.concat(F.lpad(F.hex(128 + i % 5 * 29), 2, "0"), colour(v))).otherwise(F.concat(F.lit("01"), colour(v), colour(255 - v)))
+        return F.when((i + odd) % 2 == 0, F.concat(F.lpad(F.hex(128 + i % 5 * 2), 2, "0"), colour(v))).otherwise(F.concat(F.lit("01"), colour(v), colour(255 - v)))
 
     n = F.when(odd == 0, _RUNS[0]).otherwise(_RUNS[1])
     whole = F.concat(F.lit("00000A000000000000000000"), _hex(n, 2, True), F.lit("0100" + "18"), F.when(F.col("vec_id") % 3 == 0, "30").otherwise("20"), _joined(F.transform("v", packet)))

@@ -22,7 +22,7 @@ class Part(WriterCommitMessage):
     pages: int
 
 
-def _escaped(text: str) -> bytes:
+def escaped(text: str) -> bytes:
     return text.encode("ascii", "replace").replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)")
 
 
@@ -50,7 +50,7 @@ class PdfFile:
     def page(self, row) -> None:
         image = self._stream(b"/Type /XObject /Subtype /Image /Width %d /Height %d /ColorSpace /DeviceRGB /BitsPerComponent 8 /Filter /FlateDecode" % (row.width, row.height), zlib.compress(bytes(row.rgb)))
         draw = "q %.4f 0 0 %.4f %.4f %.4f cm /I Do Q\n" % (row.draw_w, row.draw_h, row.draw_x, row.draw_y)
-        text = b"BT 0.3 g /F 10 Tf 24 33 Td (%s) Tj ET\n" % _escaped(row.caption) if row.caption else b""
+        text = b"BT 0.3 g /F 10 Tf 24 33 Td (%s) Tj ET\n" % escaped(row.caption) if row.caption else b""
         content = self._stream(b"", draw.encode() + text)
         self.kids.append(self._object(b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 %d %d] /Rotate %d /Contents %d 0 R /Resources << /XObject << /I %d 0 R >> /Font << /F 3 0 R >> >> >>" % (row.page_w, row.page_h, row.rotate or 0, content, image)))
 

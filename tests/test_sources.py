@@ -1,12 +1,14 @@
 """Files in, PDF out, and the streaming intake."""
 
 import json
+import re
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from pagewright.plans import build
-from pagewright.sources import files, pdf_sink, text_sink
+from pagewright.sources import files, pdf_book, pdf_sink, text_sink
 from pagewright.streaming import intake
 
 
@@ -66,3 +68,43 @@ def test_text_sink_and_explicit_lists(spark, tmp_path):
     (part,) = (tmp_path / "text").glob("part-*")
     assert part.read_bytes() == b"Title\r\n\r\none two\r\n\r\n" or part.read_bytes() == b"Title\r\n\r\none two\r\n"
     assert [tuple(r) for r in files.listed(spark, ["/b", "/a", "/b"]).orderBy("pos").collect()] == [(0, "/b"), (1, "/a"), (2, "/b")]
+
+
+def book_pages(spark, n):
+    return spark.range(n).select(
+        (-F.col("id")).alias("pos"), (F.lit(600) + F.col("id") % 7).cast("int").alias("page_w"), F.lit(612).alias("page_h"), *[F.lit(float(v)).alias(c) for c, v in (("draw_x", 24), ("draw_y", 24), ("draw_w", 100), ("draw_h", 50))],
+        F.when(F.col("id") % 3 > 0, F.concat(F.lit("page (a) "), F.col("id").cast("string"))).alias("caption"), F.when(F.col("id") % 2 == 0, 90).alias("rotate"), F.lit(2).alias("width"), F.lit(1).alias("height"), F.unhex(F.lpad(F.hex(F.col("id")), 12, "0")).alias("rgb"),
+    )
+
+
+@pytest.mark.parametrize("n, range_pages", [(1, 10), (250, 30), (120, 1000)])
+def test_one_ordered_book(spark, tmp_path, n, range_pages):
+    """Every entry of the cross-reference table is where its object begins; the page tree gives the pages in order."""
+    path = tmp_path / "book.pdf"
+    assert pdf_book.write_book(book_pages(spark, n).repartition(4), ["pos"], f"file://{path}", range_pages) == n
+    raw = path.read_bytes()
+    table = int(raw.rsplit(b"startxref\n", 1)[1].split()[0])
+    head, rest = raw[table:].split(b"\n", 2)[:2], raw[table:].split(b"\n", 2)[2]
+    size = int(head[1].split()[1])
+    places = [int(rest[20 * i : 20 * i + 10]) for i in range(size)]
+    body = {}
+    for i in range(1, size):
+        assert raw[places[i] :].startswith(b"%d 0 obj\n" % i)
+        body[i] = raw[places[i] :].split(b"\n", 1)[1].split(b"\nendobj", 1)[0]
+    assert raw[table:].split(b"\n", 1)[0] == b"xref" and b"/Size %d /Root 1 0 R" % size in rest[20 * size :]
+    refs = lambda text: [int(x) for x in re.findall(rb"(\d+) 0 R", text)]
+    nodes = refs(body[2].split(b"/Kids")[1])
+    pages = [p for node in nodes for p in refs(body[node].split(b"/Kids")[1])]
+    assert len(nodes) == len(set(nodes)) and (len(nodes) > 3 or n < 200) and len(pages) == n
+    for place, number in enumerate(pages):
+        i = n - 1 - place  # pages stand in order of pos
+        parent, content, image = refs(body[number])[:3]
+        assert b"/MediaBox [0 0 %d 612] /Rotate %d" % (600 + i % 7, 90 * (i % 2 == 0)) in body[number] and number in refs(body[parent])
+        pixels = zlib.decompress(body[image].split(b"stream\n", 1)[1].rsplit(b"\nendstream", 1)[0])
+        assert int.from_bytes(pixels, "big") == i and (b"(page \\(a\\) %d)" % i in body[content]) == (i % 3 > 0)
+
+
+def test_a_book_without_pages(spark, tmp_path):
+    with pytest.raises(ValueError, match="no pages"):
+        pdf_book.write_book(book_pages(spark, 0), ["pos"], str(tmp_path / "none.pdf"))
+    assert not (tmp_path / "none.pdf").exists()
