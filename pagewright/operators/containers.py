@@ -7,6 +7,7 @@ row of the input, and no file is shuffled."""
 
 from __future__ import annotations
 
+import re
 import struct
 from collections import deque
 
@@ -34,6 +35,12 @@ HOLDERS = {"meta": 4, "iprp": 0, "ipco": 0, "moov": 0, "trak": 0, "mdia": 0, "mi
 #: Boxes whose bytes are kept: the primary item, its turn and mirror, and which items have which properties.
 KEPT_BODIES = ("pitm", "irot", "imir", "ipma")
 MOST_DEPTH = 8
+#: Streams of a file that are looked for.
+MOST_STREAMS = 64
+#: Marks without a length, and marks of frame heads.
+STANDING_ALONE = {0x01, *range(0xD0, 0xD8)}
+FRAME_HEADS = {*range(0xC0, 0xD0)} - {0xC4, 0xC8, 0xCC}
+_START_MARK, _END_MARK = re.compile(rb"\xff\xd8\xff"), re.compile(rb"\xff\xd9")
 #: First bytes of a chunk that are kept.
 HEAD_BYTES = 32
 #: Rows of a batch that leaves a walk.
@@ -49,7 +56,7 @@ def walked(files: DataFrame, key: str, walk, schema: str) -> DataFrame:
         held: list[tuple] = []
         for batch in batches:
             for k, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for row in walk(memoryview(content.as_buffer())) if content.is_valid else ():
+                for row in walk(memoryview(content.as_buffer()).cast("B")) if content.is_valid else ():
                     held.append((k, *row))
                     if len(held) == BATCH_ROWS:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), arrow, strict=True)], schema=arrow)
@@ -134,6 +141,47 @@ def on_canvas(canvases: DataFrame, pixels: DataFrame, key: str) -> DataFrame:
 # ---- TIFF
 
 
+def _directory_entries(data, follow: dict[int, int], most_values: int | None):
+    """(directory_no, at, entry_no, tag, values, length) of the entries of all directories of a TIFF file's bytes."""
+    order = {b"II": "<", b"MM": ">"}.get(bytes(data[:2]))
+    if order is None:
+        return
+    end = len(data)
+    short, long = struct.Struct(order + "H"), struct.Struct(order + "I")
+    u16 = lambda o: short.unpack_from(data, o)[0] if o + 2 <= end else 0
+    u32 = lambda o: long.unpack_from(data, o)[0] if o + 4 <= end else 0
+    u8 = lambda o: data[o] if o < end else 0
+    queue, seen, n = deque([u32(4)]), set(), 0
+    for _ in range(MOST_DIRECTORIES):
+        if not queue:
+            return
+        at = queue.popleft()
+        if not at or at in seen:
+            continue
+        seen.add(at)
+        entries = u16(at)
+        tail = at + 2 + 12 * entries
+        if not 0 < entries <= MOST_ENTRIES or tail > end:
+            continue
+        if u32(tail):
+            queue.append(u32(tail))
+        subs: dict[int, list[int]] = {}
+        for i in range(entries):
+            p = at + 2 + 12 * i
+            tag, size, count = u16(p), TYPE_BYTES.get(u16(p + 2), 0), u32(p + 4)
+            values: list[int] = []
+            if size and 0 < count <= (end // size if most_values is None else most_values):
+                start = p + 8 if size * count <= 4 else u32(p + 8)
+                read = {1: u8, 2: u16}.get(size, u32)
+                values = [read(start + size * j) for j in range(count)]
+            subs.setdefault(tag, values)
+            yield n, at, i, tag, values, end
+        for tag, most in follow.items():
+            found = subs.get(tag, [])[:most]
+            queue.extend(found if most > 1 else [v for v in found if v])
+        n += 1
+
+
 def directories(files: DataFrame, key: str, follow: dict[int, int] | None = None, most_values: int | None = MOST_VALUES) -> DataFrame:
     """key, directory_no, at, entry_no, tag, values, length. A row per entry of each directory that can be reached, breadth
     first: from a directory to the next of its chain, then to those that the tags of `follow` (tag: how many) name. A
@@ -141,46 +189,7 @@ def directories(files: DataFrame, key: str, follow: dict[int, int] | None = None
     without most_values an entry may have as many as the file has room for."""
     follow = SUB_DIRECTORIES if follow is None else follow
 
-    def walk(data):
-        order = {b"II": "<", b"MM": ">"}.get(bytes(data[:2]))
-        if order is None:
-            return
-        end = len(data)
-        short, long = struct.Struct(order + "H"), struct.Struct(order + "I")
-        u16 = lambda o: short.unpack_from(data, o)[0] if o + 2 <= end else 0
-        u32 = lambda o: long.unpack_from(data, o)[0] if o + 4 <= end else 0
-        u8 = lambda o: data[o] if o < end else 0
-        queue, seen, n = deque([u32(4)]), set(), 0
-        for _ in range(MOST_DIRECTORIES):
-            if not queue:
-                return
-            at = queue.popleft()
-            if not at or at in seen:
-                continue
-            seen.add(at)
-            entries = u16(at)
-            tail = at + 2 + 12 * entries
-            if not 0 < entries <= MOST_ENTRIES or tail > end:
-                continue
-            if u32(tail):
-                queue.append(u32(tail))
-            subs: dict[int, list[int]] = {}
-            for i in range(entries):
-                p = at + 2 + 12 * i
-                tag, size, count = u16(p), TYPE_BYTES.get(u16(p + 2), 0), u32(p + 4)
-                values: list[int] = []
-                if size and 0 < count <= (end // size if most_values is None else most_values):
-                    start = p + 8 if size * count <= 4 else u32(p + 8)
-                    read = {1: u8, 2: u16}.get(size, u32)
-                    values = [read(start + size * j) for j in range(count)]
-                subs.setdefault(tag, values)
-                yield n, at, i, tag, values, end
-            for tag, most in follow.items():
-                found = subs.get(tag, [])[:most]
-                queue.extend(found if most > 1 else [v for v in found if v])
-            n += 1
-
-    return walked(files, key, walk, "directory_no int, at long, entry_no int, tag int, values array<bigint>, length long")
+    return walked(files, key, lambda data: _directory_entries(data, follow, most_values), "directory_no int, at long, entry_no int, tag int, values array<bigint>, length long")
 
 
 def tags(entries: DataFrame, key: str, named: dict[str, int]) -> DataFrame:
@@ -225,6 +234,63 @@ def raw_candidates(files: DataFrame, key: str) -> DataFrame:
     return first.select(key, (F.row_number().over(order) - 1).alias("found_no"), "start", "f.source")
 
 
+# ---- JPEG streams
+
+
+def _orientation(data) -> int:
+    """What the first directory of an Exif block says, 1 to 8, or 0."""
+    if bytes(data[:6]) != b"Exif\0\0":
+        return 0
+    values = next((v for n, _, _, tag, v, _ in _directory_entries(data[6:], {}, MOST_VALUES) if n == 0 and tag == 274), [])
+    return values[0] if values and 1 <= values[0] <= 8 else 0
+
+
+def jpeg_stream(data, start: int):
+    """(end, width, height, orientation) of the stream that begins at a place, or None if its chain of segments breaks, its size
+    is none or too small, or it has no end. What follows the first scan's head is not read but for the end mark."""
+    at, width, height, turned, limit = start + 2, 0, 0, 0, len(data)
+    if start < 0 or start + 4 > limit or data[start] != 0xFF or data[start + 1] != 0xD8:
+        return None
+    while at + 3 < limit:
+        if data[at] != 0xFF:
+            return None
+        while data[at + 1] == 0xFF and at + 3 < limit:  # fill bytes
+            at += 1
+        mark, at = data[at + 1], at + 2
+        if mark in (0xD8, 0xD9):
+            return None
+        if mark in STANDING_ALONE:
+            continue
+        size = int.from_bytes(data[at : at + 2], "big")
+        if size < 2 or at + size > limit or (mark in FRAME_HEADS and size < 8):
+            return None
+        if mark in FRAME_HEADS:
+            height, width = int.from_bytes(data[at + 3 : at + 5], "big"), int.from_bytes(data[at + 5 : at + 7], "big")
+        elif mark == 0xE1 and not turned:
+            turned = _orientation(data[at + 2 : at + size])
+        at += size
+        if mark == 0xDA:
+            end = _END_MARK.search(data, at) if min(width, height) >= ranking.LEAST_EDGE else None
+            return (end.end(), width, height, turned) if end else None
+    return None
+
+
+def jpeg_streams(files: DataFrame, key: str) -> DataFrame:
+    """key, found_no, start, end, width, height, orientation: the JPEG streams in files of any kind, from the first on, none of
+    which overlaps the one before (so the thumbnail inside a stream isn't one); MOST_STREAMS of a file at most."""
+
+    def walk(data):
+        n, found = 0, _START_MARK.search(data)
+        while found and n < MOST_STREAMS:
+            stream = jpeg_stream(data, found.start())
+            if stream:
+                yield n, found.start(), *stream
+                n += 1
+            found = _START_MARK.search(data, stream[0] if stream else found.end())
+
+    return walked(files, key, walk, "found_no int, start long, end long, width int, height int, orientation int")
+
+
 # ---- ISO boxes
 
 

@@ -846,3 +846,29 @@ def decode_tga_runs(spark, sf_dir):
     whole = F.concat(F.lit("00000A000000000000000000"), _hex(n, 2, True), F.lit("0100" + "18"), F.when(F.col("vec_id") % 3 == 0, "30").otherwise("20"), _joined(F.transform("v", packet)))
     files = _images(spark, sf_dir).select("vec_id", F.unhex(F.when(F.col("vec_id") % 9 == 0, F.substr(whole, F.lit(1), F.length(whole) - 2)).otherwise(whole)).alias("content"))
     return decode.tga_pixels(decode.without_runs(files, "vec_id"), "vec_id").select("vec_id", "x", "r", "g", "b")
+
+
+#: Bytes of made pieces of a file by kind: a broken chain, a stream, a stream with a thumbnail inside its metadata, one that is
+#: too small, and text.
+_PIECES = (9, 25, 25 + 4 + 6 + 26 + 25, 25, 7)
+
+
+@query(f"""
+WITH t AS (SELECT *, l_partkey % 5 AS kind, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS place FROM lineitem),
+s AS (SELECT *, sum(([{', '.join(map(str, _PIECES))}])[(kind + 1)::INT]) OVER (PARTITION BY l_orderkey ORDER BY place) AS until FROM t)
+SELECT l_orderkey AS file_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY place) - 1 AS INTEGER) AS found_no, CAST(until - ([{', '.join(map(str, _PIECES))}])[(kind + 1)::INT] AS BIGINT) AS start, CAST(until AS BIGINT) AS "end", CAST(l_suppkey % 60000 + 8 AS INTEGER) AS width, CAST(l_linenumber + 8 AS INTEGER) AS height, CAST(CASE WHEN kind = 2 THEN l_linenumber % 8 + 1 ELSE 0 END AS INTEGER) AS orientation FROM s WHERE kind IN (1, 2)
+""")
+def jpeg_scan(spark, sf_dir):
+    """JPEG streams in files of unknown kind: a file per order, a piece per line, some of them no streams or streams in streams."""
+    line, supp = F.col("l_linenumber"), F.col("l_suppkey")
+    frame = lambda w, h: F.concat(F.lit("FFC0000A08"), _hex(h, 2), _hex(w, 2), F.lit("010101"))
+    scan = "FFDA000301" + "AAFF00" + "FFD9"
+    whole = lambda w, h, inside="": F.concat(F.lit("FFD8"), inside if isinstance(inside, Column) else F.lit(inside), F.lit("FF"), frame(w, h), F.lit(scan))
+    w, h = supp % 60000 + 8, line + 8
+    turn = F.concat(F.lit(b"Exif\0\0".hex().upper() + "4D4D002A00000008" + "0001" + "0112000300000001"), _hex(line % 8 + 1, 2), F.lit("0000" + "00000000"))
+    inside = F.concat(F.lit("FFE1"), _hex(2 + 6 + 26 + 25, 2), turn, whole(F.lit(16), F.lit(16)))
+    pieces = [F.lit("FFD8FFE00004000012"), whole(w, h), whole(w, h, inside), whole(F.lit(7), h), F.lit("74657874FFD900")]
+    kind = F.col("l_partkey") % 5
+    piece = F.element_at(F.array(*pieces), (kind + 1).cast("int"))
+    files = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("file_id"), _numbered_lines().alias("place"), piece.alias("piece")).groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("place", "piece"))).alias("all"))
+    return containers.jpeg_streams(files.select("file_id", F.unhex(_joined(F.transform("all", lambda s: s["piece"]))).alias("content")), "file_id")

@@ -168,3 +168,28 @@ def test_cache_hits(spark, entries, range_rows):
 
 def test_cache_hits_of_none(spark):
     assert cache.hits(spark.createDataFrame([], "n long, key string, ts int"), "n").collect() == []
+
+
+def jpeg(w=16, h=16, before=b"", scan=b"\xff\xda\0\3\1", data=b"\xaa\xff\0\xbb", end=b"\xff\xd9"):
+    return b"\xff\xd8" + before + b"\xff\xc0\0\x0a\x08" + h.to_bytes(2, "big") + w.to_bytes(2, "big") + b"\1\1\1" + scan + data + end
+
+
+def test_jpeg_streams(spark):
+    """From the first whole stream on, none inside another; broken, small, endless and restarted ones are passed over."""
+    segment = lambda mark, body: b"\xff" + mark + (len(body) + 2).to_bytes(2, "big") + body
+    exif = b"Exif\0\0" + tiff("<", {8: ([(274, 3, [6])], 0)})[:40]
+    whole = [jpeg(), jpeg(20, 30, segment(b"\xe1", exif + jpeg())), jpeg(9, 8, b"\xff\xff\xff\x01" + segment(b"\xe1", b"none"))]
+    broken = [jpeg(7), b"\xff\xd8\xff\xe0\0\4\0\0\x12", b"\xff\xd8\xff\xd9", b"\xff\xd8\xff\xc0\0\4\0\0", b"\xff\xd8\xff\xe1\0\1", b"text\xff\xd8\xff"]
+    content = b"x".join([broken[0], whole[0], *broken[1:4], whole[1], broken[4], whole[2], broken[5]])
+    got = [(r.found_no, content[r.start : r.end], r.width, r.height, r.orientation) for r in containers.jpeg_streams(files(spark, [content]), "k").orderBy("found_no").collect()]
+    assert got == [(0, whole[0], 16, 16, 0), (1, whole[1], 20, 30, 6), (2, whole[2], 9, 8, 0)]
+    odd = [None, b"", b"\xff\xd8\xff", jpeg(end=b""), jpeg() * 70, jpeg(end=b"") + jpeg()]
+    got = containers.jpeg_streams(files(spark, odd), "k").collect()
+    assert {k: sum(r.k == k for r in got) for k in range(6)} == {0: 0, 1: 0, 2: 0, 3: 0, 4: 64, 5: 1}
+    assert next((r.start, r.end) for r in got if r.k == 5) == (0, len(odd[5]))  # its end is the next one there is
+
+
+def test_bytes_above_127(spark):
+    made = tiff("<", {8: ([(1, 1, [200, 255, 128, 7]), (254, 1, [250] * 6)], 0)})
+    got = containers.directories(files(spark, [made]), "k").orderBy("entry_no").collect()
+    assert [r["values"] for r in got] == [[200, 255, 128, 7], [250] * 6]
