@@ -29,6 +29,8 @@ THRESHOLD = 0.3
 
 DIMS = 1 << 14
 KINDS = 4
+#: Tasks of a sum over the labelled sample, whose partial sums of some MB come to the driver.
+SUM_TASKS = 12
 #: Rows and text bytes of a block, so that its dense counts stay under 17 MB.
 BLOCK_ROWS, BLOCK_BYTES = 256, 1 << 19
 _BACK = 0x5851F42D4C957F2D
@@ -113,7 +115,7 @@ def _summed(rows: DataFrame, part, dtype):
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([least], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["h", "part"])
 
-    held = sorted(rows.mapInArrow(run, "h long, part binary").collect(), key=lambda r: r.h)
+    held = sorted(rows.coalesce(SUM_TASKS).mapInArrow(run, "h long, part binary").collect(), key=lambda r: r.h)
     return sum(np.frombuffer(r.part, dtype) for r in held)
 
 
@@ -145,8 +147,8 @@ def fit(labelled: DataFrame, max_labelled: int = MAX_LABELLED, rank: int = RANK)
     wide = min(rank + 16, found.n, DIMS)
     q = np.random.Generator(np.random.PCG64(7)).standard_normal((DIMS, wide)).astype(np.float32)
     for _ in range(3):
-        total = _summed(rows, lambda batches, q=q: ((some.column(0)[0].as_py(), (x.T @ (x @ q)).astype(np.float64)) for some, x in _blocks(batches, idf)), np.float64)
-        q = np.linalg.qr(total.reshape(DIMS, wide))[0].astype(np.float32)
+        total = _summed(rows, lambda batches, q=q: ((some.column(0)[0].as_py(), x.T @ (x @ q)) for some, x in _blocks(batches, idf)), np.float32)
+        q = np.linalg.qr(total.reshape(DIMS, wide))[0]
 
     def placed(batches):
         for some, x in _blocks(batches, idf):
