@@ -8,7 +8,8 @@ sets that link share an element of it. The boundary is the size at which the mea
 entry, a list entry also costs a scan of its list, whose length is measured over a share of the shingles.
 
 Lists are scanned in three passes, so a large group of near copies doesn't make all its pairs. First each list's members
-are paired with one pivot (its smallest); links give components. Lists whose members are all in one component are done.
+are paired with one pivot (its smallest); the lists of frequent shingles, whose lengths are known before, are dealt into
+portions with a pivot each, and these are paired with the list's least; links give components. Lists whose members are all in one component are done.
 In the long ones of the rest, a member outside the list's largest component is then paired with its nearest one of
 another component, by outlines; links join components. Last, members of one list that are still in different components
 are paired. Long lists are dealt into blocks of members to compare, so no task holds or scans a whole one.
@@ -43,6 +44,8 @@ LEAST_FREQUENT = 8
 #: One shingle in so many is counted in full to measure the lists.
 MEASURED = 64
 PIVOT_SHARE = 256
+#: Members of a portion of a frequent shingle's list, about.
+PORTION = 1024
 #: Lists of more members are dealt into blocks: minor members (outside the largest component) and parts of all members.
 LONG_LIST = 32
 BLOCK = 2048
@@ -161,17 +164,27 @@ def _left_out(s: int, r: int):
     return np.array(list(combinations(range(s), r)), np.int64).reshape(-1, r)
 
 
-def postings(source: DataFrame, n: int, percent: int, boundary: int, frequent) -> DataFrame:
-    """(key, h, n, pos) of every set: its prefix's elements with their places, and a light set's subsets. Copies that one
-    task meets enter once."""
-    shared = source.sparkSession.sparkContext.broadcast(frequent)
+def postings(source: DataFrame, n: int, percent: int, boundary: int, frequent, counts) -> DataFrame:
+    """(key, portion, h, n, pos) of every set: its prefix's elements with their places, and a light set's subsets. Lists of
+    frequent shingles, by their counts, have portions (else -1). Copies that one task meets enter once."""
+    shared = source.sparkSession.sparkContext.broadcast((frequent, -(-counts // PORTION)))
     reach = (percent * (boundary + 1) + 99) // 100
     sizes = {s: subset_sizes(s, boundary, percent) for s in range(1, boundary + 1)}
 
     def run(batches):
         import numpy as np
 
-        hot, done = shared.value, set()
+        (hot, portions), done = shared.value, set()
+
+        def portion(keys, sets_h):
+            """Where the entries of frequent shingles go, by their sets."""
+            out = np.full(len(keys), -1, np.int32)
+            if len(hot):
+                at = np.minimum(np.searchsorted(hot, keys), len(hot) - 1)
+                long = (hot[at] == keys) & (portions[at] > 1)
+                out[long] = textnum.mix(sets_h[long].view(np.uint64)) % portions[at[long]].astype(np.uint64)
+            return out
+
         for batch in batches:
             for piece in pieces(batch):
                 keys, sets_h, sets_n, pos = [], [], [], []
@@ -202,41 +215,43 @@ def postings(source: DataFrame, n: int, percent: int, boundary: int, frequent) -
                             tokens = np.concatenate([tokens[~is_hot][:p], tokens[is_hot][:p]])
                         put(tokens[:p], h, s, np.arange(p, dtype=np.int32))
                 if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(sets_h)), pa.array(np.concatenate(sets_n)), pa.array(np.concatenate(pos))], ["key", "h", "n", "pos"])
+                    keys, sets_h = np.concatenate(keys), np.concatenate(sets_h)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(portion(keys, sets_h)), pa.array(sets_h), pa.array(np.concatenate(sets_n)), pa.array(np.concatenate(pos))], ["key", "portion", "h", "n", "pos"])
 
-    return source.select("text").mapInArrow(run, "key long, h long, n int, pos int")
+    return source.select("text").mapInArrow(run, "key long, portion int, h long, n int, pos int")
 
 
 def shared_lists(entries: DataFrame, percent: int) -> DataFrame:
-    """The entries of lists whose neighbours by size are near enough to link; one of each (key, h), with the list's first
-    entry (p, pn) as its pivot. Streams sorted lists; what is held is two rows and one pivot."""
+    """The entries of lists whose neighbours by size are near enough to link; one of each (key, h), with the first entry (p,
+    pn) of the list, or of its portion, as its pivot. Of portions all entries stay, as neighbours may be in others. Streams
+    sorted lists; what is held is two rows and one pivot."""
 
     def run(batches):
         import numpy as np
 
-        held, pivot = None, (None, 0, 0)  # the last two rows so far, the first of them decided; key, h and n of the last pivot
+        held, pivot = None, (None, 0, 0, 0)  # the last two rows so far, the first of them decided; key, portion, h and n of the last pivot
 
         def decide(cols, n_known, last):
             nonlocal pivot
-            key, _, n, _ = cols
-            near = (key[1:] == key[:-1]) & (100 * n[:-1].astype(np.int64) >= percent * n[1:].astype(np.int64))
-            keep = np.zeros(len(key), bool)
+            key, portion, _, n, _ = cols
+            near = (key[1:] == key[:-1]) & (portion[1:] == portion[:-1]) & (100 * n[:-1].astype(np.int64) >= percent * n[1:].astype(np.int64))
+            keep = portion >= 0
             keep[1:] |= near
             keep[:-1] |= near
             keep[:n_known] = False
             if not last:
                 keep[-1] = False
-            key, h, n, pos = (c[keep] for c in cols)
+            key, portion, h, n, pos = (c[keep] for c in cols)
             new = np.ones(len(key), bool)
-            new[1:] = key[1:] != key[:-1]
+            new[1:] = (key[1:] != key[:-1]) | (portion[1:] != portion[:-1])
             first = np.flatnonzero(new)
             group = np.cumsum(new) - 1
             ph, pn = h[first].copy(), n[first].copy()
             if len(key):
-                if pivot[0] == key[0]:
-                    ph[0], pn[0] = pivot[1:]
-                pivot = (key[-1], ph[-1], pn[-1])
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in (key, h, n, pos, ph[group], pn[group])], ["key", "h", "n", "pos", "p", "pn"])
+                if pivot[:2] == (key[0], portion[0]):
+                    ph[0], pn[0] = pivot[2:]
+                pivot = (key[-1], portion[-1], ph[-1], pn[-1])
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in (key, portion, h, n, pos, ph[group], pn[group])], ["key", "portion", "h", "n", "pos", "p", "pn"])
 
         for batch in batches:
             cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
@@ -245,7 +260,7 @@ def shared_lists(entries: DataFrame, percent: int) -> DataFrame:
                 known = len(held[0]) - 1
                 cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
             new = np.ones(len(cols[0]), bool)
-            new[1:] = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])
+            new[1:] = (cols[0][1:] != cols[0][:-1]) | (cols[2][1:] != cols[2][:-1])
             cols = [c[new] for c in cols]
             if len(cols[0]):
                 yield decide(cols, known, False)
@@ -253,7 +268,7 @@ def shared_lists(entries: DataFrame, percent: int) -> DataFrame:
         if held is not None:
             yield decide(held, len(held[0]) - 1, True)
 
-    return entries.repartition("key").sortWithinPartitions("key", "n", "h").mapInArrow(run, "key long, h long, n int, pos int, p long, pn int")
+    return entries.repartition("key", "portion").sortWithinPartitions("key", "portion", "n", "h").mapInArrow(run, "key long, portion int, h long, n int, pos int, p long, pn int")
 
 
 def full_sets(source: DataFrame, ats: DataFrame, n: int) -> DataFrame:
@@ -525,12 +540,14 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     stats = both.where("not block").drop("block")
     counted = both.where("block").groupBy("h").agg(F.sum("n").alias("c"))
     often = counted.where(F.col("c") >= LEAST_FREQUENT).orderBy(F.desc("c"), "h").limit(MOST_FREQUENT)
-    frequent = np.sort(np.array([r.h for r in often.collect()], np.int64).view(np.uint64))
+    frequent, counts = np.array([(r.h, r.c) for r in often.collect()], np.int64).reshape(-1, 2).T.copy()
+    order = np.argsort(frequent.view(np.uint64))
+    frequent, counts = frequent.view(np.uint64)[order], counts[order]
     measured = counted.where((F.col("h") >= 0) & (F.col("h") < (1 << 64) // MEASURED) & (F.col("c") < LEAST_FREQUENT)).agg(F.sum(F.col("c") * F.col("c")) / F.sum("c")).first()[0] or 1.0
     sizes = {r.n: r.c for r in stats.where(F.col("n").between(1, 2 * MOST_LIGHT)).groupBy("n").agg(F.count_distinct("h").alias("c")).collect()}
     boundary = choose_boundary(sizes, percent, measured)
     classes = written(stats.where("n > 0").groupBy("h").agg(F.min("doc_id").alias("least_id"), F.min("at").alias("at"), F.count("*").alias("n_copies"), F.first("n").alias("n"), F.first("outline").alias("outline")), "classes")
-    lists = written(shared_lists(postings(source, n, percent, boundary, frequent), percent), "lists")
+    lists = written(shared_lists(postings(source, n, percent, boundary, frequent, counts), percent), "lists")
 
     def joined(comps: DataFrame | None, pairs: DataFrame) -> DataFrame:
         """Components by the edges so far and the pairs that link."""
@@ -547,8 +564,12 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
         return connected_components(links)
 
     near = 100 * F.col("pn").cast("long") >= percent * F.col("n").cast("long")
-    star = lists.where((F.col("h") != F.col("p")) & near).select(F.col("p").alias("a"), F.col("h").alias("b")).distinct()
-    first = joined(None, star)
+    star = lists.where((F.col("h") != F.col("p")) & near).select(F.col("p").alias("a"), F.col("h").alias("b"))
+    # the pivots of a list's portions, with the least of them
+    pivots = lists.where("portion >= 0").select("key", F.col("p").alias("h"), F.col("pn").alias("n")).distinct()
+    least = pivots.groupBy("key").agg(F.min(F.struct("n", "h")).alias("l")).select("key", F.col("l.h").alias("p"), F.col("l.n").alias("pn"))
+    of_portions = pivots.join(least, "key").where((F.col("h") != F.col("p")) & near).select(F.col("p").alias("a"), F.col("h").alias("b"))
+    first = joined(None, star.unionByName(of_portions).distinct())
     long_lists = F.col("members") > LONG_LIST
     second = joined(first, pairs_of_long(written(open_lists(lists, first).where(long_lists), "lists"), classes, percent, True).select("a", "b").distinct())
 
