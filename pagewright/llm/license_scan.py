@@ -1,8 +1,8 @@
 """License scans with DataFrame functions only.
 
 What a file says about its licence is likened to templates by the cosine of TF-IDF weights, as a sparse dot product: an
-equi-join on the word. Its units are the sentences, anywhere in its text, that hold a word of licences (a header), and
-of a file that its name marks as a licence file also the whole text. Templates are short notices and whole licences. The
+equi-join on the word. Its units are the sentences, anywhere in its text, that hold a word of licences (a header; a
+tag with a licence's short name counts as its first notice), and of a file that its name marks as a licence file also the whole text. Templates are short notices and whole licences. The
 best unit decides. A file is a licence file of its directory if its name says so or its header is most of its words. A
 file without a match of its own takes the licence of the nearest ancestor directory that has one: each directory (not
 each file) is expanded into its ancestors, which join the licensed directories on the path, and the deepest wins; files
@@ -32,8 +32,22 @@ _BSD_TAIL = (
     "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES "
     "(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
 )
+_GNU = "This {what} is free software{colon} you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation{comma} either version {version} of the License, or (at your option) any later version. This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details."
+
+
+def _gnu(name: str, version: str, what: str = "program", old: bool = False) -> tuple[str, str]:
+    """The notice of a licence of the GNU family, its first sentence by itself too."""
+    text = _GNU.format(what=what, name=name, version=version, colon=";" if old else ":", comma=";" if old else ",")
+    return text.partition(". This")[0] + ".", text
+
+
 #: Short notices by which files name their licence, and the texts of licences and of their standard notices.
 TEMPLATES = {
+    "0BSD": (
+        "Licensed under the Zero-Clause BSD License (0BSD).",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
+    "AGPL-3.0": ("Licensed under the GNU Affero General Public License, version 3.", *_gnu("Affero General Public License", "3")),
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
@@ -42,16 +56,21 @@ TEMPLATES = {
     "BSD-2-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD 2-Clause License.", _BSD_HEAD + _BSD_TAIL),
     "BSD-3-Clause": ("Use of this source code is governed by a BSD-style license.", "Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD 3-Clause License.", _BSD_HEAD + _BSD_THIRD + _BSD_TAIL),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    "CC0-1.0": ("Dedicated to the public domain under CC0 1.0.", "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty."),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    "GPL-2.0": ("Licensed under the GNU General Public License, version 2.", *_gnu("General Public License", "2", old=True)),
     "GPL-3.0": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3.",
+        _gnu("General Public License", "3")[0],
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.",
     ),
     "ISC": (
         "Licensed under the ISC License.",
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
     ),
+    "LGPL-2.1": ("Licensed under the GNU Lesser General Public License, version 2.1.", *_gnu("Lesser General Public License", "2.1", "library", True)),
+    "LGPL-3.0": ("Licensed under the GNU Lesser General Public License, version 3.", *_gnu("Lesser General Public License", "3", "library")),
     "MIT": (
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software under the MIT License.",
@@ -62,9 +81,16 @@ TEMPLATES = {
         "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.",
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     ),
+    "Unlicense": (
+        "Released into the public domain under the Unlicense.",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. "
+        + _AS_IS + "IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to https://unlicense.org/",
+    ),
 }
 #: Words of licences; a sentence without any of them is no header.
-CUE = r"licen[sc]e|copyright|spdx|redistribut|permission|warrant|free software"
+CUE = r"licen[sc]e|copyright|spdx|redistribut|permission|warrant|free software|public domain"
+#: A tag that names a licence by its short name, which may say that later versions are allowed.
+TAG = r"(?i)spdx-license-identifier:\s*([a-z0-9.\-]+?)(?:-only|-or-later|\+)?(?:[^a-z0-9.\-]|\.?$)"
 SENTENCE_END = r"[.!?]\s+|\n\s*\n"
 LICENSE_NAME = r"^(licen[sc]e|copying)([.\-_]|$)"
 MIN_COSINE = 0.55
@@ -81,6 +107,12 @@ def headers(text):
     return F.filter(F.split(F.coalesce(text, F.lit("")), SENTENCE_END), lambda part: F.lower(part).rlike(CUE))
 
 
+def noticed(header):
+    """A header, or the first notice of the licence that its tag names."""
+    notices = F.create_map(*[F.lit(x) for name, variants in sorted(TEMPLATES.items()) for x in (name.lower(), variants[0])])
+    return F.coalesce(F.try_element_at(notices, F.lower(F.regexp_extract(header, TAG, 1))), header)
+
+
 def template_words(spark: SparkSession) -> DataFrame:
     rows = [(name, i, text) for name, variants in sorted(TEMPLATES.items()) for i, text in enumerate(variants)]
     df = spark.createDataFrame(rows, "template string, variant int, text string")
@@ -119,7 +151,7 @@ def scanned(files: DataFrame, id_col: str, path_col: str, text_col: str, min_cos
     many = lambda v: F.size(F.split(v, r"\s+"))
     said = F.aggregate(F.transform("header", many), F.lit(0), lambda a, n: a + n)
     whole = F.when(F.col("says") & (F.col("text") != ""), F.array("text")).otherwise(F.array().cast("array<string>"))
-    base = base.select("row", "file_id", "path", "directory", "says", (said >= F.lit(FILE_SHARE) * many(F.col("text"))).alias("most"), F.concat("header", whole).alias("units"))
+    base = base.select("row", "file_id", "path", "directory", "says", (said >= F.lit(FILE_SHARE) * many(F.col("text"))).alias("most"), F.concat(F.transform("header", noticed), whole).alias("units"))
     base = written(base, "headers")
     units = base.select("row", F.explode("units").alias("unit")).withColumn("h", F.xxhash64("unit"))
     own = units.select("row", "h").join(matched(units.select("h", "unit"), min_cosine), "h").groupBy("row").agg(F.min(F.struct((-F.col("cosine")).alias("c"), F.col("template").alias("own"), "cosine")).alias("b")).select("row", "b.own", "b.cosine")
@@ -153,12 +185,14 @@ def op5_license_scan(spark, sf_dir):
 
 def sql() -> str:
     quoted = ", ".join(f"('{name}', {i}, '{text}')" for name, variants in sorted(TEMPLATES.items()) for i, text in enumerate(variants))
+    tags = ", ".join(f"('{name.lower()}', '{variants[0]}')" for name, variants in sorted(TEMPLATES.items()))
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(source, 'none') AS top, 'a' || (doc_id % 7) AS mid, 'b' || (doc_id % 1009) AS low, coalesce(text, '') AS text FROM documents),
 f AS (SELECT doc_id, text, CASE doc_id % 16 WHEN 0 THEN top || '/' || mid || '/LICENSE.' || doc_id WHEN 8 THEN top || '/LICENSE.' || doc_id ELSE top || '/' || mid || '/' || low || '/file' || doc_id || '.txt' END AS path FROM d),
 b AS (SELECT doc_id, path, text, regexp_replace(path, '/?[^/]*$', '') AS directory, regexp_extract(path, '([^/]*)$', 1) AS name, regexp_matches(lower(regexp_extract(path, '([^/]*)$', 1)), '{LICENSE_NAME}') AS says, len(regexp_split_to_array(text, '\s+')) AS n_words,
   list_filter(regexp_split_to_array(text, '{SENTENCE_END}'), lambda p: regexp_matches(lower(p), '{CUE}')) AS header FROM f),
-units AS (SELECT doc_id, unnest(header || CASE WHEN says AND text <> '' THEN [text] ELSE [] END) AS unit FROM b),
+notices AS (SELECT map(list(tag), list(notice)) AS m FROM (VALUES {tags}) AS t(tag, notice)),
+units AS (SELECT doc_id, unnest(list_transform(header, lambda p: coalesce(m[lower(regexp_extract(p, '{TAG}', 1))], p)) || CASE WHEN says AND text <> '' THEN [text] ELSE [] END) AS unit FROM b, notices),
 distinct_units AS (SELECT unit, count(*) AS n FROM units GROUP BY unit),
 total AS (SELECT count(*) AS total FROM units),
 words AS (SELECT unit, n, unnest(regexp_extract_all(lower(unit), '{WORD}')) AS word FROM distinct_units),

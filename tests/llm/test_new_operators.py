@@ -378,3 +378,24 @@ def test_portions_of_frequent_lists(spark, monkeypatch):
         monkeypatch.setattr(jaccard_join, "LEAST_FREQUENT", 2)
         got = jaccard_join.near_components(spark.createDataFrame(docs, DOCS).repartition(6), 4, 85).collect()
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(docs, 4, 85)
+
+
+def test_licences_by_tag_and_by_text(spark):
+    """Tags with short names and suffixes, notices of the GNU family, short texts; equal cosines go to the first name."""
+    from pagewright.llm import license_scan
+
+    texts = {
+        "a/1.py": ("# SPDX-License-Identifier: MIT\nimport x", "MIT"), "a/2.py": ("// spdx-license-identifier: Apache-2.0\n", "Apache-2.0"), "a/3.py": ("SPDX-License-Identifier: LGPL-3.0-or-later", "LGPL-3.0"), "a/4.py": ("SPDX-License-Identifier: GPL-2.0-only */", "GPL-2.0"),
+        "a/5.py": ("SPDX-License-Identifier: AGPL-3.0+", "AGPL-3.0"), "z/6.py": ("SPDX-License-Identifier: Nobody-1.0 words of another kind that fill this sentence up", None), "b/LICENSE": (license_scan.TEMPLATES["LGPL-3.0"][-1], "LGPL-3.0"), "b/x.c": ("int main;", "LGPL-3.0"),
+        "c/LICENSE": (license_scan.TEMPLATES["Unlicense"][-1], "Unlicense"), "d/COPYING": (license_scan.TEMPLATES["AGPL-3.0"][-1], "AGPL-3.0"), "e/LICENSE.txt": (license_scan.TEMPLATES["0BSD"][-1], "0BSD"), "f/x.py": ("/* " + license_scan.TEMPLATES["GPL-3.0"][-1] + " */", "GPL-3.0"),
+        "g/none.py": ("no word of that kind", None), "h/null.py": (None, None),
+    }
+    frame = spark.createDataFrame([(i, path, text) for i, (path, (text, _)) in enumerate(texts.items())], "n int, path string, text string")
+    got = {r.path: r.license for r in license_scan.scanned(frame, "n", "path", "text").collect()}
+    assert got == {path: want for path, (_, want) in texts.items()}
+    twice = {name: (license_scan.TEMPLATES["MIT"][0],) for name in ("Zed", "Abe")}
+    held, license_scan.TEMPLATES = license_scan.TEMPLATES, twice
+    try:
+        assert [r.license for r in license_scan.scanned(frame.limit(0).unionByName(spark.createDataFrame([(1, "x/y", twice["Zed"][0])], "n int, path string, text string")), "n", "path", "text").collect()] == ["Abe"]
+    finally:
+        license_scan.TEMPLATES = held
