@@ -80,9 +80,9 @@ def id_buckets(df: DataFrame, key: str, n: int) -> list[int]:
     return sorted(r.k for r in keys.groupBy(F.spark_partition_id().alias("b")).agg(F.min("k").alias("k")).collect())[1:]
 
 
-def bucket_of(key: str, bounds: list[int]):
-    """The range that a key falls in, 0 for null: how many bounds are not above it, found in two steps of about the square
-    root of their number each."""
+def bucket_of(key: str, bounds: list):
+    """The range that a key falls in, 0 for null: how many bounds (values or constant columns) are not above it, found in two
+    steps of about the square root of their number each."""
     if not bounds:
         return F.lit(0)
     step = max(1, round(len(bounds) ** 0.5))
@@ -90,7 +90,7 @@ def bucket_of(key: str, bounds: list[int]):
     not_above = lambda values: F.size(F.filter(values, lambda b: b <= F.col(key)))
     tops = F.array(*[F.lit(g[-1]) for g in groups])
     before = not_above(tops)  # groups that lie wholly at or below the key
-    fine = F.array(*[F.array(*[F.lit(b) for b in g]) for g in groups], F.array().cast("array<bigint>"))
+    fine = F.array(*[F.array(*[F.lit(b) for b in g]) for g in groups], F.slice(F.array(F.lit(bounds[0])), 1, 0))
     return F.coalesce(F.least(before * step, F.lit(len(bounds))) + not_above(F.element_at(fine, before + 1)), F.lit(0))
 
 
