@@ -291,6 +291,81 @@ def jpeg_streams(files: DataFrame, key: str) -> DataFrame:
     return walked(files, key, walk, "found_no int, start long, end long, width int, height int, orientation int")
 
 
+#: Boxes of a RAW file that are gone into, and those whose bytes are searched for streams.
+RAW_HOLDERS = {"moov": 0, "uuid": 16, "trak": 0, "mdia": 0, "minf": 0, "stbl": 0, "udta": 0, "CMT1": 0}
+RAW_STREAMS = ("PRVW", "THMB", "mdat")
+RAW_DEPTH = 6
+
+
+def _boxes(data, at: int, end: int):
+    """(type, first byte, end) of the boxes of one level; it ends at a size that can't be."""
+    while at + 8 <= end:
+        size, head = int.from_bytes(data[at : at + 4], "big"), 8
+        if size == 1 and at + 16 <= end:
+            size, head = int.from_bytes(data[at + 8 : at + 16], "big"), 16
+        elif size == 0:
+            size = end - at
+        if size < head or at + size > end:
+            return
+        yield str(data[at + 4 : at + 8], "latin1"), at + head, at + size
+        at += size
+
+
+def _places(data):
+    """(source, start, end) where a RAW file says that previews are: a start alone is a stream's, both are searched. Last the
+    whole file."""
+    if bytes(data[:8]) == b"FUJIFILM":
+        if len(data) >= 92:
+            yield "header", int.from_bytes(data[84:88], "big"), None
+    elif bytes(data[4:8]) == b"ftyp":
+        levels = [(0, _boxes(data, 0, len(data)))]
+        while levels:
+            depth, level = levels[-1]
+            kind, start, end = next(level, (None, 0, 0))
+            if kind is None:
+                levels.pop()
+            elif kind in RAW_STREAMS:
+                yield kind, start, end
+            elif kind in RAW_HOLDERS and depth < RAW_DEPTH:
+                levels.append((depth + 1, _boxes(data, start + RAW_HOLDERS[kind], end)))
+    else:
+        held: dict[int, dict[int, list[int]]] = {}
+        for n, _, _, tag, values, _ in _directory_entries(data, SUB_DIRECTORIES, MOST_VALUES):
+            held.setdefault(n, {}).setdefault(tag, values)
+        for tagged in held.values():
+            if any(preview := tagged.get(513, [])[:1]):
+                yield "preview", preview[0], None
+            if tagged.get(259, [0])[:1] and tagged.get(259, [0])[0] in STREAM_COMPRESSIONS and len(tagged.get(273, [])) == 1:
+                yield "strip", tagged[273][0], None
+    yield "scan", 0, len(data)
+
+
+def raw_streams(files: DataFrame, key: str) -> DataFrame:
+    """key, found_no, start, end, width, height, orientation, source: the whole JPEG streams of RAW files, first where a
+    container says they are (a header's place, boxes, directories), then by a search of the file; a stream that is found
+    again counts once, and MOST_STREAMS of a file at most. `ranking.raw_preview` picks one of them."""
+
+    def walk(data):
+        found: dict[int, tuple] = {}
+
+        def offered(start: int, source: str):
+            if start not in found and len(found) < MOST_STREAMS and (stream := jpeg_stream(data, start)):
+                found[start] = (len(found), start, *stream, source)
+            return found.get(start)
+
+        for source, start, end in _places(data):
+            if end is None:
+                offered(start, source)
+                continue
+            mark = _START_MARK.search(data, start)
+            while mark and mark.start() < end and len(found) < MOST_STREAMS:
+                stream = offered(mark.start(), source)
+                mark = _START_MARK.search(data, stream[2] if stream else mark.end())
+        yield from found.values()
+
+    return walked(files, key, walk, "found_no int, start long, end long, width int, height int, orientation int, source string")
+
+
 # ---- ISO boxes
 
 
@@ -305,21 +380,12 @@ def iso_boxes(files: DataFrame, key: str) -> DataFrame:
         def level(at, end, depth, path, first):
             nonlocal number
             seen = set()
-            while at + 8 <= end:
-                size, head = int.from_bytes(data[at : at + 4], "big"), 8
-                if size == 1:
-                    size, head = int.from_bytes(data[at + 8 : at + 16], "big"), 16
-                elif size == 0:
-                    size = end - at
-                if size < head or at + size > end:
-                    return
-                kind = str(data[at + 4 : at + 8], "latin1")
-                yield number, depth, f"{path}{kind}", first, kind, at + head, at + size, bytes(data[at + head : at + size]) if kind in KEPT_BODIES else None
+            for kind, start, stop in _boxes(data, at, end):
+                yield number, depth, f"{path}{kind}", first, kind, start, stop, bytes(data[start:stop]) if kind in KEPT_BODIES else None
                 number += 1
                 if kind in HOLDERS and depth < MOST_DEPTH:
-                    yield from level(at + head + HOLDERS[kind], at + size, depth + 1, f"{path}{kind}/", first and kind not in seen)
+                    yield from level(start + HOLDERS[kind], stop, depth + 1, f"{path}{kind}/", first and kind not in seen)
                 seen.add(kind)
-                at += size
 
         yield from level(0, len(data), 0, "", True)
 

@@ -12,6 +12,9 @@ from ..functions.geometry import five_to_eight, rescaled
 from .verdicts import u_le
 
 MOST_PIXELS = 100_000_000
+#: First bytes of a PNG image.
+PNG_MARK = b"\x89PNG\r\n\x1a\n"
+MOST_ICON_EDGE = 4096
 #: Bytes of run-length packets whose starts are found at once.
 PACKET_WINDOW = 1 << 16
 #: Rows of a batch that leaves a Python decoder.
@@ -278,3 +281,69 @@ def qoi_pixels(files: DataFrame, key: str) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k, np.int64)), pa.array((i % w).astype(np.int32)), pa.array((i // w).astype(np.int32)), *[pa.array(np.ascontiguousarray(some[:, c])) for c in range(4)]], [key, "x", "y", "r", "g", "b", "a"])
 
     return files.select(F.col(key).cast("long").alias(key), "content").mapInArrow(run, f"{key} long, x int, y int, r int, g int, b int, a int")
+
+
+def icon_images(files: DataFrame, key: str) -> DataFrame:
+    """key, image, png: the bytes of the best picture of each icon or cursor file (greatest area, then depth but of cursors,
+    then place) and whether it is a PNG. Files that aren't icons, or whose pictures all lie outside, are left out."""
+    c = F.col("content")
+    place = lambda i: i * 16 + 6
+    side = lambda at: F.when(u_le(c, at, 1) == 0, 256).otherwise(u_le(c, at, 1))
+
+    def entry(i: Column) -> Column:
+        at = place(i)
+        depth = F.when(u_le(c, 2, 2) == 1, u_le(c, at + 6, 2)).otherwise(0)
+        return F.struct((side(at) * side(at + 1)).alias("area"), depth.alias("depth"), (-i).alias("order"), u_le(c, at + 8, 4).alias("size"), u_le(c, at + 12, 4).alias("offset"))
+
+    files = _once(files.select(key, "content"), content=F.col("content"))
+    icons = files.where((F.length(c) >= 22) & (u_le(c, 0, 2) == 0) & u_le(c, 2, 2).isin(1, 2) & (u_le(c, 4, 2) > 0) & (place(u_le(c, 4, 2)) <= F.length(c)))
+    inside = lambda e: (e["size"] > 0) & (e["offset"] >= 6) & (e["offset"] + e["size"] <= F.length(c))
+    best = F.array_max(F.filter(F.transform(_places(u_le(c, 4, 2)), entry), inside))
+    chosen = _once(icons, best=best, content=c).where("best IS NOT NULL")
+    image = F.substring("content", F.col("best.offset").cast("int") + 1, F.col("best.size").cast("int"))
+    return _once(chosen, image=image).select(key, "image", (F.substring("image", 1, 8) == F.lit(PNG_MARK)).alias("png"))
+
+
+def icon_pixels(files: DataFrame, key: str) -> DataFrame:
+    """Pixels of the best picture of icon and cursor files, where it is a bitmap: 1, 4, 8 (with a palette), 24 or 32 bits.
+
+    An even height above 0 counts the lines of a mask too, which hides pixels of all forms without an alpha channel of their
+    own (32 bits with a channel that is 0, or 255, everywhere have none); a mask that isn't there hides nothing. Rows stand
+    from the bottom up, or, of a height below 0, from the top. Damaged bitmaps give no pixels."""
+    i = F.col("image")
+    signed = lambda v: F.when(v >= 1 << 31, v - (1 << 32)).otherwise(v)
+    read = icon_images(files, key).where(~F.col("png") & (F.length(i) >= 40)).select(key, "image", u_le(i, 0, 4).alias("head"), signed(u_le(i, 4, 4)).alias("w"), signed(u_le(i, 8, 4)).alias("stored"), u_le(i, 14, 2).alias("bits"), u_le(i, 16, 4).alias("packed"), u_le(i, 32, 4).alias("told"))
+    c = F.col
+    masked = (c("stored") > 0) & (c("stored") % 2 == 0)
+    sized = read.where((c("head") >= 40) & (c("head") <= F.length(i)) & (c("packed") == 0) & c("w").between(1, MOST_ICON_EDGE) & (c("stored") != 0) & c("bits").isin(1, 4, 8, 24, 32)).withColumns(
+        {"h": F.when(masked, c("stored") / 2).otherwise(F.abs("stored")).cast("int"), "masked": masked, "w": c("w").cast("int"), "bits": c("bits").cast("int"), "colours": F.when(c("bits") <= 8, F.when(c("told") == 0, F.pow(F.lit(2), c("bits"))).otherwise(c("told")).cast("long")).otherwise(0)}
+    )
+    words = lambda bits: F.floor((bits + 31) / 32) * 4
+    placed = sized.withColumns({"start": c("head") + c("colours") * 4, "stride": words(c("w") * c("bits")), "mask_stride": words(c("w"))}).withColumn("mask_start", c("start") + c("stride") * c("h"))
+    fine = placed.where((c("colours") <= 256) & (c("w").cast("long") * c("h") <= MOST_PIXELS) & (c("mask_start") <= F.length(i)))
+    cut = lambda at, n: F.substring(i, at.cast("int") + 1, n.cast("int"))
+    hides = c("masked") & (c("mask_start") + c("mask_stride") * c("h") <= F.length(i))
+    parts = _once(fine, palette=cut(c("head"), c("colours") * 4), all=cut(c("start"), c("stride") * c("h")), mask=F.when(hides, cut(c("mask_start"), c("mask_stride") * c("h"))))
+
+    def index(line: Column, x: Column) -> Column:
+        per = (F.lit(8) / F.col("bits")).cast("int")
+        shift = (per - 1 - x % per) * c("bits")
+        return F.floor(byte_at(line, F.floor(x / per)) / F.pow(F.lit(2), shift)).cast("int") % F.pow(F.lit(2), F.col("bits")).cast("int")
+
+    line_of = lambda y, rows, stride: F.substring(rows, (y * c(stride)).cast("int") + 1, c(stride).cast("int"))
+    some_index = F.exists(_places(c("h")), lambda y: F.exists(_places(c("w")), lambda x: index(line_of(y, c("all"), "stride"), x) >= c("colours")))
+    outside = (c("bits") <= 8) & (c("colours") < F.pow(F.lit(2), c("bits"))) & some_index
+    alpha = lambda test: F.exists(_places(c("h")), lambda y: F.exists(_places(c("w")), lambda x: test(byte_at(line_of(y, c("all"), "stride"), x * 4 + 3))))
+    own = (c("bits") == 32) & alpha(lambda a: a > 0) & alpha(lambda a: a < 255)
+    stored_line = lambda y: F.when(c("stored") > 0, c("h") - 1 - y).otherwise(y)
+    names = ["w", "bits", "palette", "own"]
+    line = lambda y: F.struct(y.alias("row"), line_of(stored_line(y), c("all"), "stride").alias("line"), F.when(c("mask").isNotNull(), line_of(stored_line(y), c("mask"), "mask_stride")).alias("hidden"))
+    lines = _once(parts.where(~outside), own=own).select(key, *names, F.explode(F.transform(_places(c("h")), line)).alias("l")).select(key, *names, "l.*")
+
+    def pixel(x: Column) -> Column:
+        wide, at = (F.col("bits") / 8).cast("int"), index(F.col("line"), x) * 4
+        of = lambda k: F.when(F.col("bits") >= 24, byte_at(F.col("line"), x * wide + k)).otherwise(byte_at(F.col("palette"), at + k))
+        hidden = F.col("hidden").isNotNull() & (F.floor(byte_at(F.col("hidden"), F.floor(x / 8)) / F.pow(F.lit(2), 7 - x % 8)).cast("int") % 2 == 1)
+        return F.struct(of(2).alias("r"), of(1).alias("g"), of(0).alias("b"), F.when(F.col("own"), byte_at(F.col("line"), x * 4 + 3)).when(hidden, 0).otherwise(255).alias("a"))
+
+    return _pixels(lines, key, "w", pixel).select(key, "x", F.col("row").alias("y"), "px.*")

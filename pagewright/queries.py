@@ -872,3 +872,54 @@ def jpeg_scan(spark, sf_dir):
     piece = F.element_at(F.array(*pieces), (kind + 1).cast("int"))
     files = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("file_id"), _numbered_lines().alias("place"), piece.alias("piece")).groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("place", "piece"))).alias("all"))
     return containers.jpeg_streams(files.select("file_id", F.unhex(_joined(F.transform("all", lambda s: s["piece"]))).alias("content")), "file_id")
+
+
+@query(f"""
+WITH p AS (SELECT vec_id, i, v, ([1, 4, 8, 24, 32])[(vec_id % 5 + 1)::INT] AS bits, 256 // ([2, 16, 256, 256, 256])[(vec_id % 5 + 1)::INT] AS step FROM {_PIXELS}),
+k AS (SELECT *, v // step * step AS c, bits = 32 AND bool_or(v > 0) OVER (PARTITION BY vec_id) AND bool_or(v < 255) OVER (PARTITION BY vec_id) AS own FROM p)
+SELECT vec_id, CAST(i % 8 AS INTEGER) AS x, CAST(CASE WHEN vec_id % 2 = 0 THEN 7 - i // 8 ELSE i // 8 END AS INTEGER) AS y, CAST(c AS INTEGER) AS r, CAST(255 - c AS INTEGER) AS g, CAST(c AS INTEGER) AS b, CAST(CASE WHEN own THEN v WHEN vec_id % 2 = 0 AND i % 8 IN (0, 3) THEN 0 ELSE 255 END AS INTEGER) AS a FROM k
+""")
+def decode_icon(spark, sf_dir):
+    """Pixels of icon bitmaps of all depths made from the vectors: with a mask from the bottom up, or without one from the top
+    down; a lesser picture and one outside the file stand before."""
+    n, v = F.col("vec_id"), F.col("v")
+    bits, masked = _pick((1, 4, 8, 24, 32), n), n % 2 == 0
+    rgb = lambda c: F.concat(*[_hex(x, 1) for x in (c, 255 - c, c)])
+    palette = lambda size: "".join(f"{c:02X}{255 - c:02X}{c:02X}00" for c in range(0, 256, 256 // size))
+    rows = [F.slice(v, 8 * y + 1, 8) for y in range(8)]
+    row_of = {
+        1: lambda r: F.concat(F.lpad(F.conv(_joined(F.transform(r, lambda e: F.floor(e / 128).cast("string"))), 2, 16), 2, "0"), F.lit("000000")), 4: lambda r: _joined(F.transform(r, lambda e: F.hex(F.floor(e / 16).cast("long")))),
+        8: lambda r: _joined(F.transform(r, lambda e: _hex(e, 1))), 24: lambda r: _joined(F.transform(r, rgb)), 32: lambda r: _joined(F.transform(r, lambda e: F.concat(rgb(e), _hex(e, 1)))),
+    }
+    made = lambda b: F.concat(F.lit(palette(1 << b) if b <= 8 else ""), *[row_of[b](r) for r in rows])
+    body = F.when(bits == 1, made(1)).when(bits == 4, made(4)).when(bits == 8, made(8)).when(bits == 24, made(24)).otherwise(made(32))
+    height = F.when(masked, F.lit("10000000")).otherwise("F8FFFFFF")
+    image = F.concat(F.lit("28000000" + "08000000"), height, F.lit("0100"), _hex(bits, 2, True), F.lit("00" * 24), body, F.when(masked, "90000000" * 8).otherwise(""))
+    entry = lambda w, size, offset: F.concat(F.lit(f"{w:02X}{w:02X}0000" + "0100"), _hex(bits, 2, True), _hex(size, 4, True), _hex(offset, 4, True))
+    size = F.length(image) / 2
+    whole = F.concat(F.lit("000001000300"), entry(4, F.lit(10), F.lit(6)), entry(200, F.lit(90), F.lit(999_999)), entry(8, size, F.lit(6 + 48)), image)
+    return decode.icon_pixels(_images(spark, sf_dir).select("vec_id", F.unhex(whole).alias("content")), "vec_id")
+
+
+@query("""
+WITH o AS (SELECT o_orderkey AS k, o_custkey % 500 + 8 AS w, o_orderkey % 90 + 8 AS h FROM orders),
+f AS (SELECT k, w, h, n, CASE k % 3 WHEN 0 THEN (['header', 'scan'])[n + 1] WHEN 1 THEN (['PRVW', 'mdat'])[n + 1] ELSE (['preview', 'scan'])[n + 1] END AS source, CASE k % 3 WHEN 0 THEN (['92', '116'])[n + 1] WHEN 1 THEN (['56', '88'])[n + 1] ELSE (['26', '50'])[n + 1] END::BIGINT AS start FROM o, (SELECT unnest([0, 1]) AS n)),
+s AS (SELECT k, n, start, source, CASE n WHEN 0 THEN w ELSE 400 - w // 2 END AS width, CASE n WHEN 0 THEN h ELSE 100 END AS height FROM f)
+SELECT k AS file_id, CAST(arg_max(n, [width * height, -n]) AS INTEGER) AS found_no, CAST(arg_max(width, [width * height, -n]) AS INTEGER) AS width, CAST(arg_max(height, [width * height, -n]) AS INTEGER) AS height, arg_max(source, [width * height, -n]) AS source, CAST(arg_max(start, [width * height, -n]) AS BIGINT) AS start FROM s GROUP BY k
+""")
+def raw_files(spark, sf_dir):
+    """The largest preview of RAW files of three kinds, from their bytes: one that a header's place, a box or a directory names,
+    and one that a box of data or the search finds."""
+    key, w, h = F.col("o_orderkey"), F.col("o_custkey") % 500 + 8, F.col("o_orderkey") % 90 + 8
+    text = lambda t: F.lit(t.hex().upper())
+    stream = lambda w, h: F.concat(F.lit("FFD8FFC0000A08"), _hex(h, 2), _hex(w, 2), F.lit("010101" + "FFDA000301" + "AAFF00" + "FFD9"))
+    box = lambda kind, body: F.concat(_hex(F.length(body) / 2 + 8, 4), text(kind), body)
+    one, two = stream(w, h), stream(400 - F.floor(w / 2), F.lit(100))
+    header = F.concat(text(b"FUJIFILM" + bytes(76)), _hex(92, 4), _hex(24, 4), one, two)
+    boxes = F.concat(box(b"ftyp", text(b"crx ")), box(b"moov", box(b"uuid", F.concat(F.lit("00" * 16), box(b"PRVW", F.concat(F.lit("0000"), F.lit("0000"), one))))), box(b"mdat", two))
+    tags = F.concat(F.lit("4D4D002A00000008" + "0001" + "0201000400000001" + "0000001A" + "00000000"), one, two)
+    content = F.unhex(F.when(key % 3 == 0, header).when(key % 3 == 1, boxes).otherwise(tags))
+    files = table(spark, sf_dir, "orders").select(key.alias("file_id"), content.alias("content"))
+    streams = containers.raw_streams(files, "file_id")
+    chosen = ranking.raw_preview(streams.select("file_id", "found_no", "start", "width", "height", (F.col("end") - F.col("start")).alias("size"), F.lit(True).alias("decodes")))
+    return chosen.join(streams.select("file_id", "found_no", "source", "start"), ["file_id", "found_no"]).select("file_id", "found_no", "width", "height", "source", "start")

@@ -193,3 +193,19 @@ def test_bytes_above_127(spark):
     made = tiff("<", {8: ([(1, 1, [200, 255, 128, 7]), (254, 1, [250] * 6)], 0)})
     got = containers.directories(files(spark, [made]), "k").orderBy("entry_no").collect()
     assert [r["values"] for r in got] == [[200, 255, 128, 7], [250] * 6]
+
+
+def test_raw_streams(spark):
+    """What a container says comes first, in its order; the search adds what it can't reach; damaged places are passed over."""
+    a, b, c = jpeg(20, 20), jpeg(30, 30), jpeg(40, 40)
+    raf = b"FUJIFILM" + bytes(76) + (92 + len(a)).to_bytes(4, "big") + bytes(4) + a + b
+    deep = box(b"PRVW", b"head" + b)
+    for _ in range(3):
+        deep = box(b"udta", deep)
+    cr3 = box(b"ftyp", b"crx ") + box(b"moov", box(b"uuid", bytes(16) + deep + box(b"THMB", b"none")) + box(b"free", a)) + box(b"mdat", b"xx" + c, 2)
+    directory = {8: ([(513, 4, [2000]), (259, 3, [6]), (273, 4, [1500])], 100), 100: ([(513, 4, [3])], 0)}
+    raw = bytearray(tiff("<", directory))
+    raw[2000 : 2000 + len(a)], raw[1500 : 1500 + len(b)], raw[3000 : 3000 + len(c)] = a, b, c
+    torn = box(b"ftyp", b"crx ") + struct.pack(">I4s", 9999, b"moov") + a
+    got = containers.raw_streams(files(spark, [raf, cr3, bytes(raw), torn, b"text" + a + b, b"FUJIFILM", b"", None]), "k").orderBy("k", "found_no").collect()
+    assert [(r.k, r.found_no, r.width, r.source) for r in got] == [(0, 0, 30, "header"), (0, 1, 20, "scan"), (1, 0, 30, "PRVW"), (1, 1, 40, "mdat"), (1, 2, 20, "scan"), (2, 0, 20, "preview"), (2, 1, 30, "strip"), (2, 2, 40, "scan"), (3, 0, 20, "scan"), (4, 0, 20, "scan"), (4, 1, 30, "scan")]
