@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import Results, joined
+from .chunks import KEPT_BYTES, Results, joined
 from .common import pieces, table, texts
 
 ROWS = 8192
@@ -289,23 +289,25 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_i
     return _run(docs, ranks_path, pattern, id_col, text_col, f"{id_col} long, n_tokens long, ids string, decoded binary", lambda n, ids, raw: (n, ids.decode(), raw), [pa.int64(), pa.string(), pa.binary()])
 
 
-def digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """As encoded(), with the SHA-256 of the ids and of the decoded bytes in place of both."""
+def digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", kept_bytes: int = KEPT_BYTES) -> DataFrame:
+    """As encoded(), with the SHA-256 of the ids and of the decoded bytes in place of both. kept_bytes: what a worker may keep
+    of chunks and their results."""
     import hashlib
 
     sha = lambda x: hashlib.sha256(x).hexdigest()
-    return _run(docs, ranks_path, pattern, id_col, text_col, f"{id_col} long, n_tokens long, ids_sha256 string, decoded_sha256 string", lambda n, ids, raw: (n, sha(ids), sha(raw)), [pa.int64(), pa.string(), pa.string()])
+    return _run(docs, ranks_path, pattern, id_col, text_col, f"{id_col} long, n_tokens long, ids_sha256 string, decoded_sha256 string", lambda n, ids, raw: (n, sha(ids), sha(raw)), [pa.int64(), pa.string(), pa.string()], kept_bytes)
 
 
 _ENCODERS: dict = {}  # of this worker process, by its files
 
 
-def _run(docs, ranks_path, pattern, id_col, text_col, schema, made, types):
+def _run(docs, ranks_path, pattern, id_col, text_col, schema, made, types, kept_bytes=KEPT_BYTES):
     def run(batches):
         if (ranks_path, pattern) not in _ENCODERS:
             _ENCODERS.clear()
             _ENCODERS[ranks_path, pattern] = Encoder(ranks_path, pattern)
         encoder = _ENCODERS[ranks_path, pattern]
+        encoder.results.most = kept_bytes
         for batch in batches:
             for piece in pieces(batch, text_col, BLOCK):
                 rows = [made(*x) for x in encoder.block(piece.column(1))]
