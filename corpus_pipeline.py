@@ -54,11 +54,15 @@ def mixing(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     return soft_mixing.rated(docs, model, steps, 1.0, "_rate").where(soft_mixing.uniform(key) < F.col("_rate")).select(docs.columns)
 
 
+#: Bytes of encoded chunks that a worker keeps: less than in a job of its own, as workers live on between the stages.
+KEPT_BYTES = 32 << 20
+
+
 def tokens(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the byte-level BPE ids of what is left, and of the bytes they decode to."""
     import public_tokenizers as P
 
-    return bpe.digests(docs, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    return bpe.digests(docs, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN, kept_bytes=KEPT_BYTES)
 
 
 STAGES = [("quality", quality), ("rules", rules), ("near_duplicates", near_duplicates), ("mixing", mixing), ("tokens", tokens)]
