@@ -359,27 +359,6 @@ def test_ids_that_are_null_or_repeated(spark):
     assert sorted(held, key=str) == sorted(rows, key=str)
 
 
-def test_portions_of_frequent_lists(spark, monkeypatch):
-    """With portions of two or three entries the components are those of all pairs."""
-    from pagewright.llm import jaccard_join
-
-    from .test_operators import brute_components
-
-    rng = random.Random(6)
-    base = [f"w{i}" for i in range(60)]
-    docs = []
-    for i in range(160):
-        words = base[:] if i % 4 else [f"v{rng.randrange(30)}" for _ in range(rng.choice([5, 20]))]
-        for _ in range(rng.choice([0, 1, 2, 4])):
-            words[rng.randrange(len(words))] = f"x{rng.randrange(1000)}"
-        docs.append((i, " ".join(words[: rng.choice([40, 55, 60])]), "en", "s", 1, None, None, None))
-    for portion in (2, 3, 50):
-        monkeypatch.setattr(jaccard_join, "PORTION", portion)
-        monkeypatch.setattr(jaccard_join, "LEAST_FREQUENT", 2)
-        got = jaccard_join.near_components(spark.createDataFrame(docs, DOCS).repartition(6), 4, 85).collect()
-        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(docs, 4, 85)
-
-
 def test_licences_by_tag_and_by_text(spark):
     """Tags with short names and suffixes, notices of the GNU family, short texts; equal cosines go to the first name."""
     from pagewright.llm import license_scan
