@@ -11,7 +11,8 @@ Lists are scanned in three passes, so a large group of near copies doesn't make
 are paired with one pivot (its smallest); links give components. Lists whose members are all in one component are done.
 In the long ones of the rest, a member outside the list's largest component is then paired with its nearest one of
 another component, by outlines; links join components. Last, members of one list that are still in different components
-are paired. Long lists are dealt into blocks of members to compare, so no task holds or scans a whole one.
+are paired. Long lists are dealt into blocks of members to compare, so no task holds a whole one; that a list's entries have
+neighbours of their size is found before by streaming it, two rows at a time.
 
 Pairs are ruled out by the bound of positions and shared elements, and by outlines: counts of a set's elements in equal
 ranges of the hashes, whose differences add up to no more than the sets' symmetric difference has elements. What is left
