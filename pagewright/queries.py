@@ -704,7 +704,8 @@ def webp_first_frame(spark, sf_dir):
     turn = F.concat(F.when(n % 3 == 0, b"Exif\0\0".hex().upper()).otherwise(""), F.when(little, "49492A00").otherwise("4D4D002A"), _hex(8, 4, little), _hex(1, 2, little), _hex(274, 2, little), _hex(3, 2, little), _hex(1, 4, little), _hex(n % 6, 2, little), F.lit("0000" + "00000000"))
     body = F.concat(head("VP8X", canvas), head("ANIM", shown), head("ANMF", frame), head("ANMF", frame), head("EXIF", turn))
     files = v.select(n.alias("file_id"), F.unhex(F.concat(F.lit(b"RIFF".hex().upper()), _hex(F.length(body) / 2 + 4, 4, True), F.lit(b"WEBP".hex().upper()), body)).alias("content"))
-    shade = v.select(n.alias("file_id"), F.posexplode(F.transform("embedding", lambda e: F.floor((e + 1) * 100).cast("int"))).alias("i", "r"))
+    one, hundred = F.lit(1).cast("float"), F.lit(100).cast("float")  # with integers Spark would go on in double precision
+    shade = v.select(n.alias("file_id"), F.posexplode(F.transform("embedding", lambda e: F.floor((e + one) * hundred).cast("int"))).alias("i", "r"))
     pixels = shade.select("file_id", (F.col("i") % 8).alias("x"), F.floor(F.col("i") / 8).cast("int").alias("y"), "r", F.lit(7).alias("g"), F.lit(7).alias("b"), F.lit(255).alias("a"))
     canvases = containers.webp_canvas(files, "file_id")
     return containers.on_canvas(canvases, pixels, "file_id").join(canvases.select("file_id", "orientation"), "file_id").select("file_id", "x", "y", "r", "b", "a", "orientation")
