@@ -10,8 +10,9 @@ from .common import written
 
 def _settled(edges: DataFrame) -> bool:
     """Whether each node has one edge down, to a node that has none: then edges are stars around their least nodes."""
-    down = edges.groupBy("u").count()
-    return down.where("count > 1").select("u").unionByName(edges.select(F.col("v").alias("u")).join(down, "u", "left_semi")).isEmpty()
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    of_node = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return of_node.where("down > 1 OR down = 1 AND up = 1").isEmpty()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

@@ -29,8 +29,8 @@ THRESHOLD = 0.3
 
 DIMS = 1 << 14
 KINDS = 4
-#: Tasks of a sum over the labelled sample, whose partial sums of some MB come to the driver.
-SUM_TASKS = 12
+#: Tasks of a sum over the labelled sample, whose partial sums of some MB are shuffled in so many slices.
+SUM_TASKS, SLICES = 12, 64
 #: Rows and text bytes of a block, so that its dense counts stay under 17 MB.
 BLOCK_ROWS, BLOCK_BYTES = 256, 1 << 19
 _BACK = 0x5851F42D4C957F2D
@@ -105,7 +105,8 @@ def _blocks(batches, idf):
 
 
 def _summed(rows: DataFrame, part, dtype):
-    """Sum of the arrays that part(batches) yields in each task, in an order of its own; an array a task comes to the driver."""
+    """Sum of the arrays of DIMS rows that part(batches) yields in each task, in an order of its own. Tasks cut theirs into
+    slices that executors add up, so one array comes to the driver, however many tasks there are."""
     import numpy as np
 
     def run(batches):
@@ -113,15 +114,31 @@ def _summed(rows: DataFrame, part, dtype):
         for h, some in part(batches):
             total, least = (some, h) if total is None else (total + some, min(h, least))
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([least], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["h", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([least] * SLICES, pa.int64()), pa.array([x.tobytes() for x in np.split(total, SLICES)], pa.binary())], ["slice", "h", "part"])
 
-    held = sorted(rows.coalesce(SUM_TASKS).mapInArrow(run, "h long, part binary").collect(), key=lambda r: r.h)
-    return sum(np.frombuffer(r.part, dtype) for r in held)
+    def added(batches):
+        now, total = None, None
+        for batch in batches:
+            for slice_no, some in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if slice_no != now and now is not None:
+                    yield _slice(now, total)
+                some = np.frombuffer(some, dtype)
+                now, total = slice_no, some if slice_no != now else total + some
+        if now is not None:
+            yield _slice(now, total)
+
+    parts = rows.coalesce(SUM_TASKS).mapInArrow(run, "slice int, h long, part binary")
+    held = parts.repartition("slice").sortWithinPartitions("slice", "h").mapInArrow(added, "slice int, part binary").collect()
+    return np.concatenate([np.frombuffer(r.part, dtype) for r in sorted(held, key=lambda r: r.slice)])
+
+
+def _slice(slice_no: int, total):
+    return pa.RecordBatch.from_arrays([pa.array([slice_no], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["slice", "part"])
 
 
 def fit(labelled: DataFrame, max_labelled: int = MAX_LABELLED, rank: int = RANK) -> dict:
     """labelled: text, label (0 or 1). The sample's terms stay in a written table; each round of the SVD is a sum over it on
-    executors. What comes to the driver is DIMS x (rank + 16) numbers a task and max_labelled vectors of the rank."""
+    executors. What comes to the driver is DIMS x (rank + 16) numbers a round and max_labelled vectors of the rank."""
     import numpy as np
 
     def run(batches):

@@ -8,9 +8,9 @@ make a naive Bayes of their presence and absence. Its posteriors p and the words
 Rates w >= 0 minimise the sum over domains of (T_j - t_j)^2 / m_j, where T_j = sum of w n p_j, t_j is the target and
 m_j the domain's expected share at rate 1. The gradient, scaled per document by 1/n, is p . (r / m), so a step is
 w <- max(0, w - p . (r / m)); as posteriors sum to 1, a step of 1 never overshoots. Steps start from a point ahead
-(accelerated projected gradient, restarted when the loss rises). A round is one aggregate over the
-written table; a document's rate follows from its p, the rate last written and the few residuals since. Nothing of a
-document is kept on the driver, only one residual per domain and round. With a largest rate, steps are cut there too.
+(accelerated projected gradient, restarted when the loss rises). A round is one pass over the
+written table, without a shuffle: a row of sums a task; a document's rate follows from its p, the rate last written and the few residuals since. Nothing of a
+document is kept on the driver, only a task's sums for the round and one residual per domain and round. With a largest rate, steps are cut there too.
 
 Defined results: null texts have no words, prior posteriors and no part in totals; an unlabelled or unknown class gets
 no posterior; without labels posteriors are even; a domain without expected tokens is left out of the fit; unreachable
@@ -198,11 +198,11 @@ def solve(soft: DataFrame, targets: dict[str, float], budget: float | None = Non
                 before = y
                 w, y = _moved(w, y, p, steps[-1:], most)
                 t += np.concatenate([(w * n) @ p, (y * n) @ p, [(np.abs(w - before) * n).sum()]])
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(2 * k + 1, dtype=np.int32)), pa.array(t)], ["j", "t"])
+            yield pa.RecordBatch.from_arrays([pa.array([t.tolist()], pa.list_(pa.float64()))], ["t"])
 
         out = np.zeros(2 * k + 1)
-        for r in state.select("n_tokens", "p", "rate", "ahead").mapInArrow(run, "j int, t double").groupBy("j").agg(F.sum("t").alias("t")).collect():
-            out[r.j] = r.t
+        for r in state.select("n_tokens", "p", "rate", "ahead").mapInArrow(run, "t array<double>").collect():  # a row a task
+            out += r.t
         return out[:k], out[k:-1], out[-1]
 
     state, steps, done = soft.withColumns({"rate": F.lit(1.0), "ahead": F.lit(1.0)}), [], []

@@ -1,7 +1,9 @@
 """The pipeline's stages on a small table, against what each operator decides."""
 
+import numpy as np
+
 import corpus_pipeline as pipeline
-from pagewright.llm import jaccard_join, knn_quality, line_frequency
+from pagewright.llm import jaccard_join, knn_quality, line_frequency, soft_mixing
 
 SF = "/root/testdata/sf0.001"
 
@@ -50,3 +52,31 @@ def test_empty(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_sums_come_to_the_driver_once(spark, monkeypatch):
+    """The arrays of many tasks are added up on executors: what is collected is one array, whatever the number of tasks."""
+    rows = spark.range(0, 40, 1, 10)
+    kind, sizes = type(rows), []
+    collect = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda self: [sizes.append(len(r.part)) or r for r in collect(self)])
+    dims = knn_quality.DIMS
+
+    def arrays(batches):
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                yield i, np.arange(dims) * i
+
+    assert (knn_quality._summed(rows, arrays, np.int64) == np.arange(dims) * sum(range(40))).all()
+    assert sum(sizes) == 8 * dims
+
+
+def test_rounds_have_no_shuffle(spark):
+    """A round of the mix is one job of one stage: a row of sums a task comes to the driver."""
+    soft = pipeline.written(spark.range(0, 300, 1, 6).selectExpr("id as doc_id", "id % 7 + 1 as n_tokens", "array(0.5D, 0.3D, 0.2D) as p"))
+    sc = spark.sparkContext
+    sc.setJobGroup("rounds", "")
+    steps = soft_mixing.solve(soft, {"clean": 0.9, "low": 0.1}, rounds=3, tolerance=0.0)[1]
+    sc._jsc.clearJobGroup()
+    jobs = [sc.statusTracker().getJobInfo(i) for i in sc.statusTracker().getJobIdsForGroup("rounds")]
+    assert steps and len(jobs) == 1 + len(steps) and all(len(j.stageIds) == 1 for j in jobs)
