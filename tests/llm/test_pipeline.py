@@ -1,9 +1,11 @@
 """The pipeline's stages on a small table, against what each operator decides."""
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 import corpus_pipeline as pipeline
-from pagewright.llm import jaccard_join, knn_quality, line_frequency, soft_mixing
+from pagewright.llm import common, jaccard_join, knn_quality, line_frequency, soft_mixing
 
 SF = "/root/testdata/sf0.001"
 
@@ -80,3 +82,28 @@ def test_rounds_have_no_shuffle(spark):
     sc._jsc.clearJobGroup()
     jobs = [sc.statusTracker().getJobInfo(i) for i in sc.statusTracker().getJobIdsForGroup("rounds")]
     assert steps and len(jobs) == 1 + len(steps) and all(len(j.stageIds) == 1 for j in jobs)
+
+
+@pytest.mark.parametrize("stage", [f for _, f in pipeline.STAGES])
+def test_batches_are_bounded(spark, stage):
+    """What goes to a Python worker at once is bounded in bytes, while a text above the bound goes whole."""
+    texts = spark.range(0, 60, 1, 1).selectExpr("repeat('x', if(id = 40, 6000000, 300000)) as text")
+
+    def measured(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes]), pa.array([sum(map(len, batch.column(0).to_pylist()))])], ["held", "letters"])
+
+    def batches():
+        return texts.mapInArrow(measured, "held long, letters long").collect()
+
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "64MB")
+        stage(spark, spark.read.parquet(f"{SF}/documents.parquet").limit(0), SF)
+        got = batches()
+        assert sum(r.letters for r in got) == 59 * 300_000 + 6_000_000
+        assert sorted(r.held for r in got)[-2] < common.BATCH_BYTES + 400_000 and max(r.held for r in got) < common.BATCH_BYTES + 6_400_000
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "1m")
+        stage(spark, spark.read.parquet(f"{SF}/documents.parquet").limit(0), SF)
+        assert len(batches()) > len(got)  # a smaller setting stays
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
