@@ -50,7 +50,7 @@ def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     own, text_hash = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")), F.xxhash64("text")
     groups = written(jaccard_join.near_components(docs, keys=True), "groups")
     least = groups.where("n_shingles > 0").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "at", "text_hash")).alias("least")).select("least.at", "least.text_hash")
-    kept = written(least.unionByName(groups.where("n_shingles = 0").select("at", "text_hash").distinct()), "kept")
+    kept = written(least.unionByName(groups.where("n_shingles = 0").select("at", "text_hash").distinct()), "kept", groups.count())
     # texts are shuffled whatever the size, as both sides grow alike
     out = docs.withColumns({"_at": own, "_text": text_hash}).join(kept.hint("merge"), (F.col("_at") == F.col("at")) & (F.col("_text") == F.col("text_hash")), "left_semi")
     repeated = groups.groupBy("at", "text_hash").count().where("count > 1").join(kept, ["at", "text_hash"], "left_semi")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum
-from .common import pieces, table, texts, written
+from .common import in_tasks, pieces, table, texts, written
 from .components import connected_components
 
 #: Largest size that may be light: beyond it a set of 85 % or less would have more subsets than any list is long.
@@ -44,6 +44,8 @@ LEAST_FREQUENT = 8
 #: One shingle in so many is counted in full to measure the lists.
 MEASURED = 64
 PIVOT_SHARE = 256
+#: Rows that a pair counts for, as it carries payloads (in_tasks).
+PAIR_ROWS = 4
 #: Lists of more members are dealt into blocks: minor members (outside the largest component) and parts of all members.
 LONG_LIST = 32
 BLOCK = 2048
@@ -270,8 +272,8 @@ def full_sets(source: DataFrame, ats: DataFrame, n: int) -> DataFrame:
     return picked.select("text").mapInArrow(run, "h long, tokens binary")
 
 
-def _streamed(pairs: DataFrame, payloads: DataFrame, columns: list[str], read, test) -> DataFrame:
-    """The pairs (a, b) whose payloads pass test(read(row of a), read(row of b)). payloads: h and columns.
+def _streamed(pairs: DataFrame, payloads: DataFrame, columns: list[str], read, test, n_pairs: int) -> DataFrame:
+    """The pairs (a, b), n_pairs in all, whose payloads pass test(read(row of a), read(row of b)). payloads: h and columns.
 
     Partners stream past a's payload, which alone is held; an a with many partners is dealt into shares."""
     shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / PIVOT_SHARE).cast("int").alias("shares"))
@@ -292,12 +294,12 @@ def _streamed(pairs: DataFrame, payloads: DataFrame, columns: list[str], read, t
                     b.append(h)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    dealt = rows.select("a", "share", "h", "second", *columns).repartition("a", "share").sortWithinPartitions("a", "share", "second", "h")
-    return dealt.mapInArrow(run, "a long, b long")
+    dealt = in_tasks(rows.select("a", "share", "h", "second", *columns).repartition("a", "share"), PAIR_ROWS * n_pairs)
+    return dealt.sortWithinPartitions("a", "share", "second", "h").mapInArrow(run, "a long, b long")
 
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets link."""
+def linked(pairs: DataFrame, sets: DataFrame, percent: int, n_pairs: int) -> DataFrame:
+    """The pairs (a, b), n_pairs in all, whose full sets link."""
 
     def read(parts, i):
         import numpy as np
@@ -310,11 +312,11 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         shared = len(np.intersect1d(x, y, assume_unique=True))
         return 100 * shared >= percent * (len(x) + len(y) - shared)
 
-    return _streamed(pairs, sets, ["tokens"], read, test)
+    return _streamed(pairs, sets, ["tokens"], read, test, n_pairs)
 
 
-def may_link(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that their sets' outlines (h, n, outline) don't rule out."""
+def may_link(pairs: DataFrame, classes: DataFrame, percent: int, n_pairs: int) -> DataFrame:
+    """The pairs (a, b), n_pairs in all, that their sets' outlines (h, n, outline) don't rule out."""
 
     def read(parts, i):
         import numpy as np
@@ -328,7 +330,7 @@ def may_link(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         size = min(len(a), len(b))
         return not size or np.abs(folded(a, size) - folded(b, size)).sum() <= may_differ(na, nb, percent)
 
-    return _streamed(pairs, classes, ["n", "outline"], read, test)
+    return _streamed(pairs, classes, ["n", "outline"], read, test, n_pairs)
 
 
 def open_lists(lists: DataFrame, comps: DataFrame) -> DataFrame:
@@ -530,26 +532,30 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     measured = counted.where((F.col("h") >= 0) & (F.col("h") < (1 << 64) // MEASURED) & (F.col("c") < LEAST_FREQUENT)).agg(F.sum(F.col("c") * F.col("c")) / F.sum("c")).first()[0] or 1.0
     sizes = {r.n: r.c for r in stats.where(F.col("n").between(1, 2 * MOST_LIGHT)).groupBy("n").agg(F.count_distinct("h").alias("c")).collect()}
     boundary = choose_boundary(sizes, percent, measured)
-    classes = written(stats.where("n > 0").groupBy("h").agg(F.min("doc_id").alias("least_id"), F.min("at").alias("at"), F.count("*").alias("n_copies"), F.first("n").alias("n"), F.first("outline").alias("outline")), "classes")
+    classes = written(stats.where("n > 0").groupBy("h").agg(F.min("doc_id").alias("least_id"), F.min("at").alias("at"), F.count("*").alias("n_copies"), F.first("n").alias("n"), F.first("outline").alias("outline")), "classes", stats.count())
+    n_classes = classes.count()
     lists = written(shared_lists(postings(source, n, percent, boundary, frequent), percent), "lists")
 
-    def joined(comps: DataFrame | None, pairs: DataFrame) -> DataFrame:
-        """Components by the edges so far and the pairs that link."""
-        pairs = written(may_link(written(pairs, "pairs"), classes, percent), "pairs")
-        if comps is not None and pairs.isEmpty():
+    def joined(comps: DataFrame | None, pairs: DataFrame, most: int | None = None) -> DataFrame:
+        """Components by the edges so far and the pairs that link. most: how many pairs there are at most, if known."""
+        pairs = written(pairs, "pairs", most)
+        pairs = written(may_link(pairs, classes, percent, pairs.count()), "pairs")
+        n_pairs = pairs.count()
+        if comps is not None and not n_pairs:
             return comps
-        ats = written(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct().join(classes, "h").select("at"), "ids")
-        links = linked(pairs, full_sets(source, ats, n), percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
-        if comps is not None:
-            links = written(links, "links")
-            if links.isEmpty():
-                return comps
-            links = links.unionByName(comps.select(F.col("node").alias("u"), F.col("component").alias("v")))
-        return connected_components(links)
+        ats = written(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct().join(classes, "h").select("at"), "ids", 2 * n_pairs)
+        links = linked(pairs, full_sets(source, ats, n), percent, n_pairs).select(F.col("a").alias("u"), F.col("b").alias("v"))
+        if comps is None:
+            return connected_components(links, n_pairs)
+        links = written(links, "links")
+        n_links = links.count()
+        if not n_links:
+            return comps
+        return connected_components(links.unionByName(comps.select(F.col("node").alias("u"), F.col("component").alias("v"))), n_links + n_classes)
 
     near = 100 * F.col("pn").cast("long") >= percent * F.col("n").cast("long")
     star = lists.where((F.col("h") != F.col("p")) & near).select(F.col("p").alias("a"), F.col("h").alias("b")).distinct()
-    first = joined(None, star)
+    first = joined(None, star, lists.count())
     long_lists = F.col("members") > LONG_LIST
     second = joined(first, pairs_of_long(written(open_lists(lists, first).where(long_lists), "lists"), classes, percent, True).select("a", "b").distinct())
 

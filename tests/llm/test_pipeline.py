@@ -1,5 +1,7 @@
 """The pipeline's stages on a small table, against what each operator decides."""
 
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -107,3 +109,33 @@ def test_batches_are_bounded(spark, stage):
         assert len(batches()) > len(got)  # a smaller setting stays
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+
+
+def test_small_tables_are_few_files(spark, monkeypatch):
+    """Tables of near_components whose rows are known have a file a core at most, however many shuffle partitions there are;
+    result and components are as with few partitions."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").where("doc_id < 300")
+    extra = docs.selectExpr("doc_id + 10000 as doc_id", "concat(text, ' more') as text").unionByName(docs.selectExpr("doc_id + 20000 as doc_id", "concat('first ', text) as text"))
+    docs = docs.unionByName(extra)
+    before = sorted(map(str, jaccard_join.near_components(docs).collect()))
+    made, path = [], common.new_path
+    monkeypatch.setattr(common, "new_path", lambda *a: made.append(path(*a)) or made[-1])
+    shuffle, merge = "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled"
+    try:
+        spark.conf.set(shuffle, "24")
+        spark.conf.set(merge, "false")
+        assert sorted(map(str, jaccard_join.near_components(docs).collect())) == before
+    finally:
+        spark.conf.set(shuffle, "4")
+        spark.conf.unset(merge)
+    files = {kind: [len(list(Path(p.removeprefix("file://")).glob("part-*"))) for p in made if f"/{kind}-" in p] for kind in ("classes", "ids", "edges", "links")}
+    assert files["classes"] and files["ids"] and len(files["edges"]) >= 3
+    assert max(max(n, default=0) for n in files.values()) <= spark.sparkContext.defaultParallelism
+    assert len({r.component_id for r in jaccard_join.near_components(docs).collect()}) < docs.count()
+
+
+def test_tasks_grow_with_rows(spark, monkeypatch):
+    monkeypatch.setattr(common, "TASK_ROWS", 10)
+    rows = spark.range(0, 200, 1, 40)
+    assert [common.in_tasks(rows, n).rdd.getNumPartitions() for n in (1, 100, 200, 1000)] == [4, 10, 20, 40]
+    assert sorted(r.id for r in pipeline.written(rows, rows=200).collect()) == list(range(200))
