@@ -44,8 +44,8 @@ LEAST_FREQUENT = 8
 #: One shingle in so many is counted in full to measure the lists.
 MEASURED = 64
 PIVOT_SHARE = 256
-#: Rows that a pair counts for, as it carries payloads (in_tasks).
-PAIR_ROWS = 4
+#: Rows that a pair counts for, as it carries outlines or whole sets (in_tasks).
+OUTLINE_ROWS, SET_ROWS = 4, 32
 #: Lists of more members are dealt into blocks: minor members (outside the largest component) and parts of all members.
 LONG_LIST = 32
 BLOCK = 2048
@@ -272,8 +272,8 @@ def full_sets(source: DataFrame, ats: DataFrame, n: int) -> DataFrame:
     return picked.select("text").mapInArrow(run, "h long, tokens binary")
 
 
-def _streamed(pairs: DataFrame, payloads: DataFrame, columns: list[str], read, test, n_pairs: int) -> DataFrame:
-    """The pairs (a, b), n_pairs in all, whose payloads pass test(read(row of a), read(row of b)). payloads: h and columns.
+def _streamed(pairs: DataFrame, payloads: DataFrame, columns: list[str], read, test, n_rows: int) -> DataFrame:
+    """The pairs (a, b) whose payloads pass test(read(row of a), read(row of b)). payloads: h and columns. n_rows: see in_tasks.
 
     Partners stream past a's payload, which alone is held; an a with many partners is dealt into shares."""
     shares = pairs.groupBy("a").agg(F.ceil(F.count("*") / PIVOT_SHARE).cast("int").alias("shares"))
@@ -294,7 +294,7 @@ def _streamed(pairs: DataFrame, payloads: DataFrame, columns: list[str], read, t
                     b.append(h)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    dealt = in_tasks(rows.select("a", "share", "h", "second", *columns).repartition("a", "share"), PAIR_ROWS * n_pairs)
+    dealt = in_tasks(rows.select("a", "share", "h", "second", *columns).repartition("a", "share"), n_rows)
     return dealt.sortWithinPartitions("a", "share", "second", "h").mapInArrow(run, "a long, b long")
 
 
@@ -312,7 +312,7 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int, n_pairs: int) -> Dat
         shared = len(np.intersect1d(x, y, assume_unique=True))
         return 100 * shared >= percent * (len(x) + len(y) - shared)
 
-    return _streamed(pairs, sets, ["tokens"], read, test, n_pairs)
+    return _streamed(pairs, sets, ["tokens"], read, test, SET_ROWS * n_pairs)
 
 
 def may_link(pairs: DataFrame, classes: DataFrame, percent: int, n_pairs: int) -> DataFrame:
@@ -330,7 +330,7 @@ def may_link(pairs: DataFrame, classes: DataFrame, percent: int, n_pairs: int) -
         size = min(len(a), len(b))
         return not size or np.abs(folded(a, size) - folded(b, size)).sum() <= may_differ(na, nb, percent)
 
-    return _streamed(pairs, classes, ["n", "outline"], read, test, n_pairs)
+    return _streamed(pairs, classes, ["n", "outline"], read, test, OUTLINE_ROWS * n_pairs)
 
 
 def open_lists(lists: DataFrame, comps: DataFrame) -> DataFrame:
