@@ -46,8 +46,9 @@ def tiff_page(width: Column, height: Column, strips: Column, tiles: Column) -> C
 
 def tiff_truncated(offsets: Column, counts: Column, length: Column) -> Column:
     """Whether a strip or tile (arrays of offsets and byte counts) ends beyond the file; a missing count is one byte."""
-    ends = F.zip_with(offsets, F.coalesce(counts, F.array().cast("array<bigint>")), lambda at, n: at + F.coalesce(n, F.lit(1)))
-    return F.exists(ends, lambda end: F.coalesce(end > length, F.lit(False)))
+    beyond = lambda at, n: F.coalesce(at + F.coalesce(n, F.lit(1)) > length, F.lit(False))
+    ends = F.zip_with(offsets, F.coalesce(counts, F.array().cast("array<bigint>")), beyond)
+    return F.when(F.size(offsets) == 1, beyond(F.get(offsets, 0), F.get(counts, 0))).otherwise(F.exists(ends, lambda end: end))  # one needs no loop
 
 
 def second_opinion(verdict: Column) -> Column:

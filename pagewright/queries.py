@@ -5,8 +5,11 @@ covers its whole table, and its SQL recomputes from the source columns."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .functions import geometry, scalars, sniff
 from .operators import cache, containers, decode, manifest, ranking, verdicts
@@ -711,7 +714,8 @@ def webp_first_frame(spark, sf_dir):
     return containers.on_canvas(canvases, pixels, "file_id").join(canvases.select("file_id", "orientation"), "file_id").select("file_id", "x", "y", "r", "b", "a", "orientation")
 
 
-#: Bytes of a made directory of 14 entries with four depths behind it.
+#: A made directory of 14 entries with four depths behind it, in a byte order, and its bytes.
+_directory = lambda order: np.dtype([("n", f"{order}u2"), ("entries", [("tag", f"{order}u2"), ("kind", f"{order}u2"), ("count", f"{order}u4"), ("value", f"{order}u4")], 14), ("following", f"{order}u4"), ("depths", f"{order}u2", 4)])
 _DIRECTORY = 2 + 14 * 12 + 4 + 8
 
 
@@ -721,6 +725,45 @@ def _entry(little, tag, kind: int, count, value) -> Column:
     return F.concat(_hex(tag, 2, little), _hex(kind, 2, little), _hex(count, 4, little), last)
 
 
+def _tiff_directories(order: str, key, i, m, line, part, supp) -> np.ndarray:
+    """A directory per line of orders (arrays by line: order, place in it, lines of it, number, part, supplier)."""
+    made, base = np.zeros(len(key), _directory(order)), 8 + _DIRECTORY * i
+    depth, n, high = np.array((1, 2, 4, 8, 16))[supp % 5], line % 4 + 1, 16 if order == ">" else 0
+    depths = np.where(n == 1, depth << high, np.where(n == 2, depth << 16 | depth, base + _DIRECTORY - 8))
+    or_other = lambda tag, has: np.where(has, tag, 65000)
+    entries = (
+        (254, 4, 1, np.where(part % 4 == 0, 1, 2)), (or_other(256, part % 10 != 0), 4, 1, part), (257, 4, 1, supp), (258, 3, n, depths), (259, 3, 1, np.array((1, 3, 5, 7))[key % 4]), (262, 3, 1, part % 7), (273, 4, 1, part % 5000),
+        (274, 3, 1, line % 8 + 1), (277, 3, 1, n + (supp % 17 == 0)), (279, 4, 1, supp % 1000), (or_other(284, part % 13 == 0), 3, 1, 2), (or_other(320, supp % 2 == 0), 3, 1, 1), (or_other(322, part % 5 == 0), 3, 1, 64), (317, 3, 1, part % 3 % 2 + 1),
+    )
+    made["n"], made["depths"] = len(entries), depth[:, None]
+    made["following"] = np.where(i + 1 < m, base + _DIRECTORY, np.where(key % 5 == 0, 8, 0))
+    for e, (tag, kind, count, value) in enumerate(entries):
+        entry = made["entries"][:, e]
+        entry["tag"], entry["kind"], entry["count"] = tag, kind, count
+        entry["value"] = value << high if kind == 3 and count is not n else value  # a short stands at the left of the four bytes
+    return made
+
+
+def _tiff_files(batches):
+    """(file_id, content) of batches of orders (file_id, lines): even ones have the low byte first."""
+    for batch in batches:
+        keys, lines = batch.column(0).fill_null(0).to_numpy(), batch.column(1)
+        m = lines.value_lengths().to_numpy()
+        for of in containers.portions(8 + _DIRECTORY * m.astype(np.int64), containers.SIDE_BY_SIDE_BYTES):
+            some, size = lines.slice(of.start, of.stop - of.start).flatten(), m[of].astype(np.int64)
+            file, ends = np.repeat(np.arange(len(size)), size), np.cumsum(8 + _DIRECTORY * size)
+            i, key = np.arange(len(file)) - np.repeat(np.cumsum(size) - size, size), keys[of][file]
+            line, part, supp = (c.fill_null(0).to_numpy().astype(np.int64) for c in some.flatten())
+            starts, content = ends - 8 - _DIRECTORY * size, np.empty(ends[-1], np.uint8)
+            for order, head, rest in (("<", b"II\x2a\0\x08\0\0\0", 0), (">", b"MM\0\x2a\0\0\0\x08", 1)):
+                containers.at_any_byte(content, "V8")[starts[keys[of] % 2 == rest]] = np.void(head)
+                mine = key % 2 == rest
+                made = _tiff_directories(order, *(a[mine] for a in (key, i, size[file], line, part, supp)))
+                containers.at_any_byte(content, f"V{_DIRECTORY}")[starts[file[mine]] + 8 + _DIRECTORY * i[mine]] = made.view(f"V{_DIRECTORY}")
+            edges = pa.py_buffer(np.append(0, ends).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(of.start, len(size)), pa.Array.from_buffers(pa.binary(), len(size), [None, edges, pa.py_buffer(content)])], names=["file_id", "content"])
+
+
 @query(f"""
 WITH t AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS i, count(*) OVER (PARTITION BY l_orderkey) AS m FROM lineitem),
 p AS (SELECT l_orderkey AS file_id, i AS directory_no, 8 + {_DIRECTORY} * i AS place, l_partkey AS width, l_suppkey AS height, l_linenumber % 8 + 1 AS orientation, l_partkey % 4 = 0 AS thumb, l_partkey % 7 AS ph, ([1, 2, 4, 8, 16])[(l_suppkey % 5 + 1)::INT] AS bps, l_linenumber % 4 + 1 AS n,
@@ -734,23 +777,8 @@ SELECT file_id, CAST(directory_no AS INTEGER) AS directory_no, CAST(place AS BIG
 def tiff_from_bytes(spark, sf_dir):
     """Pages of TIFF files, read from their bytes: a file per order in either byte order, a directory per line; every fifth
     file's chain runs in a circle."""
-    lines = table(spark, sf_dir, "lineitem").withColumn("i", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")) - 1).withColumn("m", F.count("*").over(Window.partitionBy("l_orderkey")))
-    c, little = F.col, F.col("l_orderkey") % 2 == 0
-    base, part, supp = 8 + _DIRECTORY * F.col("i"), F.col("l_partkey"), F.col("l_suppkey")
-    depth, n = _pick((1, 2, 4, 8, 16), supp), F.col("l_linenumber") % 4 + 1
-    depths = F.when(n == 1, F.concat(_hex(depth, 2, little), F.lit("0000"))).when(n == 2, F.concat(_hex(depth, 2, little), _hex(depth, 2, little))).otherwise(_hex(base + _DIRECTORY - 8, 4, little))
-    or_other = lambda tag, has: F.when(has, tag).otherwise(65000)
-    entries = [
-        _entry(little, 254, 4, 1, F.when(part % 4 == 0, 1).otherwise(2)), _entry(little, or_other(256, part % 10 != 0), 4, 1, part), _entry(little, 257, 4, 1, supp), F.concat(_hex(258, 2, little), _hex(3, 2, little), _hex(n, 4, little), depths),
-        _entry(little, 259, 3, 1, _pick((1, 3, 5, 7), c("l_orderkey"))), _entry(little, 262, 3, 1, part % 7), _entry(little, 273, 4, 1, part % 5000), _entry(little, 274, 3, 1, c("l_linenumber") % 8 + 1), _entry(little, 277, 3, 1, n + F.when(supp % 17 == 0, 1).otherwise(0)),
-        _entry(little, 279, 4, 1, supp % 1000), _entry(little, or_other(284, part % 13 == 0), 3, 1, 2), _entry(little, or_other(320, supp % 2 == 0), 3, 1, 1), _entry(little, or_other(322, part % 5 == 0), 3, 1, 64), _entry(little, 317, 3, 1, part % 3 % 2 + 1),
-    ]
-    following = F.when(c("i") + 1 < c("m"), base + _DIRECTORY).when(c("l_orderkey") % 5 == 0, 8).otherwise(0)
-    one = F.concat(_hex(len(entries), 2, little), *entries, _hex(following, 4, little), *[_hex(depth, 2, little)] * 4)
-    files = lines.select("l_orderkey", "i", one.alias("one")).groupBy(c("l_orderkey").alias("file_id")).agg(F.array_sort(F.collect_list(F.struct("i", "one"))).alias("all"))
-    little = F.col("file_id") % 2 == 0
-    content = F.unhex(F.concat(F.when(little, "49492A00").otherwise("4D4D002A"), _hex(8, 4, little), _joined(F.transform("all", lambda s: s["one"]))))
-    return containers.tiff_pages(files.select("file_id", content.alias("content")), "file_id")
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("file_id")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("lines"))
+    return containers.tiff_pages(lines.mapInArrow(_tiff_files, StructType([lines.schema["file_id"], StructField("content", BinaryType())])), "file_id")
 
 
 #: Bytes of a made directory of five entries with two offsets and two strips behind it.

@@ -121,6 +121,55 @@ def test_tiff_pages(spark):
     assert [(r.k, r.at, r.verdict, r.label) for r in got] == [(0, 8, "ok", "page 1 of 3"), (0, 900, "truncated", "page 2 of 3"), (0, 1200, "inconsistent_channels", "page 3 of 3"), (1, 8, "ok", None)]
 
 
+def damaged_tiff(rng):
+    """Chains with gaps, circles, cut ends, unknown kinds, counts and places that can't be."""
+    order, size = rng.choice("<>"), rng.choice([0, 5, 8, 9, 300, 3000, 3000, 3000])
+    out, at, places = bytearray(size), 8, []
+    while at + 30 < size and len(places) < 80:
+        n = rng.choice([1, 1, 2, 5, 9, 14, 20] * 4 + [0])
+        entries = [(rng.choice([*containers.PAGE_TAGS.values(), 330, 1]), rng.choice([1, 2, 3, 3, 4, 4, 5, 6, 8, 12, 0, 13, 65535]), rng.choice([0, 1, 1, 1, 2, 4, 5, 30, size, 1 << 31, (1 << 32) - 1]), rng.choice([0, 1, 8, size - 3, size, rng.randrange(1 << 32), rng.randrange(size)])) for _ in range(n)]
+        places.append(at)
+        following = at + 6 + 12 * n + rng.choice([0, 0, 3])
+        raw = struct.pack(order + "H", rng.choice([n] * 20 + [600])) + b"".join(struct.pack(order + "HHII", *e) for e in entries) + struct.pack(order + "I", rng.choice([following] * 30 + [0, at, 1 << 31, rng.choice(places)]))
+        out[at : at + len(raw)] = raw[: size - at]
+        at = following
+    if size >= 8:
+        out[:8] = (b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, rng.choice([8] * 15 + [0, 20, size - 2, size, 5000]))
+    return bytes(out)
+
+
+def test_directory_chains(spark, monkeypatch):
+    """What a walk of files side by side finds equals a walk of each, also in portions of few bytes and entries."""
+    rng = random.Random(5)
+    many = tiff("<", {8 + 20 * i: ([(256, 4, [i])], 28 + 20 * i) for i in range(90)})
+    made = files(spark, [many, None, b"", b"IIII", *[damaged_tiff(rng) for _ in range(600)]]).repartition(3)
+    of = containers.tags(containers.directories(made, "k", follow={}, most_values=None), "k", containers.PAGE_TAGS).collect()
+    one = lambda name, v: v if name in containers.WHOLE_TAGS or v is None else v[0] if v else -1
+    want = {(r.k, r.directory_no, r.at, r.length): [one(name, r[name]) for name in containers.PAGE_TAGS] for r in of}
+    assert len(want) > 800 and sum(k == 0 for k, *_ in want) == containers.MOST_DIRECTORIES
+    for most_bytes, most_entries in ((4 << 20, 1 << 18), (3000, 40)):
+        monkeypatch.setattr(containers, "SIDE_BY_SIDE_BYTES", most_bytes)
+        monkeypatch.setattr(containers, "SIDE_BY_SIDE_ENTRIES", most_entries)
+        found = containers.directory_chains(made, "k", containers.PAGE_TAGS, containers.WHOLE_TAGS).collect()
+        assert {(r.k, d.directory_no, d.at, r.length): [d[name] for name in containers.PAGE_TAGS] for r in found for d in r.directories} == want
+
+
+def test_tiff_pages_are_not_shuffled(spark):
+    """A file's pages are numbered where it was walked; before, entries and pages of all files were shuffled by file."""
+    page = [(256, 4, [4]), (257, 4, [2]), (262, 3, [1]), (273, 4, [8])]
+    got = containers.tiff_pages(files(spark, [tiff("<", {8: (page, 300), 300: (page, 0)})] * 3), "k")
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.k, r.directory_no, r.label) for r in got.collect()) == [(k, i, f"page {i + 1} of 2") for k in range(3) for i in range(2)]
+
+
+def test_tiff_pages_with_damaged_tags(spark):
+    """Entries of an unknown kind or without room have no values; before, such a file ended the whole query."""
+    raw = bytearray(tiff("<", {8: ([(256, 4, [4]), (257, 4, [2]), (262, 3, [1]), (273, 4, [8]), (274, 4, [1 << 31])], 0)}))
+    struct.pack_into("<H", raw, 8 + 2 + 2, 99)
+    struct.pack_into("<I", raw, 8 + 2 + 2 * 12 + 4, 1 << 30)
+    assert [(r.width, r.height, r.orientation, r.verdict) for r in containers.tiff_pages(files(spark, [bytes(raw)]), "k").collect()] == [(None, 2, 1, "rgb_depth")]
+
+
 def box(kind, body, form=0):
     if form == 1:
         return struct.pack(">I4sQ", 1, kind, len(body) + 16) + body
