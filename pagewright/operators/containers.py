@@ -205,8 +205,8 @@ PAGE_TAGS = {"subfile": 254, "width": 256, "height": 257, "depths": 258, "compre
 WHOLE_TAGS = ("depths", "strips", "strip_bytes", "tiles", "tile_bytes")
 #: Fixed value: more than any entry's number of values.
 MOST_COUNT = 1 << 32
-#: Bytes of files that are walked side by side, and entries of directories that are read side by side (a file at least).
-SIDE_BY_SIDE_BYTES, SIDE_BY_SIDE_ENTRIES = 4 << 20, 1 << 18
+#: Bytes of files that are walked side by side (a file at least), and for how many steps; entries that are read side by side.
+SIDE_BY_SIDE_BYTES, SIDE_BY_SIDE_STEPS, SIDE_BY_SIDE_ENTRIES = 4 << 20, 64, 1 << 18
 
 
 def portions(sizes: np.ndarray, most: int):
@@ -240,23 +240,44 @@ def _read(data: np.ndarray, kind: str, at: np.ndarray, end: np.ndarray) -> np.nd
 
 def _chains(data: np.ndarray, order: str, start: np.ndarray, end: np.ndarray):
     """(file, number, place in the file, entries) of the directories of files of a byte order, by file and number. All
-    files go a step together, from a directory to the next; each reads a directory once."""
-    file, found = np.arange(len(start)), []
+    files go a step together, from a directory to the next; what is left of long chains is walked file by file. A directory
+    is read once, and those of a file have no more bytes than the file, as only damaged ones overlap."""
+    file, room, found = np.arange(len(start)), end - start, []
     at, seen = _read(data, order + "u4", start + 4, end), np.zeros((len(start), 0), np.int64)
-    for n in range(MOST_DIRECTORIES):
+    for n in range(SIDE_BY_SIDE_STEPS):
         entries = _read(data, order + "u2", start + at, end)
         tail = start + at + 2 + 12 * entries
-        there = (at != 0) & ~(seen == at[:, None]).any(axis=1) & (entries > 0) & (entries <= MOST_ENTRIES) & (tail <= end)
-        if not there.any():
-            break
-        file, start, end, at, tail, seen = file[there], start[there], end[there], at[there], tail[there], np.column_stack([seen[there], at[there]])
+        room = room - 2 - 12 * entries
+        there = (at != 0) & ~(seen == at[:, None]).any(axis=1) & (entries > 0) & (entries <= MOST_ENTRIES) & (tail <= end) & (room >= 0)
+        file, start, end, at, tail, seen, room = file[there], start[there], end[there], at[there], tail[there], np.column_stack([seen[there], at[there]]), room[there]
         found.append((file, np.full(len(file), n), at, entries[there]))
+        if not len(file):
+            break
         at = _read(data, order + "u4", tail, end)
-    parts = [np.concatenate(p) for p in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 4
+    for i in np.flatnonzero(at) if len(file) else ():
+        rest = _rest_of_chain(data, order, int(start[i]), int(end[i]), int(at[i]), set(seen[i].tolist()), int(room[i]))
+        if rest:
+            found.append((np.full(len(rest), file[i]), SIDE_BY_SIDE_STEPS + np.arange(len(rest)), *np.array(rest).T))
+    parts = [np.concatenate(p) for p in zip(*found, strict=True)]
     sort = np.argsort(parts[0], kind="stable")
     return [p[sort] for p in parts]
 
 
+def _rest_of_chain(data: np.ndarray, order: str, start: int, end: int, at: int, seen: set[int], room: int) -> list[tuple[int, int]]:
+    """(place in the file, entries) of a file's directories from a place on, apart from those that were seen."""
+    short, long, found = struct.Struct(order + "H"), struct.Struct(order + "I"), []
+    while at and at not in seen and start + at + 2 <= end:
+        (entries,) = short.unpack_from(data, start + at)
+        tail = start + at + 2 + 12 * entries
+        room -= 2 + 12 * entries
+        if not 0 < entries <= MOST_ENTRIES or tail > end or room < 0:
+            break
+        seen.add(at)
+        found.append((at, entries))
+        at = long.unpack_from(data, tail)[0] if tail + 4 <= end else 0
+    return found
+
+
 def _tag_values(data: np.ndarray, order: str, start: np.ndarray, end: np.ndarray, at: np.ndarray, entries: np.ndarray, named: dict[str, int], whole: tuple[str, ...]):
     """An Arrow array per tag of what it has in each of these directories (file's start and end, place, entries)."""
     column = np.full(1 << 16, len(named))
@@ -298,7 +319,7 @@ def _tag_values(data: np.ndarray, order: str, start: np.ndarray, end: np.ndarray
 
 
 def directory_chains(files: DataFrame, key: str, named: dict[str, int], whole: tuple[str, ...] = ()) -> DataFrame:
-    """key, length, directories: a row per TIFF file with the directories of its chain: number, place, and what the named tags
+    """key, length, directories: a row per TIFF file with all directories of its chain: number, place, and what the named tags
     have, null where there is none. Of those in `whole` these are all values, as `tags` of `directories` gives them, of the
     others the first (-1 if an entry has none that can be read). Files of a batch are walked side by side, so a step is a
     few array operations for all of them."""
@@ -309,14 +330,12 @@ def directory_chains(files: DataFrame, key: str, named: dict[str, int], whole: t
 
     def walked_together(keys, data, order, start, end):
         file, n, at, entries = _chains(data, order, start, end)
-        edges = np.searchsorted(file, np.arange(len(start) + 1))
-        for of in portions(np.bincount(file, entries, len(start)), SIDE_BY_SIDE_ENTRIES):
-            mine = slice(edges[of.start], edges[of.stop])
-            f = file[mine]
-            columns = [pa.array(n[mine].astype(np.int32)), pa.array(at[mine]), *_tag_values(data, order, start[f], end[f], at[mine], entries[mine], named, whole)]
+        found = [_tag_values(data, order, start[file[of]], end[file[of]], at[of], entries[of], named, whole) for of in portions(entries, SIDE_BY_SIDE_ENTRIES)]
+        columns = [pa.array(n.astype(np.int32)), pa.array(at), *[pa.concat_arrays(c) for c in zip(*found, strict=True)]]
+        if found:
             inside = pa.StructArray.from_arrays([c.cast(t.type) for c, t in zip(columns, listed.value_type, strict=True)], fields=list(listed.value_type))
-            lists = pa.ListArray.from_arrays(pa.array((edges[of.start : of.stop + 1] - edges[of.start]).astype(np.int32)), inside, type=listed)
-            yield pa.RecordBatch.from_arrays([keys[of.start : of.stop], pa.array((end - start)[of]), lists], schema=arrow)
+            edges = np.searchsorted(file, np.arange(len(start) + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([keys, pa.array(end - start), pa.ListArray.from_arrays(pa.array(edges), inside, type=listed)], schema=arrow)
 
     def run(batches):
         for batch in batches:

@@ -139,21 +139,36 @@ def damaged_tiff(rng):
 
 
 def test_directory_chains(spark, monkeypatch):
-    """What a walk of files side by side finds equals a walk of each, also in portions of few bytes and entries."""
+    """What a walk of files side by side finds equals a walk of each, also in portions of few bytes, steps and entries."""
     rng = random.Random(5)
-    many = tiff("<", {8 + 20 * i: ([(256, 4, [i])], 28 + 20 * i) for i in range(90)})
-    made = files(spark, [many, None, b"", b"IIII", *[damaged_tiff(rng) for _ in range(600)]]).repartition(3)
+    made = files(spark, [None, b"", b"IIII", *[damaged_tiff(rng) for _ in range(600)]]).repartition(3)
     of = containers.tags(containers.directories(made, "k", follow={}, most_values=None), "k", containers.PAGE_TAGS).collect()
     one = lambda name, v: v if name in containers.WHOLE_TAGS or v is None else v[0] if v else -1
     want = {(r.k, r.directory_no, r.at, r.length): [one(name, r[name]) for name in containers.PAGE_TAGS] for r in of}
-    assert len(want) > 800 and sum(k == 0 for k, *_ in want) == containers.MOST_DIRECTORIES
-    for most_bytes, most_entries in ((4 << 20, 1 << 18), (3000, 40)):
-        monkeypatch.setattr(containers, "SIDE_BY_SIDE_BYTES", most_bytes)
-        monkeypatch.setattr(containers, "SIDE_BY_SIDE_ENTRIES", most_entries)
+    assert len(want) > 800
+    for sizes in ((4 << 20, 64, 1 << 18), (3000, 2, 40)):
+        for name, size in zip(("SIDE_BY_SIDE_BYTES", "SIDE_BY_SIDE_STEPS", "SIDE_BY_SIDE_ENTRIES"), sizes, strict=True):
+            monkeypatch.setattr(containers, name, size)
         found = containers.directory_chains(made, "k", containers.PAGE_TAGS, containers.WHOLE_TAGS).collect()
         assert {(r.k, d.directory_no, d.at, r.length): [d[name] for name in containers.PAGE_TAGS] for r in found for d in r.directories} == want
 
 
+def test_long_chains_are_whole(spark):
+    """All pages of a file count, also beyond what is walked side by side; circles and overlapping directories end."""
+    page = [(256, 4, [4]), (257, 4, [2]), (273, 4, [8])]
+    size = 2 + 12 * len(page) + 4
+    straight = {8 + size * i: (page, 8 + size * (i + 1) if i < 89 else 0) for i in range(90)}
+    circle = straight | {8 + size * 89: (page, 8 + size * 70)}
+    lap = bytearray(tiff("<", {8: ([], 0)}))
+    for at in range(8, 1400, 18):  # directories of 200 entries, each a few bytes behind the one before
+        struct.pack_into("<H", lap, at, 200)
+        struct.pack_into("<I", lap, at + 2 + 12 * 200, at + 18)
+    got = containers.tiff_pages(files(spark, [tiff("<", straight), tiff(">", circle)]), "k").collect()
+    for k in (0, 1):
+        assert sorted((r.directory_no, r.at, r.label) for r in got if r.k == k) == [(i, 8 + size * i, f"page {i + 1} of 90") for i in range(90)]
+    assert [len(r.directories) for r in containers.directory_chains(files(spark, [bytes(lap)]), "k", {"width": 256}).collect()] == [1]
+
+
 def test_tiff_pages_are_not_shuffled(spark):
     """A file's pages are numbered where it was walked; before, entries and pages of all files were shuffled by file."""
     page = [(256, 4, [4]), (257, 4, [2]), (262, 3, [1]), (273, 4, [8])]
